@@ -9,10 +9,14 @@ Plan, for documents x with shingle sets S(x) and a threshold of p percent:
    global order of shingles: light ones first, then heavy by rising frequency.
    Any order gives the same result; this one keeps frequent shingles out of the
    short lists.
-2. routing: a set of n shingles has to hold T = ceil(n * p / 100) of any partner's,
-   so two partners meet in the first n - T + 1 shingles of that order. Those
-   inverted lists are built by range of hash; each list ties its sets to one
-   anchor (linear in the list, pre-tied on the map side), never pair by pair.
+2. routing: partners of sizes n and m differ in at most d = (n + m)(100 - p)/(100 + p)
+   shingles. For each class of sizes the light shingles are split by hash into
+   more parts than d, so partners agree in all of some part; a set is routed by each of its parts
+   that holds two shingles or more. Where a set has too few of these to be sure of one (short texts, mostly
+   heavy ones), it is also routed by its first n - T + 1 shingles in the global order, one of which any partner
+   has, T = ceil(n * p / 100). Routes are grouped by range of hash; each
+   route ties its sets to one anchor (linear in the route's length, pre-tied on the map
+   side), never pair by pair.
 3. blocks: the components of these ties hold all links. Each component is cut
    into blocks of bounded size and every pair of blocks is searched once with
    DivideSkip: a query's longest lists are set aside, its short ones are
@@ -26,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, settle, shuffle_partitions, span_hashes, ship
+from .common import LOWER, mix, settle, shuffle_partitions, span_hashes, ship
 from .components import components
 
 #: Shingles in one chunk of rows while frequent ones are sought, and postings sorted at a time.
 CHUNK = 2_000_000
 #: Length of the list of frequent shingles, and the frequency from which a shingle counts as frequent.
-HEAVY, HEAVY_FROM = 500_000, 50
+HEAVY, HEAVY_FROM = 500_000, 10
 #: Sets, and shingles, in a block.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_500_000
 #: Candidate rows up to which their ids are broadcast to the scan of the texts.
@@ -139,6 +143,46 @@ def prefix(h: np.ndarray, percent: int, heavy: tuple[np.ndarray, np.ndarray]) ->
     return np.concatenate([light, rest[np.lexsort((rest, often))][: size - len(light)]])
 
 
+#: Sizes at which the next class of sizes begins, half an octave apart; shingles to a part in a class's largest set.
+_ABOVE = sorted({math.ceil(2 ** (k / 2)) for k in range(2, 80)})
+PART = 3
+
+
+def routes(h: np.ndarray, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Keys of a set, such that linked sets have one in common.
+
+    A pair meets in the class of its larger set; a set therefore stands in its own class and in those
+    above that hold possible partners. Of the parts of a class at most d differ between partners; if more than d
+    parts of either set hold two light shingles or more, one of these is the same in both.
+    """
+    n = len(h)
+    g, _ = heavy
+    light = h if not len(g) else h[g[np.minimum(np.searchsorted(g, h), len(g) - 1)] != h]
+    own = bisect_right(_ABOVE, n)
+    out = []
+    for k in range(own, len(_ABOVE)):
+        if k > own and n * 100 < percent * _ABOVE[k - 1]:
+            break
+        top = min(_ABOVE[k] - 1, n * 100 // percent)
+        differ = (100 - percent) * (n + top) // (100 + percent)
+        parts = max(1, _ABOVE[k] // PART)
+        salt = mix(np.array([k], np.uint64))
+        held = 0
+        if len(light):
+            mixed = mix(light ^ salt)
+            part = (mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            several = np.diff(np.append(first, len(part))) > 1
+            sums = np.add.reduceat(mix(mixed[order] + np.uint64(1)), first)
+            held = int(several.sum())
+            out.append(mix(sums[several] + salt * (part[first[several]] + np.uint64(1))))
+        if held <= differ:
+            out.append(mix(prefix(h, percent, heavy) + salt * np.uint64(3)))
+    return np.unique(np.concatenate(out))
+
+
 def _tie(g: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One posting a list, (g, anchor), and the ties (name, anchor) of the others."""
     order = np.lexsort((name, g))
@@ -170,10 +214,10 @@ def _postings(words: int, percent: int, heavy, buckets: int):
                 if not len(h) or (name := set_name(h)) in seen:
                     continue
                 seen.add(name)
-                first = prefix(h, percent, order)
-                gs.append(first)
-                names.append(np.full(len(first), name, np.int64))
-                held += len(first)
+                keys = routes(h, percent, order)
+                gs.append(keys)
+                names.append(np.full(len(keys), name, np.int64))
+                held += len(keys)
                 if held >= CHUNK:
                     yield from out(gs, names)
                     gs, names, held, seen = [], [], 0, set()
@@ -339,9 +383,9 @@ def links(docs: DataFrame, facts: DataFrame, words: int = 5, percent: int = 80,
     parts = shuffle_partitions(spark)
     heavy = spark.sparkContext.broadcast(_heavy(facts))
     postings = docs.select("text").mapInArrow(_postings(words, percent, heavy, parts * 4), "bucket int, tied boolean, packed binary")
-    routes = components(postings.repartition(parts, "bucket").select("tied", "packed").mapInArrow(_ties, "u long, v long"))
+    tied = components(postings.repartition(parts, "bucket").select("tied", "packed").mapInArrow(_ties, "u long, v long"))
     reps = facts.where("name is not null and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
-    blocks = settle(_blocks(reps.join(routes.withColumnRenamed("node", "name"), "name")))
+    blocks = settle(_blocks(reps.join(tied.withColumnRenamed("node", "name"), "name")))
     if blocks.count() <= BROADCAST_ROWS:
         blocks = F.broadcast(blocks)
     texts = docs.where("doc_id is not null").select("doc_id", "text").join(blocks, "doc_id")
