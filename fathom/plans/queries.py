@@ -1,39 +1,446 @@
-"""Queries over the tables of a folder, with the SQL of the same results."""
+"""Queries over the tables of a folder, with the SQL of the same results.
+
+No table holds nodes, items or run states; queries that need them derive them from
+columns of all rows, the same way in the SQL, as their docstrings say.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
-from fathom.functions import text
+from fathom.functions import json, text, vectors
+from fathom.operators import retrieval, sessions, state, structure
 from fathom.sources.tables import Tables
 
+#: name -> (query, SQL or None)
+_KNOWN: dict[str, tuple[Callable, str | None]] = {}
+#: The clock of the queries that look back from now.
+NOW = "2024-01-20 00:00:00"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _KNOWN[f.__name__] = (lambda spark, folder: f(Tables(spark, folder)), sql)
+        return f
+
+    return add
+
+
+def queries():
+    return {name: f for name, (f, _) in _KNOWN.items()}
+
+
+def oracle_sql():
+    return {name: sql for name, (_, sql) in _KNOWN.items() if sql}
+
+
+# -- text ---------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(t):
+    return t.documents.select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY 2")
+def dedup_content(t):
+    return state.first_of_content(t.documents, "doc_id", F.col("text"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 197) || '...' ELSE text END AS description, left(text, 500) AS preview FROM documents")
+def previews(t):
+    return t.documents.select("doc_id", text.shortened(F.col("text")).alias("description"), text.preview(F.col("text")).alias("preview"))
+
+
+@query(r"SELECT conv_id, turn, array_to_string(list_distinct_in_order, ',') AS cited, trim(regexp_replace(marked, '\s*\[\d+\]', '', 'g')) AS bare FROM (SELECT *, text || ' [' || turn || '] [7] [' || turn || ']' AS marked, CASE WHEN turn = 7 THEN ['7'] ELSE [CAST(turn AS VARCHAR), '7'] END AS list_distinct_in_order FROM conversations)")
+def citation_parse(t):
+    """Markers [turn] [7] [turn] are put behind each message."""
+    turn = F.concat(F.lit(" ["), F.col("turn").cast("string"), F.lit("]"))
+    marked = t.conversations.withColumn("marked", F.concat("text", turn, F.lit(" [7]"), turn))
+    return marked.select("conv_id", "turn", F.array_join(text.citations(F.col("marked")), ",").alias("cited"), text.without_citations(F.col("marked")).alias("bare"))
+
+
+@query(r"SELECT doc_id, coalesce(len(regexp_extract_all(lower(text), '[a-z0-9]+')), 0) AS n_tokens, CAST(greatest(1, (length(text) // 4 + 999) // 1000) AS BIGINT) AS units FROM documents")
+def billing_units(t):
+    units = F.greatest(F.lit(1), F.floor((text.token_estimate(F.col("text")) + 999) / 1000))
+    return t.documents.select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"), units.cast("long").alias("units"))
+
+
+@query(r"SELECT event_id, TRY_CAST(nullif(props->>'$.k', '') AS INTEGER) AS k FROM events")
+def usage_unpack(t):
+    return t.events.select("event_id", json.as_int(json.field(F.col("props"), "k")).alias("k"))
+
+
+@query("SELECT event_id FROM events WHERE props->>'$.k' = '5'")
+def json_filter(t):
+    return t.events.where(json.matches(F.col("props"), {"k": 5})).select("event_id")
+
+
+# -- listings and rollups -------------------------------------------------------
+
+
+@query("SELECT count(*) AS n_docs, round(coalesce(avg(length(text)), 0), 6) AS avg_length FROM documents")
+def corpus_stats(t):
+    return t.documents.agg(F.count("*").alias("n_docs"), F.round(F.coalesce(F.avg(F.length("text")), F.lit(0.0)), 6).alias("avg_length"))
+
+
+@query("SELECT o_orderpriority, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'O') AS open, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished FROM orders GROUP BY 1")
+def status_pivot(t):
+    done = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    return t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("total"), done("O").alias("open"), done("F").alias("finished"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_open, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_finished FROM orders")
+def source_counts(t):
+    """Statuses other than O and F count into the total only."""
+    return t.orders.agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"), F.count_if(F.col("o_orderstatus") == "F").alias("n_finished"))
+
+
+@query("SELECT n.n_nationkey, n.n_name, coalesce(s.c, 0) AS suppliers, coalesce(c.c, 0) AS customers FROM nation n LEFT JOIN (SELECT s_nationkey k, count(*) c FROM supplier GROUP BY 1) s ON s.k = n.n_nationkey LEFT JOIN (SELECT c_nationkey k, count(*) c FROM customer GROUP BY 1) c ON c.k = n.n_nationkey")
+def kb_listing(t):
+    n = lambda rows, key, name: rows.groupBy(F.col(key).alias("n_nationkey")).agg(F.count("*").alias(name))
+    both = t.nation.join(n(t.supplier, "s_nationkey", "suppliers"), "n_nationkey", "left").join(n(t.customer, "c_nationkey", "customers"), "n_nationkey", "left")
+    return both.select("n_nationkey", "n_name", F.coalesce("suppliers", F.lit(0)).alias("suppliers"), F.coalesce("customers", F.lit(0)).alias("customers"))
+
+
+@query("SELECT c_custkey, c_name, count(o_orderkey) AS runs, max(o_orderdate) AS last_run FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
+def agent_listing(t):
+    runs = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("runs"), F.max("o_orderdate").alias("last_run"))
+    return t.customer.join(runs, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("runs", F.lit(0)).alias("runs"), "last_run")
 
-def content_hash(spark, folder):
-    return Tables(spark, folder).documents.select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
 
+@query("SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY 1 HAVING count(*) BETWEEN 2 AND 6")
+def session_listing(t):
+    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn")).where("messages between 2 and 6")
 
-def corpus_stats(spark, folder):
-    return Tables(spark, folder).documents.agg(F.count("*").alias("n_docs"), F.round(F.coalesce(F.avg(F.length("text")), F.lit(0.0)), 6).alias("avg_length"))
 
+@query("SELECT c_custkey FROM customer WHERE contains(lower(c_name), '00012') OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
+def session_search(t):
+    big = t.orders.where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("_hit", F.lit(True))
+    return t.customer.join(big, "c_custkey", "left").where(text.contains_literal(F.col("c_name"), "00012") | F.col("_hit").isNotNull()).select("c_custkey")
 
-def unenriched_items(spark, folder):
-    t = Tables(spark, folder)
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def sources_excluding_kb(t):
+    return t.customer.join(t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def exists_semi(t):
+    return t.customer.join(t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
+
+
+@query("SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def unenriched_items(t):
     return t.documents.join(t.labels, "doc_id", "left_anti").select("doc_id", "source")
 
 
-def run_buckets_hour(spark, folder):
-    rows = Tables(spark, folder).events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket"))
-    return rows.agg(F.count("*").alias("runs"), F.count_if(F.col("event_type") == "error").alias("failed"))
+@query("SELECT d.doc_id, d.source FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 0")
+def failed_items(t):
+    """A label of quality 0 stands for an enrichment error."""
+    return t.documents.select("doc_id", "source").join(t.labels.where("quality = 0").select("doc_id"), "doc_id")
 
 
-def queries():
-    return {f.__name__: f for f in (content_hash, corpus_stats, unenriched_items, run_buckets_hour)}
+_STATUS = "SELECT source, count(quality) FILTER (WHERE quality = 1) AS ok, count(quality) FILTER (WHERE quality = 0) AS failed, count(*) AS items FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"
 
 
-def oracle_sql():
-    return {
-        "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
-        "corpus_stats": "SELECT count(*) AS n_docs, round(coalesce(avg(length(text)), 0), 6) AS avg_length FROM documents",
-        "unenriched_items": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
-        "run_buckets_hour": "SELECT date_trunc('hour', ts) AS bucket, count(*) AS runs, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY 1",
-    }
+@query(f"SELECT *, CASE WHEN failed = 0 THEN 'completed' WHEN ok = 0 THEN 'failed' ELSE 'completed_with_errors' END AS status FROM ({_STATUS})")
+def enrichment_status(t):
+    rows = t.documents.select("doc_id", "source").join(t.labels, "doc_id", "left").groupBy("source")
+    counts = rows.agg(F.count_if(F.col("quality") == 1).alias("ok"), F.count_if(F.col("quality") == 0).alias("failed"), F.count("*").alias("items"))
+    return counts.withColumn("status", F.when(F.col("failed") == 0, "completed").when(F.col("ok") == 0, "failed").otherwise("completed_with_errors"))
+
+
+@query("""SELECT doc_id, CASE WHEN quality IS NOT NULL THEN '{"quality":' || quality || ',"toxic":' || toxic || '}' END AS enrichment FROM documents LEFT JOIN labels USING (doc_id)""")
+def enrich_attach(t):
+    packed = json.packed(quality=F.col("quality"), toxic=F.col("toxic"))
+    return t.documents.select("doc_id").join(t.labels.select("doc_id", "quality", "toxic"), "doc_id", "left").select("doc_id", packed.alias("enrichment"))
+
+
+@query("SELECT c_mktsegment, count(DISTINCT o_custkey) AS active FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def mau_counts(t):
+    buyers = t.orders.select(F.col("o_custkey").alias("c_custkey"))
+    return t.customer.join(buyers, "c_custkey", "left_semi").groupBy("c_mktsegment").agg(F.count("*").alias("active"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def paged_list(t):
+    return t.orders.where("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(100).limit(50)
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY (event_type = 'error') DESC, ts DESC, event_id LIMIT 100")
+def failed_first(t):
+    return t.events.orderBy(F.desc(F.col("event_type") == "error"), F.desc("ts"), "event_id").limit(100).select("event_id", "event_type")
+
+
+@query("SELECT 'document' AS kind, doc_id AS item_id, length(text) AS n FROM documents UNION ALL SELECT 'benchmark', item_id, length(text) FROM benchmark UNION ALL SELECT 'page', page_id, length(html) FROM pages")
+def content_union(t):
+    part = lambda rows, kind, item, body: rows.select(F.lit(kind).alias("kind"), F.col(item).alias("item_id"), F.length(body).cast("long").alias("n"))
+    return part(t.documents, "document", "doc_id", "text").unionByName(part(t.benchmark, "benchmark", "item_id", "text")).unionByName(part(t.pages, "page", "page_id", "html"))
+
+
+@query("SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 500")
+def filter_options(t):
+    return t.events.select("event_type").distinct().orderBy("event_type").limit(500)
+
+
+@query("SELECT event_type, count(*) AS calls, round(sum(value), 2) AS tokens, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
+def tool_stats(t):
+    return t.events.groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("tokens"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+
+
+@query(f"SELECT count(*) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR) AS runs_day, count(*) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND event_type = 'error') AS failed_day, count(*) FILTER (WHERE event_type = 'error') AS failed, max(ts) AS last_run FROM events WHERE ts < TIMESTAMP '{NOW}'")
+def health_card(t):
+    now = F.lit(NOW).cast("timestamp_ntz")
+    day, failed = F.col("ts") >= now - F.expr("INTERVAL 24 HOURS"), F.col("event_type") == "error"
+    return t.events.where(F.col("ts") < now).agg(F.count_if(day).alias("runs_day"), F.count_if(day & failed).alias("failed_day"), F.count_if(failed).alias("failed"), F.max("ts").alias("last_run"))
+
+
+def _buckets(unit: str):
+    sql = f"SELECT date_trunc('{unit}', ts)::TIMESTAMP AS bucket, count(*) AS runs, count(*) FILTER (WHERE event_type = 'error') AS failed, round(sum(value), 2) AS tokens, max(ts) AS last_run FROM events GROUP BY 1"
+
+    def run(t):
+        rows = t.events.groupBy(F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("bucket"))
+        return rows.agg(F.count("*").alias("runs"), F.count_if(F.col("event_type") == "error").alias("failed"), F.round(F.sum("value"), 2).alias("tokens"), F.max("ts").alias("last_run"))
+
+    run.__name__ = f"run_buckets_{unit}"
+    return query(sql)(run)
+
+
+for _unit in ("minute", "hour", "day"):
+    _buckets(_unit)
+
+
+# -- sessions -------------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, min(turn) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS s FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4) WHERE turn >= s")
+def trailing_history(t):
+    return sessions.trailing_history(t.conversations, "conv_id", "turn", 4).select("conv_id", "turn", "role")
+
+
+_POS = "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations WHERE role IN ('user', 'assistant')"
+
+
+@query(f"SELECT conv_id, turn, position FROM ({_POS}) WHERE role <> CASE WHEN position % 2 = 0 THEN 'user' ELSE 'assistant' END OR coalesce(trim(text), '') = ''")
+def alternation_check(t):
+    return sessions.misplaced(t.conversations, "conv_id", "turn").select("conv_id", "turn", "position")
+
+
+@query(f"SELECT conv_id, position // 2 AS pair, max(text) FILTER (WHERE position % 2 = 0) AS question, max(text) FILTER (WHERE position % 2 = 1) AS answer FROM ({_POS}) GROUP BY 1, 2")
+def message_pairs(t):
+    return sessions.pairs(t.conversations, "conv_id", "turn")
+
+
+@query("SELECT conv_id, left(min_by(text, turn), 100) AS first_message, count(*) AS n_messages FROM conversations GROUP BY 1")
+def session_first_message(t):
+    return sessions.first_messages(t.conversations, "conv_id", "turn")
+
+
+@query("WITH s AS (SELECT user_id, ts, event_id, event_type = 'error' AS f, count(*) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events) SELECT user_id, arg_min(event_id, (ts, event_id)) AS first, arg_max(event_id, (ts, event_id)) AS last, count(*) AS length FROM s WHERE f GROUP BY user_id, g HAVING count(*) >= 2")
+def error_streaks(t):
+    return sessions.streaks(t.events, "user_id", ["ts", "event_id"], F.col("event_type") == "error", 2)
+
+
+# -- retrieval --------------------------------------------------------------------
+
+_VEC = "SELECT e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+_SOURCES = f"v AS ({_VEC}), b AS (SELECT label, max(score) AS best FROM v GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5), p AS (SELECT v.*, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS place FROM v SEMI JOIN b USING (label))"
+
+
+def _scored(t):
+    """Embeddings by likeness to vector 0; the label is the source."""
+    asked = t.embeddings.where("vec_id = 0").select("embedding").first()
+    vector = vectors.literal(asked[0]) if asked and asked[0] else F.lit(None).cast("array<double>")
+    return retrieval.vector_scores(t.embeddings, vector).select("vec_id", "label", "score")
+
+
+@query(f"{_VEC} ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk(t):
+    return retrieval.top(_scored(t), "vec_id", 10)
+
+
+@query(f"WITH {_SOURCES} SELECT vec_id, label, score, CAST(place AS INTEGER) AS place FROM p WHERE place <= 3")
+def vector_per_source(t):
+    return retrieval.per_source(_scored(t), "label", "vec_id", 3, 5).select("vec_id", "label", "score", "place")
+
+
+@query(f"WITH v AS ({_VEC}), p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r, max(score) OVER (PARTITION BY label) AS best FROM (SELECT * FROM v ORDER BY score DESC, vec_id LIMIT 200)) SELECT vec_id, label, score FROM p WHERE r <= 3 ORDER BY r <= 1 DESC, CASE WHEN r <= 1 THEN best END DESC NULLS LAST, score DESC, vec_id LIMIT 15")
+def source_limits(t):
+    return retrieval.source_limits(retrieval.top(_scored(t), "vec_id", 200), "label", "vec_id", 15, most=3, least=1)
+
+
+@query(f"WITH {_SOURCES}, m AS (SELECT vec_id, label, score FROM v ORDER BY score DESC, vec_id LIMIT 5), x AS (SELECT vec_id, label, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM p WHERE place <= 1 AND vec_id NOT IN (SELECT vec_id FROM m)) SELECT vec_id, label, score, false AS source_floor FROM m UNION ALL SELECT vec_id, label, round((SELECT min(score) FROM m) - 0.01 * r, 6), true FROM x")
+def floor_merge(t):
+    rows = _scored(t)
+    floor = retrieval.per_source(rows, "label", "vec_id", 1, 5).select("vec_id", "label", "score")
+    return retrieval.with_floor(retrieval.top(rows, "vec_id", 5), floor, "vec_id")
+
+
+_BM25 = r"""tok AS (SELECT doc_id, lang, source, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark WHERE item_id = 0),
+st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM tok),
+tf AS (SELECT doc_id, dl, t, count(*) AS f FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM tok) SEMI JOIN q USING (t) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+bm AS (SELECT doc_id, round(sum(ln(greatest(1, (n - df + 0.5) / (df + 0.5))) * f / (f + 1.5 * (0.25 + 0.75 * dl / a))), 6) AS score FROM tf JOIN df USING (t), st GROUP BY 1)"""
+
+
+def _bm25(t):
+    """Documents by the words of benchmark item 0."""
+    asked = t.benchmark.where("item_id = 0").select("text").first()
+    return retrieval.bm25(t.documents.select("doc_id", "lang", "source", "text"), "doc_id", "text", retrieval.query_terms(asked[0]) if asked and asked[0] else [])
+
+
+@query(f"WITH {_BM25} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10")
+def bm25_topk(t):
+    return retrieval.top(_bm25(t).select("doc_id", "score"), "doc_id", 10)
+
+
+@query(f"WITH {_BM25}, x AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 20)), y AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM ({_VEC} ORDER BY score DESC, e.vec_id LIMIT 20)) SELECT doc_id, round(coalesce(0.5 / (60 + y.r), 0) + coalesce(0.5 / (60 + x.r), 0), 6) AS score FROM x FULL JOIN y USING (doc_id)")
+def hybrid_rrf(t):
+    """A vector's id is taken as that of the document it embeds."""
+    near = retrieval.top(_scored(t).select(F.col("vec_id").alias("doc_id"), "score"), "doc_id", 20)
+    return retrieval.fused(near, retrieval.top(_bm25(t).select("doc_id", "score"), "doc_id", 20), "doc_id")
+
+
+_GROUPS = f"{_BM25}, g AS (SELECT doc_id, source, score, length(text) // 4 AS est, max(score) OVER (PARTITION BY source) AS best, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS r FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 50) JOIN documents USING (doc_id))"
+
+
+@query(f"WITH {_GROUPS} SELECT doc_id, source, score, best FROM g")
+def group_by_document(t):
+    return retrieval.by_document(retrieval.top(_bm25(t), "doc_id", 50), "doc_id", "source").select("doc_id", "source", "score", "best")
+
+
+@query(f"WITH {_GROUPS}, c AS (SELECT *, CAST(sum(est + CASE WHEN r = 1 THEN 20 ELSE 0 END) OVER (ORDER BY best DESC, source, score DESC, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM g) SELECT doc_id, running FROM c WHERE running <= 8000")
+def token_budget(t):
+    return retrieval.within_budget(retrieval.top(_bm25(t), "doc_id", 50), "doc_id", "source", "text", 8000, 20).select("doc_id", "running")
+
+
+_PAGES = "p AS (SELECT o_custkey, o_orderkey, unnest(range(day(o_orderdate), day(o_orderdate) + 3)) AS page FROM orders)"
+
+
+@query(f"WITH {_PAGES}, f AS (SELECT DISTINCT min(o_orderkey) AS o_orderkey FROM p GROUP BY o_custkey, page) SELECT o_orderkey, f.o_orderkey IS NOT NULL AS fresh FROM orders o LEFT JOIN f USING (o_orderkey)")
+def page_overlap(t):
+    """Orders are items of a customer's source; they cover the pages of their day and the two after."""
+    day = F.dayofmonth("o_orderdate")
+    return retrieval.fresh_pages(t.orders.select("o_custkey", "o_orderkey", F.sequence(day, day + 2).alias("pages")), "o_custkey", "o_orderkey", "pages")
+
+
+# -- structure ----------------------------------------------------------------------
+
+
+@query("SELECT doc_id, i::INTEGER AS chunk_index, (i * 1950)::INTEGER AS start, substring(text, i * 1950 + 1, 2000) AS text FROM (SELECT doc_id, text, unnest(range(greatest(1, ceil((length(text) - 50) / 1950)::BIGINT))) AS i FROM documents WHERE length(text) > 0)")
+def chunk_fixed(t):
+    return structure.chunks(t.documents, "doc_id", "text")
+
+
+@query("SELECT doc_id, i::INTEGER AS chunk_index, length(substring(text, i * 3800 + 1, 4000)) AS n FROM (SELECT doc_id, text, unnest(range(greatest(1, ceil((length(text) - 200) / 3800)::BIGINT))) AS i FROM documents WHERE length(text) > 0)")
+def sliding_windows(t):
+    return structure.chunks(t.documents, "doc_id", "text", 4000, 200).select("doc_id", "chunk_index", F.length("text").cast("long").alias("n"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents WHERE length(text) > 0),
+b AS (SELECT doc_id, page, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f, length(line) AS n FROM l),
+c AS (SELECT doc_id, i, i * 1950 AS s, i * 1950 + length(substring(text, i * 1950 + 1, 2000)) AS e FROM (SELECT doc_id, text, unnest(range(greatest(1, ceil((length(text) - 50) / 1950)::BIGINT))) AS i FROM documents WHERE length(text) > 0))
+SELECT doc_id, i::INTEGER AS chunk_index, page::INTEGER AS page FROM c JOIN b USING (doc_id) WHERE s < f + n AND e > f""")
+def chunk_pages(t):
+    """A line of a document is one of its pages."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "line"))
+    pages = lines.select("doc_id", (F.col("page") + 1).alias("page"), F.length("line").alias("n_chars"))
+    return structure.pages_of_chunks(pages, structure.chunks(t.documents, "doc_id", "text"), "doc_id")
+
+
+@query("SELECT vec_id, label, round(greatest(0, 1 - 0.02 * label - 0.05 * (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1))::DOUBLE, 6) AS score FROM embeddings")
+def tree_score(t):
+    """The label is the document's rank, nodes rank by id."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    return t.embeddings.select("vec_id", "label", F.round(structure.positional_score(F.col("label"), rank), 6).alias("score"))
+
+
+def _nodes(t):
+    """Parts as nodes of a tree: parent is the id div 10; references are id div 3 + 1 and id div 5 + 2."""
+    n = F.col("p_partkey")
+    parent = F.when(n >= 10, F.floor(n / 10).cast("long"))
+    return t.part.select(n.alias("node_id"), parent.alias("parent_id"), F.array(F.floor(n / 3) + 1, F.floor(n / 5) + 2).alias("refs"))
+
+
+_NODES = "n AS (SELECT p_partkey AS node_id, CASE WHEN p_partkey >= 10 THEN p_partkey // 10 END AS parent_id, [p_partkey // 3 + 1, p_partkey // 5 + 2] AS refs FROM part)"
+
+
+@query(f"WITH {_NODES}, r AS (SELECT DISTINCT node_id, parent_id, unnest(refs) AS ref FROM n) SELECT r.node_id, ref FROM r JOIN n k ON k.node_id = ref WHERE ref <> r.node_id AND ref IS DISTINCT FROM r.parent_id AND k.parent_id IS DISTINCT FROM r.node_id")
+def valid_references(t):
+    return structure.valid_references(_nodes(t))
+
+
+@query(f"""WITH {_NODES}, s AS (SELECT p_partkey AS node_id, round(1 - p_size / 100.0, 6)::DOUBLE AS score FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 5),
+m AS (SELECT min(score) AS m FROM s), x AS (SELECT DISTINCT unnest(refs) AS node_id FROM n SEMI JOIN s USING (node_id)),
+a AS (SELECT node_id FROM n SEMI JOIN x USING (node_id) WHERE node_id NOT IN (SELECT node_id FROM s)),
+c AS (SELECT node_id FROM n WHERE parent_id IN (SELECT node_id FROM a) AND node_id NOT IN (SELECT node_id FROM s UNION ALL SELECT node_id FROM a))
+SELECT node_id, score, 'seed' AS kind FROM s UNION ALL SELECT node_id, round(greatest(0, m - 0.01), 6), 'reference' FROM a, m UNION ALL SELECT node_id, round(greatest(0, m - 0.02), 6), 'child' FROM c, m""")
+def graph_expand(t):
+    """Seeds are the five dearest parts."""
+    seeds = t.part.orderBy(F.desc("p_retailprice"), "p_partkey").limit(5).select(F.col("p_partkey").alias("node_id"), F.round(1 - F.col("p_size") / 100, 6).alias("score"))
+    return structure.expanded(seeds, _nodes(t))
+
+
+@query("SELECT n_regionkey AS toc_id, string_agg(repeat('  ', d) || n_name, chr(10) ORDER BY n_nationkey) AS toc FROM (SELECT *, n_nationkey % 3 AS d FROM nation) GROUP BY 1")
+def toc_render(t):
+    """A region is a table of contents, its nations the entries, their depth the id mod 3."""
+    rows = t.nation.select(F.col("n_regionkey").alias("toc_id"), F.col("n_nationkey").alias("node_id"), (F.col("n_nationkey") % 3).alias("depth"), F.col("n_name").alias("title"))
+    return structure.rendered(rows, "toc_id")
+
+
+# -- state ----------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def upsert_latest(t):
+    return state.latest(t.events.select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+_RUNS = "r AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'indexing' WHEN 'F' THEN 'indexed' ELSE 'pending' END AS status, o_custkey AS owner, CAST(left(o_orderpriority, 1) AS INTEGER) AS attempts FROM orders)"
+
+
+def _runs(t):
+    """Orders as indexing runs: the customer owns them, the priority counts attempts."""
+    status = F.when(F.col("o_orderstatus") == "O", "indexing").when(F.col("o_orderstatus") == "F", "indexed").otherwise("pending")
+    return t.orders.select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_custkey").alias("owner"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("attempts"))
+
+
+@query(f"WITH {_RUNS} SELECT id, CASE WHEN status = 'indexing' AND c_custkey IS NULL THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE status END AS status FROM r LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON c_custkey = owner")
+def orphan_recovery(t):
+    """Owners with a balance above 0 are alive."""
+    return state.recovered(_runs(t), t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("owner"))).select("id", "status")
+
+
+@query(f"WITH {_RUNS} SELECT id, CASE WHEN status = 'pending' THEN 'indexing' ELSE status END AS status, attempts + CASE WHEN status = 'pending' THEN 1 ELSE 0 END AS attempts FROM r")
+def claim_pending(t):
+    return state.claimed(_runs(t).withColumn("owner", F.col("owner").cast("string")), "me").select("id", "status", "attempts")
+
+
+@query("SELECT coalesce(a.k, b.k) AS key, CASE WHEN b.k IS NULL THEN 'new' WHEN a.k IS NULL THEN 'stale' WHEN a.h IS NOT DISTINCT FROM b.h THEN 'unchanged' ELSE 'changed' END AS action FROM (SELECT c_custkey k, c_nationkey h FROM customer) a FULL JOIN (SELECT s_suppkey k, s_nationkey h FROM supplier) b ON a.k = b.k")
+def refresh_plan(t):
+    """Customers are found, suppliers known; the nation is the content."""
+    return state.refresh_plan(t.customer.select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("hash")), t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("hash")))
+
+
+@query("SELECT lang, CASE WHEN count(*) = 0 THEN NULL WHEN count(quality) = 0 THEN 'absent' WHEN count(quality) <> count(*) THEN 'stale' ELSE 'ready' END AS status FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def index_status(t):
+    """A language's index holds its labelled documents."""
+    n = t.documents.select("doc_id", "lang").join(t.labels.select("doc_id", "quality"), "doc_id", "left").groupBy("lang").agg(F.count("*").alias("now"), F.nullif(F.count("quality"), F.lit(0).cast("long")).alias("built"))
+    return n.select("lang", state.index_status(F.col("built"), F.col("now")).alias("status"))
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 2 AS accepted FROM events")
+def fixed_window_limit(t):
+    return state.fixed_window(t.events, "user_id", "ts", "event_id", 2, "day").select("event_id", "accepted")
+
+
+@query()
+def rate_limit(t):
+    """At most 2 events of a user in an hour; no SQL (each decision rests on those before it)."""
+    return state.sliding_window(t.events, "user_id", "ts", "event_id", 2, 3600)
