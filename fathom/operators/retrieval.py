@@ -8,6 +8,7 @@ query's terms enter as literals, never as joins.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,3 +131,8 @@ def fresh_pages(items: DataFrame, source: str, item: str, pages: str) -> DataFra
     shown = items.select(source, item, F.explode(pages).alias("page"))
     firsts = shown.groupBy(source, "page").agg(F.min(item).alias(item)).select(item).distinct().withColumn("_f", F.lit(True))
     return items.join(firsts, item, "left").select(item, (F.coalesce("_f", F.lit(False)) | (F.size(pages) == 0)).alias("fresh"))
+
+
+def merged(lists: list[DataFrame], item: str, k: int) -> DataFrame:
+    """Result lists of several knowledge bases as one, by raw score."""
+    return top(reduce(DataFrame.unionByName, lists), item, k)

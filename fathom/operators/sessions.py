@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,11 @@ def streaks(rows: DataFrame, key: str, order: list[str], failed, least: int) ->
     point = F.struct(*order)
     runs = seen.where("_f").groupBy(key, "_ok").agg(F.min(point)[order[-1]].alias("first"), F.max(point)[order[-1]].alias("last"), F.count("*").alias("length"))
     return runs.where(F.col("length") >= least).drop("_ok")
+
+
+def query_context(messages: DataFrame, session: str, turn: str, query: Column, weight: float, most: int = 6, chars: int = 500) -> DataFrame:
+    """(session, context): the query max(1, int(weight)) times, then the last messages, cut to `chars`, in order."""
+    newest = Window.partitionBy(session).orderBy(F.desc(turn))
+    last = messages.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most)
+    said = F.transform(F.array_sort(F.collect_list(F.struct(turn, F.left("text", F.lit(chars)).alias("said")))), lambda m: m["said"])
+    return last.groupBy(session).agg(F.concat_ws(" ", F.array_repeat(query, max(1, int(weight))), said).alias("context"))

@@ -87,3 +87,9 @@ def sliding_window(rows: DataFrame, key: str, at: str, order: str, limit: int, s
 def first_of_content(rows: DataFrame, item: str, content: Column) -> DataFrame:
     """(item, content_hash): the least item of each content."""
     return rows.groupBy(F.sha2(content.cast("binary"), 256).alias("content_hash")).agg(F.min(item).alias(item))
+
+
+def timed_out(rows: DataFrame, at: str, now: Column, minutes: int = 10) -> DataFrame:
+    """Runs indexing since more than so many minutes have failed."""
+    old = F.col(at) < now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    return rows.withColumn("status", F.when((F.col("status") == "indexing") & old, "failed").otherwise(F.col("status")))

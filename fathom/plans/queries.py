@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from fathom.functions import json, text, vectors
-from fathom.operators import retrieval, sessions, state, structure
-from fathom.sources.tables import Tables
+from fathom.operators import records, retrieval, sessions, sparse, state, structure
+from fathom.sources.tables import Tables, links
 
 #: name -> (query, SQL or None)
 _KNOWN: dict[str, tuple[Callable, str | None]] = {}
@@ -186,9 +186,10 @@ def filter_options(t):
     return t.events.select("event_type").distinct().orderBy("event_type").limit(500)
 
 
-@query("SELECT event_type, count(*) AS calls, round(sum(value), 2) AS tokens, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS calls, round(sum(value), 2) AS tokens, round(quantile_cont(round(value, 2), 0.95), 6) AS p95 FROM events GROUP BY 1")
 def tool_stats(t):
-    return t.events.groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("tokens"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    """p95 over values in hundredths, whose number bounds the state of a group."""
+    return t.events.groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("tokens"), F.round(F.percentile(F.round("value", 2), F.lit(0.95)), 6).alias("p95"))
 
 
 @query(f"SELECT count(*) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR) AS runs_day, count(*) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND event_type = 'error') AS failed_day, count(*) FILTER (WHERE event_type = 'error') AS failed, max(ts) AS last_run FROM events WHERE ts < TIMESTAMP '{NOW}'")
@@ -444,3 +445,152 @@ def fixed_window_limit(t):
 def rate_limit(t):
     """At most 2 events of a user in an hour; no SQL (each decision rests on those before it)."""
     return state.sliding_window(t.events, "user_id", "ts", "event_id", 2, 3600)
+
+
+# -- records --------------------------------------------------------------------------
+
+_CALLS = """c AS (SELECT event_id, unnest(CAST('[{"name":"' || event_type || '","ms":' || user_id || '},{"result":"Error: ' || event_type || '"}]' AS JSON[])) AS j, unnest([0, 1]) AS position FROM events),
+calls AS (SELECT event_id, position, coalesce(j->>'$.name', 'unknown') AS name, CASE WHEN lower(j->>'$.result') LIKE 'error%' THEN 'error' ELSE 'success' END AS status, coalesce(CAST(j->>'$.ms' AS INTEGER), 0) AS ms FROM c)"""
+
+
+def _calls(t):
+    """Every event tells of two calls: one named by its type, one without a name that failed."""
+    told = F.format_string('[{"name":"%s","ms":%d},{"result":"Error: %s"}]', "event_type", "user_id", "event_type")
+    return records.tool_calls(t.events.withColumn("calls", told), "event_id", "calls")
+
+
+@query(f"WITH {_CALLS} SELECT * FROM calls")
+def tool_call_explode(t):
+    return _calls(t)
+
+
+@query(f"WITH {_CALLS} SELECT name, count(*) AS calls, count(*) FILTER (WHERE status = 'error') AS errors, CAST(sum(ms) AS BIGINT) AS total_ms FROM calls GROUP BY 1")
+def tool_call_summary(t):
+    return records.call_summary(_calls(t), "name")
+
+
+@query("SELECT o_orderkey, o_custkey, (SELECT string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey) AS parts FROM orders")
+def child_rollup(t):
+    parts = records.children(t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "l_linenumber", "l_partkey", "parts")
+    return t.orders.select("o_orderkey", "o_custkey").join(parts, "o_orderkey", "left")
+
+
+@query("SELECT n_nationkey AS source, n_nationkey * 2 AS target FROM nation WHERE n_nationkey * 2 NOT IN (SELECT n_nationkey FROM nation)")
+def edge_integrity(t):
+    """Nations are blocks, each with an edge to twice its id."""
+    n = F.col("n_nationkey")
+    return records.dangling(t.nation.select(n.alias("source"), (n * 2).alias("target")), t.nation.select(n.alias("id")))
+
+
+@query("SELECT b.n_nationkey AS id, string_agg(a.n_name, ',' ORDER BY a.n_nationkey) AS inputs FROM nation b LEFT JOIN nation a ON a.n_nationkey * 2 = b.n_nationkey OR a.n_nationkey + 1 = b.n_nationkey GROUP BY 1")
+def block_upstream(t):
+    """Nations are blocks, each with an edge to twice its id and one to the next."""
+    n = F.col("n_nationkey")
+    ends = t.nation.select(n.alias("source"), n.alias("at"), "n_name", F.explode(F.array_distinct(F.array(n * 2, n + 1))).alias("id"))
+    return t.nation.select(n.alias("id")).join(records.children(ends, "id", "at", "n_name", "inputs"), "id", "left")
+
+
+@query("SELECT s_suppkey AS key, CASE WHEN s_acctbal >= 0 AND s_nationkey BETWEEN 3 AND 20 THEN s_nationkey ELSE 7 END AS value FROM supplier")
+def settings_overlay(t):
+    """Suppliers are settings with default 7; their nation is what is stored, a word if they owe money."""
+    stored = F.when(F.col("s_acctbal") >= 0, F.col("s_nationkey").cast("string")).otherwise("word")
+    return records.overlay(t.supplier.select(F.col("s_suppkey").alias("key"), F.lit(7).alias("default")), t.supplier.select(F.col("s_suppkey").alias("key"), stored.alias("text")), 3, 20)
+
+
+@query(f"SELECT user_id, max(ts) + INTERVAL 1 HOUR * (user_id % 24 + 1) <= TIMESTAMP '2024-01-30 12:00:00' AS due FROM events GROUP BY 1")
+def schedule_due(t):
+    """Users are schedules of 1 to 24 hours, last run at their last event."""
+    last = t.events.groupBy("user_id").agg(F.max("ts").alias("last"))
+    return last.select("user_id", records.due(F.col("last"), (F.col("user_id") % 24 + 1).cast("int"), F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")).alias("due"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'full' WHEN c_nationkey % 3 <> 0 THEN 'enrichment_only' ELSE 'none' END AS drift FROM customer")
+def config_drift(t):
+    """A customer's segment and nation mod 3 against BUILDING and 0; the latter is an enrichment setting."""
+    now = F.to_json(F.struct(F.col("c_mktsegment").alias("seg"), (F.col("c_nationkey") % 3).alias("enrich")))
+    return t.customer.select("c_custkey", records.drift(F.lit('{"enrich": 0, "seg": "BUILDING"}'), now, ["enrich"]).alias("drift"))
+
+
+@query("SELECT o_custkey, bool_or(o_orderstatus = 'P') AS all_pages, string_agg(DISTINCT day(o_orderdate), ',' ORDER BY day(o_orderdate)) FILTER (WHERE o_orderstatus <> 'P') AS pages FROM orders GROUP BY 1")
+def needed_pages(t):
+    """Orders are items on the page of their day; those of status P have no pages."""
+    items = t.orders.select("o_custkey", F.when(F.col("o_orderstatus") != "P", F.array(F.dayofmonth("o_orderdate"))).otherwise(F.array().cast("array<int>")).alias("pages"))
+    return records.needed_pages(items, "o_custkey", "pages").select("o_custkey", "all_pages", F.nullif(F.array_join("pages", ","), F.lit("")).alias("pages"))
+
+
+@query("""SELECT event_id, '{"k":"' || (props->>'$.k') || '"}' AS moved, '{}' AS rest FROM events""")
+def json_move_keys(t):
+    return t.events.select("event_id", F.to_json(json.only(F.col("props"), ["k"])).alias("moved"), F.to_json(json.without(F.col("props"), ["k"])).alias("rest"))
+
+
+@query("SELECT event_id, TRY_CAST(props->>'$.k' AS DOUBLE) AS k, CASE lower(event_type) WHEN 'view' THEN 'View' WHEN 'error' THEN 'ERROR' END AS kind FROM events")
+def enrich_validate(t):
+    return t.events.select("event_id", json.coerced(json.field(F.col("props"), "k"), "number").alias("k"), json.coerced(F.col("event_type"), "enum", ["View", "ERROR"]).alias("kind"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1997-01-01' - INTERVAL 10 MINUTE THEN 'failed' WHEN o_orderstatus = 'O' THEN 'indexing' ELSE 'indexed' END AS status FROM orders")
+def stale_runs(t):
+    runs = t.orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "indexing").otherwise("indexed").alias("status"), "o_orderdate")
+    return state.timed_out(runs, "o_orderdate", F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")).select("id", "status")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def status_donut(t):
+    return t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, count(*) AS items, count(quality) AS labelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def enrichment_error_counts(t):
+    rows = t.documents.select("doc_id", "lang").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    return rows.groupBy("lang").agg(F.count("*").alias("items"), F.count("quality").alias("labelled"))
+
+
+@query("SELECT doc_id, source, n_chars, toxic FROM documents JOIN labels USING (doc_id) WHERE quality = 1 ORDER BY n_chars DESC, doc_id LIMIT 50")
+def indexed_source_list(t):
+    rows = t.documents.select("doc_id", "source", "n_chars").join(t.labels.where("quality = 1").select("doc_id", "toxic"), "doc_id")
+    return rows.orderBy(F.desc("n_chars"), "doc_id").limit(50)
+
+
+@query("SELECT doc_id, 'Document: ' || lang || ' | Section: ' || source || ' | Pages: 1-' || (2 + doc_id % 5) AS note FROM documents")
+def annotation(t):
+    pages = F.sequence(F.lit(1).cast("long"), F.col("doc_id") % 5 + 2)
+    return t.documents.select("doc_id", text.annotation(F.col("source"), pages, F.col("lang")).alias("note"))
+
+
+@query("SELECT conv_id, 'what now what now ' || string_agg(left(text, 500), ' ' ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6 GROUP BY 1")
+def query_context(t):
+    """The query twice, then the last six messages, each to 500 characters."""
+    return sessions.query_context(t.conversations, "conv_id", "turn", F.lit("what now"), 2.0)
+
+
+@query(r"""WITH r AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) AS o, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#]+)', 1)) AS h FROM pages),
+l AS (SELECT DISTINCT page_id, CASE WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN starts_with(h, '/') THEN o || h ELSE o || '/' || h END AS link FROM r) SELECT * FROM l WHERE regexp_matches(link, '^https?://')""")
+def link_extract(t):
+    return links(t.pages).select("page_id", "link")
+
+
+@query(f"WITH {_BM25} SELECT t AS term, df FROM df")
+def doc_freqs(t):
+    asked = t.benchmark.where("item_id = 0").select("text").first()
+    wanted = retrieval.query_terms(asked[0]) if asked and asked[0] else []
+    hits = F.array_distinct(F.filter(text.tokens(F.col("text")), lambda w: w.isin(wanted)))
+    return t.documents.select(F.explode(hits).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id AS item, score FROM bm ORDER BY score DESC, doc_id LIMIT 10")
+def sparse_index_search(t):
+    """Builds the postings of all documents, then searches them."""
+    asked = t.benchmark.where("item_id = 0").select("text").first()
+    return sparse.search(sparse.postings(t.documents, "doc_id", "text"), retrieval.query_terms(asked[0]) if asked and asked[0] else [], 10)
+
+
+_KB_BM25 = _BM25.replace("count(*) AS n, avg(len(w)) AS a FROM tok", "lang, count(*) AS n, avg(len(w)) AS a FROM tok GROUP BY 1").replace("SELECT doc_id, dl, t, count(*) AS f FROM (SELECT doc_id, len(w)", "SELECT doc_id, lang, dl, t, count(*) AS f FROM (SELECT doc_id, lang, len(w)").replace("SELECT t, count(*) AS df FROM tf GROUP BY 1", "SELECT lang, t, count(*) AS df FROM tf GROUP BY 1, 2").replace("FROM tf JOIN df USING (t), st GROUP BY 1", "FROM tf JOIN df USING (t, lang) JOIN st USING (lang) WHERE lang IN ('en', 'fr', 'de', 'es') GROUP BY 1")
+
+
+@query(f"WITH {_KB_BM25} SELECT doc_id, lang, score FROM bm JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10")
+def multi_kb_merge(t):
+    """The four languages are knowledge bases, each with statistics of its own; their lists merge by raw score."""
+    asked = t.benchmark.where("item_id = 0").select("text").first()
+    terms = retrieval.query_terms(asked[0]) if asked and asked[0] else []
+    each = [retrieval.top(retrieval.bm25(t.documents.select("doc_id", "lang", "text").where(F.col("lang") == kb), "doc_id", "text", terms).select("doc_id", "lang", "score"), "doc_id", 10) for kb in ("en", "fr", "de", "es")]
+    return retrieval.merged(each, "doc_id", 10)
