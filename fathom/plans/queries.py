@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from fathom.functions import json, text, vectors
-from fathom.operators import records, retrieval, sessions, sparse, state, structure
+from fathom.operators import listings, records, retrieval, runs, sessions, sparse, state, structure
+from fathom.sources import sinks
 from fathom.sources.tables import Tables, links
 
 #: name -> (query, SQL or None)
@@ -594,3 +595,311 @@ def multi_kb_merge(t):
     terms = retrieval.query_terms(asked[0]) if asked and asked[0] else []
     each = [retrieval.top(retrieval.bm25(t.documents.select("doc_id", "lang", "text").where(F.col("lang") == kb), "doc_id", "text", terms).select("doc_id", "lang", "score"), "doc_id", 10) for kb in ("en", "fr", "de", "es")]
     return retrieval.merged(each, "doc_id", 10)
+
+
+# -- runs ------------------------------------------------------------------------------
+
+_SPOKEN = "m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, coalesce(text, '') AS text FROM conversations WHERE role IN ('user', 'assistant'))"
+
+
+def _dialogues(t):
+    """Pairs of messages as runs: the question is the input array, the answer the content of even runs and the output array of odd ones; a multiple of 3 is not completed."""
+    pair = sessions.pairs(t.conversations, "conv_id", "turn")
+    one = lambda role, c: F.to_json(F.array(F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))))
+    there = F.col("answer").isNotNull()
+    return pair.select("conv_id", "pair", one("user", "question").alias("input_messages"), F.when(there, one("assistant", "answer")).alias("output_messages"), F.when(F.col("pair") % 2 == 0, F.col("answer")).alias("content"), F.when(F.col("pair") % 3 == 0, "failed").otherwise("completed").alias("status"))
+
+
+@query(f"WITH {_SPOKEN} SELECT conv_id, CAST(p // 2 AS BIGINT) AS pair, CAST(p % 2 AS INTEGER) AS position, CASE p % 2 WHEN 0 THEN 'user' ELSE 'assistant' END AS role, text AS content FROM m")
+def chat_messages(t):
+    return runs.chat_messages(_dialogues(t), ["conv_id", "pair"])
+
+
+@query(rf"WITH {_SPOKEN} SELECT conv_id, CAST(p // 2 AS BIGINT) AS pair, CAST(p % 2 AS INTEGER) AS position, CASE p % 2 WHEN 0 THEN 'user' ELSE 'assistant' END AS role, trim(regexp_replace(text, '\s*\[\d+\]', '', 'g')) AS content FROM m WHERE (p // 2) % 3 <> 0")
+def model_history(t):
+    return runs.model_history(_dialogues(t), ["conv_id", "pair"])
+
+
+@query("SELECT o_orderkey, (SELECT string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey) AS calls, (SELECT string_agg(DISTINCT l_suppkey, ',' ORDER BY l_suppkey) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS cited FROM orders")
+def run_hydration(t):
+    """Orders are runs, their lines the calls; suppliers of returned lines are cited."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    calls = lines.select("o_orderkey", F.col("l_linenumber").alias("order"), F.col("l_partkey").alias("value"))
+    cited = lines.where("l_returnflag = 'R'").select("o_orderkey", F.col("l_suppkey").alias("order"), F.col("l_suppkey").alias("value")).distinct()
+    rows = runs.hydrated(t.orders.select("o_orderkey"), "o_orderkey", calls=calls, cited=cited)
+    shown = lambda c: F.nullif(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit("")).alias(c)
+    return rows.select("o_orderkey", shown("calls"), shown("cited"))
+
+
+@query("SELECT r_regionkey, r_name, string_agg(s_suppkey, ',' ORDER BY n_nationkey, s_suppkey) AS calls FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2")
+def parent_call_rollup(t):
+    """Regions are parent runs, nations their child runs, suppliers the calls of a child."""
+    own = t.nation.select(F.col("n_regionkey").alias("r_regionkey"), F.col("n_nationkey").alias("nation"))
+    calls = t.supplier.select(F.col("s_nationkey").alias("nation"), "s_suppkey").join(own, "nation")
+    listed = calls.select("r_regionkey", F.struct("nation", "s_suppkey").alias("order"), F.col("s_suppkey").alias("value"))
+    rows = runs.hydrated(t.region.select("r_regionkey", "r_name"), "r_regionkey", calls=listed)
+    return rows.select("r_regionkey", "r_name", F.nullif(F.array_join(F.transform("calls", lambda x: x.cast("string")), ","), F.lit("")).alias("calls"))
+
+
+@query("SELECT conv_id, count(*) AS run_count, min_by(text, turn) FILTER (WHERE text <> '') AS first_message, max(turn) AS last_activity FROM conversations WHERE role = 'user' GROUP BY 1")
+def session_overview(t):
+    return runs.overview(t.conversations.where("role = 'user'"), "conv_id", "turn", "text")
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant' AND text <> '') AS summary FROM conversations GROUP BY 1")
+def reasoning_summary(t):
+    """What the assistant says are the reasoning events of a conversation."""
+    kind = F.when(F.col("role") == "assistant", "reasoning").otherwise("other")
+    events = F.array_sort(F.collect_list(F.struct("turn", kind.alias("type"), F.col("text").alias("content"))))
+    return t.conversations.groupBy("conv_id").agg(events.alias("events")).select("conv_id", runs.reasoning_summary(F.col("events")).alias("summary"))
+
+
+@query("SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'O') AS final, arg_max(o_orderstatus, o_orderkey) FILTER (WHERE o_orderstatus <> 'O') AS last_output FROM orders GROUP BY 1")
+def final_output(t):
+    """Orders are a customer's blocks; urgent ones respond, open ones have no output."""
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "response").otherwise("agent")
+    blocks = t.orders.select("o_custkey", "o_orderkey", kind.alias("type"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("output"))
+    return runs.final_output(blocks, "o_custkey", "o_orderkey")
+
+
+@query(f"WITH {_SPOKEN} SELECT conv_id, p AS position, epoch_us(TIMESTAMP '{NOW}' + INTERVAL 1 MICROSECOND * p) AS at_us FROM m")
+def message_times(t):
+    rows = sessions.numbered(t.conversations, "conv_id", "turn")
+    at = runs.staggered(F.lit(NOW).cast("timestamp"), F.col("position"))
+    return rows.select("conv_id", "position", F.unix_micros(at).alias("at_us"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND length(text) > 500 THEN left(text, 500) || chr(10) || chr(10) || '[... full text in storage]' ELSE text END AS text FROM documents")
+def light_context(t):
+    """Even documents are stored whole elsewhere."""
+    kind, path = F.when(F.col("doc_id") % 2 == 0, "full_document").otherwise("chunk"), F.concat(F.lit("kb/"), F.col("doc_id").cast("string"))
+    return t.documents.select("doc_id", runs.light_text(kind, path, F.col("text")).alias("text"))
+
+
+@query("SELECT b.item_id AS position, CASE WHEN b.item_id % 3 = 2 THEN NULL ELSE b.text END AS text FROM benchmark b WHERE b.item_id % 3 = 0 UNION ALL SELECT b.item_id, d.text FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 40 WHERE b.item_id % 3 = 1")
+def resolved_items(t):
+    """Benchmark items ask: every third by its own text, the next for the document of 40 times its id, the last for nothing."""
+    n = F.col("item_id")
+    asked = t.benchmark.select(n.alias("position"), F.when(n % 3 == 1, n * 40).alias("item"), F.when(n % 3 == 0, F.col("text")).alias("text"))
+    return runs.resolved_items(asked, t.documents.select(F.col("doc_id").alias("item"), "text")).select("position", "text")
+
+
+@query("SELECT c_custkey, CASE WHEN s_suppkey IS NULL THEN c_nationkey ELSE s_nationkey END AS c_nationkey, CASE WHEN s_acctbal >= 0 THEN s_acctbal ELSE c_acctbal END AS c_acctbal FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def partial_update(t):
+    """Suppliers are updates of the customers of the same number; a negative balance is not given."""
+    new = t.supplier.select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("c_acctbal"))
+    return runs.patched(t.customer.select("c_custkey", "c_nationkey", "c_acctbal"), new, "c_custkey")
+
+
+@query("SELECT c_nationkey AS parent, c_custkey AS child FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT s_nationkey, s_suppkey FROM supplier WHERE s_acctbal < 0")
+def replace_children(t):
+    """Customers are a nation's children; suppliers in debt replace them."""
+    old = t.customer.select(F.col("c_nationkey").alias("parent"), F.col("c_custkey").alias("child"))
+    return runs.replaced(old, t.supplier.where("s_acctbal < 0").select(F.col("s_nationkey").alias("parent"), F.col("s_suppkey").alias("child")), "parent")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' AND o_custkey % 2 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'indexed' ELSE 'stale' END WHEN o_orderstatus = 'O' THEN 'enriching' ELSE 'done' END AS status FROM orders")
+def reenrich_complete(t):
+    """Open orders are being enriched, those of even customers by us; every third has no earlier status."""
+    open_ = F.col("o_orderstatus") == "O"
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.when(open_, "enriching").otherwise("done").alias("status"), F.when(F.col("o_custkey") % 2 == 0, "me").otherwise("other").alias("owner"), F.when(F.col("o_orderkey") % 3 != 0, "stale").alias("prior"))
+    return runs.restored(rows, "me").select("id", "status")
+
+
+# -- look-ups and listings ----------------------------------------------------------------
+
+
+@query("SELECT doc_id, n_chars, count(*) OVER () AS total_count FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET 50")
+def page_with_total(t):
+    rows = t.documents.select("doc_id", "n_chars").join(t.labels.select("doc_id"), "doc_id", "left_anti")
+    return listings.page_with_total(rows, [F.desc("n_chars"), "doc_id"], 50, 50)
+
+
+@query("SELECT event_id, user_id, coalesce(s_name, '') AS source_name FROM events LEFT JOIN supplier ON s_suppkey = user_id")
+def cited_sources(t):
+    """Events cite the supplier of the user's number; unknown ones have an empty name."""
+    names = t.supplier.select(F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("source_name"))
+    return listings.filled(t.events.select("event_id", "user_id"), names, "user_id", ["source_name"]).fillna("", ["source_name"])
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_type = 'view' THEN 'own' END, s_name, 'user ' || user_id) AS agent FROM events LEFT JOIN supplier ON s_suppkey = user_id")
+def session_identity(t):
+    """Views name their agent, others get the supplier's name, else the user's number."""
+    rows = t.events.select("event_id", "user_id", F.when(F.col("event_type") == "view", "own").alias("agent"))
+    found = listings.filled(rows, t.supplier.select(F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("agent")), "user_id", ["agent"])
+    return found.select("event_id", F.coalesce("agent", F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("agent"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE r_name END AS title, r_name AS doc_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def node_backfill(t):
+    """Nations are nodes; odd ones lack a title and take the region's."""
+    nodes = t.nation.select("n_nationkey", "n_regionkey", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("title"))
+    toc = t.region.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("title"), F.col("r_name").alias("doc_name"))
+    return listings.filled(nodes, toc, "n_regionkey", ["title", "doc_name"]).drop("n_regionkey")
+
+
+@query(f"WITH {_NODES} SELECT p.node_id AS node, c.node_id AS child FROM n p JOIN n c ON c.parent_id = p.node_id")
+def node_children(t):
+    nodes = _nodes(t).select(F.lit(0).alias("tree"), F.col("node_id").alias("node"), "parent_id")
+    return listings.children_of(nodes, "tree", "node", "parent_id").drop("tree")
+
+
+@query("SELECT n_nationkey, n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS sources, (SELECT string_agg(s_name, ',' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS names FROM nation")
+def agent_kb_overview(t):
+    """Nations are knowledge bases, their suppliers the indexed sources."""
+    held = t.supplier.select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("order"), F.col("s_name").alias("value"))
+    rows = runs.hydrated(t.nation.select("n_nationkey", "n_name"), "n_nationkey", names=held)
+    return rows.select("n_nationkey", "n_name", F.size("names").cast("long").alias("sources"), F.nullif(F.array_join("names", ","), F.lit("")).alias("names"))
+
+
+@query("SELECT n_nationkey, (SELECT max(o_orderdate) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = n_nationkey) AS last_activity FROM nation")
+def orchestration_activity(t):
+    """Orders are summed by customer before they meet the customers."""
+    last = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("at"))
+    by = t.customer.select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(last, "c_custkey").groupBy("n_nationkey").agg(F.max("at").alias("last_activity"))
+    return t.nation.select("n_nationkey").join(by, "n_nationkey", "left")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 99 ELSE c_nationkey END AS nation FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def usage_backfill(t):
+    """Finished orders hold a nation already; the customer's fills the rest."""
+    rows = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "F", F.lit(99)).alias("nation"))
+    return listings.filled(rows, t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation")), "o_custkey", ["nation"]).drop("o_custkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_orderkey, l_linenumber) IN ((1, 1), (2, 1), (3, 2), (5, 9))")
+def pair_lookup(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    return listings.in_pairs(rows, ["l_orderkey", "l_linenumber"], [1, 2, 3, 5], [1, 1, 2, 9])
+
+
+@query("SELECT n_nationkey AS s_nationkey, CAST(n_nationkey * 2 + 1 AS BIGINT) AS s_suppkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n_nationkey AND s.s_suppkey = n_nationkey * 2 + 1)")
+def kb_violations(t):
+    """Each nation asks for the supplier of twice its number and one, which must be its own."""
+    n = F.col("n_nationkey")
+    return listings.unknown_pairs(t.nation.select(n.alias("s_nationkey"), (n * 2 + 1).cast("long").alias("s_suppkey")), t.supplier, ["s_nationkey", "s_suppkey"])
+
+
+@query("SELECT lang, count(*) AS retrieved, count(*) FILTER (WHERE n_chars <= 1000) AS included, count(*) FILTER (WHERE n_chars > 1000) AS dropped, CAST(coalesce(sum(length(text) // 4) FILTER (WHERE n_chars <= 1000), 0) AS BIGINT) AS tokens FROM documents GROUP BY 1")
+def retrieval_figures(t):
+    return listings.retrieval_figures(t.documents, "lang", "text", F.coalesce(F.col("n_chars") <= 1000, F.lit(False)))
+
+
+@query("SELECT doc_id, quality, n_chars FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality NULLS LAST, doc_id LIMIT 25 OFFSET 10")
+def chunk_inspector(t):
+    rows = t.documents.select("doc_id", "n_chars").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    return rows.orderBy(F.asc_nulls_last("quality"), "doc_id").offset(10).limit(25)
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'view' AND props->>'$.k' = '7' ORDER BY event_id LIMIT 1")
+def webhook_lookup(t):
+    rows = t.events.where((F.col("event_type") == "view") & json.matches(F.col("props"), {"k": 7}))
+    return rows.select("event_id", "user_id").orderBy("event_id").limit(1)
+
+
+@query("SELECT doc_id, source, 'document' AS kind FROM documents WHERE source IN ('src0', 'src3') UNION ALL SELECT vec_id, 'src' || label, 'vector' FROM embeddings WHERE label IN (0, 3)")
+def items_by_source(t):
+    """Documents and vectors are the items of two strategies, each from a table of its own."""
+    docs = t.documents.where(F.col("source").isin("src0", "src3")).select("doc_id", "source", F.lit("document").alias("kind"))
+    vectors_ = t.embeddings.where(F.col("label").isin(0, 3)).select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("src"), F.col("label").cast("string")).alias("source"), F.lit("vector").alias("kind"))
+    return docs.unionByName(vectors_)
+
+
+@query("SELECT doc_id, source AS source_name, CASE WHEN quality IS NULL THEN NULL WHEN doc_id % 2 = 0 THEN 'kept' ELSE 'label ' || quality END AS summary FROM documents LEFT JOIN labels USING (doc_id)")
+def source_backfill(t):
+    """Labels are summaries of the documents; even labelled documents have one of their own."""
+    marked = t.labels.select("doc_id", F.concat(F.lit("label "), F.col("quality").cast("string")).alias("summary"))
+    own = t.documents.select("doc_id", F.col("source").alias("source_name"))
+    kept = own.join(t.labels.select("doc_id", F.lit(1).alias("_l")), "doc_id", "left").withColumn("summary", F.when((F.col("doc_id") % 2 == 0) & F.col("_l").isNotNull(), "kept")).drop("_l")
+    return listings.filled(kept, marked, "doc_id", ["summary"])
+
+
+@query("""SELECT doc_id, CASE WHEN toxic = 0 THEN '{"quality":' || quality || '}' END AS vals, CASE WHEN toxic = 1 THEN 'toxic' END AS error FROM labels""")
+def enrichment_results(t):
+    """Labels are enrichments; those of toxic documents failed."""
+    good = F.col("toxic") == 0
+    return t.labels.select("doc_id", F.when(good, json.packed(quality=F.col("quality"))).alias("vals"), F.when(F.col("toxic") == 1, "toxic").alias("error"))
+
+
+@query("SELECT user_id, count(*) AS n, max(ts) AS last_at FROM events GROUP BY 1 HAVING count(*) BETWEEN 60 AND 80")
+def sessions_by_size(t):
+    rows = t.events.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_at"))
+    return rows.where(F.col("n").between(60, 80))
+
+
+@query("SELECT count(*) AS sessions FROM (SELECT user_id FROM events GROUP BY 1 HAVING count(*) BETWEEN 60 AND 80)")
+def sessions_counted(t):
+    return t.events.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n").between(60, 80)).agg(F.count("*").alias("sessions"))
+
+
+@query("SELECT l_returnflag, round(avg(n), 6) AS avg_calls FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def avg_calls(t):
+    """The mean length of arrays: lines of an order by flag."""
+    per = t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"))
+    return per.groupBy("l_returnflag").agg(F.round(F.avg("n"), 6).alias("avg_calls"))
+
+
+@query("SELECT vec_id, label, round(greatest(0, 1 - 0.02 * label - 0.05 * (vec_id % 7))::DOUBLE, 6) AS score FROM (SELECT vec_id, label FROM embeddings ORDER BY label DESC, vec_id LIMIT 40) ORDER BY score DESC, vec_id LIMIT 10")
+def tree_selection(t):
+    """Forty nodes of the last labels are a model's choice; the label ranks documents, the id mod 7 nodes."""
+    chosen = t.embeddings.select("vec_id", "label").orderBy(F.desc("label"), "vec_id").limit(40).select("vec_id", F.col("label").alias("document_rank"), (F.col("vec_id") % 7).alias("rank"))
+    return listings.selected_nodes(chosen, t.embeddings.select("vec_id", "label"), "vec_id", 10).select("vec_id", "label", "score")
+
+
+_POOL = "SELECT doc_id, lang, text, round(n_chars / 20000.0, 6)::DOUBLE AS score FROM documents ORDER BY score DESC, doc_id LIMIT 40"
+
+
+def _pool(t):
+    """The forty longest documents, scored by length, are a result list."""
+    return t.documents.select("doc_id", "lang", "text", F.round(F.col("n_chars") / 20000, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(40)
+
+
+@query(f"SELECT doc_id, score FROM ({_POOL}) ORDER BY CASE WHEN lang <> 'en' THEN doc_id % 5 END DESC NULLS LAST, score DESC, doc_id LIMIT 10")
+def rerank(t):
+    """A scorer that knows no English."""
+    scorer = lambda rows: rows.where("lang <> 'en'").select("doc_id", (F.col("doc_id") % 5).alias("new_score"))
+    return listings.reranked(_pool(t), "doc_id", 10, scorer).select("doc_id", "score")
+
+
+@query(f"SELECT lang, max(score) AS best, '## ' || lang || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY score DESC, doc_id) AS context FROM ({_POOL}) GROUP BY lang")
+def context_text(t):
+    return listings.context_text(_pool(t), "lang", "doc_id", F.concat(F.lit("## "), F.col("lang")), "text")
+
+
+# -- sinks --------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, left(text, 500) AS args_preview, left(r, 500) AS result_preview, CASE WHEN starts_with(r, 'Error') THEN 'error' ELSE 'success' END AS status, CASE WHEN starts_with(r, 'Error') THEN left(r, 1000) END AS error FROM (SELECT *, CASE WHEN role = 'assistant' THEN 'Error: ' || text ELSE 'Fine: ' || text END AS r FROM conversations)")
+def call_ledger(t):
+    """Messages are calls; the assistant's fail."""
+    result = F.concat(F.when(F.col("role") == "assistant", "Error: ").otherwise("Fine: "), F.col("text"))
+    return sinks.call_ledger(t.conversations.select("conv_id", "turn", "role", "text"), F.col("text"), result).drop("role", "text")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2")
+def insert_absent(t):
+    """Events are citations by user and type; those of a supplier's number are there already."""
+    kinds = t.events.select("event_type").distinct()
+    old = t.supplier.select(F.col("s_suppkey").alias("user_id")).crossJoin(F.broadcast(kinds))  # five kinds
+    return sinks.inserted_absent(old, t.events.select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT vec_id AS item_id, 'a' AS model, CASE WHEN vec_id % 2 = 1 THEN label + 100 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id, 'b', label + 100 FROM embeddings WHERE vec_id % 2 = 1")
+def vector_upsert(t):
+    """Every vector is stored for model a; odd ones come again, for both models."""
+    rows = t.embeddings.select(F.col("vec_id").alias("item_id"), F.lit("a").alias("model"), "label")
+    odd = rows.where("item_id % 2 = 1").withColumn("label", F.col("label") + 100)
+    return sinks.upserted_vectors(rows, odd.unionByName(odd.withColumn("model", F.lit("b"))))
+
+
+@query("SELECT doc_id AS item_id, 'kb' AS knowledge_base_id, source AS source_id, CAST(length(text) AS INTEGER) AS n_chars, 'store/' || source || '/full_text.txt' AS full_text_path FROM documents")
+def document_store(t):
+    return sinks.document_rows(t.documents.select(F.col("doc_id").alias("item_id"), F.col("source").alias("source_id"), "text"), "kb", "store")[0]
+
+
+@query("SELECT n_nationkey, n_name, CASE WHEN n_regionkey = 2 THEN 9 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 25, 'ATLANTIS', NULL")
+def structured_write(t):
+    """An insert, an update and a delete on the nations."""
+    rows = sinks.written(t.nation, "insert", {"n_nationkey": 25, "n_name": "ATLANTIS"})
+    rows = sinks.written(rows, "update", {"n_regionkey": 9}, {"n_regionkey": 2})
+    return sinks.written(rows, "delete", where={"n_nationkey": 3})
