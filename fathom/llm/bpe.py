@@ -31,8 +31,21 @@ from pyspark.sql import DataFrame
 
 from .common import ship
 
-#: The byte-level split, for any text.
+#: Code points that are unassigned up to Unicode 16, whose classes the tokenizers library knows, and
+#: that the regex module takes for letters or numbers. Ranges of hexadecimal code points.
+LATER = """
+558-558 58B-58C 88F-88F C5C-C5C CDC-CDC 208F-208F 209D-209F A7CE-A7CF A7D2-A7D2 A7D4-A7D4 A7DD-A7DD A7E2-A7E2 A7F1-A7F1 AB6C-AB6D
+107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A-11B0A 11DB0-11DDB 11DE0-11DE9 11DF1-11DF1 1246F-1246F 12475-1247F 12550-12686
+16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168-1B168
+1D6A6-1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF
+2B73A-2B73F 2B81E-2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+_LATER = "[" + "".join(rf"\U{int(a, 16):08x}-\U{int(b, 16):08x}" for a, b in (r.split("-") for r in LATER.split())) + "]"
+_later = re.compile(_LATER)
+#: The byte-level split, for texts without code points of LATER.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same for any text: code points of LATER are neither letters nor numbers.
+_EXACT = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--{_LATER}]+| ?[\p{{N}}--{_LATER}]+| ?[[^\s\p{{L}}\p{{N}}]||{_LATER}]+|\s+(?!\S)|\s+")
 #: The same over characters for which the standard library's classes agree with it.
 _PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _OTHER = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-©«-±¶-¸»¿-ſ‐-‧€]")
@@ -41,7 +54,10 @@ WORDS, ARCS = 300_000, 1_000_000
 
 
 def split_words(text: str) -> list[str]:
-    return (PATTERN if _OTHER.search(text) else _PLAIN).findall(text)
+    other = _OTHER.search(text)
+    if not other:
+        return _PLAIN.findall(text)
+    return (_EXACT if _later.search(text, other.start()) else PATTERN).findall(text)
 
 
 def byte_symbols() -> dict[str, int]:

@@ -14,6 +14,20 @@ def test_bpe_equals_tokenizers():
         assert ours.decode(ours.encode(text)) == theirs.decode(ids, skip_special_tokens=False)
 
 
+def test_words_split_alike_around_every_code_point():
+    """A letter, a digit and a mark before each code point tell its class; blanks are told by the mark before them."""
+    theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)]]
+    for lo in range(0, len(points), 20_000):
+        text = "".join(f"a{c}1{c}!{c}" for c in points[lo : lo + 20_000])
+        ends = [b for _, (_, b) in theirs.pre_tokenize_str(text)]
+        at, ours = 0, []
+        for word in bpe.split_words(text):
+            at += len(word)
+            ours.append(at)
+        assert ours == ends
+
+
 def test_linked_sets_share_a_route():
     rng = np.random.default_rng(3)
     none = (np.empty(0, np.uint64), np.empty(0, np.int64))
