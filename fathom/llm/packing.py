@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,15 +28,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import PATTERN, byte_symbols
+from .bpe import PATTERN, byte_symbols, codec
 from .common import ship
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ENCODERS: dict[str, object] = {}
+#: Runs of white space that the encoder's splitter, which needs stack for each blank, is not given.
+_BLANKS = re.compile(r"\s{10000}")
 
 
 def encoder(path: str):
-    """text -> 32-bit ids of the tokenizers file at `path`. One a process; special tokens in a text keep their own id."""
+    """text -> 32-bit ids of the tokenizers file at `path`. One a process; special tokens in a text keep their own id.
+
+    Texts with very long runs of white space are split and encoded by the tokenization automaton instead, to the same ids.
+    """
     if path not in _ENCODERS:
         import tiktoken
 
@@ -47,6 +53,8 @@ def encoder(path: str):
         encoding = tiktoken.Encoding("file", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens=special)
 
         def encode(text: str) -> np.ndarray:
+            if _BLANKS.search(text):
+                return np.array(codec(path).encode(text).split(","), np.uint32)
             return encoding.encode_to_numpy(text, allowed_special="all")
 
         _ENCODERS[path] = encode

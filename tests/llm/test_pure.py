@@ -28,6 +28,15 @@ def test_words_split_alike_around_every_code_point():
         assert ours == ends
 
 
+def test_packing_encodes_as_tokenizers():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    theirs, ours = Tokenizer.from_file(path), packing.encoder(path)
+    blanks = " \n\t" * 400_000
+    unassigned = "".join(f"a{chr(c)}1{chr(c)}!{chr(c)}" for c in (0x558, 0x88F, 0x11DB0, 0x323B0, 0x3FC3F))
+    for text in ["", "it's 12  x", blanks, blanks + "y", f"a\u3000{blanks} b<|endoftext|>{blanks}", "ab" * 200_000, "!" * 300_000, unassigned]:
+        assert ours(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
 def test_linked_sets_share_a_route():
     rng = np.random.default_rng(3)
     none = (np.empty(0, np.uint64), np.empty(0, np.int64))
