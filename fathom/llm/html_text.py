@@ -10,8 +10,9 @@ fuses text length and punctuation. Blocks, in page order, get their path's ratio
 their neighbours (1/4, 1/2, 1/4); paths whose blocks are on average at least
 `strength` standard deviations high select the content nodes. Elements that
 are never main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments, hidden ones) can't be selected. The content's element is found from the root down, following the
-child with most of the selected text, and its blocks are the result.
+comments, hidden ones) can't be selected. All blocks of the selected paths are the result, wherever they stand, with
+the lesser blocks between them. The content's element, found from the root down by following the child with most of
+the selected text, only decides on the lesser blocks before and after.
 """
 
 from __future__ import annotations
@@ -198,11 +199,40 @@ def main_text(page: str | None, strength: float = 0.5) -> str:
             b.element.mass += len(b.text) - b.linked
     for e in reversed(elements[1:]):
         e.parent.mass += e.mass
-    home = _home(elements)
-    for e in elements:
-        e.inside = e is home or (e.parent is not None and e.parent.inside)
+    return "\n".join(b.text for b, k in zip(found, _kept(found, chosen, _home(elements))) if k)
+
+
+def _kept(found: list[Block], chosen: list[bool], home: Element) -> list[bool]:
+    """The chosen blocks; of the others those between them, those in the content's element and headings right before a kept block.
+
+    Blocks that are mostly links need both. Elements that are never main text have none.
+    """
+    e, above = home, set()
+    while e is not None:
+        above.add(e)
+        e = e.parent
+    within: dict[Element, bool] = {}
+
+    def inside(e: Element) -> bool:
+        way = []
+        while e not in within and e is not home and e not in above:
+            way.append(e)
+            e = e.parent
+        known = e is home or within.get(e, False)
+        within.update((x, known) for x in way)
+        return known
+
+    first, last = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
     whole = home.tag not in ("html", "body")
-    return "\n".join(b.text for b, c in zip(found, chosen) if b.element.inside and not b.element.away and (c or whole or b.element.tag in HEADINGS))
+    kept = list(chosen)
+    for k in reversed(range(len(found))):
+        b = found[k]
+        if chosen[k] or b.element.away:
+            continue
+        between, held = first < k < last, whole and inside(b.element)
+        text = 2 * b.linked <= len(b.text)
+        kept[k] = (between and held) if not text else between or held or (b.element.tag in HEADINGS and k + 1 < len(found) and kept[k + 1])
+    return kept
 
 
 def _home(elements: list[Element]) -> Element:

@@ -68,3 +68,22 @@ def test_fingerprints_and_html():
     assert fingerprint.sketches(["", "abc", "abc"])[1] == fingerprint.sketches(["abc"])[0]
     assert html_text.main_text("<body><nav>x</nav><article><h1>T</h1><p>a, b &amp; c.</article>") == "T\na, b & c."
     assert html_text.main_text(None) == ""
+
+
+SENTENCE = "This is a sentence, with some words in it; and more. "
+
+
+def test_html_keeps_selected_text_beside_the_container():
+    long = "".join(f"<p>{k} {SENTENCE * 3}</p>" for k in range(5))
+    lines = [f"{k} {SENTENCE * 3}".strip() for k in range(5)]
+    menu = "<nav><a href=x>Menu</a></nav>"
+    got = html_text.main_text(f"<body>{menu}<h1>Title</h1><div class=post><p>intro, {SENTENCE}</p><div class=text>{long}</div></div></body>")
+    assert got.split("\n") == ["Title", f"intro, {SENTENCE}".strip(), *lines]
+    split = "".join(f"<p>end {k} {SENTENCE * 3}</p>" for k in range(3))
+    got = html_text.main_text(f"<body>{menu}<div class=a>{long}</div><div class=b>{split}</div></body>")
+    assert got.split("\n") == [*lines, *(f"end {k} {SENTENCE * 3}".strip() for k in range(3))]
+    got = html_text.main_text(f"<body>{menu}<h1>Title</h1>{long}<h2>Part</h2>{split}</body>")
+    assert got.split("\n") == ["Title", *lines, "Part", *(f"end {k} {SENTENCE * 3}".strip() for k in range(3))]
+    tags = "<ul><li><a href=x>red</a></li><li><a href=y>blue</a></li></ul>"
+    got = html_text.main_text(f"<body><article>{long}{tags}</article></body>")  # links alone have no ratio, in an article as elsewhere
+    assert got.split("\n") == lines
