@@ -10,7 +10,7 @@ fuses text length and punctuation. Blocks, in page order, get their path's ratio
 their neighbours (1/4, 1/2, 1/4); paths whose blocks are on average at least
 `strength` standard deviations high select the content nodes. Elements that
 are never main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments, hidden ones) can't be selected. All blocks of the selected paths are the result, wherever they stand, with
+comments, hidden ones) can't be selected; where only a word of a class or id or a form says so, what it holds can outweigh it. All blocks of the selected paths are the result, wherever they stand, with
 the lesser blocks between them. The content's element, found from the root down by following the child with most of
 the selected text, only decides on the lesser blocks before and after.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .common import ship
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rtc rp s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template textarea iframe svg math object canvas audio video select title".split())
-NEVER = frozenset("nav footer aside form head button menu dialog fieldset option search".split())
+NEVER = frozenset("nav footer aside head button menu dialog fieldset option search".split())
 LEAVES = frozenset("p li dt dd td th pre blockquote h1 h2 h3 h4 h5 h6 figcaption caption summary address".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HOME = frozenset("article main".split())
@@ -39,7 +40,12 @@ PARAGRAPH_ENDS = frozenset("address article aside blockquote center details dial
 AD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner".split())
 SIDE_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer header masthead topbar toolbar pager pagination related recommended trending popular widget share sharing social newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices alert popup modal overlay toast skip".split())
 COMMENT_WORDS = frozenset("comment comments commentlist replies reply respond disqus discussion responses".split())
-AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+TEASER_WORDS = AD_WORDS | frozenset("related recommended trending popular".split())
+PLACE_WORDS = frozenset("site left right top bottom primary secondary mobile desktop".split())
+COMMENT_PARTS = frozenset("list area section form thread".split())
+AWAY_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
+# Why an element is no main text: for certain, or by a word or a form, which what it holds can outweigh.
+CERTAIN, LAYOUT, TEASER, COMMENT = 1, 2, 3, 4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|object|canvas|audio|video|select|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -48,33 +54,89 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¡¿«»\"“”'()]"
 
 
 class Element:
-    """path: a number for the names from the root to here; in_home: inside an article or main."""
+    """path: a number for the names from the root to here; in_home: inside an article or main; veto: why it may be no main text, 0 if nothing says so; away: whether it is none, see judge()."""
 
-    __slots__ = ("tag", "path", "parent", "away", "mass", "children", "in_home", "inside")
+    __slots__ = ("tag", "path", "parent", "veto", "away", "mass", "children", "in_home", "inside")
 
-    def __init__(self, tag: str, path: int, parent: Element | None, away: bool):
+    def __init__(self, tag: str, path: int, parent: Element | None, veto: int):
         self.tag, self.path, self.parent = tag, path, parent
-        self.away = away or (parent.away if parent else False)
+        self.veto = CERTAIN if parent and parent.veto == CERTAIN else veto
+        self.away = self.veto != 0 or (parent.away if parent else False)
         self.in_home = tag in HOME or (parent.in_home if parent else False)
         self.mass, self.children, self.inside = 0.0, [], False
         if parent:
             parent.children.append(self)
 
 
-def _away(tag: str, found: dict[str, str], parent: Element) -> bool:
-    """Whether an element, by its tag or attributes, is no main text."""
-    if tag in NEVER or "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in AWAY_ROLES:
-        return True
+def _veto(tag: str, found: dict[str, str], parent: Element) -> int:
+    """Why an element, by its tag or attributes, is no main text; 0 if nothing says so."""
+    role = found.get("role", "").lower()
+    if tag in NEVER or "hidden" in found or found.get("aria-hidden") == "true" or role in AWAY_ROLES:
+        return CERTAIN
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
+        return CERTAIN
     if tag == "header" and not parent.in_home:
-        return True
+        return CERTAIN
     if tag in ("html", "body"):
-        return False
-    words = {w.lower() for w in _WORDS.findall(found.get("class", "") + " " + found.get("id", ""))}
-    if words & COMMENT_WORDS:
-        return tag not in HOME or bool(set(found.get("class", "").lower().split()) & COMMENT_WORDS)
-    return tag not in HOME and tag not in HEADINGS and bool(words & (AD_WORDS | SIDE_WORDS))
+        return 0
+    names = found.get("class", "").split()
+    listed = [_listed(n) for n in {*names, *found.get("id", "").split()}]
+    if COMMENT in listed and (tag not in HOME or {n.lower() for n in names} & COMMENT_WORDS):
+        return COMMENT
+    if tag in HOME or tag in HEADINGS:
+        return 0
+    return LAYOUT if LAYOUT in listed else TEASER if TEASER in listed else LAYOUT if tag == "form" or role == "form" else 0
+
+
+@lru_cache(100_000)
+def _listed(name: str) -> int:
+    """The list that a whole class or id stands in, alone ("sidebar") or made of listed words and words of place ("sidebar-left"); 0 for other compounds ("has-sidebar")."""
+    words = {name.lower()}
+    if not words & (AD_WORDS | SIDE_WORDS | COMMENT_WORDS):
+        words = {w.lower() for w in _WORDS.findall(name) if not w.isdigit()} - PLACE_WORDS
+    if words & COMMENT_WORDS and words <= COMMENT_WORDS | COMMENT_PARTS:
+        return COMMENT
+    if words and words <= AD_WORDS | SIDE_WORDS:
+        return TEASER if words & TEASER_WORDS else LAYOUT
+    return 0
+
+
+def judge(elements: list[Element], found: list[Block], high: list[bool]) -> None:
+    """Set away. high: the blocks over the threshold.
+
+    What is no main text for certain stays away. A word or a form is outweighed by a main inside; by an article inside, if
+    it is no word for adverts or teasers; and by most of the page's high text, unless an article or main outside has some. Comments are outweighed by
+    a main, or if no high text and no text of an article or main is left without them.
+    """
+    text = dict.fromkeys(elements, 0)
+    own = dict.fromkeys(elements, 0)
+    homes: dict[Element, set[str]] = {}
+    for b, h in zip(found, high):
+        if h and b.element.veto != CERTAIN:
+            text[b.element] += len(b.text) - b.linked
+            own[b.element] += len(b.text) - b.linked if b.element.in_home else 0
+    for e in reversed(elements):
+        if e.veto == CERTAIN or e.parent is None:
+            continue
+        text[e.parent] += text[e]
+        own[e.parent] += own[e]
+        up = homes.get(e, set()) if e.veto != COMMENT else set()
+        up = up | {e.tag} if e.tag in HOME and e.veto != COMMENT else up
+        if up:
+            homes.setdefault(e.parent, set()).update(up)
+    total, at_home = text[elements[0]], own[elements[0]]
+
+    def outweighed(e: Element) -> bool:
+        inside = homes.get(e, ())
+        if "main" in inside or (e.veto == LAYOUT and "article" in inside):
+            return True
+        return e.veto != COMMENT and 2 * text[e] > total and (e.in_home or own[e] == at_home)
+
+    for e in elements:
+        e.away = e.veto == CERTAIN or (e.parent is not None and e.parent.away) or (e.veto != 0 and not outweighed(e))
+    if not any((h or b.element.in_home) and not b.element.away for b, h in zip(found, high)):
+        for e in elements:
+            e.away = e.veto == CERTAIN or (e.parent is not None and e.parent.away) or (e.veto not in (0, COMMENT) and not outweighed(e))
 
 
 class Block:
@@ -86,7 +148,7 @@ class Block:
 
 def blocks(page: str) -> tuple[list[Element], list[Block]]:
     """The page's elements, parents first, and its non-empty blocks in order, whatever they are."""
-    root = Element("html", 0, None, False)
+    root = Element("html", 0, None, 0)
     at, out, elements = root, [], [root]
     paths: dict[tuple[int, str], int] = {}
     parts: list[str] = []
@@ -149,7 +211,7 @@ def blocks(page: str) -> tuple[list[Element], list[Block]]:
         found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[4] or "")} if m[4] else {}
         classes = ".".join(sorted(found.get("class", "").split()))
         path = paths.setdefault((at.path, f"{tag}.{classes}" if classes else tag), len(paths) + 1)
-        at = Element(tag, path, at, _away(tag, found, at))
+        at = Element(tag, path, at, _veto(tag, found, at))
         elements.append(at)
     text(end, len(page))
     close()
@@ -180,7 +242,7 @@ def path_ratios(found: list[Block]) -> dict[int, float]:
 def main_text(page: str | None, strength: float = 0.5) -> str:
     """The main text of a page, one block a line; empty if there is none."""
     elements, found = blocks(page or "")
-    if not any(not b.element.away for b in found):
+    if not any(b.element.veto != CERTAIN for b in found):
         return ""
     ratios = path_ratios(found)
     paths = [b.element.path for b in found]
@@ -191,8 +253,12 @@ def main_text(page: str | None, strength: float = 0.5) -> str:
     for path, value in zip(paths, smooth):
         fused.setdefault(path, []).append(float(value))
     level = {path: sum(v) / len(v) for path, v in fused.items()}
+    threshold = strength * float(np.std(own)) + float(own.min())
+    judge(elements, found, [level[p] >= threshold for p in paths])
     fit = [not b.element.away for b in found]
-    threshold = min(strength * float(np.std(own)) + float(own.min()), max(level[p] for p, f in zip(paths, fit) if f))
+    if not any(fit):
+        return ""
+    threshold = min(threshold, max(level[p] for p, f in zip(paths, fit) if f))
     chosen = [f and level[p] >= threshold for p, f in zip(paths, fit)]
     for b, c in zip(found, chosen):
         if c:

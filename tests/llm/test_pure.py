@@ -87,3 +87,18 @@ def test_html_keeps_selected_text_beside_the_container():
     tags = "<ul><li><a href=x>red</a></li><li><a href=y>blue</a></li></ul>"
     got = html_text.main_text(f"<body><article>{long}{tags}</article></body>")  # links alone have no ratio, in an article as elsewhere
     assert got.split("\n") == lines
+
+
+def test_html_words_do_not_veto_what_holds_the_text():
+    long = "".join(f"<p>{k} {SENTENCE * 3}</p>" for k in range(5))
+    text = "\n".join(f"{k} {SENTENCE * 3}".strip() for k in range(5))
+    menu, side = "<nav><a href=x>Menu</a></nav>", f"<div class=sidebar><p>Side, {SENTENCE}</p></div><div id=main-content class='sidebar-left'><p>{SENTENCE}</p></div>"
+    for wrap in ("div class='content-sidebar-wrap'", "div class='entry has-sidebar'", "div class='elementor-widget-container'", "div id='header-and-content'", "div class='post comments-open'", "form", "div class=widget", "section class='overlay banner'"):
+        tag = wrap.split()[0]
+        for inner in (f"<main>{long}</main>", f"<main><article>{long}</article></main>", f"<div>{long}</div>"):
+            assert html_text.main_text(f"<body>{menu}<{wrap}>{inner}</{tag}>{side}</body>") == text, (wrap, inner)
+    other = f"<div class=related><article><p>Other, {SENTENCE}</p></article></div><form><p>Write, {SENTENCE}</p></form><ol class=comment-list><li><article><p>Nice, {SENTENCE * 40}</p></article></li></ol>"
+    assert html_text.main_text(f"<body>{menu}<article>{long}</article>{side}{other}</body>") == text
+    assert html_text.main_text(f"<body><article><p>Short, {SENTENCE}</p></article><div class=ad><p>Buy, {SENTENCE * 20}</p></div></body>") == f"Short, {SENTENCE}".strip()
+    assert html_text.main_text(f"<body><div class=responses>{long}</div></body>") == text
+    assert html_text.main_text(f"<body><nav>{long}</nav></body>") == ""
