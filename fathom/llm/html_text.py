@@ -33,6 +33,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template textarea iframe svg math object canvas audio video select title".split())
 NEVER = frozenset("nav footer aside head button menu dialog fieldset option search".split())
+# Of those, the ones that a page without their closing tag leaves open to its end, as browsers do; and those that "/>" closes.
+OPEN_ENDED = frozenset("script style textarea title iframe noscript".split())
+SELF_CLOSED = frozenset("svg math".split())
 LEAVES = frozenset("p li dt dd td th pre blockquote h1 h2 h3 h4 h5 h6 figcaption caption summary address".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HOME = frozenset("article main".split())
@@ -47,7 +50,8 @@ AWAY_ROLES = frozenset("navigation banner contentinfo complementary search alert
 # Why an element is no main text: for certain, or by a word or a form, which what it holds can outweigh.
 CERTAIN, LAYOUT, TEASER, COMMENT = 1, 2, 3, 4
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|math|object|canvas|audio|video|select|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_CLOSES = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in SKIPPED}
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¡¿«»\"“”'()]")
@@ -171,12 +175,22 @@ def blocks(page: str) -> tuple[list[Element], list[Block]]:
                 linked += hi - lo
 
     end = 0
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()  # skipped elements that no closing tag follows any more
+    while m := _TOKEN.search(page, end):
         text(end, m.start())
         end = m.end()
-        if m[3] is None:  # comments, doctypes and skipped elements
+        if m[2] is None:  # comments and doctypes
+            continue
+        tag, closing = m[2].lower(), bool(m[1])
+        if tag in SKIPPED:
+            if not closing and not (tag in SELF_CLOSED and m[3].endswith("/")) and tag not in unclosed:
+                if last := _CLOSES[tag].search(page, end):
+                    end = last.end()
+                elif tag in OPEN_ENDED:
+                    end = len(page)
+                else:
+                    unclosed.add(tag)
             continue
-        tag, closing = m[3].lower(), bool(m[2])
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1
@@ -208,7 +222,7 @@ def blocks(page: str) -> tuple[list[Element], list[Block]]:
             at = _leave(at, ("option",), ())
         elif tag == "body":
             at = _leave(at, ("head",), ())
-        found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[4] or "")} if m[4] else {}
+        found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
         classes = ".".join(sorted(found.get("class", "").split()))
         path = paths.setdefault((at.path, f"{tag}.{classes}" if classes else tag), len(paths) + 1)
         at = Element(tag, path, at, _veto(tag, found, at))

@@ -102,3 +102,12 @@ def test_html_words_do_not_veto_what_holds_the_text():
     assert html_text.main_text(f"<body><article><p>Short, {SENTENCE}</p></article><div class=ad><p>Buy, {SENTENCE * 20}</p></div></body>") == f"Short, {SENTENCE}".strip()
     assert html_text.main_text(f"<body><div class=responses>{long}</div></body>") == text
     assert html_text.main_text(f"<body><nav>{long}</nav></body>") == ""
+
+
+def test_html_skips_no_more_than_the_element():
+    for part in ("<svg-icon></svg-icon>", "<video-js></video-js>", "<select-menu></select-menu>", "<svg viewBox='0 0 1 1'/>", "<math/>", "<video src=x>", "<object data=x>", "<template>", "<svg><text>drawn</text></svg >", "<SVG/><svg><title>t</title><path d=''/></svg>"):
+        assert html_text.main_text(f"<p>a</p>{part}<p>rest</p>") == "a\nrest", part
+    assert html_text.main_text("<p>a</p><script/>x</p><p>rest</p>") == "a"
+    assert html_text.main_text("<p>a</p><style>p{} </styles> x<p>rest</p>") == "a"
+    assert html_text.main_text("<p>a <svg/>b <title>x</title>c</p>") == "a b c"
+    assert html_text.main_text("<p>a" + "<video>" * 100_000 + "</p><p>rest</p>") == "a\nrest"
