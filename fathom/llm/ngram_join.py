@@ -34,6 +34,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +110,15 @@ def _facts(words: int):
     return run
 
 
+def _named(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (shingles(text.as_py(), words) for text in batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(h) if len(h) else None for h in found], pa.int64()), batch.column("text")], names=["name", "text"])
+
+    return run
+
+
 def _unpack_often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column("often").to_pylist():
@@ -384,15 +394,32 @@ def links(docs: DataFrame, facts: DataFrame, words: int = 5, percent: int = 80,
     heavy = spark.sparkContext.broadcast(_heavy(facts))
     postings = docs.select("text").mapInArrow(_postings(words, percent, heavy, parts * 4), "bucket int, tied boolean, packed binary")
     tied = components(postings.repartition(parts, "bucket").select("tied", "packed").mapInArrow(_ties, "u long, v long"))
-    reps = facts.where("name is not null and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
+    reps = facts.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
     blocks = settle(_blocks(reps.join(tied.withColumnRenamed("node", "name"), "name")))
-    if blocks.count() <= BROADCAST_ROWS:
-        blocks = F.broadcast(blocks)
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(blocks, "doc_id")
-    dealt = texts.select("root", "i", "j", "name", "text", "is_left", "is_right").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "name")
+    near = F.broadcast if blocks.count() <= BROADCAST_ROWS else lambda df: df
+    columns = ["root", "i", "j", "name", "text", "is_left", "is_right"]
+    texts = docs.where("doc_id is not null").select("doc_id", "text").join(near(blocks.where("doc_id is not null")), "doc_id").select(*columns)
+    lone = blocks.where("doc_id is null")  # sets that only rows without an id hold: found by name, with one text each
+    if lone.limit(1).count():
+        named = docs.where("doc_id is null").select("text").mapInArrow(_named(words), "name long, text string")
+        named = named.join(near(lone.select("name").distinct()), "name", "left_semi").groupBy("name").agg(F.min("text").alias("text"))
+        texts = texts.unionByName(named.join(near(lone), "name").select(*columns))
+    dealt = texts.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "name")
     return dealt.mapInArrow(_search(words, percent, all_links), "u long, v long, overlap long")
 
 
+def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, name, root, component_id) for each row; name and root are null without shingles."""
+    facts = classes(docs, words)
+    found = settle(links(docs, facts, words, percent))
+    roots = components(found.select("u", "v"))
+    rows = facts.where("n_shingles >= 0").select("doc_id", "n_shingles", "name")
+    placed = rows.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    full = placed.join(least, "root", "left")
+    return full.select("doc_id", "n_shingles", "name", "root", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs(doc_id, text, ...): doc_id, n_shingles, component_id.
 
@@ -400,31 +427,37 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     of `words`-word shingles (fewer words: the whole sequence is one shingle).
     component_id is the least doc_id that links reach. Null and blank texts have
     no shingles and stand alone; so does a row whose text is linked with nothing.
-    Rows that share a doc_id are each judged by their own text. A null doc_id takes part as a copy of an equal set;
+    Rows that share a doc_id are each judged by their own text. A null doc_id takes part as any other;
     it is null in the result and never a component_id unless all ids are null.
     Other columns of docs are ignored. No rows give no rows.
     """
-    facts = classes(docs, words)
-    found = settle(links(docs, facts, words, percent))
-    roots = components(found.select("u", "v"))
-    rows = facts.where("n_shingles >= 0").select("doc_id", "n_shingles", "name")
-    placed = rows.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    full = placed.join(least, "root", "left")
-    return full.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return _placed(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents of a component other than its least doc_id; all columns stay.
+    """docs with one row of each component, that of its least doc_id; all columns stay.
 
-    Rows with a null doc_id stay. Of repeated rows with one doc_id, one stays if its text has shingles.
+    Null ids come last. Of rows of a component that share the least doc_id, or of null ids alone, the one with the least set name and then
+    the least text stays. Rows without shingles all stay.
     """
-    found = jaccard_components(docs, words, percent)
-    gone = settle(found.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct())
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = [r[0] for r in found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id").limit(1).collect()]
-    if not repeated:
+    placed = settle(_placed(docs, words, percent))
+    moved = F.max(F.col("component_id") != F.col("doc_id"))
+    left = settle(placed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows"), moved.alias("_moved")).where("_rows > 1 or _moved"))
+    near = F.broadcast if left.count() <= BROADCAST_ROWS else lambda df: df
+    kept = docs.where("doc_id is not null").join(near(left.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    repeated = left.where("_rows > 1").select("doc_id")
+    if not repeated.limit(1).count() and not placed.where("doc_id is null").limit(1).count():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    # Rows that their id does not tell apart are judged by id and set name.
+
+    @F.pandas_udf("long")
+    def name_of(texts: pd.Series) -> pd.Series:
+        found = (shingles(t if isinstance(t, str) else None, words) for t in texts)
+        return pd.Series([set_name(h) if len(h) else None for h in found], dtype="Int64")
+
+    shared = docs.where("doc_id is not null").join(near(repeated), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    shared = shared.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), name_of("text").alias("_name"))
+    first = placed.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "name")).alias("f")).select(F.col("f.doc_id").alias("_first"), F.col("f.name").alias("_name"))
+    texts = shared.where("_name is not null").groupBy("_id", "_name").agg(F.min_by("_row", "_text").alias("_row"))
+    chosen = texts.join(first, (texts["_name"] == first["_name"]) & texts["_id"].eqNullSafe(first["_first"]), "left_semi")
+    return kept.unionByName(chosen.select("_row.*")).unionByName(shared.where("_name is null").select("_row.*"))

@@ -101,6 +101,24 @@ def test_jaccard_with_null_and_repeated_ids(spark):
     assert len(got) == 5 and {r[2] for r in got if r[1] == 2} == {3}
 
 
+def test_jaccard_searches_sets_of_null_ids_and_keeps_by_set(spark):
+    def run(n, w="w"):
+        return " ".join(f"{w}{i}" for i in range(n))
+
+    chain = [(1, run(24)), (None, run(28)), (None, run(28)), (2, run(33))]  # 1 and 2 are linked only by way of the null id
+    got = sorted(map(tuple, ngram_join.jaccard_components(frame(spark, chain)).collect()), key=str)
+    assert got == sorted([(1, 20, 1), (None, 24, 1), (None, 24, 1), (2, 29, 1)], key=str)
+    rows = chain + [(5, run(20, "x")), (5, run(20, "y")), (6, run(20, "p")), (6, run(25)), (7, "q"), (7, "q"), (8, ""), (8, None), (None, None)]
+    rows += [(None, run(20, "n")), (None, run(21, "n")), (9, "Q r"), (9, "q R"), (3, run(20, "y") + " tail")]
+    kept = ngram_join.keep_one(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    one = [r for r in got if r[0] is None and r[1]]
+    assert len(one) == 1 and one[0][1] in (run(20, "n"), run(21, "n"))
+    want = [(1, run(24)), (3, run(20, "y") + " tail"), (5, run(20, "x")), (6, run(20, "p")), (7, "q"), (8, ""), (8, None), (9, "Q r"), (None, None)]
+    assert [r for r in got if r not in one] == sorted(want, key=str)
+
+
 def test_line_dedup_equals_brute_force(docs, none):
     got = {r["doc_id"]: (r["_lines"]["n_lines"], r["_lines"]["n_dropped"], bytes(r["_lines"]["kept"], "utf-8") if isinstance(r["_lines"]["kept"], str) else bytes(r["_lines"]["kept"])) for r in line_dedup.drop_lines(docs.select("doc_id", "text")).collect()}
     assert got == {i: (n, d, k.encode()) for i, (n, d, k) in brute_lines(corpus()).items()}
