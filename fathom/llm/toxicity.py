@@ -115,18 +115,21 @@ def _packed(bits: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int = 8000, bits: int = BITS, **options) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int = 8000, bits: int = BITS, row_bound: int | None = None, **options) -> Machine:
     """Learn from docs(doc_id, text) and labels(doc_id, <column> 0/1), without the held-out rows.
 
     bound: the most labelled documents that are looked at, chosen by a hash of doc_id. Null labels
     and ids are ignored; of repeated label rows the greatest counts; repeated documents all count.
+    row_bound: the most rows of those documents, 2 * bound if not given; it matters only if ids repeat. Rows are taken by the
+    hash of doc_id, doc_id and the text's terms, so that the same rows are taken in every run.
     """
     ship(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("_label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(_packed(bits), "doc_id long, label int, packed binary").limit(2 * bound).toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    packed, label = rows.column("packed").to_pylist(), rows.column("label").to_pylist()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(_packed(bits), "doc_id long, label int, packed binary")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "packed").limit(row_bound or 2 * bound).toArrow()
+    ids, packed, label = (rows.column(c).to_pylist() for c in ("doc_id", "packed", "label"))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], packed[i]))
     return fit([np.frombuffer(packed[i], np.int32).astype(np.int64) for i in order], [label[i] for i in order], bits=bits, **options)
 
 

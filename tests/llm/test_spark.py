@@ -119,6 +119,14 @@ def test_jaccard_searches_sets_of_null_ids_and_keeps_by_set(spark):
     assert [r for r in got if r not in one] == sorted(want, key=str)
 
 
+def test_toxicity_takes_the_same_rows_of_repeated_ids(spark):
+    rows = [(i, f"{'bad' if i % 2 else 'good'}{k} w{k}") for k in range(6) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    probes = [f"{a}{k} w{k}" for a in ("bad", "good") for k in range(6)]
+    first, second = (toxicity.train(frame(spark, r), labels, bound=20) for r in (rows, rows[::-1]))
+    assert [first.score(t) for t in probes] == [second.score(t) for t in probes]
+
+
 def test_line_dedup_equals_brute_force(docs, none):
     got = {r["doc_id"]: (r["_lines"]["n_lines"], r["_lines"]["n_dropped"], bytes(r["_lines"]["kept"], "utf-8") if isinstance(r["_lines"]["kept"], str) else bytes(r["_lines"]["kept"])) for r in line_dedup.drop_lines(docs.select("doc_id", "text")).collect()}
     assert got == {i: (n, d, k.encode()) for i, (n, d, k) in brute_lines(corpus()).items()}
