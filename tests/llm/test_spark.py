@@ -242,6 +242,14 @@ def test_neighbours_against_brute_force(spark):
     assert vp_tree.nearest(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_nearest_recall_against_its_sql(spark):
+    folder, db = "/root/testdata/sf0.1", duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    want = {(query, vec) for query, _, vec, _ in db.execute(queries.OP9_SQL).fetchall()}
+    got = {(r["query_id"], r["vec_id"]) for r in queries.op9_nearest_neighbours(spark, folder).collect()}
+    assert len(want) == 200 and got == want
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.1"
     got = queries.op5_toxicity(spark, folder).join(queries.table(spark, folder, "labels").select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
