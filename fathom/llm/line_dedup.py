@@ -1,24 +1,25 @@
-"""Line dedup with sharded cuckoo filters over exact reference counts.
+"""Line dedup with sharded cuckoo filters backed by exact reference counts.
 
 A line's key is the line with white space stripped at both ends and A-Z lower-cased.
 Keys of at least `min_chars` code points found in at least `min_docs` documents
 lose their lines everywhere but in the largest doc_id that holds them.
 
-Counting is pre-aggregated twice before a key reaches its shard: once per
-document, once per chunk of rows (key, documents, largest doc_id), so a line
-that a third of all documents hold arrives as one row a chunk. A shard keeps a
-cuckoo filter of the keys seen once and an exact reference table of the keys
-that the filter has seen before: unique lines never enter the table. Keys that reach min_docs go to the
-verdict table. Verdicts are applied in the scan of the texts behind a cuckoo
-filter of their own when their number is bounded, and by a join beyond that.
+References (key, doc_id) are made distinct and counted per key and slice of documents before a key
+reaches its shard, so a line that a third of all documents hold is counted by many tasks and arrives as a row each. A shard is a
+cuckoo filter: a key that it has not seen goes into the filter, two bytes, and its reference into the reference table on
+disk; a key that it has seen is marked. Exact counts are then kept for marked keys only, and their first
+references are fetched from the reference table: lines that stand in one document, nearly all, are never
+held exactly or counted. A filter may mark a key wrongly, never miss one, so counts are exact.
 
-`LineIndex` is the incremental form: documents go in and out again, and the
-verdicts are those of a fresh build over what is left.
+`LineIndex` is the incremental form: documents go in and out again. The filters stay per shard, tell which keys of
+new documents have no reference yet without a look at the reference table, and give up the
+keys whose last reference goes. Verdicts are those of a fresh build over what is left.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from array import array
 from collections.abc import Iterator
 
@@ -28,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, settle, shuffle_partitions, ship
+from .common import LOWER, SPACE, free_name, settle, ship, shuffle_partitions
 
-#: Lines held while a chunk is counted.
-CHUNK = 400_000
-#: Verdicts up to which they are broadcast: 24 bytes each, and the filter's 2.
-BROADCAST_KEYS = 1_000_000
-#: Stands for a null doc_id; it is never the largest while another holds the line.
+#: Slices by which joins on keys are spread.
+SLICES = 16
+#: Verdicts up to which they are broadcast, about 200 bytes each in a worker.
+BROADCAST_KEYS = 250_000
+#: Keys that a shard's filter has room for at first; it grows with them.
+EXPECTED = 50_000
+#: Stands for all null doc_ids; it is never the largest while another holds the line.
 NO_ID = -(2**63)
 
 
@@ -128,75 +131,62 @@ def split_lines(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split(b"\n")
 
 
-def _partial(min_chars: int):
-    """Rows to (key, docs, largest): what a chunk of rows says about each key."""
-
-    def out(seen: dict[bytes, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["key", "docs", "largest"])
+def _held(min_chars: int):
+    """Rows to (doc_id, mark, key), each key once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list] = {}
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                doc_id = NO_ID if doc_id is None else doc_id
-                for key in {line_key(x, min_chars) for x in split_lines(text.as_py())} - {None}:
-                    if (x := seen.get(key)) is None:
-                        seen[key] = [1, doc_id]
-                    else:
-                        x[0] += 1
-                        x[1] = max(x[1], doc_id)
-                if len(seen) >= CHUNK:
-                    yield out(seen)
-                    seen = {}
-        if seen:
-            yield out(seen)
+            ids, marks, keys = [], [], []
+            for doc_id, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text")):
+                own = {line_key(x, min_chars) for x in split_lines(text.as_py())} - {None}
+                keys += own
+                ids += [NO_ID if doc_id is None else doc_id] * len(own)
+                marks += [mark] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "mark", "key"])
 
     return run
 
 
-class Shard:
-    """Reference counts of one shard: a cuckoo filter of all its keys, an exact table of those seen again."""
+def references(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+    """(doc_id, mark, key) for each row and key of docs(doc_id, text); mark is a hash of the text. Null ids are NO_ID."""
+    ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(_held(min_chars), "doc_id long, mark long, key binary")
 
-    def __init__(self, expected: int = 1024):
-        self.filter, self.once, self.table = CuckooFilter(expected), {}, {}
 
-    def add(self, key: bytes, docs: int, largest: int) -> None:
-        short = int.from_bytes(key[:8], "little")
-        if short not in self.filter:
-            self.filter.insert(short)
-            self.once[key] = (docs, largest)
-            return
-        held = self.table.get(key) or self.once.pop(key, None)
-        if held is None:  # only its fingerprint had been seen
-            self.filter.insert(short)
-            self.once[key] = (docs, largest)
-        else:
-            self.table[key] = (held[0] + docs, max(held[1], largest))
+def _short(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little")
 
-    def verdicts(self, min_docs: int) -> Iterator[tuple[bytes, int]]:
-        for table in (self.table, self.once):
-            yield from ((k, largest) for k, (docs, largest) in table.items() if docs >= min_docs)
 
+def _sightings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One shard: (key, docs, largest) with `again`, whether the shard's filter had the key or the row stands for several documents."""
+    seen = CuckooFilter(EXPECTED)
+    for batch in batches:
+        again = []
+        for key, docs in zip(batch.column("key").to_pylist(), batch.column("docs").to_pylist()):
+            short = _short(key)
+            known = short in seen
+            if not known:
+                seen.insert(short)
+            again.append(known or docs > 1)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("docs"), batch.column("largest"), pa.array(again, pa.bool_())], names=["key", "docs", "largest", "again"])
 
-def _shards(min_docs: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard()
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "docs", "largest"))):
-                shard.add(*row)
-        found = list(shard.verdicts(min_docs))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([v for _, v in found], pa.int64())], names=["key", "largest"])
 
-    return run
+def counts(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+    """(key, docs, largest): exact reference counts of every key that two or more documents hold, and of few others."""
+    parts = shuffle_partitions(docs.sparkSession)
+    sliced = references(docs, min_chars).select("key", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("slice")).repartition(parts, "key", "slice")
+    partial = sliced.distinct().groupBy("key", "slice").agg(F.count("*").alias("docs"), F.max("doc_id").alias("largest"))
+    table = settle(partial.select("key", "docs", "largest").repartition(parts, "key").mapInArrow(_sightings, "key binary, docs long, largest long, again boolean"))
+    again, once = table.where("again"), table.where("not again")
+    first = once.join(again.select("key").distinct(), "key", "left_semi")
+    return again.unionByName(first).groupBy("key").agg(F.sum("docs").alias("docs"), F.max("largest").alias("largest"))
 
 
 def verdicts(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(key, largest): the keys that lose their lines, and the doc_id that keeps them. Each row counts as a document."""
-    ship(docs.sparkSession)
-    parts = shuffle_partitions(docs.sparkSession)
-    partial = docs.select("doc_id", "text").mapInArrow(_partial(min_chars), "key binary, docs long, largest long")
-    return partial.repartition(parts, "key").mapInArrow(_shards(min_docs), "key binary, largest long")
+    """(key, largest): the keys that lose their lines, and the doc_id that keeps them. Rows of one doc_id are one document."""
+    if min_docs < 2:
+        raise ValueError("a line needs to stand in two documents at least")
+    return counts(docs, min_chars).where(F.col("docs") >= min_docs).select("key", "largest")
 
 
 def keep_lines(text: str | None, doc_id: int | None, min_chars: int, owner) -> tuple[int, int, bytes]:
@@ -209,91 +199,40 @@ def keep_lines(text: str | None, doc_id: int | None, min_chars: int, owner) -> t
 _APPLIED_SQL = "struct<n_lines: bigint, n_dropped: bigint, kept: string>"
 
 
-class Front:
-    """Broadcast verdicts: a cuckoo filter in front of the exact table."""
-
-    def __init__(self, rows: list[tuple[bytes, int]]):
-        self.table = dict(rows)
-        self.filter = CuckooFilter(len(rows))
-        for k in self.table:
-            self.filter.insert(int.from_bytes(k[:8], "little"))
-
-    def owner(self, key: bytes) -> int | None:
-        return self.table.get(key) if int.from_bytes(key[:8], "little") in self.filter else None
-
-
-_fronts: dict[int, Front] = {}
-
-
-def _front(shared) -> Front:
-    """One a worker process, however many batches it sees."""
-    if shared.id not in _fronts:
-        _fronts.clear()
-        _fronts[shared.id] = Front(shared.value)
-    return _fronts[shared.id]
-
-
-class _Shared:
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id() if broadcast._jbroadcast is not None else 0
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-    def __getstate__(self):
-        return (self.broadcast, self.id)
+def _struct(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({"n_lines": [r[0] for r in rows], "n_dropped": [r[1] for r in rows], "kept": [r[2].decode("utf-8", "surrogatepass") for r in rows]})
 
-    def __setstate__(self, state):
-        self.broadcast, self.id = state
 
-
-def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadcast_keys: int | None = None) -> DataFrame:
-    """docs with a column `_lines` of (n_lines before dropping, n_dropped, kept text).
+def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadcast_keys: int | None = None, into: str = "_lines") -> DataFrame:
+    """docs with a column `into` of (n_lines before dropping, n_dropped, kept text); it takes the place of a column of that name.
 
     A null or empty text is one empty line and keeps it. Lines whose key is
-    shorter than min_chars code points always stay. If all lines go the kept text is empty. Rows with a null doc_id
-    count as documents but never keep a line that a document with an id holds; if no holder has an id,
-    all keep it. Repeated rows count as documents each; rows that share the largest doc_id all keep the line.
-    Empty input gives empty output; other columns pass through.
+    shorter than min_chars code points always stay. If all lines go the kept text is empty. Rows that share a doc_id are one document
+    and all keep the line of the largest doc_id. All rows with a null doc_id count as one document, which never keeps a line that
+    a document with an id holds. Empty input gives empty output; other columns pass through, of any name.
     """
     spark = docs.sparkSession
     bound = BROADCAST_KEYS if broadcast_keys is None else broadcast_keys
-    found = settle(verdicts(docs, min_chars, min_docs))
-    if found.count() <= bound:
-        rows = found.toArrow()
-        shared = _Shared(spark.sparkContext.broadcast(list(zip(rows.column("key").to_pylist(), rows.column("largest").to_pylist()))))
-
-        @F.pandas_udf(_APPLIED_SQL)
-        def applied(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
-            front = _front(shared)
-            rows = [keep_lines(t if isinstance(t, str) else None, None if i is None or i != i else int(i), min_chars, front.owner) for i, t in zip(ids, texts)]
-            return pd.DataFrame({"n_lines": [r[0] for r in rows], "n_dropped": [r[1] for r in rows], "kept": [r[2].decode("utf-8", "surrogatepass") for r in rows]})
-
-        # ids travel as text: a column of longs with nulls would turn into doubles
-        return docs.withColumn("_lines", applied(F.col("doc_id").cast("string"), F.col("text")))
-    return _drop_by_join(docs, found, min_chars)
-
-
-def _held(min_chars: int):
-    """Rows to (doc_id, key), each key once a row."""
+    found = settle(verdicts(docs.select("doc_id", "text"), min_chars, min_docs))
+    if found.count() > bound:
+        return _drop_by_join(docs, found, min_chars, into)
+    rows = found.toArrow()
+    shared = spark.sparkContext.broadcast(dict(zip(rows.column("key").to_pylist(), rows.column("largest").to_pylist())))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                own = sorted({line_key(x, min_chars) for x in split_lines(text.as_py())} - {None})
-                keys += own
-                ids += [NO_ID if doc_id is None else doc_id] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "key"])
+    @F.pandas_udf(_APPLIED_SQL)
+    def applied(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        owner = shared.value.get
+        return _struct([keep_lines(t if isinstance(t, str) else None, None if i is None or i != i else int(i), min_chars, owner) for i, t in zip(ids, texts)])
 
-    return run
+    # ids travel as text: a column of longs with nulls would turn into doubles
+    return docs.withColumn(into, applied(F.col("doc_id").cast("string"), F.col("text")))
 
 
-def _drop_by_join(docs: DataFrame, found: DataFrame, min_chars: int) -> DataFrame:
-    """The same without a broadcast: a document's lost keys come to it by its doc_id."""
-    held = docs.select("doc_id", "text").mapInArrow(_held(min_chars), "doc_id long, key binary")
-    lost = held.join(found, "key").where("doc_id <> largest").groupBy("doc_id").agg(F.collect_set("key").alias("_lost")).withColumnRenamed("doc_id", "_own")
+def _drop_by_join(docs: DataFrame, found: DataFrame, min_chars: int, into: str) -> DataFrame:
+    """The same without a broadcast: a row's lost keys come to it by its doc_id and a hash of its text. A key's rows are spread over slices."""
+    held = references(docs.select("doc_id", "text"), min_chars).withColumn("slice", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SLICES)).cast("int"))
+    spread = found.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    lost = held.join(spread, ["key", "slice"]).where("doc_id <> largest").groupBy("doc_id", "mark").agg(F.collect_set("key").alias("lost"))
 
     @F.pandas_udf(_APPLIED_SQL)
     def applied(texts: pd.Series, lost: pd.Series) -> pd.DataFrame:
@@ -301,44 +240,90 @@ def _drop_by_join(docs: DataFrame, found: DataFrame, min_chars: int) -> DataFram
         for t, keys in zip(texts, lost):
             gone = set() if keys is None else {bytes(k) for k in keys}
             rows.append(keep_lines(t if isinstance(t, str) else None, 0, min_chars, lambda k, gone=gone: 1 if k in gone else None))
-        return pd.DataFrame({"n_lines": [r[0] for r in rows], "n_dropped": [r[1] for r in rows], "kept": [r[2].decode("utf-8", "surrogatepass") for r in rows]})
+        return _struct(rows)
 
-    joined = docs.join(lost, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == lost["_own"], "left")
-    return joined.select(*[docs[c] for c in docs.columns], applied(docs["text"], F.col("_lost")).alias("_lines"))
+    own = [c for c in docs.columns if c.lower() != into.lower()]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("mark"))
+    return rows.join(lost, ["doc_id", "mark"], "left").select(*[F.col("row")[c].alias(c) for c in own], applied(F.col("row.text"), F.col("lost")).alias(into))
 
 
 class LineIndex:
-    """Reversible line dedup: a reference table (key, doc_id) per shard with documents going in and out.
+    """Reversible line dedup: documents go in and out, a batch at a time.
 
-    The exact references are a DataFrame (shard, key, doc_id), one row per
-    document and key; `verdicts` answers from it at any time as a fresh build would.
+    The reference table is a log of Parquet tables in the shared folder, (shard, key, doc_id, sign): a batch that goes in adds +1, one that goes
+    out -1 for each of its references, and nothing is rewritten. `filters` has one cuckoo filter a shard that holds each key
+    with a reference once. Only touched shards' filters are read and written, and only keys that their
+    filter may hold are looked up in the log.
     """
 
     def __init__(self, spark, shards: int = 64, min_chars: int = 20, min_docs: int = 3):
         ship(spark)
-        self.shards, self.min_chars, self.min_docs = shards, min_chars, min_docs
-        self.references = spark.createDataFrame([], "shard int, key binary, doc_id long")
+        self.spark, self.shards, self.min_chars, self.min_docs = spark, shards, min_chars, min_docs
+        self.log = spark.createDataFrame([], "shard int, key binary, doc_id long, sign int")
+        self.filters = spark.createDataFrame([], "shard int, packed binary")
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """Documents already held (by doc_id) are replaced."""
+        """Documents already held (by doc_id) are replaced; null ids are one document."""
         self.delete(docs.select("doc_id"))
-        new = docs.select("doc_id", "text").mapInArrow(_held(self.min_chars), "doc_id long, key binary").select(F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"), "key", "doc_id")
-        self.references = settle(self.references.unionByName(new))
+        held = references(docs, self.min_chars).select(F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"), "key", "doc_id").distinct()
+        batch = settle(held.withColumn("sign", F.lit(1)))
+        keys = batch.select("shard", "key").distinct()
+        maybe = settle(self._asked(keys))
+        known = self._live(maybe.where("maybe").select("shard", "key"))
+        self._change(maybe.select("shard", "key").join(known, ["shard", "key"], "left_anti"), CuckooFilter.insert)
+        self.log = self.log.unionByName(batch)
         return self
 
     def delete(self, ids: DataFrame) -> LineIndex:
-        gone = ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()
-        self.references = settle(self.references.join(gone, "doc_id", "left_anti").select("shard", "key", "doc_id"))
+        """Takes out what the documents of these doc_ids hold; unknown ids are no matter."""
+        gone = ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")).distinct()
+        held = self.log.join(gone, "doc_id", "left_semi").groupBy("shard", "key", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0")
+        batch = settle(held.select("shard", "key", "doc_id", F.lit(-1).alias("sign")))
+        self.log = self.log.unionByName(batch)
+        keys = batch.select("shard", "key").distinct()
+        self._change(keys.join(self._live(keys), ["shard", "key"], "left_anti"), CuckooFilter.delete)
         return self
 
+    def _live(self, keys: DataFrame) -> DataFrame:
+        """Those of the keys that have a reference."""
+        return self.log.join(keys, ["shard", "key"], "left_semi").groupBy("shard", "key").agg(F.sum("sign").alias("n")).where("n > 0").select("shard", "key")
+
+    def _asked(self, keys: DataFrame) -> DataFrame:
+        """(shard, key, maybe): what the filters say about keys."""
+
+        def ask(held: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+            known = pickle.loads(held.packed.iloc[0]) if len(held) else CuckooFilter(16)
+            return keys[["shard", "key"]].assign(maybe=[_short(bytes(k)) in known for k in keys.key])
+
+        return self.filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(ask, "shard int, key binary, maybe boolean")
+
+    def _change(self, keys: DataFrame, how) -> None:
+        """Insert keys into, or delete them from, the filters of their shards."""
+        keys = settle(keys)
+        touched = keys.select("shard").distinct()
+
+        def change(held: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+            known = pickle.loads(held.packed.iloc[0]) if len(held) else CuckooFilter()
+            for k in keys.key:
+                how(known, _short(bytes(k)))
+            return pd.DataFrame({"shard": keys.shard.iloc[:1], "packed": [pickle.dumps(known)]})
+
+        changed = self.filters.join(touched, "shard", "left_semi").groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(change, "shard int, packed binary")
+        self.filters = settle(self.filters.join(touched, "shard", "left_anti").unionByName(changed))
+
+    def counts(self) -> DataFrame:
+        """(key, docs, largest): the exact reference counts of all keys."""
+        live = self.log.groupBy("key", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0")
+        return live.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("largest"))
+
     def verdicts(self) -> DataFrame:
-        """(key, largest), through the shards' cuckoo filters and exact tables."""
-        partial = self.references.groupBy("shard", "key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("largest"))
-        return partial.repartition(self.shards, "shard").select("key", "docs", "largest").mapInArrow(_shards(self.min_docs), "key binary, largest long")
+        """(key, largest), as verdicts() over the documents that are in."""
+        return self.counts().where(F.col("docs") >= self.min_docs).select("key", "largest")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """docs with each text cut to its kept lines; n_chars, if there is one, follows. A null text becomes empty."""
-    done = drop_lines(docs, min_chars, min_docs)
-    kept = F.col("_lines.kept")
+    into = free_name(docs, "_lines")
+    done = drop_lines(docs, min_chars, min_docs, into=into)
+    kept = F.col(into)["kept"]
     return done.select(*[kept.alias(c) if c == "text" else F.char_length(kept).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, span_hashes
+from .common import free_name, ship, span_hashes
 
 BITS = 20
 #: ASCII bytes that part terms; bytes of other characters belong to them.
@@ -133,8 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int
     return fit([np.frombuffer(packed[i], np.int32).astype(np.int64) for i in order], [label[i] for i in order], bits=bits, **options)
 
 
-def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with a double column `_score`; a null or empty text gets the base rate's score. Row-wise: ties and repeats are no matter."""
+def scored(docs: DataFrame, machine: Machine, into: str = "_score") -> DataFrame:
+    """docs with a double column `into`, which takes the place of one of that name; a null or empty text gets the base rate's score. Row-wise: ties and repeats are no matter."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -143,9 +143,10 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
         m = shared.value
         return pd.Series([m.score(t if isinstance(t, str) else None) for t in texts], dtype="float64")
 
-    return docs.withColumn("_score", score(F.col("text")))
+    return docs.withColumn(into, score(F.col("text")))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs whose score is below the threshold, with all their columns."""
-    return scored(docs, train(docs, labels)).where(F.col("_score") < threshold).select(*docs.columns)
+    into = free_name(docs, "_score")
+    return scored(docs, train(docs, labels), into).where(F.col(into) < threshold).select(*docs.columns)

@@ -1,6 +1,7 @@
 """The operators over small hostile tables, each against a plain brute-force version."""
 
 import hashlib
+import pickle
 import random
 import zlib
 
@@ -127,12 +128,73 @@ def test_toxicity_takes_the_same_rows_of_repeated_ids(spark):
     assert [first.score(t) for t in probes] == [second.score(t) for t in probes]
 
 
-def test_line_dedup_equals_brute_force(docs, none):
-    got = {r["doc_id"]: (r["_lines"]["n_lines"], r["_lines"]["n_dropped"], bytes(r["_lines"]["kept"], "utf-8") if isinstance(r["_lines"]["kept"], str) else bytes(r["_lines"]["kept"])) for r in line_dedup.drop_lines(docs.select("doc_id", "text")).collect()}
-    assert got == {i: (n, d, k.encode()) for i, (n, d, k) in brute_lines(corpus()).items()}
+def brute_line_rows(rows, none=-(2**63)):
+    """Sorted (doc_id, n_lines, n_dropped, kept), one a row; rows of one doc_id, and all without one, are one document."""
+    strip = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s.strip(" \t\n\v\f\r"))
+    held, out = {}, []
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(k := strip(line)) >= 20:
+                held.setdefault(k, set()).add(none if i is None else i)
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(h := held.get(strip(x), ())) < 3 or max(h) == (none if i is None else i)]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+REPEATED = [(1, "one line that is long enough"), (1, "one line that is long enough"), (2, "one line that is long enough"), (None, "another line, long enough too"), (None, "another line, long enough too\nown"),
+            (5, "another line, long enough too"), (6, " ANOTHER line, long enough too\nthree hold this line, says the test"), (7, "three hold this line, says the test"), (8, "three hold this line, says the test\n" * 3), (8, "three hold this line, says the test\ntail"), (None, None), (9, "")]
+
+
+@pytest.mark.parametrize("bound", [None, 0])
+def test_line_dedup_equals_brute_force(spark, docs, none, bound):
+    for rows in (corpus(), REPEATED, corpus() + REPEATED + corpus()[:9]):
+        done = line_dedup.drop_lines(frame(spark, rows), broadcast_keys=bound, into="found")
+        assert [c for c in done.columns if c != "found"] == docs.columns
+        got = done.select("doc_id", "found.*", "_lines").collect()
+        assert {r["_lines"] for r in got} == {"l"}
+        assert sorted((tuple(r)[:4] for r in got), key=str) == brute_line_rows(rows)
+    clash = line_dedup.drop_lines(docs, broadcast_keys=bound)
+    assert sorted(clash.columns) == sorted(docs.columns) and clash.select("_lines.kept").count() == docs.count()
+    assert line_dedup.drop_lines(none, broadcast_keys=bound).count() == 0
+
+
+def test_dedup_lines_keeps_the_other_columns(docs):
     kept = line_dedup.dedup_lines(docs)
-    assert kept.columns == docs.columns and kept.count() == docs.count()
-    assert line_dedup.drop_lines(none.select("doc_id", "text")).count() == 0
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert sorted(map(str, kept.drop("text", "n_chars").collect())) == sorted(map(str, docs.drop("text", "n_chars").collect()))
+    want = {i: k for i, _, _, k in brute_line_rows(corpus())}
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept.collect()} == {i: (k, len(k)) for i, k in want.items()}
+
+
+def test_lines_of_one_document_are_never_counted(spark):
+    rows = [(i, f"this line is of document {i} alone\nand this one is of all of them") for i in range(500)]
+    counted = line_dedup.counts(frame(spark, rows)).collect()
+    assert max(r["docs"] for r in counted) == 500
+    assert len(counted) <= 5  # the common line, and what a filter takes for seen
+
+
+def test_line_index_equals_a_fresh_build(spark):
+    rng, lines = random.Random(8), [f"line number {k} of those that are shared" for k in range(12)]
+    text = lambda i: "\n".join(rng.sample(lines, rng.randrange(4)) + [f"the own line of document {i}"])
+    index, held = line_dedup.LineIndex(spark, shards=3), {}
+    for step in range(4):
+        new = {i: text(i) for i in rng.sample(range(30), 12)} | ({None: text("x")} if step == 1 else {})
+        index.insert(frame(spark, list(new.items())))
+        held |= new
+        gone = rng.sample(sorted(i for i in held if i is not None), 5) + [999] + ([None] if step == 2 else [])
+        index.delete(frame(spark, [(i, None) for i in gone]))
+        held = {i: t for i, t in held.items() if i not in gone}
+        fresh = line_dedup.verdicts(frame(spark, list(held.items()))).collect()
+        assert sorted(map(tuple, index.verdicts().collect())) == sorted(map(tuple, fresh))
+    keys = {bytes(r["key"]) for r in index.counts().collect()}
+    filters = [pickle.loads(r["packed"]) for r in index.filters.collect()]
+    assert sum(f.count for f in filters) == len(keys) > 10
+    assert all(any(int.from_bytes(k[:8], "little") in f for f in filters) for k in keys)
+    index.delete(frame(spark, [(i, None) for i in held]))
+    assert index.verdicts().count() == 0
+    assert sum(pickle.loads(r["packed"]).count for r in index.filters.collect()) == 0
 
 
 def test_bpe_round_trip(docs, none):
