@@ -8,14 +8,15 @@ The automaton reads token ids. It starts as one state with a loop for every byte
 * ab leads to a state t(ab) of its own, which starts as a copy of t(b) as it stood.
 
 So there is one state per token, and the automaton accepts exactly the token
-sequences that applying the merges by rank can produce. Written out, its arcs
-would be a table of vocabulary x vocabulary; kept are the cut arcs and, for
-each copied arc set and state, whose copy it is and as of which gadget. An arc
-is looked up by following copies back in time, and answers stay in a table.
-
-Every word, and every beginning of one, has exactly one path. A word is encoded by following arcs
-from the left, the longest first; a beginning that cannot go on is left for good, which bounds the
-search by the length of the word. Decoding emits the arcs' labels. Words are split off beforehand by the byte-level pattern; words met before come from a table.
+sequences that applying the merges by rank can produce. Kept are the cut arcs and, for
+each copied arc set and state, whose copy it is and as of which gadget.
+
+To encode, the automaton is turned into one that reads bytes: with every arc spelled out byte by byte, the
+subset construction gives a deterministic transition table, (state, byte) -> state. Every beginning of a word has exactly
+one right tokenization, so a state has exactly one token that ends in it. A word is encoded by one table look-up a byte;
+its tokens are read off from the end, each taking as many bytes as its label has. States are built when first
+reached and stay in the table, whose size is bounded. Decoding emits the arcs' labels. Words are split off
+beforehand by the byte-level pattern; words met before come from a table.
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ _EXACT = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--{_LATER}]+| ?
 #: The same over characters for which the standard library's classes agree with it.
 _PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _OTHER = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-©«-±¶-¸»¿-ſ‐-‧€]")
-#: Words and arcs kept in the tables of a process.
-WORDS, ARCS = 300_000, 1_000_000
+#: Words and states kept in the tables of a process.
+WORDS, STATES = 300_000, 400_000
 
 
 def split_words(text: str) -> list[str]:
@@ -79,10 +80,28 @@ class Automaton:
         for rank, merge in enumerate(merges):
             self._gadget(rank, *merge)
         self.end = len(merges) + 1
-        self.number = {labels[k]: k for k in self.born}
-        # every proper beginning of a token, so that a walk knows when to stop
-        self.starts = dict.fromkeys((b[:n] for b in self.number for n in range(1, len(b))), -1) | self.number
-        self.arcs: dict[int, bool] = {}
+        # the labels as a tree of bytes: (node, byte) -> node, and the token that a node spells
+        self.below: dict[int, int] = {}
+        self.spelled: dict[int, int] = {}
+        self.inner: set[int] = set()
+        nodes = 1
+        for token in self.born:
+            node = 0
+            for byte in labels[token]:
+                self.inner.add(node)
+                nxt = self.below.get(node << 8 | byte)
+                if nxt is None:
+                    nxt = self.below[node << 8 | byte] = nodes
+                    nodes += 1
+                node = nxt
+            self.spelled[node] = token
+        self.length = {token: len(labels[token]) for token in self.born}
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty table: the state before the first byte."""
+        self.start = State(self, -1, (0,))
+        self.states = {self.start.parts: self.start}
 
     def _gadget(self, rank: int, left: int, right: int, made: int) -> None:
         if made in self.born:
@@ -93,17 +112,7 @@ class Automaton:
         self.state_of[made] = right
 
     def arc(self, state: int, token: int) -> bool:
-        """Whether token has an arc from the state that token `state` leads to."""
-        key = state << 20 | token
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) >= ARCS:
-                self.arcs.clear()
-            known = self.arcs[key] = self._trace(state, token)
-        return known
-
-    def _trace(self, state: int, token: int) -> bool:
-        """Follow copies back; cuts by gadgets before `time` hold."""
+        """Whether token has an arc from the state that token `state` leads to: copies are followed back, cuts by gadgets before `time` hold."""
         time, born = self.end, self.born
         while True:
             if self.cut.get((state, token), self.end) < time:
@@ -116,41 +125,52 @@ class Automaton:
             else:  # this state was copied before its gadget
                 time, state = a, self.state_of[state]
 
+    def step(self, state: State, byte: int) -> State:
+        """The transition by a byte that the table doesn't have yet."""
+        parts, end = [], -1
+        for part in state.parts:
+            token, node = (part >> 24) - 1, self.below.get((part & 0xFFFFFF) << 8 | byte)
+            if node is None:
+                continue
+            made = self.spelled.get(node)
+            if made is not None and (token < 0 or self.arc(token, made)):
+                end = made
+            if node in self.inner:
+                parts.append((token + 1) << 24 | node)
+        parts.append((end + 1) << 24)
+        subset = tuple(sorted(parts))
+        to = self.states.get(subset)
+        if to is None:
+            if len(self.states) >= STATES:
+                self._forget()
+            to = self.states[subset] = State(self, end, subset)
+        state[byte] = to
+        return to
+
     def encode(self, word: bytes) -> list[int]:
-        """The one path whose labels make up the word: longest arcs first; a place that led nowhere is not entered again."""
-        n = len(word)
-        starts, arcs = self.starts, self.arcs
-        path: list[int] = []
-        open_: list[list[tuple[int, int]]] = []
-        places, dead = [0], set()
-        while places[-1] < n:
-            at = places[-1]
-            if len(open_) < len(places):
-                found = []
-                for end in range(at + 1, n + 1):
-                    token = starts.get(word[at:end])
-                    if token is None:
-                        break
-                    if token >= 0:
-                        found.append((token, end))
-                open_.append(found)
-            found = open_[-1]
-            while found:
-                token, end = found.pop()
-                if path:
-                    if end in dead:
-                        continue
-                    known = arcs.get(path[-1] << 20 | token)
-                    if not (self.arc(path[-1], token) if known is None else known):
-                        continue
-                path.append(token)
-                places.append(end)
-                break
-            else:
-                open_.pop()
-                dead.add(places.pop())
-                path.pop()
-        return path
+        """The tokens of a word by one transition a byte."""
+        state, ends = self.start, []
+        for byte in word:
+            state = state[byte]
+            ends.append(state.end)
+        out, at = [], len(word)
+        while at:
+            token = ends[at - 1]
+            out.append(token)
+            at -= self.length[token]
+        return out[::-1]
+
+
+class State(dict):
+    """A row of the table, byte to state. parts: (last whole token + 1) << 24 | node of what is spelled since; end: the token that ends here."""
+
+    __slots__ = ("automaton", "end", "parts")
+
+    def __init__(self, automaton: Automaton, end: int, parts: tuple[int, ...]):
+        self.automaton, self.end, self.parts = automaton, end, parts
+
+    def __missing__(self, byte: int) -> State:
+        return self.automaton.step(self, byte)
 
 
 class Words(dict):

@@ -111,3 +111,19 @@ def test_html_skips_no_more_than_the_element():
     assert html_text.main_text("<p>a</p><style>p{} </styles> x<p>rest</p>") == "a"
     assert html_text.main_text("<p>a <svg/>b <title>x</title>c</p>") == "a b c"
     assert html_text.main_text("<p>a" + "<video>" * 100_000 + "</p><p>rest</p>") == "a\nrest"
+
+
+def test_bpe_table_is_deterministic_and_may_be_forgotten(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    theirs, ours = Tokenizer.from_file(path), bpe.Codec(path).automaton
+    rng = np.random.default_rng(9)
+    words = ["".join(chr(c) for c in rng.choice([97, 101, 115, 116, 110, 39, 233, 26085], rng.integers(1, 40))) for _ in range(300)] + ["ab" * 50_000]
+    want = [[t for part in theirs.pre_tokenizer.pre_tokenize_str(w) for t in theirs.encode(w[part[1][0] : part[1][1]], add_special_tokens=False).ids] for w in words]
+    got = [[t for part in bpe.split_words(w) for t in ours.encode(part.encode())] for w in words]
+    assert got == want
+    built = len(ours.states)
+    assert [[t for part in bpe.split_words(w) for t in ours.encode(part.encode())] for w in words] == want and len(ours.states) == built  # now from the table alone
+    monkeypatch.setattr(bpe, "STATES", 50)
+    fresh = bpe.Codec(path).automaton
+    assert [[t for part in bpe.split_words(w) for t in fresh.encode(part.encode())] for w in words] == want
+    assert len(fresh.states) <= 51

@@ -364,3 +364,11 @@ def test_pipeline_equals_brute_force(spark):
     for p in corpus_pipeline.run(spark, folder).collect():
         got[p["doc_id"]] = got.get(p["doc_id"], 0) + p["length"]
     assert got == want and 0 < len(want) < table.count()
+
+
+def test_bpe_documents_there_and_back(docs, none):
+    theirs = Tokenizer.from_file(PATH)
+    ids = bpe.encode_documents(docs, PATH)
+    assert {r["doc_id"]: r["ids"] for r in ids.collect()} == {i: theirs.encode(t or "", add_special_tokens=False).ids for i, t in corpus()}
+    assert {r["doc_id"]: r["text"] for r in bpe.decode_documents(ids, PATH).collect()} == {i: t or "" for i, t in corpus()}
+    assert bpe.encode_documents(none, PATH).count() == 0 and bpe.decode_documents(bpe.encode_documents(none, PATH), PATH).count() == 0
