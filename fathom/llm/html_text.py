@@ -6,13 +6,17 @@ block-level tags (and their classes) from the root to it. For each path
     ratio = (characters of all its blocks outside links / its blocks)
             * (1 + punctuation marks of its blocks / its blocks)
 
-fuses text length and punctuation. Blocks, in page order, get their path's ratio, smoothed with
-their neighbours (1/4, 1/2, 1/4); paths whose blocks are on average at least
-`strength` standard deviations high select the content nodes. Elements that
-are never main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments, hidden ones) can't be selected; where only a word of a class or id or a form says so, what it holds can outweigh it. All blocks of the selected paths are the result, wherever they stand, with
-the lesser blocks between them. The content's element, found from the root down by following the child with most of
-the selected text, only decides on the lesser blocks before and after.
+fuses text length and punctuation. Blocks, in page order, get the logarithm of their path's ratio, smoothed with
+their neighbours' (1/4, 1/2, 1/4); a path's level is the mean over its blocks. Paths at least `strength` of the way up from
+the page's least level to its greatest (that of the article or main, if there is one) select the content nodes, inside an article as elsewhere.
+Elements that are never main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
+comments, hidden ones) can't be selected; where only a word of a class or id or a form says so, what it holds can outweigh it.
+All blocks of the selected paths are the result, wherever they stand. Of the other blocks, headings right before a
+kept block stay, and list items, cells, quotes and bare text that stand in the same element as selected blocks, in the content's
+element or between selected blocks: their length says nothing, their place does. The content's element is found from the root down
+by following the child with most of the selected text.
+
+Reading is linear in the page, whatever is broken in it.
 """
 
 from __future__ import annotations
@@ -43,15 +47,22 @@ PARAGRAPH_ENDS = frozenset("address article aside blockquote center details dial
 AD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner".split())
 SIDE_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer header masthead topbar toolbar pager pagination related recommended trending popular widget share sharing social newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices alert popup modal overlay toast skip".split())
 COMMENT_WORDS = frozenset("comment comments commentlist replies reply respond disqus discussion responses".split())
+# Of those, the ones that are also names of an article's own parts.
+PART_WORDS = frozenset("discussion responses".split())
 TEASER_WORDS = AD_WORDS | frozenset("related recommended trending popular".split())
 PLACE_WORDS = frozenset("site left right top bottom primary secondary mobile desktop".split())
 COMMENT_PARTS = frozenset("list area section form thread".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
+# Elements that hold or group a text's parts, not other matter.
+STRUCTURE = LEAVES | frozenset("ul ol dl table thead tbody tfoot tr figure hgroup header center".split())
+#: Elements inside each other beyond which new ones become neighbours, as in browsers.
+DEPTH = 512
 # Why an element is no main text: for certain, or by a word or a form, which what it holds can outweigh.
 CERTAIN, LAYOUT, TEASER, COMMENT = 1, 2, 3, 4
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_CLOSES = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in SKIPPED}
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_INSIDE = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+")
+_CLOSES = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in SKIPPED}
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¡¿«»\"“”'()]")
@@ -60,10 +71,11 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¡¿«»\"“”'()]"
 class Element:
     """path: a number for the names from the root to here; in_home: inside an article or main; veto: why it may be no main text, 0 if nothing says so; away: whether it is none, see judge()."""
 
-    __slots__ = ("tag", "path", "parent", "veto", "away", "mass", "children", "in_home", "inside")
+    __slots__ = ("tag", "path", "parent", "veto", "away", "mass", "children", "in_home", "inside", "depth")
 
     def __init__(self, tag: str, path: int, parent: Element | None, veto: int):
         self.tag, self.path, self.parent = tag, path, parent
+        self.depth = parent.depth + 1 if parent else 0
         self.veto = CERTAIN if parent and parent.veto == CERTAIN else veto
         self.away = self.veto != 0 or (parent.away if parent else False)
         self.in_home = tag in HOME or (parent.in_home if parent else False)
@@ -86,7 +98,8 @@ def _veto(tag: str, found: dict[str, str], parent: Element) -> int:
     names = found.get("class", "").split()
     listed = [_listed(n) for n in {*names, *found.get("id", "").split()}]
     if COMMENT in listed and (tag not in HOME or {n.lower() for n in names} & COMMENT_WORDS):
-        return COMMENT
+        part = parent.in_home and {n.lower() for n in (*names, *found.get("id", "").split()) if _listed(n) == COMMENT} <= PART_WORDS
+        return 0 if part else COMMENT
     if tag in HOME or tag in HEADINGS:
         return 0
     return LAYOUT if LAYOUT in listed else TEASER if TEASER in listed else LAYOUT if tag == "form" or role == "form" else 0
@@ -150,6 +163,51 @@ class Block:
         self.element, self.text, self.linked = element, text, linked
 
 
+def _events(page: str) -> Iterator[tuple[str, bool, str]]:
+    """("", False, text) and (tag, whether it closes, what follows its name) in order. Comments and skipped elements are left out.
+
+    A tag whose quotes are never closed ends at the next ">", as do those before the open quote; without one the rest is text.
+    """
+    at = end = loose = 0
+    unclosed: set[str] = set()  # skipped elements that no closing tag follows any more
+    while (at := page.find("<", at)) >= 0:
+        m = None
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            stop = stop + 3 if stop >= 0 else len(page)
+        elif page.startswith(("<!", "<?"), at):
+            stop = page.find(">", at) + 1
+        elif m := _NAME.match(page, at):
+            stop = m.end()
+            if at >= loose:
+                stop = _INSIDE.match(page, stop).end()
+                if not page.startswith(">", stop):
+                    loose = stop
+            stop = (stop if at >= loose else page.find(">", m.end())) + 1
+        else:
+            at += 1
+            continue
+        if not stop:
+            break
+        if at > end:
+            yield "", False, page[end:at]
+        end = at = stop
+        if m is None:
+            continue
+        tag, closing, rest = m[2].lower(), bool(m[1]), page[m.end() : stop - 1]
+        if tag not in SKIPPED:
+            yield tag, closing, rest
+        elif not closing and not (tag in SELF_CLOSED and rest.endswith("/")) and tag not in unclosed:
+            if last := _CLOSES[tag].search(page, end):
+                end = at = page.find(">", last.end()) + 1 or len(page)
+            elif tag in OPEN_ENDED:
+                end = at = len(page)
+            else:
+                unclosed.add(tag)
+    if end < len(page):
+        yield "", False, page[end:]
+
+
 def blocks(page: str) -> tuple[list[Element], list[Block]]:
     """The page's elements, parents first, and its non-empty blocks in order, whatever they are."""
     root = Element("html", 0, None, 0)
@@ -167,29 +225,11 @@ def blocks(page: str) -> tuple[list[Element], list[Block]]:
             parts.clear()
         linked = 0
 
-    def text(lo: int, hi: int) -> None:
-        nonlocal linked
-        if hi > lo:
-            parts.append(page[lo:hi])
+    for tag, closing, rest in _events(page):
+        if not tag:
+            parts.append(rest)
             if links:
-                linked += hi - lo
-
-    end = 0
-    unclosed: set[str] = set()  # skipped elements that no closing tag follows any more
-    while m := _TOKEN.search(page, end):
-        text(end, m.start())
-        end = m.end()
-        if m[2] is None:  # comments and doctypes
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag in SKIPPED:
-            if not closing and not (tag in SELF_CLOSED and m[3].endswith("/")) and tag not in unclosed:
-                if last := _CLOSES[tag].search(page, end):
-                    end = last.end()
-                elif tag in OPEN_ENDED:
-                    end = len(page)
-                else:
-                    unclosed.add(tag)
+                linked += len(rest)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -222,12 +262,13 @@ def blocks(page: str) -> tuple[list[Element], list[Block]]:
             at = _leave(at, ("option",), ())
         elif tag == "body":
             at = _leave(at, ("head",), ())
-        found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
+        if at.depth >= DEPTH:
+            at = at.parent
+        found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest else {}
         classes = ".".join(sorted(found.get("class", "").split()))
         path = paths.setdefault((at.path, f"{tag}.{classes}" if classes else tag), len(paths) + 1)
         at = Element(tag, path, at, _veto(tag, found, at))
         elements.append(at)
-    text(end, len(page))
     close()
     return elements, out
 
@@ -253,11 +294,8 @@ def path_ratios(found: list[Block]) -> dict[int, float]:
     return {path: chars / n * (1 + marks / n) for path, (n, chars, marks) in sums.items()}
 
 
-def main_text(page: str | None, strength: float = 0.5) -> str:
-    """The main text of a page, one block a line; empty if there is none."""
-    elements, found = blocks(page or "")
-    if not any(b.element.veto != CERTAIN for b in found):
-        return ""
+def path_levels(found: list[Block]) -> dict[int, float]:
+    """Each path's level: the logarithm of its ratio, smoothed along the page."""
     ratios = path_ratios(found)
     paths = [b.element.path for b in found]
     own = np.log1p([ratios[p] for p in paths])
@@ -266,14 +304,32 @@ def main_text(page: str | None, strength: float = 0.5) -> str:
     fused: dict[int, list[float]] = {}
     for path, value in zip(paths, smooth):
         fused.setdefault(path, []).append(float(value))
-    level = {path: sum(v) / len(v) for path, v in fused.items()}
-    threshold = strength * float(np.std(own)) + float(own.min())
-    judge(elements, found, [level[p] >= threshold for p in paths])
+    return {path: sum(v) / len(v) for path, v in fused.items()}
+
+
+def main_text(page: str | None, strength: float = 0.6) -> str:
+    """The main text of a page, one block a line; empty if there is none."""
+    elements, found = blocks(page or "")
+    if not any(b.element.veto != CERTAIN for b in found):
+        return ""
+    levels = path_levels(found)
+    level = [levels[b.element.path] for b in found]
+    least = min(level)
+
+    def high(of: list[bool]) -> list[bool]:
+        """Which blocks are high, by the greatest level among the blocks of `of`."""
+        top = max(x for x, fits in zip(level, of) if fits)
+        return [x >= least + strength * (top - least) for x in level]
+
+    likely = [b.element.veto != CERTAIN for b in found]
+    at_home = [x and b.element.in_home for x, b in zip(likely, found)]
+    named = [x and not b.element.away for x, b in zip(at_home, found)]
+    judge(elements, found, high(named if any(named) else at_home if any(at_home) else likely))
     fit = [not b.element.away for b in found]
     if not any(fit):
         return ""
-    threshold = min(threshold, max(level[p] for p, f in zip(paths, fit) if f))
-    chosen = [f and level[p] >= threshold for p, f in zip(paths, fit)]
+    at_home = [f and b.element.in_home for f, b in zip(fit, found)]
+    chosen = [f and h for f, h in zip(fit, high(at_home if any(at_home) else fit))]
     for b, c in zip(found, chosen):
         if c:
             b.element.mass += len(b.text) - b.linked
@@ -283,9 +339,9 @@ def main_text(page: str | None, strength: float = 0.5) -> str:
 
 
 def _kept(found: list[Block], chosen: list[bool], home: Element) -> list[bool]:
-    """The chosen blocks; of the others those between them, those in the content's element and headings right before a kept block.
+    """The chosen blocks; of the others headings right before a kept block and parts of a text that stand beside chosen ones.
 
-    Blocks that are mostly links need both. Elements that are never main text have none.
+    Blocks that are mostly links need a chosen block before and after, and the content's element around. Elements that are never main text have none.
     """
     e, above = home, set()
     while e is not None:
@@ -302,6 +358,13 @@ def _kept(found: list[Block], chosen: list[bool], home: Element) -> list[bool]:
         within.update((x, known) for x in way)
         return known
 
+    def host(e: Element) -> Element:
+        """The element that the text is a part of, beyond lists, tables and quotes."""
+        while e.tag in STRUCTURE and e.parent is not None:
+            e = e.parent
+        return e
+
+    hosts = {host(b.element) for b, c in zip(found, chosen) if c}
     first, last = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
     whole = home.tag not in ("html", "body")
     kept = list(chosen)
@@ -310,8 +373,10 @@ def _kept(found: list[Block], chosen: list[bool], home: Element) -> list[bool]:
         if chosen[k] or b.element.away:
             continue
         between, held = first < k < last, whole and inside(b.element)
-        text = 2 * b.linked <= len(b.text)
-        kept[k] = (between and held) if not text else between or held or (b.element.tag in HEADINGS and k + 1 < len(found) and kept[k + 1])
+        if 2 * b.linked > len(b.text):
+            kept[k] = between and held
+        else:
+            kept[k] = ((between or held) and host(b.element) in hosts) or (b.element.tag in HEADINGS and k + 1 < len(found) and kept[k + 1])
     return kept
 
 
@@ -330,12 +395,13 @@ def _home(elements: list[Element]) -> Element:
     return at
 
 
-def extract(pages: DataFrame, strength: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, strength: float = 0.6) -> DataFrame:
     """One row per row of pages(page_id, url, html): page_id, url, text, n_chars.
 
     text: the main text with character references decoded, white space in a block
     turned into one space, blocks in page order joined by one newline; empty for null or empty html and pages without main text.
-    n_chars: its code points. Text without any tag is a block of its own. Repeats and nulls are kept; other columns are ignored.
+    n_chars: its code points. Text without any tag is a block of its own. Repeats and nulls are kept; other columns are ignored, of any
+    name. Very long and broken pages take time in proportion to their length; a tag that is never closed is text.
     """
     ship(pages.sparkSession)
 

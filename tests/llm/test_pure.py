@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -127,3 +129,45 @@ def test_bpe_table_is_deterministic_and_may_be_forgotten(monkeypatch):
     fresh = bpe.Codec(path).automaton
     assert [[t for part in bpe.split_words(w) for t in fresh.encode(part.encode())] for w in words] == want
     assert len(fresh.states) <= 51
+
+
+def test_html_ratios_select_without_telling_names():
+    """Comments, adverts and bylines in plain divs go by their paths' ratios; a list between or after paragraphs stays by its place."""
+    long = "".join(f"<p>{k} {SENTENCE * 4}</p>" for k in range(6))
+    lines = [f"{k} {SENTENCE * 4}".strip() for k in range(6)]
+    menu = "<nav><a href=x>Menu</a></nav>"
+    box = "<div><h3>3 thoughts</h3><div><b>Bob</b> Nice one</div><div><b>Eve</b> I agree</div><div><b>Al</b> Me too</div></div>"
+    advert = "<div>Buy now</div>"
+    items = "<ul><li>red ones</li><li>blue ones</li></ul>"
+    page = f"<body>{menu}<article><h1>Title</h1>{long}{advert}{items}{long}{box}</article></body>"
+    assert html_text.main_text(page).split("\n") == ["Title", *lines, "red ones", "blue ones", *lines]
+    loose = html_text.main_text(page, strength=0.0)
+    assert "Buy now" in loose and "Nice one" in loose and len(loose) > len(html_text.main_text(page))  # the ratios decide
+    flat = f"<body>{menu}<div>{long}{items}</div>{advert}<div><div>Older</div><div>Newer</div></div></body>"
+    assert html_text.main_text(flat).split("\n") == [*lines, "red ones", "blue ones"]
+    science = f"<body><article><section id=methods><h2>Methods</h2>{long}</section><section id=discussion><h2>Discussion</h2>{long}</section></article></body>"
+    assert html_text.main_text(science).split("\n") == ["Methods", *lines, "Discussion", *lines]
+
+
+def test_html_ratios_equal_a_plain_count():
+    page = f"<body><div class='b a'><p>One, two.</p><p>Three <a href=x>four</a>!</p></div><p>Five</p><table><tr><td>{SENTENCE}</td></tr></table></body>"
+    _, found = html_text.blocks(page)
+    texts = {"p in div": ["One, two.", "Three four!"], "p": ["Five"], "td": [SENTENCE.strip()]}
+    marks = lambda t: sum(c in ".,;:!?" for c in t)
+    want = []
+    for name, held in texts.items():
+        chars = sum(map(len, held)) - (4 if name == "p in div" else 0)  # four stands in a link
+        want.append(chars / len(held) * (1 + sum(map(marks, held)) / len(held)))
+    assert sorted(html_text.path_ratios(found).values()) == sorted(want)
+    own = np.log1p([want[0], want[0], want[1], want[2]])
+    smooth = [(a + 2 * b + c) / 4 for a, b, c in zip([own[0], *own], own, [*own[1:], own[-1]])]
+    assert np.allclose(sorted(html_text.path_levels(found).values()), sorted([(smooth[0] + smooth[1]) / 2, smooth[2], smooth[3]]))
+
+
+def test_html_broken_pages_take_linear_time():
+    for bad in ("<a " * 350_000, "<svg " * 200_000, '<a "' * 250_000, "<a '" + '<b ">' * 150_000, "<!" * 300_000, "<svg>" + "</svg " * 150_000, "<ul>" + "<section>" * 20_000 + "<li></li>" * 20_000, "<" * 500_000, "<!--" * 250_000):
+        began = time.time()
+        html_text.main_text(bad)
+        assert time.time() - began < 5, bad[:20]
+    assert html_text.main_text("<p>a</p><p title='x>b</p><p>c</p>") == "a\nb\nc"
+    assert html_text.main_text("x < y <b>and</b> z <3") == "x < y and z <3"

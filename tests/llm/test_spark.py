@@ -277,6 +277,7 @@ def test_url_rules(spark):
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<article><p>Some text, here.</p></article>" * 2, "x"), (3, "u", "<p", "x")], "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
+    assert sorted(((r["page_id"], r["url"], r["text"]) for r in got), key=str) == sorted([(1, "u", ""), (2, None, ""), (3, "u", "Some text, here.\nSome text, here."), (3, "u", "<p")], key=str)
     assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_text.extract(df.where("false")).count() == 0
 
