@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -19,7 +19,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     now = settle(_ordered(edges))
     mark = _mark(now)
     for _ in range(max_rounds):
-        now = settle(_small(_large(now)))
+        done, now = now, settle(_small(_large(now)))
+        discard(done)
         before, mark = mark, _mark(now)
         if mark == before:
             roots = now.select(F.col("v").alias("node")).distinct()

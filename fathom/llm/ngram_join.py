@@ -17,12 +17,16 @@ Plan, for documents x with shingle sets S(x) and a threshold of p percent:
    has, T = ceil(n * p / 100). Routes are grouped by range of hash; each
    route ties its sets to one anchor (linear in the route's length, pre-tied on the map
    side), never pair by pair.
-3. blocks: the components of these ties hold all links. Each component is cut
-   into blocks of bounded size and every pair of blocks is searched once with
+3. groups: the components of these ties hold all links. Sets of groups too large for a block are routed again among
+   themselves, with a list of what is frequent there, apart for each class of sizes and each group.
+4. blocks: each group is cut into blocks of bounded size, and a block is searched with
    DivideSkip: a query's longest lists are set aside, its short ones are
    heap-merged, sets that occur often enough are probed in the long ones by
-   binary search. Sets already known to be connected are not verified again.
-4. links: the components of the verified links are the result.
+   binary search. Sets already known to be connected are not verified again, and of the
+   largest connected part no set needs to be a query.
+5. across blocks: of a group of several blocks, first one set of each connected part of each block are searched among
+   themselves. Where a group is still in several parts, the sets outside its largest part, and only these, meet all its blocks.
+6. links: the components of the verified links are the result.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ import hashlib
 import heapq
 import math
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, settle, shuffle_partitions, span_hashes, ship
+from .common import LOWER, mix, settle, ship, shuffle_partitions
 from .components import components
 
 #: Shingles in one chunk of rows while frequent ones are sought, and postings sorted at a time.
@@ -48,8 +53,27 @@ CHUNK = 2_000_000
 HEAVY, HEAVY_FROM = 500_000, 10
 #: Sets, and shingles, in a block.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_500_000
-#: Candidate rows up to which their ids are broadcast to the scan of the texts.
-BROADCAST_ROWS = 500_000
+#: Rows of numbers up to which a table is broadcast; beyond that it is joined, spread over slices where keys may be hot.
+BROADCAST_ROWS, SLICES = 500_000, 16
+#: Times that groups too large for a block are routed again.
+ROUNDS = 2
+#: Words whose hashes a process keeps.
+WORDS = 500_000
+
+
+class _Words(dict):
+    """Hashes of words, 64 bits of a keyed cryptographic hash each."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"words").digest(), "little")
+        if len(word) <= 64:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_words = _Words()
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -57,7 +81,13 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not found:
         return np.empty(0, np.uint64)
-    return np.unique(span_hashes(b" ".join(found) + b" ", words))
+    hashes = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    k = min(words, len(found))
+    place = mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
+    total = np.full(len(found) - k + 1, k, np.uint64)
+    for j in range(k):
+        total += hashes[j : len(found) - k + 1 + j] * place[j]
+    return np.unique(mix(total))
 
 
 def set_name(hashes: np.ndarray) -> int:
@@ -158,8 +188,17 @@ _ABOVE = sorted({math.ceil(2 ** (k / 2)) for k in range(2, 80)})
 PART = 3
 
 
-def routes(h: np.ndarray, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Keys of a set, such that linked sets have one in common.
+def classes_of(n: int, percent: int) -> list[int]:
+    """The classes of sizes in which a set of n shingles may meet partners as large as it or larger: its own and those above that hold possible ones."""
+    own = bisect_right(_ABOVE, n)
+    out = [own]
+    while n * 100 >= percent * _ABOVE[out[-1]]:
+        out.append(out[-1] + 1)
+    return out
+
+
+def routes(h: np.ndarray, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, np.ndarray]]:
+    """(class of sizes, keys) of a set, such that linked sets have a key in common.
 
     A pair meets in the class of its larger set; a set therefore stands in its own class and in those
     above that hold possible partners. Of the parts of a class at most d differ between partners; if more than d
@@ -168,16 +207,13 @@ def routes(h: np.ndarray, percent: int, heavy: tuple[np.ndarray, np.ndarray]) ->
     n = len(h)
     g, _ = heavy
     light = h if not len(g) else h[g[np.minimum(np.searchsorted(g, h), len(g) - 1)] != h]
-    own = bisect_right(_ABOVE, n)
     out = []
-    for k in range(own, len(_ABOVE)):
-        if k > own and n * 100 < percent * _ABOVE[k - 1]:
-            break
+    for k in classes_of(n, percent):
         top = min(_ABOVE[k] - 1, n * 100 // percent)
         differ = (100 - percent) * (n + top) // (100 + percent)
         parts = max(1, _ABOVE[k] // PART)
         salt = mix(np.array([k], np.uint64))
-        held = 0
+        held, keys = 0, []
         if len(light):
             mixed = mix(light ^ salt)
             part = (mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
@@ -187,10 +223,11 @@ def routes(h: np.ndarray, percent: int, heavy: tuple[np.ndarray, np.ndarray]) ->
             several = np.diff(np.append(first, len(part))) > 1
             sums = np.add.reduceat(mix(mixed[order] + np.uint64(1)), first)
             held = int(several.sum())
-            out.append(mix(sums[several] + salt * (part[first[several]] + np.uint64(1))))
+            keys.append(mix(sums[several] + salt * (part[first[several]] + np.uint64(1))))
         if held <= differ:
-            out.append(mix(prefix(h, percent, heavy) + salt * np.uint64(3)))
-    return np.unique(np.concatenate(out))
+            keys.append(mix(prefix(h, percent, heavy) + salt * np.uint64(3)))
+        out.append((k, np.unique(np.concatenate(keys))))
+    return out
 
 
 def _tie(g: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,9 +242,12 @@ def _tie(g: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return g[first], name[first], ties[:, 0], ties[:, 1]
 
 
-def _postings(words: int, percent: int, heavy, buckets: int):
-    def out(gs: list[np.ndarray], names: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        g, name, u, v = _tie(np.concatenate(gs), np.concatenate(names))
+def _postings(words: int, percent: int, heavy, buckets: int, again: bool):
+    """Rows (text, root, only) to packed routes and ties. again: routes and nodes of their own for each group `root` and class of sizes (`only` that one, if
+    it is not null); else a node is a set."""
+
+    def out(gs: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        g, name, u, v = _tie(np.concatenate(gs), np.concatenate(nodes))
         bucket = (g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
         rows = [(b, False, np.concatenate([g[lo:hi].view(np.int64), name[lo:hi]]).tobytes()) for b, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if hi > lo]
@@ -217,22 +257,45 @@ def _postings(words: int, percent: int, heavy, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = heavy.value
-        gs, names, held, seen = [], [], 0, set()
+        gs, nodes, held, seen = [], [], 0, set()
         for batch in batches:
-            for text in batch.column("text"):
+            for text, root, only in zip(batch.column("text"), batch.column("root").to_pylist(), batch.column("only").to_pylist()):
                 h = shingles(text.as_py(), words)
-                if not len(h) or (name := set_name(h)) in seen:
+                if not len(h) or ((name := set_name(h)), root) in seen:
                     continue
-                seen.add(name)
-                keys = routes(h, percent, order)
-                gs.append(keys)
-                names.append(np.full(len(keys), name, np.int64))
-                held += len(keys)
+                seen.add((name, root))
+                for k, keys in routes(h, percent, order):
+                    if only is not None and k != only:
+                        continue
+                    if again:
+                        keys = mix(keys ^ np.uint64(root & _MASK))
+                    gs.append(keys)
+                    nodes.append(np.full(len(keys), node(name, root, k) if again else name, np.int64))
+                    held += len(keys)
                 if held >= CHUNK:
-                    yield from out(gs, names)
-                    gs, names, held, seen = [], [], 0, set()
+                    yield from out(gs, nodes)
+                    gs, nodes, held, seen = [], [], 0, set()
         if gs:
-            yield from out(gs, names)
+            yield from out(gs, nodes)
+
+    return run
+
+
+_MASK = 2**64 - 1
+
+
+def node(name: int, root: int, k: int) -> int:
+    """The number of a set of a group in a class of sizes."""
+    return int(mix(mix(np.array([name & _MASK], np.uint64)) + np.uint64((root * 0x9E3779B97F4A7C15 + k) & _MASK)).view(np.int64)[0])
+
+
+def _nodes(percent: int):
+    """(node, name, n_shingles, only) for each class of sizes that a set of a group stands in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(node(name, root, k), name, n, k) for name, n, root, only in zip(*(batch.column(c).to_pylist() for c in ("name", "n_shingles", "root", "only"))) for k in classes_of(n, percent) if only in (None, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["node", "name", "n_shingles", "only"])
 
     return run
 
@@ -262,19 +325,23 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class DivideSkip:
-    """Inverted lists over the sets of a block; finds the sets that share at least T shingles with a query."""
+    """Inverted lists over sets of rising size; finds the sets that share at least T shingles with a query."""
 
     def __init__(self, sets: list[np.ndarray], weight: float = 0.01):
-        self.sets, self.weight = sets, weight
+        self.weight = weight
         self.sizes = [len(s) for s in sets]
         self.lists: dict[int, list[int]] = {}
         for k, s in enumerate(sets):
             for g in s.tolist():
                 self.lists.setdefault(g, []).append(k)
 
-    def search(self, query: np.ndarray, need: int, skip=lambda k: False) -> Iterator[tuple[int, int]]:
-        """(set, overlap) for sets with overlap >= need, in rising number; those that skip(k) names are passed over when they come up."""
-        lists = sorted((x for g in query.tolist() if (x := self.lists.get(g))), key=len)
+    def search(self, query: np.ndarray, need: int, skip=lambda k: False, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, int]]:
+        """(set, overlap) for sets from lo to hi with overlap >= need, in rising number; those that skip(k) names are passed over when they come up."""
+        lists = [x for g in query.tolist() if (x := self.lists.get(g))]
+        if lo or hi is not None:
+            end = len(self.sizes) if hi is None else hi
+            lists = [x if lo <= x[0] and x[-1] < end else x[bisect_left(x, lo) : bisect_left(x, end)] for x in lists]
+        lists = sorted(filter(None, lists), key=len)
         if len(lists) < need or need < 1:
             return
         aside = min(need - 1, max(0, math.floor(need / (self.weight * math.log2(len(lists[-1]) + 1) + 1))), len(lists) - 1)
@@ -304,8 +371,10 @@ class DivideSkip:
 
 
 class Union:
-    def __init__(self, n: int):
-        self.up, self.parts = list(range(n)), n
+    """Classes of numbers; `held` counts the members among `counted` of each class."""
+
+    def __init__(self, n: int, counted: list[bool]):
+        self.up, self.held = list(range(n)), [int(x) for x in counted]
 
     def find(self, k: int) -> int:
         while self.up[k] != k:
@@ -313,72 +382,85 @@ class Union:
             k = self.up[k]
         return k
 
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
+    def join(self, a: int, b: int) -> int:
+        """The class of both."""
+        a, b = sorted((self.find(a), self.find(b)))
         if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.parts -= 1
+            self.up[b] = a
+            self.held[a] += self.held[b]
+        return a
 
 
-def block_links(sets: list[np.ndarray], left: list[bool], right: list[bool], percent: int, all_links: bool = False) -> Iterator[tuple[int, int, int]]:
-    """Links (a, b, overlap) between sets of the left block and sets of the right block of a pair.
+def block_links(sets: list[np.ndarray], parts: list[int], left: list[bool], right: list[bool], percent: int) -> Iterator[tuple[int, int, int]]:
+    """Links (a, b, overlap) between sets of `left` and sets of `right`, enough to connect whatever all of them connect.
 
-    A block against itself has both flags everywhere. Without all_links, enough
-    links are given to connect whatever all of them connect.
+    parts: what is known to be connected has the same number. Where all sets are left and right, no set of the largest class
+    needs to be a query: any link that leaves the class is found from its other end.
     """
-    right_ids = [k for k, r in enumerate(right) if r]
-    index, union = DivideSkip([sets[k] for k in right_ids]), Union(len(sets))
-    for a in sorted((k for k, x in enumerate(left) if x), key=lambda k: len(sets[k])):
-        mine, n = sets[a], len(sets[a])
-
-        def skip(j: int, a: int = a, n: int = n) -> bool:
-            b, m = right_ids[j], index.sizes[j]
-            return b == a or 100 * min(n, m) < percent * max(n, m) or (not all_links and union.find(a) == union.find(b))
-
-        for j, overlap in index.search(mine, needed(n, percent), skip):
-            b = right_ids[j]
-            if linked(overlap, n, len(sets[b]), percent) and not (all_links and right[a] and left[b] and b < a):
-                yield a, b, overlap
-                union.join(a, b)
-                if not all_links and union.parts == 1:
-                    return
-
-
-def _search(words: int, percent: int, all_links: bool):
+    union = Union(len(sets), right)
+    first: dict[int, int] = {}
+    for k, part in enumerate(parts):
+        union.join(first.setdefault(part, k), k)
+    names = sorted((k for k, r in enumerate(right) if r), key=lambda k: len(sets[k]))
+    index, total = DivideSkip([sets[k] for k in names]), len(names)
+    both = all(left) and all(right)
+    largest = max((union.find(k) for k in names), key=lambda k: union.held[k], default=0)
+    asked: list[int] = sorted((k for k, x in enumerate(left) if x), key=lambda k: len(sets[k]), reverse=True)
+    later: list[int] = []
+    while asked:
+        a = asked.pop()
+        mine = union.find(a)
+        if union.held[mine] == total:
+            continue
+        if both and mine == union.find(largest) and union.held[mine] > 1:
+            later.append(a)
+        else:
+            n = len(sets[a])
+            lo, hi = bisect_left(index.sizes, needed(n, percent)), bisect_right(index.sizes, n * 100 // percent)
+            for j, overlap in index.search(sets[a], needed(n, percent), lambda j, a=a: union.find(a) == union.find(names[j]), lo, hi):
+                if linked(overlap, n, index.sizes[j], percent):
+                    yield a, names[j], overlap
+                    mine = union.join(a, names[j])
+            if union.held[mine] > union.held[union.find(largest)]:
+                largest = mine
+        if not asked:  # what was put off in a class that is not the largest any more
+            top = union.find(largest)
+            asked, later = [k for k in later if union.find(k) != top], [k for k in later if union.find(k) == top]
+
+
+def _search(words: int, percent: int):
     out = ["u", "v", "overlap"]
 
-    def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows = [(name, h, *flags) for name, text, *flags in rows if len(h := shingles(text, words)) and set_name(h) == name]  # ids may repeat
-        names = [r[0] for r in rows]
-        found = list(block_links([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], percent, all_links))
+    def flush(rows: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        held = [(name, h, *flags) for name, (text, *flags) in rows.items() if len(h := shingles(text, words)) and set_name(h) == name]
+        names = [r[0] for r in held]
+        found = list(block_links([r[1] for r in held], [r[2] for r in held], [r[3] for r in held], [r[4] for r in held], percent))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([names[a] for a, _, _ in found], pa.int64()), pa.array([names[b] for _, b, _ in found], pa.int64()), pa.array([o for _, _, o in found], pa.int64())], names=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
+        at, rows = None, {}
         for batch in batches:
-            for root, i, j, name, text, is_left, is_right in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "name", "text", "is_left", "is_right"))):
+            for root, i, j, name, part, text, is_left, is_right in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "name", "part", "text", "is_left", "is_right"))):
                 if (root, i, j) != at:
-                    if rows:
-                        yield from flush(rows)
-                    at, rows = (root, i, j), []
-                rows.append((name, text, is_left, is_right))
-        if rows:
-            yield from flush(rows)
+                    yield from flush(rows)
+                    at, rows = (root, i, j), {}
+                if name in rows:  # ids may repeat, with other texts; a set may be on both sides
+                    if set_name(shingles(rows[name][0], words)) == name:
+                        text = rows[name][0]
+                    is_left, is_right = is_left or rows[name][2], is_right or rows[name][3]
+                rows[name] = [text, part, is_left, is_right]
+        yield from flush(rows)
 
     return run
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """(name, doc_id, n_shingles, root) to a row for each pair of blocks that a set takes part in."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total"))
-    cut = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    own = F.pmod(F.xxhash64("name"), F.col("cut")).cast("int")
-    split = members.join(sizes.select("root", cut.alias("cut")), "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    return split.select("name", "doc_id", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("is_left"), (F.col("own") >= F.col("other")).alias("is_right"))
+# -- 4: the operator ------------------------------------------------------------
 
 
-# -- 4: the operator ------------------------------------------------------------
+def _near(df: DataFrame) -> DataFrame:
+    """Broadcast if it is small. df is read more than once."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def classes(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -387,37 +469,123 @@ def classes(docs: DataFrame, words: int = 5) -> DataFrame:
     return settle(docs.select("doc_id", "text").mapInArrow(_facts(words), "doc_id long, n_shingles long, name long, often binary"))
 
 
-def links(docs: DataFrame, facts: DataFrame, words: int = 5, percent: int = 80, all_links: bool = False) -> DataFrame:
-    """Verified links (u, v, overlap) between names of different sets: all of them, or enough to connect the same."""
-    spark = docs.sparkSession
+class _Sets:
+    """The distinct sets of docs, each by one row that has it."""
+
+    def __init__(self, docs: DataFrame, facts: DataFrame, words: int):
+        self.docs, self.words = docs, words
+        self.rows = settle(facts.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles")))
+
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """wanted(name, ...) with the text of each set. Where doc_ids repeat other texts may come too; their name differs."""
+        columns = wanted.columns
+        wanted = settle(wanted.join(self.rows.select("name", "doc_id"), "name"))
+        texts = self.docs.where("doc_id is not null").select("doc_id", "text").join(_near(wanted.where("doc_id is not null")), "doc_id").select(*columns, "text")
+        lone = wanted.where("doc_id is null")  # sets that only rows without an id hold: found by name, with one text each
+        if lone.limit(1).count():
+            named = self.docs.where("doc_id is null").select("text").mapInArrow(_named(self.words), "name long, text string")
+            named = named.join(_near(lone.select("name").distinct()), "name", "left_semi").groupBy("name").agg(F.min("text").alias("text"))
+            texts = texts.unionByName(named.join(_near(lone), "name").select(*columns, "text"))
+        return texts
+
+
+def _routed(texts: DataFrame, heavy: tuple, words: int, percent: int, again: bool) -> DataFrame:
+    """texts(text, root, only) to (node, root): the components of the ties of all routes."""
+    spark = texts.sparkSession
     parts = shuffle_partitions(spark)
-    heavy = spark.sparkContext.broadcast(_heavy(facts))
-    postings = docs.select("text").mapInArrow(_postings(words, percent, heavy, parts * 4), "bucket int, tied boolean, packed binary")
-    tied = components(postings.repartition(parts, "bucket").select("tied", "packed").mapInArrow(_ties, "u long, v long"))
-    reps = facts.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
-    blocks = settle(_blocks(reps.join(tied.withColumnRenamed("node", "name"), "name")))
-    near = F.broadcast if blocks.count() <= BROADCAST_ROWS else lambda df: df
-    columns = ["root", "i", "j", "name", "text", "is_left", "is_right"]
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(near(blocks.where("doc_id is not null")), "doc_id").select(*columns)
-    lone = blocks.where("doc_id is null")  # sets that only rows without an id hold: found by name, with one text each
-    if lone.limit(1).count():
-        named = docs.where("doc_id is null").select("text").mapInArrow(_named(words), "name long, text string")
-        named = named.join(near(lone.select("name").distinct()), "name", "left_semi").groupBy("name").agg(F.min("text").alias("text"))
-        texts = texts.unionByName(named.join(near(lone), "name").select(*columns))
-    dealt = texts.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "name")
-    return dealt.mapInArrow(_search(words, percent, all_links), "u long, v long, overlap long")
+    held = spark.sparkContext.broadcast(heavy)
+    postings = texts.select("text", "root", "only").mapInArrow(_postings(words, percent, held, parts * 4, again), "bucket int, tied boolean, packed binary")
+    return components(postings.repartition(parts, "bucket").select("tied", "packed").mapInArrow(_ties, "u long, v long"))
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """(root, cut): the groups that need more than one block."""
+    cut = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    return settle(members.groupBy("root").agg(cut.alias("cut")).where("cut > 1"))
+
+
+def groups(docs: DataFrame, facts: DataFrame, sets: _Sets, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(name, n_shingles, root) such that linked sets are together in some group, and (root, cut) of the groups larger than a block."""
+    no_class = F.lit(None).cast("int").alias("only")
+    tied = _routed(docs.select("text", F.lit(0).cast("long").alias("root"), no_class), _heavy(facts), words, percent, False)
+    members = settle(sets.rows.join(tied.withColumnRenamed("node", "name"), "name").select("name", "n_shingles", "root", no_class))
+    large = _sized(members)
+    for _ in range(ROUNDS):
+        if not large.limit(1).count():
+            break
+        near = _near(large.select("root"))
+        inside = settle(members.join(near, "root", "left_semi").select("name", "n_shingles", "root", "only"))
+        texts = settle(sets.texts(inside.select("name", "root", "only")))
+        often = texts.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_facts(words), "doc_id long, n_shingles long, name long, often binary")
+        tied = _routed(texts, _heavy(often), words, percent, True)
+        nodes = inside.mapInArrow(_nodes(percent), "node long, name long, n_shingles long, only int")
+        apart = settle(nodes.join(tied, "node").select("name", "n_shingles", "root", "only"))
+        members = members.join(near, "root", "left_anti").unionByName(apart)
+        before, large = large, _sized(apart)
+        if (large.agg(F.sum("cut")).first()[0] or 0) >= before.agg(F.sum("cut")).first()[0]:
+            break
+    return members, large
+
+
+def _found(sets: _Sets, rows: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v, overlap) in the blocks of rows(name, root, i, j, part, is_left, is_right), written."""
+    parts = shuffle_partitions(rows.sparkSession)
+    dealt = sets.texts(rows).repartition(parts * 4, "root", "i", "j").sortWithinPartitions("root", "i", "j", "name")
+    return settle(dealt.mapInArrow(_search(sets.words, percent), "u long, v long, overlap long"))
+
+
+def links(docs: DataFrame, facts: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Verified links (u, v, overlap) between names of different sets, enough to connect what all of them connect."""
+    sets = _Sets(docs, facts, words)
+    members, large = groups(docs, facts, sets, words, percent)
+    block = lambda cut, salt: F.pmod(F.xxhash64("name", F.lit(salt)), cut).cast("int")
+    whole = [F.lit(True).alias("is_left"), F.lit(True).alias("is_right")]
+    dealt = settle(members.join(_near(large), "root", "left").select("name", "n_shingles", "root", F.coalesce("cut", F.lit(1)).alias("cut")))
+    found = _found(sets, dealt.select("name", "root", block(F.col("cut"), 1).alias("i"), F.lit(0).alias("j"), F.col("name").alias("part"), *whole), percent)
+    if not large.limit(1).count():
+        return found
+
+    def in_parts() -> DataFrame:
+        """Sets of large groups that are not yet in one part, with their part."""
+        known = components(found.select("u", "v")).select(F.col("node").alias("name"), F.col("root").alias("part"))
+        placed = settle(dealt.where("cut > 1").join(known, "name", "left").withColumn("part", F.coalesce("part", "name")))
+        several = placed.groupBy("root").agg((F.min("part") < F.max("part")).alias("several")).where("several").select("root")
+        return settle(placed.join(_near(settle(several)), "root", "left_semi"))
+
+    rest = in_parts()
+    if not rest.limit(1).count():
+        return found
+    leaders = settle(rest.groupBy("root", "part", block(F.col("cut"), 1).alias("block")).agg(F.min("name").alias("name"), F.min_by("n_shingles", "name").alias("n_shingles")))
+    more = leaders.join(_near(_sized(leaders)), "root", "left").select("name", "root", block(F.coalesce("cut", F.lit(1)), 2).alias("i"), F.lit(0).alias("j"), "part", *whole)
+    found = found.unionByName(_found(sets, more, percent))
+    rest = in_parts()
+    if not rest.limit(1).count():
+        return found
+    most = rest.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.sum("n").alias("sets"), F.max("n").alias("largest"), F.sum("total").alias("total"))
+    outside = F.ceil(F.greatest((F.col("sets") - F.col("largest")) / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES * (F.col("sets") - F.col("largest")) / F.col("sets"), F.lit(1))).cast("int")
+    rest = settle(rest.join(_near(settle(most.select("root", "most", outside.alias("outside")))), "root"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asking = rest.where("part <> most").select("name", "root", block(F.col("outside"), 3).alias("i"), every(F.col("cut")).alias("j"), "part", F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
+    asked = rest.select("name", "root", every(F.col("outside")).alias("i"), block(F.col("cut"), 1).alias("j"), "part", F.lit(False).alias("is_left"), F.lit(True).alias("is_right"))
+    return found.unionByName(_found(sets, asking.unionByName(asked), percent))
 
 
 def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, name, root, component_id) for each row; name and root are null without shingles."""
     facts = classes(docs, words)
-    found = settle(links(docs, facts, words, percent))
-    roots = components(found.select("u", "v"))
+    roots = components(links(docs, facts, words, percent).select("u", "v")).select(F.col("node").alias("name"), "root")
     rows = facts.where("n_shingles >= 0").select("doc_id", "n_shingles", "name")
-    placed = rows.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    full = placed.join(least, "root", "left")
-    return full.select("doc_id", "n_shingles", "name", "root", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # a set that no link or copy leaves needs no look-up
+    names = rows.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(roots, "name", "left").where("n > 1 or root is not null")
+    names = names.select("name", F.coalesce("root", "name").alias("root"), "least")
+    least = settle(names.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("sets")))
+    named = settle(names.join(_near(least.where("sets > 1").select("root", "component_id")), "root", "left").select("name", "root", F.coalesce("component_id", "least").alias("component_id")))
+    if named.count() <= BROADCAST_ROWS:
+        full = rows.join(F.broadcast(named), "name", "left")
+    else:  # a set that many rows hold is no hot key
+        spread = named.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+        full = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int")).join(spread, ["name", "slice"], "left")
+    return full.select("doc_id", "n_shingles", "name", F.coalesce("root", "name").alias("root"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

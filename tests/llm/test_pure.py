@@ -47,7 +47,74 @@ def test_linked_sets_share_a_route():
         other = np.unique(np.append(base[: -(n // 10) or None], rng.integers(1, 2**63, n // 10, dtype=np.uint64)))
         overlap = len(np.intersect1d(base, other))
         if ngram_join.linked(overlap, len(base), len(other), 80):
-            assert len(np.intersect1d(ngram_join.routes(base, 80, none), ngram_join.routes(other, 80, none)))
+            mine, theirs = (dict(ngram_join.routes(h, 80, none)) for h in (base, other))
+            assert any(len(np.intersect1d(mine[k], theirs[k])) for k in mine.keys() & theirs.keys())
+            larger = max(len(base), len(other))  # they meet in the class of the larger one
+            assert max(ngram_join.classes_of(min(len(base), len(other)), 80)) >= ngram_join.classes_of(larger, 80)[0]
+
+
+def test_words_that_differ_have_other_hashes():
+    a = "a"
+    for _ in range(11):
+        a += a.translate({97: 98, 98: 97})  # Thue-Morse words collide under any polynomial modulo a power of two
+    assert len(np.union1d(ngram_join.shingles(a), ngram_join.shingles(a.translate({97: 98, 98: 97})))) == 2
+    for text, n in (("a b c d e", 1), ("a b c d e f", 2), ("a b c d", 1), ("A  b\tc d", 1), ("a b c d e a b c d e a", 5)):
+        assert len(ngram_join.shingles(text)) == n
+    assert ngram_join.shingles("A  b\tc d").tolist() == ngram_join.shingles("a b c d").tolist()
+    assert len({ngram_join.shingles(t)[0] for t in ("a", "a a", "a a a", "a a a a", "a a a a a", "b a", "a b")}) == 7
+
+
+def brute_parts(sets, left, right, percent, parts):
+    up = list(range(len(sets)))
+
+    def find(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    first = {}
+    for k, p in enumerate(parts):
+        up[find(k)] = find(first.setdefault(p, k))
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            if left[a] and right[b] and a != b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                up[find(a)] = find(b)
+    return [find(k) for k in range(len(sets))]
+
+
+def test_block_links_connect_what_all_links_connect():
+    rng = np.random.default_rng(5)
+    for trial in range(40):
+        base = [set(rng.integers(0, 400, rng.integers(1, 60)).tolist()) for _ in range(6)]
+        sets = []
+        for _ in range(40):
+            mine = set(base[rng.integers(6)])
+            for g in rng.integers(0, 400, rng.integers(0, 8)).tolist():
+                mine ^= {g}
+            sets.append(mine or {1})
+        own = trial % 2 == 0
+        left = [True] * 40 if own else (rng.random(40) < 0.4).tolist()
+        right = [True] * 40 if own else [x or not y for x, y in zip((rng.random(40) < 0.5).tolist(), left)]
+        parts = list(range(40)) if trial % 3 else [int(x) for x in rng.integers(0, 30, 40)]
+        arrays = [np.array(sorted(x), np.uint64) for x in sets]
+        found = list(ngram_join.block_links(arrays, parts, left, right, 80))
+        for a, b, overlap in found:
+            assert overlap == len(sets[a] & sets[b]) and ngram_join.linked(overlap, len(sets[a]), len(sets[b]), 80)
+        want = brute_parts(sets, left, right, 80, parts)
+        alone = [False] * 40
+        got = brute_parts([set(x) for x in sets], alone, alone, 80, parts)
+        up = {k: k for k in range(40)}
+
+        def find(k):
+            while up[k] != k:
+                k = up[k]
+            return k
+
+        for k, g in enumerate(got):
+            up[find(k)] = find(g)
+        for a, b, _ in found:
+            up[find(a)] = find(b)
+        assert len({(w, find(k)) for k, w in enumerate(want)}) == len(set(want)) == len({find(k) for k in range(40)})
 
 
 def test_packing_fits_and_loses_nothing():

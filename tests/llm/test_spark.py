@@ -96,6 +96,42 @@ def test_jaccard_equals_brute_force(spark, docs, none):
     assert sorted(r["doc_id"] for r in ngram_join.keep_one(docs).collect()) == sorted({c for _, c in got.values()})
 
 
+@pytest.mark.parametrize("kind", ["near", "template", "chain"])
+def test_jaccard_of_groups_larger_than_a_block(spark, monkeypatch, kind):
+    """Groups of several blocks: one large class and sets beside it, texts of one template without links, chains across sizes."""
+    for name, value in (("BLOCK_SETS", 40), ("HEAVY", 200), ("CHUNK", 4000)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(2)
+    word = lambda n=5000: f"w{rng.randrange(n)}"
+    texts = []
+    if kind == "near":
+        for base in ([word() for _ in range(60)] for _ in range(3)):
+            for k in range(90):
+                mine = list(base)
+                mine[rng.randrange(60)] = word()
+                texts.append(" ".join(mine + [word() for _ in range(k % 12)]))
+    elif kind == "template":
+        frame_ = [word() for _ in range(40)]
+        for _ in range(260):
+            own = [word() for _ in range(rng.choice([30, 34, 60]))]
+            texts += [" ".join(frame_ + own)] + ([" ".join(frame_ + own[:-1])] if rng.random() < 0.2 else [])
+    else:
+        line = [word() for _ in range(500)]
+        texts = [" ".join(line[a : a + 60]) for a in range(0, 400, 3)] + [" ".join(line[:n]) for n in range(20, 120)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+@pytest.mark.parametrize("bound", [0])
+def test_jaccard_without_broadcasts(spark, docs, monkeypatch, bound):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", bound)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == brute_components(corpus())
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one(docs).collect()) == sorted({c for _, c in got.values()})
+
+
 def test_jaccard_with_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None), (4, "q")]
     got = sorted(map(tuple, ngram_join.jaccard_components(frame(spark, rows)).collect()), key=str)
