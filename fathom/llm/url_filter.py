@@ -5,7 +5,7 @@ A url's key is its host with the labels reversed, each ended by a dot:
 subdomains is then the interval from `net.example.` up to, not including,
 `net.example/` ('/' follows '.' directly). Intervals of rules are nested or
 apart, so a sweep over sorted keys keeps a stack: an interval's start pushes
-its rules, its end takes them off. The stack after each of these boundaries is made once from the (bounded) rules.
+its rules, its end takes them off. The stack after each of these boundaries is made once, by a sweep over the (bounded) rules.
 Urls and boundaries are then merged by key and each url takes the stack of
 the last boundary before it; of that stack the longest rule whose path begins the
 url's path wins.
@@ -17,6 +17,7 @@ never by host, so a hot host is spread, and every lane holds all boundaries
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,26 +49,27 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def boundaries(spark, rules: list[Rule]) -> DataFrame:
-    """(key, stack): from this key on, the rules of these open intervals hold, outermost first."""
-    listed = ", ".join(f"struct({_sql(r.verdict)} as verdict, {_sql(r.host)} as host, {_sql(r.path)} as path)" for r in rules)
-    flat = spark.range(1).select(F.explode(F.expr(f"array({listed})")).alias("r")).select("r.*").distinct()
-    flat = flat.withColumn("low", host_key(F.col("host")))
-    # one interval a host, with its own rules; its stack is theirs and those of all hosts around it
-    own = flat.groupBy("low").agg(F.array_sort(F.collect_list(F.struct("host", "path", "verdict"))).alias("own"))
-    labels = F.split(F.expr("substr(low, 1, length(low) - 1)"), r"\.")
-    around = own.select("low", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "."), F.lit(".")))).alias("outer"))
-    stacks = around.join(own.select(F.col("low").alias("outer"), "own"), "outer").groupBy("low").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.length("outer").alias("depth"), "own"))), lambda x: x["own"])).alias("stack"))
-    starts = stacks.select(F.col("low").alias("key"), "stack", F.lit(1).alias("opens"))
-    # where an interval ends, the stack of the closest host around it holds again
-    parent = around.where("outer <> low").join(own.select(F.col("low").alias("outer")), "outer").groupBy("low").agg(F.max(F.struct(F.length("outer"), "outer")).alias("p"))
-    ends = stacks.select("low").join(parent, "low", "left").join(stacks.select(F.col("low").alias("around"), "stack"), F.col("p.outer") == F.col("around"), "left")
-    ends = ends.select(F.expr("concat(substr(low, 1, length(low) - 1), '/')").alias("key"), F.coalesce("stack", F.expr("slice(array(struct('' as host, '' as path, '' as verdict)), 1, 0)")).alias("stack"), F.lit(0).alias("opens"))
-    return starts.unionByName(ends)
+def boundaries(rules: list[Rule]) -> list[tuple[str, int, list[Rule]]]:
+    """(key, opens, stack): from this key on, the rules of these open intervals hold, outermost first. Sorted; ends come before starts."""
+    own: dict[str, list[Rule]] = {}
+    for r in sorted(set(rules), key=lambda r: (r.host, r.path, r.verdict)):
+        own.setdefault(".".join(reversed(r.host.split("."))) + ".", []).append(r)
+    stack, out = [], []
+    for key, opens, low in sorted([(low, 1, low) for low in own] + [(low[:-1] + "/", 0, low) for low in own]):
+        if opens:
+            stack.append(own[low])
+        else:
+            stack.pop()
+        out.append((key, opens, [r for held in stack for r in held]))
+    return out
 
 
-def _sql(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+_STACK = "array<struct<host: string, path: string, verdict: string>>"
+
+
+def _marks(spark, rules: list[Rule]) -> DataFrame:
+    listed = json.dumps([{"key": key, "opens": opens, "stack": [{"host": r.host, "path": r.path, "verdict": r.verdict} for r in stack]} for key, opens, stack in boundaries(rules)])
+    return spark.range(1).select(F.explode(F.from_json(F.lit(listed), f"array<struct<key: string, opens: int, stack: {_STACK}>>")).alias("m")).select("m.*")
 
 
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", lanes: int | None = None) -> DataFrame:
@@ -85,10 +87,9 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", lanes: in
     if not rules:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     lanes = lanes or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = boundaries(spark, rules).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    marks = _marks(spark, rules).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     rows = urls.withColumn("lane", F.pmod(F.xxhash64("page_id", "path", "host"), F.lit(lanes)).cast("int")).withColumn("key", host_key(F.col("host")))
-    kind = marks.schema["stack"].dataType.simpleString()
-    merged = marks.select("lane", "key", "opens", "stack", *[F.lit(None).cast(t).alias(c) for c, t in urls.dtypes]).unionByName(rows.select("lane", "key", F.lit(2).alias("opens"), F.lit(None).cast(kind).alias("stack"), *urls.columns))
+    merged = marks.select("lane", "key", "opens", "stack", *[F.lit(None).cast(t).alias(c) for c, t in urls.dtypes]).unionByName(rows.select("lane", "key", F.lit(2).alias("opens"), F.lit(None).cast(_STACK).alias("stack"), *urls.columns))
     sweep = Window.partitionBy("lane").orderBy("key", "opens").rowsBetween(Window.unboundedPreceding, 0)
     swept = merged.withColumn("stack", F.last("stack", True).over(sweep)).where("opens = 2")
     fits = F.filter("stack", lambda r: F.col("path").startswith(r["path"]))
