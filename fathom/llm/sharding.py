@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of a shard that are numbered side by side.
-RANGES = 64
+#: Rows of a shard that are numbered by one task.
+ROWS = 100_000
 
 
 def rendezvous(key: Column, shards: int, weights: list[float] | None = None) -> Column:
@@ -29,12 +29,14 @@ def rendezvous(key: Column, shards: int, weights: list[float] | None = None) ->
     return (-F.array_max(tried)["s"]).cast("int")
 
 
-def numbered(rows: DataFrame, shard: str, order: list[str], ranges: int = RANGES) -> DataFrame:
+def numbered(rows: DataFrame, shard: str, order: list[str], shards: int, ranges: int | None = None) -> DataFrame:
     """rows with `slot`, gapless from 0 within each shard.
 
-    A shard is cut into ranges by a hash of the order columns; ranges are counted first (shards x
-    ranges numbers, a bounded table) and numbered side by side, so no shard is sorted by one task.
+    A shard is cut into ranges by a hash of the order columns, of some ROWS rows each if shards are alike; ranges are counted first (shards x
+    ranges numbers, a table of a ROWSth of the rows) and numbered side by side, so no shard is sorted by one task.
     """
+    if ranges is None:
+        ranges = max(64, -(-rows.count() // (ROWS * shards)))
     dealt = rows.withColumn("_range", F.pmod(F.xxhash64(*order), F.lit(ranges)).cast("int"))
     before = Window.partitionBy(shard).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy(shard, "_range").agg(F.count("*").alias("_n"))
@@ -56,4 +58,4 @@ def shard_documents(docs: DataFrame, shards: int = 40, weights: list[float] | No
     grown = None if weights is None else [*weights, sum(weights) / len(weights)]
     rows = docs.select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     rows = rows.withColumn("shard", rendezvous(F.col("doc_id"), shards, weights)).withColumn("grown_shard", rendezvous(F.col("doc_id"), shards + 1, grown))
-    return numbered(rows, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return numbered(rows, "shard", ["doc_id", "text_crc32", "size"], shards).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
