@@ -18,6 +18,7 @@ characters). All steps run on whole batches of texts at once; texts never share
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,21 +169,27 @@ def _cuts(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 def in_order(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) dealt into buckets of descending doc_id, each followed by the first row of the next bucket (the last by
-    the first of all), sorted: bucket, extra, doc_id, text. One shuffle; the bucket bounds are a bounded list of ids."""
-    parts = shuffle_partitions(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("at"))
-    steps = [i / parts for i in range(1, parts)] or [0.5]
-    bounds = sorted(set(rows.agg(F.percentile_approx("at", steps, 10_000)).first()[0] or []), reverse=True)
-    bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b >= F.col("at"))) if bounds else F.lit(0)
+    the first of all), sorted: bucket, extra, doc_id, text. One shuffle; the bucket bounds are a bounded list of ids. An id that many rows share
+    is dealt into buckets of its own by its texts' hashes."""
+    parts = 4 * shuffle_partitions(docs.sparkSession)
+    key = F.xxhash64("text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("at"), key.alias("h"))
+    bounds = Counter(rows.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 10_000)).first()[0] or [])
+    most = max(bounds.values(), default=1)  # bounds that fall on one id
+    bucket = F.lit(0)
+    if bounds:
+        bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b >= F.col("at"))) * most
+        shared = {b: n for b, n in bounds.items() if n > 1}
+        for b, n in shared.items():  # the greatest hashes first
+            bucket = bucket + F.when(F.col("at") == b, F.floor((0.5 - F.col("h") / 2.0**64) * n)).otherwise(0)
     rows = rows.withColumn("bucket", bucket.cast("int"))
     # the first row of each bucket in the order below: greatest id, then the text's hash
-    key = F.xxhash64("text")
-    firsts = rows.groupBy("bucket").agg(F.max(F.struct("at", key.alias("h"))).alias("f")).orderBy("bucket").collect()
+    firsts = rows.groupBy("bucket").agg(F.max(F.struct("at", "h")).alias("f")).orderBy("bucket").collect()
     if not firsts:
         return rows.select("bucket", F.lit(False).alias("extra"), "doc_id", "text")
     goes = {(r.f.at, r.f.h): firsts[i - 1].bucket for i, r in enumerate(firsts)}  # index -1: around the end
     listed = F.broadcast(docs.sparkSession.createDataFrame([(a, h, b) for (a, h), b in goes.items()], "at long, h long, also int"))
-    first = rows.withColumn("h", key).join(listed, ["at", "h"], "left")
+    first = rows.join(listed, ["at", "h"], "left")
     both = first.withColumn("x", F.explode(F.when(F.col("also").isNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("e")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("e")), F.struct(F.col("also").alias("b"), F.lit(True).alias("e"))))))
     flat = both.select(F.col("x.b").alias("bucket"), F.col("x.e").alias("extra"), "doc_id", "at", "h", "text")
     return flat.repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", F.desc("at"), F.desc("h")).select("bucket", "extra", "doc_id", "text")

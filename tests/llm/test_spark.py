@@ -1,14 +1,17 @@
 """The operators over small hostile tables, each against a plain brute-force version."""
 
 import hashlib
+import math
 import pickle
 import random
+import struct
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -278,19 +281,60 @@ def test_sharding(docs, none):
     assert sharding.shard_documents(none).count() == 0
 
 
-def test_fingerprints_of_edits(docs, none):
-    order = sorted(corpus(), key=lambda r: -r[0])
-    following = {i: order[(k + 1) % len(order)][1] or "" for k, (i, _) in enumerate(order)}
-    seen = {}
-    for r in fingerprint.compare_edits(docs).collect():
-        t = dict(corpus())[r["doc_id"]] or ""
+def spark_hash(name, s):
+    """xxhash64 of a string and an int, as signed 64 bits."""
+    h = xxhash.xxh64(struct.pack("<i", s), seed=xxhash.xxh64(name.encode(), seed=42).intdigest()).intdigest()
+    return h - 2**64 if h >= 2**63 else h
+
+
+@pytest.mark.parametrize("weights", [None, [1.0, 5.0, 0.5, 2.0]])
+def test_sharding_equals_brute_force(spark, weights):
+    rows = [(i, f"t{i % 7}") for i in range(400)] + [(5, "t5"), (5, "t5"), (5, "other"), (None, "x"), (None, None)]
+
+    def best(i, w):
+        name = "\0null" if i is None else str(i)
+        unit = lambda s: ((spark_hash(name, s) % 2**64 >> 11) + 0.5) / 2**53
+        return max(range(len(w)), key=lambda s: (spark_hash(name, s) if weights is None else -w[s] / math.log(unit(s)), -s))
+
+    own = weights or [1.0] * 4
+    got = sharding.shard_documents(frame(spark, rows), 4, weights).collect()
+    assert sorted((str(r["doc_id"]), r["shard"], r["grown_shard"]) for r in got) == sorted((str(i), best(i, own), best(i, [*own, sum(own) / 4])) for i, _ in rows)
+    for s in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    if weights:
+        assert sum(r["shard"] == 1 for r in got) > sum(r["shard"] == 3 for r in got) > sum(r["shard"] == 2 for r in got)
+    with pytest.raises(ValueError):
+        sharding.rendezvous(F.lit(1), 2, [1.0, 0.0])
+
+
+def check_edits(got, rows):
+    """Against plain code: rows in the order of doc_id, then of the text's hash, and the next row's text."""
+    def h(text):
+        x = xxhash.xxh64(text.encode(), seed=42).intdigest()
+        return x - 2**64 if x >= 2**63 else x
+
+    order = sorted(((-(2**63) if i is None else i, h(t or ""), i, t or "") for i, t in rows), reverse=True)
+    want = []
+    for (_, _, i, t), (*_, following) in zip(order, order[1:] + order[:1]):
         half = len(t) // 2
-        edited = t[: len(t) - half] + following[r["doc_id"]][:half]
-        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        assert edited != t or r["near_edited"] == 1
-        assert seen.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+        new = t[: len(t) - half] + following[:half]
+        prints = fingerprint.sketches([t]) + fingerprint.sketches([new]) + fingerprint.sketches([following])
+        want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), prints[0], prints[1], fingerprint.likeness(prints[0], prints[1]), fingerprint.likeness(prints[0], prints[2])))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_fingerprints_of_edits(spark, docs, none):
+    check_edits(fingerprint.compare_edits(docs).collect(), corpus())
     assert fingerprint.compare_edits(none).count() == 0
+    check_edits(fingerprint.compare_edits(frame(spark, [(3, "only one, and itself the next")])).collect(), [(3, "only one, and itself the next")])
+
+
+def test_fingerprints_with_an_id_that_many_rows_share(spark):
+    rows = [(7, f"text number {k} of those with one id " * 3) for k in range(300)] + [(None, f"no id {k}") for k in range(200)] + list(enumerate(f"other {k}" for k in range(100)))
+    ordered = fingerprint.in_order(frame(spark, rows).repartition(5))
+    sizes = [r["count"] for r in ordered.where("not extra").groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 100
+    check_edits(fingerprint.compare_edits(frame(spark, rows)).collect(), rows)
 
 
 def test_url_rules(spark):
@@ -310,6 +354,21 @@ def test_url_rules(spark):
     assert url_filter.judge(df.where("false"), queries.URL_RULES).count() == 0
 
 
+def test_url_rules_by_brute_force(spark):
+    rng = random.Random(4)
+    host = lambda: ".".join(rng.choice(["a", "b", "c", "com", "net"]) for _ in range(rng.randint(1, 4)))
+    path = lambda: "/" + "/".join(rng.choice(["x", "y", ""]) for _ in range(rng.randint(0, 3)))
+    rules = [url_filter.Rule(rng.choice(["block", "allow"]), host(), path()) for _ in range(60)]
+    urls = [f"http://{host()}{path()}" for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, rules, lanes=3).collect()}
+    for i, u in enumerate(urls):
+        h, _, p = u[7:].partition("/")
+        fits = [(len(r.host), len(r.path), r.verdict, r.host + r.path) for r in rules if (h == r.host or h.endswith("." + r.host)) and ("/" + p).startswith(r.path)]
+        best = max(fits, default=(0, 0, "allow", None))
+        assert got[i] == (best[3], best[2])
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<article><p>Some text, here.</p></article>" * 2, "x"), (3, "u", "<p", "x")], "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
