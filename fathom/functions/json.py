@@ -24,12 +24,50 @@ def matches(value: Column, wanted: dict[str, object]) -> Column:
     return out
 
 
+def contains(value: Column, wanted: object) -> Column:
+    """Whether a JSON text contains `wanted`: objects by their keys, arrays by their elements in any order, at any depth; scalars by value and kind.
+
+    An array contains a scalar that is one of its elements only at the top. Null and malformed texts contain nothing.
+    """
+    whole = F.try_parse_json(value)
+    found = _contains(whole, wanted)
+    if not isinstance(wanted, (dict, list)):
+        found = found | F.coalesce(F.exists(F.try_variant_get(whole, "$", "array<variant>"), _one(wanted)), F.lit(False))
+    return F.coalesce(found, F.lit(False))
+
+
+def _one(wanted: object):
+    return lambda x: _contains(x, wanted)
+
+
+def _contains(v: Column, wanted: object) -> Column:
+    kind = F.schema_of_variant(v)
+    if isinstance(wanted, dict):
+        out = kind.startswith("OBJECT")
+        for key, w in wanted.items():
+            out = out & _contains(F.try_variant_get(v, f"$['{key}']", "variant"), w)
+    elif isinstance(wanted, list):
+        out = kind.startswith("ARRAY")
+        for w in wanted:
+            out = out & F.exists(F.try_variant_get(v, "$", "array<variant>"), _one(w))
+    elif wanted is None:
+        out = F.is_variant_null(v)
+    elif isinstance(wanted, bool):
+        out = (kind == "BOOLEAN") & F.try_variant_get(v, "$", "boolean").eqNullSafe(F.lit(wanted))
+    elif isinstance(wanted, str):
+        out = (kind == "STRING") & F.try_variant_get(v, "$", "string").eqNullSafe(F.lit(wanted))
+    else:
+        out = ~kind.isin("STRING", "BOOLEAN") & F.try_variant_get(v, "$", "double").eqNullSafe(F.lit(float(wanted)))
+    return F.coalesce(out, F.lit(False))
+
+
 def as_map(value: Column) -> Column:
-    return F.from_json(value, "map<string,string>")
+    """Keys to values of any depth; null for what is no object."""
+    return F.from_json(value, "map<string,variant>")
 
 
 def without(value: Column, keys: list[str]) -> Column:
-    """The object without these keys."""
+    """The object without these keys, as a map."""
     return F.map_filter(as_map(value), lambda k, _: ~k.isin(*keys))
 
 
@@ -37,14 +75,45 @@ def only(value: Column, keys: list[str]) -> Column:
     return F.map_filter(as_map(value), lambda k, _: k.isin(*keys))
 
 
+def without_nulls(value: Column) -> Column:
+    return F.map_filter(as_map(value), lambda _, v: ~F.is_variant_null(v))
+
+
+def has_any(value: Column, keys: list[str]) -> Column:
+    """Whether the object has one of the keys, whatever its value."""
+    out = F.lit(False)
+    for k in keys:
+        out = out | F.map_contains_key(as_map(value), k)
+    return F.coalesce(out, F.lit(False))
+
+
 def merged(left: Column, right: Column) -> Column:
     """Maps, the right one wins."""
     return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)
 
 
+def with_field(value: Column, key: str, new: Column) -> Column:
+    """The JSON object with one key set to a JSON value; null counts as an empty object, other values stay as they are."""
+    held = as_map(F.coalesce(value, F.lit("{}")))
+    return F.coalesce(F.to_json(merged(held, F.create_map(F.lit(key), F.parse_json(new)))), value)
+
+
+def is_array(value: Column) -> Column:
+    """Whether a text is a JSON array."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("ARRAY"), F.lit(False))
+
+
+def full_or_preview(full: Column, preview: Column) -> Column:
+    return F.coalesce(full, preview)
+
+
 def differs(a: Column, b: Column, ignoring: list[str] | None = None) -> Column:
     """Whether two objects differ, apart from some keys; the order of keys is no difference. Null differs from an object."""
-    flat = lambda v: F.array_sort(F.map_entries(without(v, ignoring or []) if ignoring else as_map(v)))
+    def flat(v: Column) -> Column:
+        # keys of nested objects are in order in a variant's text
+        held = F.map_entries(without(v, ignoring) if ignoring else as_map(v))
+        return F.array_sort(F.transform(held, lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value"))))
+
     return ~flat(a).eqNullSafe(flat(b))
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathom.functions.text import WORDS
+
 # -- list parameters ------------------------------------------------------------
 
 
@@ -29,10 +32,17 @@ def _number(value, default: int) -> int:
 
 
 def list_params(args: dict, sorts: list[str], default_limit: int = 50, most: int = 100) -> ListParams:
-    """limit within 1 to `most`, offset from 0, q trimmed and at most 200 characters, sort from a list (its first by default)."""
+    """limit within 1 to `most`, offset from 0, q trimmed and at most 200 characters, sort from a list (its first by default), order asc or desc.
+
+    ValueError for a sort or an order that is given and unknown.
+    """
     q = str(args.get("q") or "").strip()[:200] or None
-    sort = args.get("sort") if args.get("sort") in sorts else sorts[0]
-    return ListParams(min(max(_number(args.get("limit"), default_limit), 1), most), max(_number(args.get("offset"), 0), 0), q, sort, str(args.get("order") or "desc").lower() != "asc")
+    sort, order = args.get("sort") or sorts[0], str(args.get("order") or "desc").lower()
+    if sort not in sorts:
+        raise ValueError(f"sort must be one of {', '.join(sorts)}")
+    if order not in ("asc", "desc"):
+        raise ValueError("order must be asc or desc")
+    return ListParams(min(max(_number(args.get("limit"), default_limit), 1), most), max(_number(args.get("offset"), 0), 0), q, sort, order == "desc")
 
 
 # -- identifiers and fields -------------------------------------------------------
@@ -89,6 +99,60 @@ def field_json_schema(fields: list[dict]) -> dict:
     return {"type": "object", "properties": each, "required": [f["name"] for f in fields]}
 
 
+# -- requests -----------------------------------------------------------------------
+
+
+def request_problem(entries: object, most: int = 10) -> str | None:
+    """Why knowledge bases named by a request can't be used, or None: at most so many objects of unique ids, with top_k 1 to 100, threshold 0 to 1, a known method."""
+    if not isinstance(entries, list) or not entries:
+        return "a list with entries is needed"
+    if len(entries) > most:
+        return f"at most {most} entries"
+    seen = set()
+    for at, e in enumerate(entries):
+        if not isinstance(e, dict) or not e.get("id"):
+            return f"entry {at}: no id"
+        if unknown := set(e) - REQUEST_KEYS:
+            return f"entry {at}: unknown keys {sorted(unknown)}"
+        if e["id"] in seen:
+            return f"entry {at}: id {e['id']} is there twice"
+        seen.add(e["id"])
+        number = lambda v, kinds: isinstance(v, kinds) and not isinstance(v, bool)
+        if (k := e.get("top_k")) is not None and not (number(k, int) and 1 <= k <= 100):
+            return f"entry {at}: top_k is 1 to 100"
+        if (x := e.get("similarity_threshold")) is not None and not (number(x, (int, float)) and 0 <= x <= 1):
+            return f"entry {at}: similarity_threshold is 0 to 1"
+        if e.get("retrieval_method") is not None and not any(e["retrieval_method"] in s["retrievers"] for s in STRATEGIES.values()):
+            return f"entry {at}: unknown method"
+        if e.get("filter_metadata") is not None and not isinstance(e["filter_metadata"], dict):
+            return f"entry {at}: filter_metadata is no object"
+    return None
+
+
+# What an entry of a request may name.
+REQUEST_KEYS = {"id", "top_k", "retrieval_method", "similarity_threshold", "filter_metadata", "max_context_tokens", "source_ids"}
+
+
+def setting(value: str | None, kind: str, default, low=None, high=None, choices: list[str] | None = None):
+    """A stored setting as int, float, bool or str; the default where nothing is stored or it can't be read so. low, high and choices are checked by setting_problem."""
+    if value is None:
+        return default
+    try:
+        return {"int": int, "float": float, "bool": lambda v: v.lower() in ("true", "1", "yes"), "str": str}[kind](value)
+    except ValueError:
+        return default
+
+
+def setting_problem(value, kind: str, low=None, high=None, choices: list[str] | None = None) -> str | None:
+    """Why a new value of a setting is refused, or None."""
+    held = setting(str(value), kind, None)
+    if held is None:
+        return f"no {kind}: {value}"
+    if kind in ("int", "float") and ((low is not None and held < low) or (high is not None and held > high)):
+        return f"must be within {low} to {high}"
+    return f"must be one of {', '.join(choices)}" if choices and str(value) not in choices else None
+
+
 # -- SQL guards -------------------------------------------------------------------
 
 # What may run, and schemas that are out of bounds.
@@ -149,6 +213,7 @@ def run_read_only(spark, sql: str, most_chars: int = 50_000) -> str:
 
 # -- strategies -------------------------------------------------------------------
 
+# Names of strategies and retrievers that callers give.
 _BY_RANK = ("vector_search", "full_text", "hybrid")
 STRATEGIES = {
     "chunk_embed": {"retrievers": _BY_RANK, "default": "hybrid", "reranker": True},
@@ -169,6 +234,11 @@ def retriever(strategy: str, method: str | None = None) -> str:
     return method or known["default"]
 
 
+def run_method(methods: dict[str, Callable], strategy: str, method: str | None = None, **given):
+    """Call the builder of the method that a strategy uses; ValueError for what it doesn't support."""
+    return methods[retriever(strategy, method)](**given)
+
+
 def fetch_count(top_k: int, reranker_candidates: int | None = None, limited: bool = False) -> int:
     """Candidates to fetch: what a reranker wants, more when sources are limited, else k."""
     if reranker_candidates:
@@ -189,11 +259,13 @@ def search_condition(query: str, words: Column) -> Column:
     """A condition on an array of words: terms are ANDed, OR between them, -word excludes, "a b" is a phrase."""
     groups: list[Column] = []
     alternative = False
+    import regex
+
     for negative, phrase, word in re.findall(r"(-?)(?:\"([^\"]*)\"|(\S+))", query.lower()):
         if word == "or" and not negative:
             alternative = bool(groups)
             continue
-        parts = re.findall(r"[a-z0-9]+", phrase or word)
+        parts = regex.findall(WORDS, phrase or word)
         if not parts:
             continue
         hit = F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {' '.join(parts)} "))

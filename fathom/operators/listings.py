@@ -38,6 +38,12 @@ def children_of(nodes: DataFrame, tree: str, node: str, parent: str) -> DataFram
     return nodes.select(tree, node).join(below, [tree, node])
 
 
+def nodes_of(nodes: DataFrame, trees: DataFrame, chosen: list, limit: int, offset: int = 0) -> DataFrame:
+    """A page of the nodes(toc_id, node_id, ...) of chosen trees(toc_id, ...), by tree and node."""
+    rows = nodes.where(F.col("toc_id").isin(list(chosen))).join(trees.where(F.col("toc_id").isin(list(chosen))), "toc_id")
+    return rows.orderBy("toc_id", "node_id").offset(offset).limit(limit)
+
+
 def unknown_pairs(entries: DataFrame, indexed: DataFrame, keys: list[str]) -> DataFrame:
     """Entries that name what isn't indexed there: the violations of a request."""
     return entries.join(indexed.select(*keys), keys, "left_anti")
@@ -72,6 +78,18 @@ def context_text(result: DataFrame, group: str, item: str, header: Column, body:
     return result.groupBy(group).agg(F.max("score").alias("best"), F.first(header).alias("_h"), texts.alias("_t")).select(group, "best", F.concat("_h", F.lit("\n\n"), "_t").alias("context"))
 
 
+def truncated(rows: DataFrame, order: list, limit: int) -> DataFrame:
+    """The first rows with `truncated`: whether the limit was reached, which also holds where there are just as many rows."""
+    page = rows.orderBy(*order).limit(limit)
+    return page.crossJoin(F.broadcast(page.agg((F.count("*") == limit).alias("truncated"))))
+
+
+def dependencies(indexed: DataFrame, bases: DataFrame, source: str, base: str, name: str) -> DataFrame:
+    """(source, bases): the names of the knowledge bases that use a source, distinct and sorted; a source is used by few."""
+    both = indexed.select(source, base).distinct().join(bases.select(base, name), base)
+    return both.groupBy(source).agg(F.array_sort(F.collect_set(name)).alias("bases"))
+
+
 def described(spark: SparkSession, database: str | None = None) -> list[dict]:
     """Tables of the catalog with their columns, sorted; Spark keeps no primary or foreign keys."""
     tables = sorted(spark.catalog.listTables(database), key=lambda x: x.name)

@@ -35,11 +35,29 @@ def dangling(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     return both.where(F.col("_source").isNull() | F.col("_target").isNull()).select("source", "target")
 
 
-def overlay(defaults: DataFrame, stored: DataFrame, low: int, high: int) -> DataFrame:
-    """defaults(key, default int) with `value`: stored(key, text) where it is a number in range, else the default."""
-    number = F.col("text").try_cast("int")
-    good = F.when(number.between(low, high), number)
-    return defaults.join(stored.select("key", "text"), "key", "left").select("key", F.coalesce(good, F.col("default")).alias("value"))
+def overlay(defaults: DataFrame, stored: DataFrame) -> DataFrame:
+    """defaults(key, kind, default, low, high, choices) with `value` as text: stored(key, text) where it is an int, float or bool in range or one of the choices, else the default.
+
+    kind is int, float, bool or str; low, high and choices may be null. A bool is true for true, 1 and yes, and else false.
+    """
+    both = defaults.join(stored.select("key", F.col("text").alias("_t")), "key", "left")
+    number = F.when(F.col("kind") == "int", F.trim("_t").try_cast("long").cast("double")).when(F.col("kind") == "float", F.trim("_t").try_cast("double"))
+    fits = number.isNotNull() & F.coalesce(number >= F.col("low"), F.lit(True)) & F.coalesce(number <= F.col("high"), F.lit(True))
+    chosen = F.coalesce(F.array_contains("choices", F.col("_t")), F.lit(True))
+    given = F.when(F.col("kind").isin("int", "float") & fits & chosen, F.trim("_t")).when(F.col("kind") == "bool", F.lower("_t").isin("true", "1", "yes").cast("string")).when((F.col("kind") == "str") & chosen, F.col("_t"))
+    return both.select("key", F.coalesce(given, F.col("default")).alias("value"))
+
+
+def block_logs(blocks: DataFrame, results: DataFrame) -> DataFrame:
+    """blocks(id, type, name) and results(id, output) as JSON to (id, type, name, status, output): error if the output has an `error`, success with an output, else pending. Unknown blocks are named by their id."""
+    both = results.withColumnRenamed("output", "_o").join(blocks, "id", "full")
+    failed = json.has_any(F.col("_o"), ["error"])
+    return both.select("id", F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("name", F.col("id").cast("string")).alias("name"), F.when(failed, "error").when(F.col("_o").isNotNull(), "success").otherwise("pending").alias("status"), F.col("_o").alias("output"))
+
+
+def unknown_types(blocks: DataFrame, known: list[str]) -> DataFrame:
+    """blocks(id, type) of a type that isn't known."""
+    return blocks.where(~F.coalesce(F.col("type").isin(known), F.lit(False)))
 
 
 def due(last: Column, hours: Column, now: Column, runs: Column | None = None, most: int | None = None) -> Column:

@@ -8,12 +8,14 @@ query's terms enter as literals, never as joins.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.functions import text, vectors
+from fathom.functions import json, text, vectors
 
 
 def vector_scores(rows: DataFrame, vector: Column, digits: int = 6) -> DataFrame:
@@ -21,6 +23,30 @@ def vector_scores(rows: DataFrame, vector: Column, digits: int = 6) -> DataFrame
     return rows.withColumn("score", F.round(vectors.cosine(F.col("embedding"), vector), digits)).where("score is not null")
 
 
+def filtered(rows: DataFrame, among: dict[str, list] | None = None, meta: dict | None = None, meta_column: str = "meta", dims: int | None = None, vector: str = "embedding") -> DataFrame:
+    """Rows to search: columns within lists (knowledge bases, sources, items), JSON metadata that contains `meta`, vectors of `dims` numbers. All before anything is scored, so that a cut never comes up short."""
+    for column, values in (among or {}).items():
+        rows = rows.where(F.col(column).isin(list(values)))
+    if meta:
+        rows = rows.where(json.contains(F.col(meta_column), meta))
+    return rows.where(F.size(vector) == dims) if dims is not None else rows
+
+
+def items_with_vectors(items: DataFrame, embeddings: DataFrame, item: str, dims: int) -> DataFrame:
+    """items joined with their vectors of `dims` numbers; an item with vectors of two models of one length comes twice."""
+    if not 1 <= dims <= vectors.MOST_DIMS:
+        raise ValueError(f"dims is 1 to {vectors.MOST_DIMS}")
+    return items.join(embeddings.where(F.size("embedding") == dims), item)
+
+
+def fetched(rows: DataFrame, item: str, result: DataFrame) -> DataFrame:
+    """A result list (item, ...), of bounded length, with the columns of rows: its ids reach the scan as a filter."""
+    found = result.collect()
+    ids = [r[item] for r in found]
+    held = rows.sparkSession.createDataFrame(found, result.schema)
+    return rows.where(F.col(item).isin(ids)).join(F.broadcast(held), item)
+
+
 def top(scored: DataFrame, item: str, k: int, threshold: float | None = None) -> DataFrame:
     """The k best rows by score; ties go to the lesser item."""
     if threshold is not None:
@@ -28,11 +54,13 @@ def top(scored: DataFrame, item: str, k: int, threshold: float | None = None) ->
     return scored.orderBy(F.desc("score"), item).limit(k)
 
 
-def per_source(scored: DataFrame, source: str, item: str, each: int, sources: int = 50) -> DataFrame:
-    """The `each` best items of the `sources` best sources, with their place in the source.
+def per_source(scored: DataFrame, source: str, item: str, each: int, sources: int = 50, threshold: float | None = None) -> DataFrame:
+    """The `each` best items of the `sources` best sources, with their place in the source; what is below the threshold goes before both.
 
     At most `sources` rows are broadcast; the window keeps `each` rows a source on the map side.
     """
+    if threshold is not None:
+        scored = scored.where(F.col("score") >= threshold)
     leading = scored.groupBy(source).agg(F.max("score").alias("best")).orderBy(F.desc("best"), source).limit(sources)
     order = Window.partitionBy(source).orderBy(F.desc("score"), item)
     return scored.join(F.broadcast(leading), source).withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
@@ -71,9 +99,7 @@ def bm25(docs: DataFrame, item: str, body: str, terms: list[str], k1: float = 1.
 
 def query_terms(words: str) -> list[str]:
     """Distinct tokens of a query, in order, by the rule of text.tokens."""
-    import re
-
-    return list(dict.fromkeys(re.findall(text.WORDS, words.lower())))
+    return list(dict.fromkeys(regex.findall(text.WORDS, words.lower())))
 
 
 def ranked(result: DataFrame, item: str) -> DataFrame:
@@ -99,11 +125,11 @@ def source_limits(pool: DataFrame, source: str, item: str, k: int, most: int | N
     return placed.orderBy(F.desc(kept), F.desc_nulls_last(F.when(kept, F.col("_best"))), F.desc("score"), item).limit(k).drop("_p", "_best")
 
 
-def with_floor(main: DataFrame, floor: DataFrame, item: str) -> DataFrame:
-    """Main results, then floor results that are not among them, tagged and scored below the least of main."""
+def with_floor(main: DataFrame, floor: DataFrame, item: str, rescore: bool = True) -> DataFrame:
+    """Main results, then floor results that are not among them, tagged and, where the scores are of two kinds, scored below the least of main."""
     extra = ranked(floor.join(main.select(item), item, "left_anti"), item)
     least = main.agg(F.min("score").alias("m")).scalar()
-    below = extra.withColumn("score", F.round(F.coalesce(least, F.col("score")) - 0.01 * F.col("rank"), 6)).drop("rank")
+    below = (extra.withColumn("score", F.round(F.coalesce(least, F.col("score")) - 0.01 * F.col("rank"), 6)) if rescore else extra).drop("rank")
     return main.withColumn("source_floor", F.lit(False)).unionByName(below.withColumn("source_floor", F.lit(True)))
 
 
@@ -136,3 +162,74 @@ def fresh_pages(items: DataFrame, source: str, item: str, pages: str) -> DataFra
 def merged(lists: list[DataFrame], item: str, k: int) -> DataFrame:
     """Result lists of several knowledge bases as one, by raw score."""
     return top(reduce(DataFrame.unionByName, lists), item, k)
+
+
+def pipeline(main: DataFrame, item: str, source: str, k: int, method: str, threshold: float = 0.0, floor: DataFrame | None = None, enrichment: DataFrame | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None, most: int | None = None, least: int | None = None) -> DataFrame:
+    """A fetched result list (item, source, score, meta) to the final k rows, with retrieval_method, source_floor, enrichment and pages.
+
+    In this order: the method is noted; the threshold cuts vector search only, whose scores it is meant for; floor(item, source, score, meta), the best of each
+    source, is merged, scored below main unless both are vector scores; enrichment(item, enrichment) is attached; scorer(rows) -> (item, new_score)
+    reorders, and cuts only where no limits do; limits of `most` and `least` rows a source and k rows; pages from the metadata.
+    """
+    from fathom.operators.listings import reranked
+    from fathom.operators.structure import item_pages
+
+    rows = main
+    if method == "vector_search" and threshold > 0:
+        rows = rows.where(F.col("score") >= threshold)
+    rows = with_floor(rows, floor, item, rescore=method != "vector_search") if floor is not None and least else rows.withColumn("source_floor", F.lit(False))
+    rows = rows.withColumn("retrieval_method", F.lit(method))
+    rows = rows.join(enrichment.select(item, "enrichment"), item, "left") if enrichment is not None else rows.withColumn("enrichment", F.lit(None).cast("string"))
+    if scorer is not None:
+        limited = bool(most or least)
+        found = scorer(rows).select(item, "new_score")
+        rows = rows.join(found, item, "left").withColumn("score", F.coalesce("new_score", F.lit(-1.0))).drop("new_score") if limited else reranked(rows, item, k, scorer).withColumn("score", F.coalesce("new_score", "score")).drop("new_score")
+    return source_limits(rows, source, item, k, most, least or 0).withColumn("pages", item_pages(F.col("meta")))
+
+
+def enrichment_of(labels: DataFrame, item: str, fields: list[str], status: str) -> DataFrame:
+    """(item, enrichment): the fields that are not null as a JSON object, if the knowledge base's enrichment is completed, with or without errors; else nothing."""
+    if status not in ("completed", "completed_with_errors"):
+        return labels.select(item, F.lit(None).cast("string").alias("enrichment")).where("false")
+    return labels.select(item, json.packed(**{f: F.col(f) for f in fields}).alias("enrichment")).where("enrichment is not null")
+
+
+def assembled(result: DataFrame, item: str, source: str, body: str, pages: str, limit: int | None = None, grouped: bool = True) -> DataFrame:
+    """A bounded result list as parts of a context: place, item, text, tokens, included, shown_before.
+
+    grouped: sources by their best score, each with a header, else by score alone. A row whose pages were all shown before, by an included or earlier row of
+    its source, says so instead of its text. The parts up to the first that overflows the limit of tokens (a quarter of the characters) are
+    included; no limit or 0 includes all.
+    """
+    rows = by_document(result, item, source)
+    order = [F.desc("best"), "group_key", F.desc("score"), item] if grouped else [F.desc("score"), item]
+    rows = rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # a result list, of bounded length
+    shown = rows.select(source, "place", F.explode(pages).alias("_page")).groupBy(source, "_page").agg(F.min("place").alias("place")).select("place").distinct().withColumn("_new", F.lit(True))
+    rows = rows.join(F.broadcast(shown), "place", "left")
+    overlaps = (F.size(pages) > 0) & F.col("_new").isNull()
+    note = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("]"))
+    told = F.when(overlaps, F.concat(note, F.lit(" (content already shown above)"))).otherwise(F.concat(note, F.lit("\n"), F.coalesce(body, F.lit(""))))
+    first = F.row_number().over(Window.partitionBy("group_key").orderBy("place")) == 1
+    header = F.when(first & F.lit(grouped), F.concat(F.lit("## "), F.col("group_key"), F.lit("\n"))).otherwise("")
+    rows = rows.select("place", item, F.concat(header, told).alias("text"), overlaps.alias("shown_before")).withColumn("tokens", text.token_estimate(F.col("text")))
+    running = F.sum("tokens").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("included", running <= limit if limit else F.lit(True))
+
+
+def assembly_figures(parts: DataFrame) -> DataFrame:
+    """(total, included, dropped, overlapping, tokens) of assembled()."""
+    there = F.col("included")
+    return parts.agg(F.count("*").alias("total"), F.count_if(there).alias("included"), F.count_if(~there).alias("dropped"), F.count_if(there & F.col("shown_before")).alias("overlapping"), F.coalesce(F.sum(F.when(there, F.col("tokens"))), F.lit(0)).cast("long").alias("tokens"))
+
+
+def fanned_out(builders: dict[str, Callable[[], DataFrame]], item: str, k: int) -> tuple[DataFrame | None, dict[str, str]]:
+    """Result lists of several knowledge bases, merged by raw score, and what went wrong by base. It has failed (None) only if all went wrong. Each list is
+    run on its own, and is of bounded length."""
+    lists, errors = [], {}
+    for name, build in builders.items():
+        try:
+            rows = build().withColumn("knowledge_base", F.lit(name))
+            lists.append(rows.sparkSession.createDataFrame(top(rows, item, k).collect(), rows.schema))
+        except Exception as e:  # one base must not take the others with it
+            errors[name] = str(e).split("\n")[0][:160]
+    return (merged(lists, item, k) if lists else None), errors

@@ -75,10 +75,9 @@ def light_text(kind: Column, path: Column, body: Column, most: int = 500) -> Col
 
 def resolved_items(asked: DataFrame, contents: DataFrame) -> DataFrame:
     """asked(position, item, text) to (position, item, text): an item is looked up in contents(item, text), a text stands for itself; the rest is dropped."""
-    known = contents.select("item", F.col("text").alias("_t"), F.lit(True).alias("_known"))
-    rows = asked.join(known, "item", "left")
-    by_item = F.col("item").isNotNull()
-    return rows.where(F.when(by_item, F.col("_known")).otherwise(F.col("text").isNotNull())).select("position", "item", F.when(by_item, F.col("_t")).otherwise(F.col("text")).alias("text"))
+    known = contents.select("item", "text")
+    named = asked.where("item is not null").select("position", "item").join(known, "item").select("position", "item", "text")
+    return named.unionByName(asked.where("item is null and text is not null").select("position", "item", "text"))
 
 
 def patched(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -97,3 +96,8 @@ def restored(rows: DataFrame, owner: str) -> DataFrame:
     """One fenced write: rows still enriching under this owner get back the status they had."""
     mine = (F.col("status") == "enriching") & (F.col("owner") == owner)
     return rows.withColumns({"status": F.when(mine, F.coalesce("prior", F.lit("indexed"))).otherwise(F.col("status")), "owner": F.when(~F.coalesce(mine, F.lit(False)), F.col("owner"))})
+
+
+def latency_ms(began: Column, ended: Column) -> Column:
+    """Whole milliseconds between two times; null while a run lasts."""
+    return F.timestamp_diff("MILLISECOND", began, ended)

@@ -53,3 +53,17 @@ def query_context(messages: DataFrame, session: str, turn: str, query: Column, w
     last = messages.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most)
     said = F.transform(F.array_sort(F.collect_list(F.struct(turn, F.left("text", F.lit(chars)).alias("said")))), lambda m: m["said"])
     return last.groupBy(session).agg(F.concat_ws(" ", F.array_repeat(query, max(1, int(weight))), said).alias("context"))
+
+
+def seed_problems(messages: DataFrame, session: str, position: str, most: int = 200, chars: int = 20_000) -> DataFrame:
+    """(session, position, problem): the first problem of each session to import that has one. position counts from 0, roles take turns from the user on.
+
+    A problem of the whole (too many messages, an odd number) comes at position -1, before those of messages.
+    """
+    count = messages.groupBy(session).agg(F.count("*").alias("_n"))
+    whole = F.when(F.col("_n") > most, "too many").when(F.col("_n") % 2 != 0, "odd")
+    wanted = F.when(F.col(position) % 2 == 0, "user").otherwise("assistant")
+    each = F.when(~F.col("role").eqNullSafe(wanted), "role").when(F.trim(F.coalesce("text", F.lit(""))) == "", "blank").when(F.length("text") > chars, "too long")
+    found = messages.select(session, F.col(position).cast("long").alias("position"), each.alias("problem")).unionByName(count.select(session, F.lit(-1).cast("long").alias("position"), whole.alias("problem")))
+    first = found.where("problem is not null").groupBy(session).agg(F.min(F.struct("position", "problem")).alias("_f"))
+    return first.select(session, "_f.position", "_f.problem")

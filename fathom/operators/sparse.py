@@ -1,61 +1,172 @@
-"""A sparse index as a postings table: build, add, remove, search, store."""
+"""A sparse index: postings on disk with a sidecar of totals; build, add, remove, search, and the scan it falls back to.
+
+A folder holds `postings` (a folder for each bucket of terms) and, written last, `totals`: one row a knowledge base with its items, tokens and time of
+building. A folder without totals is no index. A search reads the buckets of its terms and the totals, never the texts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+from typing import Protocol
+
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text
 
-#: Buckets of terms on disk; a search reads those of its terms only.
+#: Buckets of terms on disk.
 BUCKETS = 64
 
 
-def _bucket(term):
+def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def postings(docs: DataFrame, item: str, body: str) -> DataFrame:
-    """(bucket, term, item, tf, n): one row for a term of an item, n its tokens; an item without tokens has one row with the empty term."""
-    words = docs.select(F.col(item).alias("item"), F.coalesce(text.tokens(F.col(body)), F.array().cast("array<string>")).alias("w"))
-    shown = words.select("item", F.size("w").alias("n"), F.explode(F.when(F.size("w") > 0, F.col("w")).otherwise(F.array(F.lit("")))).alias("term"))
-    return shown.groupBy("item", "term").agg(F.count("*").alias("tf"), F.max("n").alias("n")).select(_bucket("term").alias("bucket"), "term", "item", "tf", "n")
+def bucket_of(term: str) -> int:
+    """The bucket of a term, told without a job."""
+    h = xxhash.xxh64(term.encode(), seed=42).intdigest()
+    return (h - 2**64 if h >= 2**63 else h) % BUCKETS
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings(bucket, kb, term, item, tf, n), n being the item's tokens; an item has a row with the empty term. totals(kb, item_count, tokens, built_at)."""
+
+    postings: DataFrame
+    totals: DataFrame
+
+
+def postings(docs: DataFrame, item: str, body: str | Column, kb: str | None = None) -> DataFrame:
+    """One row for a term of an item of docs, and one with the empty term for each item. Null texts have no tokens."""
+    body = F.col(body) if isinstance(body, str) else body
+    base = F.col(kb).cast("string") if kb else F.lit("")
+    words = docs.select(base.alias("kb"), F.col(item).alias("item"), F.coalesce(text.tokens(body), F.array().cast("array<string>")).alias("w"))
+    shown = words.select("kb", "item", F.size("w").cast("long").alias("n"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
+    return shown.groupBy("kb", "item", "term", "n").agg(F.count("*").alias("tf")).select(_bucket(F.col("term")).alias("bucket"), "kb", "term", "item", "tf", "n")
+
 
+def totals(rows: DataFrame, built_at: Column | None = None) -> DataFrame:
+    """(kb, item_count, tokens, built_at) of postings."""
+    marks = rows.where((F.col("bucket") == bucket_of("")) & (F.col("term") == ""))
+    return marks.groupBy("kb").agg(F.count("*").alias("item_count"), F.sum("n").alias("tokens")).withColumn("built_at", built_at if built_at is not None else F.current_timestamp())
 
-def lengths(index: DataFrame) -> DataFrame:
-    """(item, n) of all items of an index."""
-    return index.groupBy("item").agg(F.max("n").alias("n"))
 
+def index_of(rows: DataFrame) -> Index:
+    """An index over postings that are not stored."""
+    return Index(rows, totals(rows))
 
-def without(index: DataFrame, items: DataFrame) -> DataFrame:
+
+def store(rows: DataFrame, path: str, built_at: Column | None = None) -> Index:
+    """Write postings, then the totals that make them an index. Terms of one bucket lie together and sorted, so that row-group statistics narrow a search.
+
+    Beyond BUCKETS tasks a bucket is written in parts, so that a frequent term is no one task.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("item"), F.lit(max(1, tasks // BUCKETS)))
+    rows.repartition(tasks, "bucket", part).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    spark = rows.sparkSession
+    totals(spark.read.parquet(f"{path}/postings"), built_at).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    return load(spark, path)
+
+
+def load(spark: SparkSession, path: str) -> Index | None:
+    """The index of a folder; None if there is none, or it isn't ready."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return None
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"))
+
+
+def without(index: Index, items: DataFrame) -> Index:
     """The index without these items(item)."""
-    return index.join(items.select("item"), "item", "left_anti").select(*index.columns)
+    rows = index.postings
+    return index_of(rows.join(items.select("item"), "item", "left_anti").select(*rows.columns))
 
 
-def extended(index: DataFrame, docs: DataFrame, item: str, body: str) -> DataFrame:
+def extended(index: Index, docs: DataFrame, item: str, body: str, kb: str | None = None) -> Index:
     """The index with these documents, which replace earlier ones of the same id."""
-    new = postings(docs, item, body)
-    return without(index, docs.select(F.col(item).alias("item"))).unionByName(new)
+    kept = without(index, docs.select(F.col(item).alias("item"))).postings
+    return index_of(kept.unionByName(postings(docs, item, body, kb)))
+
+
+def scores(index: Index, terms: list[str], by_kb: bool = False, among: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(kb, item, score) by BM25 of the items that hold a term, with statistics of all items, or by_kb of each knowledge base.
+
+    among(item): only these items, by a filter before any cut; the statistics stay those of all.
+    """
+    none = index.postings.select("kb", "item", F.lit(0.0).alias("score")).where("false")
+    if not terms:
+        return none
+    hits = index.postings.where(F.col("bucket").isin(sorted({bucket_of(t) for t in terms})) & F.col("term").isin(terms))
+    over = ["kb"] if by_kb else []
+    df = hits.groupBy(*over, "term").agg(F.count("*").alias("df"))  # a row a term
+    size = index.totals.groupBy(*over).agg(F.sum("item_count").alias("items"), (F.sum("tokens") / F.sum("item_count")).alias("mean"))
+    if over:
+        df = df.join(size, over)
+    else:
+        whole = size.first()
+        if not whole["items"] or not whole["mean"]:
+            return none
+        df = df.withColumns({"items": F.lit(whole["items"]), "mean": F.lit(whole["mean"])})
+    weights = df.select(*over, "term", "mean", F.log(F.greatest(F.lit(1.0), (F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
+    if among is not None:
+        hits = hits.join(among.select("item"), "item", "left_semi")
+    part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    return hits.join(F.broadcast(weights) if not over else weights, [*over, "term"]).groupBy("kb", "item").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def search(index: Index, terms: list[str], k: int, among: DataFrame | None = None) -> DataFrame:
+    """(item, score): the k best items, ties to the lesser item."""
+    return scores(index, terms, among=among).select("item", "score").orderBy(F.desc("score"), "item").limit(k)
+
+
+class SparseRetriever(Protocol):
+    """What a sparse retriever does for a knowledge base."""
+
+    def status(self, current: int) -> str | None: ...
+
+    def search(self, terms: list[str], k: int, among: DataFrame | None = None) -> DataFrame: ...
+
+
+class IndexRetriever:
+    """Searches the index of a folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.index = load(spark, path)
+
+    def status(self, current: int) -> str | None:
+        """absent, stale (another number of items), ready; None if there is nothing to index."""
+        if not current:
+            return None
+        if self.index is None:
+            return "absent"
+        return "ready" if (self.index.totals.agg(F.sum("item_count")).first()[0] or 0) == current else "stale"
+
+    def search(self, terms: list[str], k: int, among: DataFrame | None = None) -> DataFrame:
+        if self.index is None:
+            raise LookupError("no index")
+        return search(self.index, terms, k, among)
+
+
+class ScanRetriever:
+    """Scores the texts themselves: what a search falls back to."""
 
+    def __init__(self, docs: DataFrame, item: str, body: str):
+        self.docs, self.item, self.body = docs, item, body
 
-def store(index: DataFrame, path: str) -> None:
-    """Terms of one bucket lie together and sorted, so that row-group statistics narrow a search."""
-    index.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    def status(self, current: int) -> str | None:
+        return "ready" if current else None
 
+    def search(self, terms: list[str], k: int, among: DataFrame | None = None) -> DataFrame:
+        from fathom.operators.retrieval import bm25
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+        found = bm25(self.docs, self.item, self.body, terms).select(F.col(self.item).alias("item"), "score")
+        if among is not None:
+            found = found.join(among.select("item"), "item", "left_semi")
+        return found.orderBy(F.desc("score"), "item").limit(k)
 
 
-def search(index: DataFrame, terms: list[str], k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(item, score): the k best items by BM25, ties to the lesser item. Only the postings of the terms are scored."""
-    size = lengths(index).agg(F.count("*").alias("items"), F.avg("n").alias("mean")).first()
-    if not terms or not size["items"] or not size["mean"]:
-        return index.select("item", F.lit(0.0).alias("score")).where("false")
-    spark = index.sparkSession
-    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket("t")).distinct().collect()]
-    hits = index.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row a term
-    idf = F.log(F.greatest(F.lit(1.0), (size["items"] - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("n") / size["mean"]))
-    return hits.join(F.broadcast(df), "term").groupBy("item").agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), "item").limit(k)
+def retriever(indexed: IndexRetriever, scan: ScanRetriever, current: int) -> SparseRetriever:
+    """The index if it is ready, else the scan."""
+    return indexed if indexed.status(current) == "ready" else scan

@@ -16,9 +16,49 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.max(F.struct(*order, F.struct(*rest).alias("_r"))).alias("_m")).select(key, *[f"_m.{c}" for c in order], *[f"_m._r.{c}" for c in rest])
 
 
-def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New rows replace old ones of the same key."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+def upserted(old: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """New rows replace old ones of the same key; of new rows of one key the last counts, by `order` and then all columns."""
+    rest = [c for c in new.columns if c != key]
+    by = [*(order or []), *[c for c in rest if c not in (order or [])]]
+    one = new.groupBy(key).agg(F.max(F.struct(*by)).alias("_m")).select(*[key if c == key else F.col("_m")[c].alias(c) for c in new.columns]) if by else new.distinct()
+    return old.join(one.select(key), key, "left_anti").unionByName(one)
+
+
+def retried(rows: DataFrame, owner: str, most: int = 3) -> DataFrame:
+    """After a storage error of `owner`: its rows that have attempts left wait again without an owner, the others fail; rows of other owners stay."""
+    mine = F.coalesce((F.col("status") == "indexing") & (F.col("owner") == owner), F.lit(False))
+    again = mine & (F.col("attempts") < most)
+    return rows.withColumns({"status": F.when(again, "pending").when(mine, "failed").otherwise(F.col("status")), "owner": F.when(~again, F.col("owner"))})
+
+
+def enriching(rows: DataFrame, owner: str) -> DataFrame:
+    """Claim of an enrichment: rows that are not already being enriched get this owner, and keep the status they had as `prior`."""
+    free = F.coalesce(F.col("status") != "enriching", F.lit(True))
+    return rows.withColumns({"prior": F.when(free, F.col("status")).otherwise(F.col("prior")), "owner": F.when(free, owner).otherwise(F.col("owner")), "status": F.lit("enriching")})
+
+
+def work_set(items: DataFrame, results: DataFrame, item: str, choice: str) -> DataFrame:
+    """Items to enrich: all; unenriched, those without a row of results(item, error); failed, those with an error."""
+    if choice == "all":
+        return items
+    if choice == "unenriched":
+        return items.join(results.select(item), item, "left_anti")
+    if choice == "failed":
+        return items.join(results.where(F.col("error").isNotNull()).select(item), item, "left_semi")
+    raise ValueError(f"unknown choice {choice!r}")
+
+
+def cascade(children: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Each table without the rows of what is gone(key)."""
+    ids = gone.select(key).distinct()
+    return {name: rows.join(ids, key, "left_anti").select(*rows.columns) for name, rows in children.items()}
+
+
+def prunable(known: DataFrame, fresh: DataFrame, reachable: list[str]) -> DataFrame:
+    """known(key) that are not fresh(key), within the prefixes (`prefix:...`) that were reached and gave something this time; others are never touched."""
+    prefix = F.substring_index("key", ":", 1)
+    given = fresh.select(prefix.alias("_p")).where(F.col("_p").isin(reachable)).distinct()
+    return known.withColumn("_p", prefix).where(F.col("key").contains(":")).join(F.broadcast(given), "_p", "left_semi").join(fresh.select("key"), "key", "left_anti").select("key")
 
 
 def claimed(rows: DataFrame, owner: str) -> DataFrame:

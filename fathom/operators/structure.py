@@ -14,19 +14,63 @@ def chunks(docs: DataFrame, item: str, body: str, size: int = 2000, overlap: int
     return rows.select(item, "chunk_index", (F.col("_c") * step).alias("start"), F.substring(F.col(body), F.col("_c") * step + 1, F.lit(size)).alias("text"))
 
 
-def pages_of_chunks(pages: DataFrame, cut: DataFrame, item: str) -> DataFrame:
-    """(item, chunk_index, page) where the half-open spans meet; pages(item, page, n_chars) are joined by one separator each."""
-    order = Window.partitionBy(item).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pages.withColumn("_from", F.coalesce(F.sum(F.col("n_chars") + 1).over(order), F.lit(0)))
-    placed = placed.select(item, "page", "_from", (F.col("_from") + F.col("n_chars")).alias("_to"))
-    spans = cut.select(item, "chunk_index", "start", (F.col("start") + F.length("text")).alias("_end"))
-    return spans.join(placed, item).where((F.col("start") < F.col("_to")) & (F.col("_end") > F.col("_from"))).select(item, "chunk_index", "page")
+def pages_of_chunks(pages: DataFrame, cut: DataFrame, item: str, width: int = 2000) -> DataFrame:
+    """(item, chunk_index, page) where the half-open spans meet; pages(item, page, n_chars) are joined by one separator each.
+
+    A range join in bins of `width` characters: a chunk meets the pages of the bins it touches, not all pages of its document; a pair that
+    meets in several bins counts in the first of them. Where a page begins comes from one pass over the document's lengths.
+    """
+    listed = pages.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("page", F.col("n_chars").cast("long").alias("n")))).alias("_p"))
+    empty = F.array().cast("array<struct<page:int,_from:bigint,_to:bigint>>")
+    state = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+    added = lambda s, x: F.struct((s["at"] + x["n"] + 1).alias("at"), F.concat(s["out"], F.array(F.struct(x["page"].cast("int").alias("page"), s["at"].alias("_from"), (s["at"] + x["n"]).alias("_to")))).alias("out"))
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(F.greatest(b - 1, a) / width))).alias("_bin")
+    placed = listed.select(item, F.explode(F.aggregate("_p", state, added, lambda s: s["out"])).alias("_x")).select(item, "_x.*")
+    placed = placed.select("*", bins(F.col("_from"), F.col("_to")))
+    spans = cut.select(item, "chunk_index", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("text")).cast("long").alias("_end"))
+    spans = spans.select("*", bins(F.col("start"), F.col("_end")))
+    first = F.col("_bin") == F.greatest(F.floor(F.col("start") / width), F.floor(F.col("_from") / width))
+    met = spans.join(placed, [item, "_bin"]).where((F.col("start") < F.col("_to")) & (F.col("_end") > F.col("_from")) & first)
+    return met.select(item, "chunk_index", "page")
+
+
+def header_chunks(docs: DataFrame, item: str, body: str, size: int = 2000, overlap: int = 50) -> DataFrame:
+    """(item, section, heading, chunk_index, text): a text is split before its markdown headings, and each section cut as by chunks(). Blank sections are left out; what stands before the first heading has none."""
+    sections = docs.where(F.length(body) > 0).select(item, F.posexplode(F.split(F.col(body), r"(?m)(?=^#{1,6}[ \t])", -1)).alias("section", "_s")).where(F.col("_s").rlike(r"\S"))
+    heading = F.nullif(F.trim(F.regexp_extract("_s", r"^#{1,6}[ \t]+([^\n]*)", 1)), F.lit(""))
+    step = size - overlap
+    last = F.greatest(F.lit(0), F.ceil((F.length("_s") - overlap) / step).cast("int") - 1)
+    rows = sections.select(item, "section", heading.alias("heading"), "_s", F.posexplode(F.sequence(F.lit(0), last)).alias("chunk_index", "_c"))
+    return rows.select(item, "section", "heading", "chunk_index", F.substring(F.col("_s"), F.col("_c") * step + 1, F.lit(size)).alias("text"))
+
+
+def item_pages(meta: Column) -> Column:
+    """Pages that an item covers, sorted, by its JSON metadata: `pages` as far as they are whole numbers, else start_page to end_page, else start_page, else none."""
+    whole = lambda v: F.trim(v).try_cast("int")
+    listed = F.filter(F.transform(F.from_json(F.get_json_object(meta, "$.pages"), "array<string>"), whole), lambda x: x.isNotNull())
+    start, end = (whole(F.get_json_object(meta, f"$.{k}_page")) for k in ("start", "end"))
+    span = F.when(end >= start, F.sequence(start, end)).when(end < start, F.array().cast("array<int>")).otherwise(F.array(start))
+    return F.array_sort(F.array_distinct(F.when(F.size(listed) > 0, listed).when(start.isNotNull(), span).otherwise(F.array().cast("array<int>"))))
+
+
+def item_images(pages: Column, images: Column, most: int = 10) -> Column:
+    """Of images(page, path), an array in order of page, those on the pages; all if there are no pages; at most so many."""
+    return F.slice(F.when(F.size(pages) > 0, F.filter(images, lambda x: F.array_contains(pages, x["page"]))).otherwise(F.array_sort(images)), 1, most)
 
 
 def positional_score(document_rank: Column, rank: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - 0.02 * document_rank - 0.05 * rank)
 
 
+def positional_scores(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """(item, group, score): rows of a group in order of item, the group being the document's rank. A score is 0 from the twentieth row on, so only twenty rows
+    of a group are put in order."""
+    order = Window.partitionBy(group).orderBy(item)
+    leading = rows.select(group, item).withColumn("_rank", F.row_number().over(order) - 1).where(F.col("_rank") < 20)
+    ranked = rows.select(group, item).join(leading.select(item, "_rank"), item, "left")
+    return ranked.select(item, group, F.coalesce(positional_score(F.col(group), F.col("_rank")), F.lit(0.0)).alias("score"))
+
+
 def valid_references(nodes: DataFrame) -> DataFrame:
     """nodes(node_id, parent_id, refs) to (node_id, ref): known nodes other than the node, its parent and its children."""
     asked = nodes.select("node_id", "parent_id", F.explode(F.array_distinct("refs")).alias("ref"))

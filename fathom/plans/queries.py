@@ -13,28 +13,20 @@ from pyspark.sql import functions as F
 from fathom.functions import json, text, vectors
 from fathom.operators import listings, records, retrieval, runs, sessions, sparse, state, structure
 from fathom.sources import sinks
-from fathom.sources.tables import Tables, links
+from fathom.plans.indexes import documents_index
+from fathom.plans.registry import KNOWN, query
+from fathom.sources.tables import links
 
-#: name -> (query, SQL or None)
-_KNOWN: dict[str, tuple[Callable, str | None]] = {}
 #: The clock of the queries that look back from now.
 NOW = "2024-01-20 00:00:00"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        _KNOWN[f.__name__] = (lambda spark, folder: f(Tables(spark, folder)), sql)
-        return f
+def queries() -> dict[str, Callable]:
+    return {name: f for name, (f, _) in KNOWN.items()}
 
-    return add
 
-
-def queries():
-    return {name: f for name, (f, _) in _KNOWN.items()}
-
-
-def oracle_sql():
-    return {name: sql for name, (_, sql) in _KNOWN.items() if sql}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in KNOWN.items() if sql}
 
 
 # -- text ---------------------------------------------------------------------
@@ -63,7 +55,7 @@ def citation_parse(t):
     return marked.select("conv_id", "turn", F.array_join(text.citations(F.col("marked")), ",").alias("cited"), text.without_citations(F.col("marked")).alias("bare"))
 
 
-@query(r"SELECT doc_id, coalesce(len(regexp_extract_all(lower(text), '[a-z0-9]+')), 0) AS n_tokens, CAST(greatest(1, (length(text) // 4 + 999) // 1000) AS BIGINT) AS units FROM documents")
+@query(r"SELECT doc_id, coalesce(len(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')), 0) AS n_tokens, CAST(greatest(1, (length(text) // 4 + 999) // 1000) AS BIGINT) AS units FROM documents")
 def billing_units(t):
     units = F.greatest(F.lit(1), F.floor((text.token_estimate(F.col("text")) + 999) / 1000))
     return t.documents.select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"), units.cast("long").alias("units"))
@@ -112,9 +104,12 @@ def agent_listing(t):
     return t.customer.join(runs, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("runs", F.lit(0)).alias("runs"), "last_run")
 
 
-@query("SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY 1 HAVING count(*) BETWEEN 2 AND 6")
+@query("SELECT c_custkey, count(o_orderkey) AS runs, coalesce(max(o_orderdate), TIMESTAMP '1970-01-01') AS last_activity FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' GROUP BY 1 HAVING count(o_orderkey) <= 6")
 def session_listing(t):
-    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn")).where("messages between 2 and 6")
+    """Customers are sessions, urgent orders their runs; sessions without runs are listed too."""
+    runs_ = t.orders.where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("runs"), F.max("o_orderdate").alias("last"))
+    both = t.customer.select("c_custkey").join(runs_, "c_custkey", "left")
+    return both.select("c_custkey", F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("last", F.lit("1970-01-01").cast("timestamp_ntz")).alias("last_activity")).where("runs <= 6")
 
 
 @query("SELECT c_custkey FROM customer WHERE contains(lower(c_name), '00012') OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
@@ -281,43 +276,59 @@ def floor_merge(t):
     return retrieval.with_floor(retrieval.top(rows, "vec_id", 5), floor, "vec_id")
 
 
-_BM25 = r"""tok AS (SELECT doc_id, lang, source, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
-q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark WHERE item_id = 0),
+_BM25 = r"""tok AS (SELECT doc_id, lang, source, text, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+') AS w FROM documents),
+q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS t FROM benchmark WHERE item_id = 0),
 st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM tok),
 tf AS (SELECT doc_id, dl, t, count(*) AS f FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM tok) SEMI JOIN q USING (t) GROUP BY ALL),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
 bm AS (SELECT doc_id, round(sum(ln(greatest(1, (n - df + 0.5) / (df + 0.5))) * f / (f + 1.5 * (0.25 + 0.75 * dl / a))), 6) AS score FROM tf JOIN df USING (t), st GROUP BY 1)"""
 
 
-def _bm25(t):
-    """Documents by the words of benchmark item 0."""
+def _terms(t):
+    """The words of benchmark item 0."""
     asked = t.benchmark.where("item_id = 0").select("text").first()
-    return retrieval.bm25(t.documents.select("doc_id", "lang", "source", "text"), "doc_id", "text", retrieval.query_terms(asked[0]) if asked and asked[0] else [])
+    return retrieval.query_terms(asked[0]) if asked and asked[0] else []
+
+
+def _bm25(t):
+    """(doc_id, score) of the documents by the words of benchmark item 0, from the stored index."""
+    return sparse.scores(documents_index(t), _terms(t)).select(F.col("item").alias("doc_id"), "score")
 
 
 @query(f"WITH {_BM25} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk(t):
-    return retrieval.top(_bm25(t).select("doc_id", "score"), "doc_id", 10)
+    return retrieval.top(_bm25(t), "doc_id", 10)
+
+
+@query(f"WITH {_BM25} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 10")
+def bm25_scan(t):
+    """The same without an index: the fallback of a knowledge base that has none."""
+    rows = sparse.retriever(sparse.IndexRetriever(t.spark, f"{t.folder}/no-index"), sparse.ScanRetriever(t.documents, "doc_id", "text"), 1)
+    return rows.search(_terms(t), 10).withColumnRenamed("item", "doc_id")
 
 
 @query(f"WITH {_BM25}, x AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 20)), y AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM ({_VEC} ORDER BY score DESC, e.vec_id LIMIT 20)) SELECT doc_id, round(coalesce(0.5 / (60 + y.r), 0) + coalesce(0.5 / (60 + x.r), 0), 6) AS score FROM x FULL JOIN y USING (doc_id)")
 def hybrid_rrf(t):
     """A vector's id is taken as that of the document it embeds."""
     near = retrieval.top(_scored(t).select(F.col("vec_id").alias("doc_id"), "score"), "doc_id", 20)
-    return retrieval.fused(near, retrieval.top(_bm25(t).select("doc_id", "score"), "doc_id", 20), "doc_id")
+    return retrieval.fused(near, retrieval.top(_bm25(t), "doc_id", 20), "doc_id")
 
 
 _GROUPS = f"{_BM25}, g AS (SELECT doc_id, source, score, length(text) // 4 AS est, max(score) OVER (PARTITION BY source) AS best, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS r FROM (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 50) JOIN documents USING (doc_id))"
 
 
+def _fifty(t):
+    return retrieval.fetched(t.documents.select("doc_id", "source", "text"), "doc_id", retrieval.top(_bm25(t), "doc_id", 50))
+
+
 @query(f"WITH {_GROUPS} SELECT doc_id, source, score, best FROM g")
 def group_by_document(t):
-    return retrieval.by_document(retrieval.top(_bm25(t), "doc_id", 50), "doc_id", "source").select("doc_id", "source", "score", "best")
+    return retrieval.by_document(_fifty(t).drop("text"), "doc_id", "source").select("doc_id", "source", "score", "best")
 
 
 @query(f"WITH {_GROUPS}, c AS (SELECT *, CAST(sum(est + CASE WHEN r = 1 THEN 20 ELSE 0 END) OVER (ORDER BY best DESC, source, score DESC, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM g) SELECT doc_id, running FROM c WHERE running <= 8000")
 def token_budget(t):
-    return retrieval.within_budget(retrieval.top(_bm25(t), "doc_id", 50), "doc_id", "source", "text", 8000, 20).select("doc_id", "running")
+    return retrieval.within_budget(_fifty(t), "doc_id", "source", "text", 8000, 20).select("doc_id", "running")
 
 
 _PAGES = "p AS (SELECT o_custkey, o_orderkey, unnest(range(day(o_orderdate), day(o_orderdate) + 3)) AS page FROM orders)"
@@ -357,10 +368,7 @@ def chunk_pages(t):
 @query("SELECT vec_id, label, round(greatest(0, 1 - 0.02 * label - 0.05 * (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1))::DOUBLE, 6) AS score FROM embeddings")
 def tree_score(t):
     """The label is the document's rank, nodes rank by id."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return t.embeddings.select("vec_id", "label", F.round(structure.positional_score(F.col("label"), rank), 6).alias("score"))
+    return structure.positional_scores(t.embeddings, "label", "vec_id").select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 def _nodes(t):
@@ -399,6 +407,14 @@ def toc_render(t):
 # -- state ----------------------------------------------------------------------------
 
 
+@query("SELECT c_custkey AS id, CASE WHEN s_suppkey IS NULL THEN c_nationkey ELSE s_nationkey END AS nation FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey UNION ALL SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)")
+def upsert_rows(t):
+    """Suppliers come, each twice, over the customers of the same number; the later of the two counts."""
+    new = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.lit(2).alias("at"))
+    old = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.lit(0).alias("at"))
+    return state.upserted(old, new.unionByName(new.withColumns({"nation": F.lit(-1), "at": F.lit(1)})), "id", ["at"]).select("id", "nation")
+
+
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def upsert_latest(t):
     return state.latest(t.events.select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
@@ -442,9 +458,14 @@ def fixed_window_limit(t):
     return state.fixed_window(t.events, "user_id", "ts", "event_id", 2, "day").select("event_id", "accepted")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+r AS (SELECT user_id, n, event_id, true AS accepted, [ts] AS held FROM o WHERE n = 1
+UNION ALL SELECT o.user_id, o.n, o.event_id, len(list_filter(r.held, lambda x: x > o.ts - INTERVAL 1 HOUR)) < 2,
+  CASE WHEN len(list_filter(r.held, lambda x: x > o.ts - INTERVAL 1 HOUR)) < 2 THEN list_append(list_filter(r.held, lambda x: x > o.ts - INTERVAL 1 HOUR), o.ts) ELSE r.held END
+  FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT user_id, event_id, accepted FROM r""")
 def rate_limit(t):
-    """At most 2 events of a user in an hour; no SQL (each decision rests on those before it)."""
+    """At most 2 events of a user in an hour; events without user or time are not judged."""
     return state.sliding_window(t.events, "user_id", "ts", "event_id", 2, 3600)
 
 
@@ -491,11 +512,17 @@ def block_upstream(t):
     return t.nation.select(n.alias("id")).join(records.children(ends, "id", "at", "n_name", "inputs"), "id", "left")
 
 
-@query("SELECT s_suppkey AS key, CASE WHEN s_acctbal >= 0 AND s_nationkey BETWEEN 3 AND 20 THEN s_nationkey ELSE 7 END AS value FROM supplier")
+@query("""SELECT s_suppkey AS key, CASE s_suppkey % 4 WHEN 0 THEN CASE WHEN s_acctbal >= 0 AND s_nationkey BETWEEN 3 AND 20 THEN CAST(s_nationkey AS VARCHAR) ELSE '7' END
+WHEN 1 THEN CASE WHEN s_acctbal >= 0 AND s_nationkey BETWEEN 3 AND 20 THEN s_nationkey || '.5' ELSE '7' END
+WHEN 2 THEN CASE WHEN s_acctbal >= 0 AND s_nationkey = 1 THEN 'true' ELSE 'false' END
+ELSE CASE WHEN s_acctbal >= 0 AND s_nationkey IN (5, 6) THEN CAST(s_nationkey AS VARCHAR) ELSE '7' END END AS value FROM supplier""")
 def settings_overlay(t):
-    """Suppliers are settings with default 7; their nation is what is stored, a word if they owe money."""
-    stored = F.when(F.col("s_acctbal") >= 0, F.col("s_nationkey").cast("string")).otherwise("word")
-    return records.overlay(t.supplier.select(F.col("s_suppkey").alias("key"), F.lit(7).alias("default")), t.supplier.select(F.col("s_suppkey").alias("key"), stored.alias("text")), 3, 20)
+    """Suppliers are settings of four kinds; their nation is what is stored, a word if they owe money."""
+    kind = F.element_at(F.array(*map(F.lit, ("int", "float", "bool", "str"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    nation = F.col("s_nationkey").cast("string")
+    stored = F.when(F.col("s_acctbal") < 0, "word").when(kind == "float", F.concat(nation, F.lit(".5"))).otherwise(nation)
+    rule = t.supplier.select(F.col("s_suppkey").alias("key"), kind.alias("kind"), F.lit("7").alias("default"), F.lit(3.0).alias("low"), F.lit(20.5).alias("high"), F.when(kind == "str", F.array(F.lit("5"), F.lit("6"))).alias("choices"))
+    return records.overlay(rule, t.supplier.select(F.col("s_suppkey").alias("key"), stored.alias("text")))
 
 
 @query(f"SELECT user_id, max(ts) + INTERVAL 1 HOUR * (user_id % 24 + 1) <= TIMESTAMP '2024-01-30 12:00:00' AS due FROM events GROUP BY 1")
@@ -519,7 +546,7 @@ def needed_pages(t):
     return records.needed_pages(items, "o_custkey", "pages").select("o_custkey", "all_pages", F.nullif(F.array_join("pages", ","), F.lit("")).alias("pages"))
 
 
-@query("""SELECT event_id, '{"k":"' || (props->>'$.k') || '"}' AS moved, '{}' AS rest FROM events""")
+@query("""SELECT event_id, '{"k":' || (props->>'$.k') || '}' AS moved, '{}' AS rest FROM events""")
 def json_move_keys(t):
     return t.events.select("event_id", F.to_json(json.only(F.col("props"), ["k"])).alias("moved"), F.to_json(json.without(F.col("props"), ["k"])).alias("rest"))
 
@@ -564,37 +591,38 @@ def query_context(t):
     return sessions.query_context(t.conversations, "conv_id", "turn", F.lit("what now"), 2.0)
 
 
-@query(r"""WITH r AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) AS o, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#]+)', 1)) AS h FROM pages),
-l AS (SELECT DISTINCT page_id, CASE WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN starts_with(h, '/') THEN o || h ELSE o || '/' || h END AS link FROM r) SELECT * FROM l WHERE regexp_matches(link, '^https?://')""")
+@query(r"""WITH h AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)//', 1) AS scheme, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
+  replace(trim(unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#]+)', 1))), '&amp;', '&') AS href FROM pages),
+w AS (SELECT page_id, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN host = '' THEN NULL WHEN starts_with(href, '//') THEN scheme || href
+  WHEN starts_with(href, '/') THEN scheme || '//' || host || href
+  WHEN starts_with(href, '?') THEN scheme || '//' || host || CASE WHEN path = '' THEN '/' ELSE path END || href
+  ELSE scheme || '//' || host || '/' || ltrim(regexp_replace(path, '[^/]*$', ''), '/') || href END AS u FROM h),
+n AS (SELECT page_id, regexp_replace(u, '([^/:])/+(\?|$)', '\1\2') AS n FROM w)
+SELECT DISTINCT page_id, CASE WHEN regexp_matches(n, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]+$') THEN n || '/' ELSE n END AS link FROM n WHERE regexp_matches(n, '^(?i:https?)://[^/]')""")
 def link_extract(t):
     return links(t.pages).select("page_id", "link")
 
 
 @query(f"WITH {_BM25} SELECT t AS term, df FROM df")
 def doc_freqs(t):
-    asked = t.benchmark.where("item_id = 0").select("text").first()
-    wanted = retrieval.query_terms(asked[0]) if asked and asked[0] else []
-    hits = F.array_distinct(F.filter(text.tokens(F.col("text")), lambda w: w.isin(wanted)))
-    return t.documents.select(F.explode(hits).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    terms = _terms(t)
+    hits = documents_index(t).postings.where(F.col("bucket").isin(sorted({sparse.bucket_of(x) for x in terms})) & F.col("term").isin(terms))
+    return hits.groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(f"WITH {_BM25} SELECT doc_id AS item, score FROM bm ORDER BY score DESC, doc_id LIMIT 10")
 def sparse_index_search(t):
-    """Builds the postings of all documents, then searches them."""
-    asked = t.benchmark.where("item_id = 0").select("text").first()
-    return sparse.search(sparse.postings(t.documents, "doc_id", "text"), retrieval.query_terms(asked[0]) if asked and asked[0] else [], 10)
+    return sparse.search(documents_index(t), _terms(t), 10)
 
 
-_KB_BM25 = _BM25.replace("count(*) AS n, avg(len(w)) AS a FROM tok", "lang, count(*) AS n, avg(len(w)) AS a FROM tok GROUP BY 1").replace("SELECT doc_id, dl, t, count(*) AS f FROM (SELECT doc_id, len(w)", "SELECT doc_id, lang, dl, t, count(*) AS f FROM (SELECT doc_id, lang, len(w)").replace("SELECT t, count(*) AS df FROM tf GROUP BY 1", "SELECT lang, t, count(*) AS df FROM tf GROUP BY 1, 2").replace("FROM tf JOIN df USING (t), st GROUP BY 1", "FROM tf JOIN df USING (t, lang) JOIN st USING (lang) WHERE lang IN ('en', 'fr', 'de', 'es') GROUP BY 1")
+_KB_BM25 = _BM25.replace("count(*) AS n, avg(len(w)) AS a FROM tok", "lang, count(*) AS n, avg(len(w)) AS a FROM tok GROUP BY 1").replace("SELECT doc_id, dl, t, count(*) AS f FROM (SELECT doc_id, len(w)", "SELECT doc_id, lang, dl, t, count(*) AS f FROM (SELECT doc_id, lang, len(w)").replace("SELECT t, count(*) AS df FROM tf GROUP BY 1", "SELECT lang, t, count(*) AS df FROM tf GROUP BY 1, 2").replace("FROM tf JOIN df USING (t), st GROUP BY 1", "FROM tf JOIN df USING (t, lang) JOIN st USING (lang) GROUP BY 1")
 
 
 @query(f"WITH {_KB_BM25} SELECT doc_id, lang, score FROM bm JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10")
 def multi_kb_merge(t):
-    """The four languages are knowledge bases, each with statistics of its own; their lists merge by raw score."""
-    asked = t.benchmark.where("item_id = 0").select("text").first()
-    terms = retrieval.query_terms(asked[0]) if asked and asked[0] else []
-    each = [retrieval.top(retrieval.bm25(t.documents.select("doc_id", "lang", "text").where(F.col("lang") == kb), "doc_id", "text", terms).select("doc_id", "lang", "score"), "doc_id", 10) for kb in ("en", "fr", "de", "es")]
-    return retrieval.merged(each, "doc_id", 10)
+    """Languages are knowledge bases, each with statistics of its own; their lists merge by raw score."""
+    best = retrieval.top(sparse.scores(documents_index(t), _terms(t), by_kb=True), "item", 10)
+    return best.select(F.col("item").alias("doc_id"), F.col("kb").alias("lang"), "score")
 
 
 # -- runs ------------------------------------------------------------------------------
@@ -879,9 +907,9 @@ def call_ledger(t):
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2")
 def insert_absent(t):
     """Events are citations by user and type; those of a supplier's number are there already."""
-    kinds = t.events.select("event_type").distinct()
-    old = t.supplier.select(F.col("s_suppkey").alias("user_id")).crossJoin(F.broadcast(kinds))  # five kinds
-    return sinks.inserted_absent(old, t.events.select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
+    rows = t.events.select("user_id", "event_type", "event_id")
+    old = rows.join(t.supplier.select(F.col("s_suppkey").alias("user_id")), "user_id", "left_semi").select("user_id", "event_type").distinct()
+    return sinks.inserted_absent(old, rows, ["user_id", "event_type"], "event_id")
 
 
 @query("SELECT vec_id AS item_id, 'a' AS model, CASE WHEN vec_id % 2 = 1 THEN label + 100 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id, 'b', label + 100 FROM embeddings WHERE vec_id % 2 = 1")
@@ -892,7 +920,7 @@ def vector_upsert(t):
     return sinks.upserted_vectors(rows, odd.unionByName(odd.withColumn("model", F.lit("b"))))
 
 
-@query("SELECT doc_id AS item_id, 'kb' AS knowledge_base_id, source AS source_id, CAST(length(text) AS INTEGER) AS n_chars, 'store/' || source || '/full_text.txt' AS full_text_path FROM documents")
+@query("SELECT doc_id AS item_id, 'kb' AS knowledge_base_id, source AS source_id, CAST(length(text) AS INTEGER) AS n_chars, 'store/' || source || '/' || doc_id || '.txt' AS full_text_path FROM documents")
 def document_store(t):
     return sinks.document_rows(t.documents.select(F.col("doc_id").alias("item_id"), F.col("source").alias("source_id"), "text"), "kb", "store")[0]
 
@@ -903,3 +931,7 @@ def structured_write(t):
     rows = sinks.written(t.nation, "insert", {"n_nationkey": 25, "n_name": "ATLANTIS"})
     rows = sinks.written(rows, "update", {"n_regionkey": 9}, {"n_regionkey": 2})
     return sinks.written(rows, "delete", where={"n_nationkey": 3})
+
+
+# more of the catalogue registers itself
+from fathom.plans import rules, search, stores  # noqa: E402, F401

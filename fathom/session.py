@@ -1,9 +1,12 @@
-"""A session with the settings this engine expects; every setting can be overridden."""
+"""A session with the settings this engine expects, and the folder that its tasks share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
+#: Every setting can be overridden.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,3 +20,14 @@ DEFAULTS = {
 def session(master: str | None = None, app: str = "fathom", **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config(map=DEFAULTS | {k.replace("__", "."): v for k, v in settings.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local master, whose executor is the driver, gets a folder of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fathom-"))
+    return sc.getCheckpointDir()

@@ -34,15 +34,25 @@ def tree_rows(nodes: DataFrame, kb: str) -> tuple[DataFrame, DataFrame]:
 
 
 def document_rows(docs: DataFrame, kb: str, root: str) -> tuple[DataFrame, DataFrame]:
-    """docs(item_id, source_id, text) as a slim row with the path of the text, and the texts apart (item_id, text)."""
-    path = F.concat(F.lit(root.rstrip("/") + "/"), F.col("source_id").cast("string"), F.lit("/full_text.txt"))
+    """docs(item_id, source_id, text) as a slim row with the path of the text, and the texts apart (item_id, text). Each document has a path of its own, in its source's folder."""
+    path = F.concat(F.lit(root.rstrip("/") + "/"), F.col("source_id").cast("string"), F.lit("/"), F.col("item_id").cast("string"), F.lit(".txt"))
     slim = docs.select("item_id", F.lit(kb).alias("knowledge_base_id"), "source_id", F.length("text").alias("n_chars"), path.alias("full_text_path"))
     return slim, docs.select("item_id", "text")
 
 
+def json_rows(docs: DataFrame, kb: str, window: int = 4000, overlap: int = 200) -> DataFrame:
+    """docs(item_id, source_id, document) of valid JSON as rows of the store of extracted documents, with an estimate of tokens and the number of windows that were read."""
+    n = F.length("document")
+    windows = F.greatest(F.lit(1), F.ceil((n - overlap) / (window - overlap))).cast("long")
+    valid = docs.where(F.try_parse_json(F.col("document")).isNotNull())
+    return valid.select("item_id", F.lit(kb).alias("knowledge_base_id"), "source_id", "document", F.floor(n / 4).cast("long").alias("token_count"), windows.alias("window_count"))
+
+
 def upserted_vectors(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("item_id", "model")) -> DataFrame:
-    """New vectors replace those of the same item and model."""
-    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
+    """New vectors replace those of the same item and model; of new ones of one key the greatest row counts."""
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_m")).select(*[c if c in keys else F.col("_m")[c].alias(c) for c in new.columns])
+    return old.join(one.select(*keys), list(keys), "left_anti").unionByName(one)
 
 
 def inserted_absent(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:

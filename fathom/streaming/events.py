@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,34 @@ def once(events: DataFrame, key: str, at: str = "ts", delay: str = "1 hour") ->
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
+def limited(events: DataFrame, key: str, order: str, limit: int, seconds: int, at: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """(key, order, accepted) of a stream: a row counts if fewer than `limit` accepted ones of its key lie in the `seconds` before it.
+
+    The state of a key is the times of the accepted rows that still matter, `limit` at most; it goes once the watermark has passed them. Rows of one batch
+    are taken in order of time; a row older than what earlier batches accepted is judged by what is held. Rows without key or time are left out.
+    """
+    kind, kind2 = dict(events.dtypes)[key], dict(events.dtypes)[order]
+
+    def run(who: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["_us", order], kind="stable")
+        accepted = []
+        for t in rows["_us"]:
+            held = [x for x in held if x > t - seconds * 1_000_000]
+            accepted.append(len(held) < limit)
+            if accepted[-1]:
+                held.append(int(t))
+        state.update((held,))
+        state.setTimeoutTimestamp(max(int(rows["_us"].max()) // 1000, state.getCurrentWatermarkMs()) + 1000 * seconds + 1)
+        yield pd.DataFrame({key: rows[key], order: rows[order], "accepted": accepted})
+
+    slim = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, order, F.col(at).cast("timestamp").alias("_t")).withWatermark("_t", delay).withColumn("_us", F.unix_micros("_t"))
+    return slim.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {order} {kind2}, accepted boolean", "held array<bigint>", "append", "EventTimeTimeout")
+
+
 def append(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Write what has arrived and stop; a rerun with the same checkpoint goes on from there, each row once."""
     return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(target)

@@ -61,16 +61,25 @@ def test_search_syntax(spark):
 
 
 def test_sparse_index_round_trip(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "red fox"), (2, "dog"), (3, None), (4, "the red fence")], "id long, t string")
-    sparse.store(sparse.postings(docs, "id", "t"), str(tmp_path / "index"))
-    index = sparse.load(spark, str(tmp_path / "index"))
-    want = [tuple(r) for r in retrieval.top(retrieval.bm25(docs, "id", "t", ["fox", "dog"]).select("id", "score"), "id", 9).collect()]
-    assert [tuple(r) for r in sparse.search(index, ["fox", "dog"], 9).collect()] == want
+    docs = spark.createDataFrame([(1, "red fox", "a"), (2, "dog", "a"), (3, None, "b"), (4, "the red fence", "b")], "id long, t string, kb string")
+    path = str(tmp_path / "index")
+    assert sparse.load(spark, path) is None
+    index = sparse.store(sparse.postings(docs, "id", "t", "kb"), path)
+    found = lambda df: [tuple(r) for r in df.collect()]
+    want = found(retrieval.top(retrieval.bm25(docs, "id", "t", ["fox", "dog"]).select("id", "score"), "id", 9))
+    assert found(sparse.search(index, ["fox", "dog"], 9)) == want
+    assert sorted(map(tuple, index.totals.select("kb", "item_count", "tokens").collect())) == [("a", 2, 3), ("b", 2, 3)]
+    assert [r[0] for r in found(sparse.search(index, ["red"], 9, spark.createDataFrame([(4,), (2,)], "item long")))] == [4]
+    each = {r["item"]: r["kb"] for r in sparse.scores(index, ["red"], by_kb=True).collect()}
+    assert each == {1: "a", 4: "b"}
     gone = sparse.without(index, spark.createDataFrame([(1,)], "item long"))
-    assert [r[0] for r in sparse.search(gone, ["fox"], 9).collect()] == []
+    assert found(sparse.search(gone, ["fox"], 9)) == []
     more = sparse.extended(gone, spark.createDataFrame([(2, "fox"), (5, "a b c d")], "id long, t string"), "id", "t")
-    assert [r[0] for r in sparse.search(more, ["fox", "dog"], 9).collect()] == [2]
-    assert sparse.search(index.where("false"), ["fox"], 9).count() == 0
+    assert [r[0] for r in found(sparse.search(more, ["fox", "dog"], 9))] == [2]
+    assert sparse.search(sparse.index_of(index.postings.where("false")), ["fox"], 9).count() == 0
+    indexed, scan = sparse.IndexRetriever(spark, path), sparse.ScanRetriever(docs, "id", "t")
+    assert [indexed.status(n) for n in (0, 3, 4)] == [None, "stale", "ready"]
+    assert found(sparse.retriever(indexed, scan, 4).search(["fox", "dog"], 9)) == found(sparse.retriever(indexed, scan, 5).search(["fox", "dog"], 9)) == want
 
 
 def test_records(spark):
