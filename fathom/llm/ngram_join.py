@@ -17,15 +17,16 @@ Plan, for documents x with shingle sets S(x) and a threshold of p percent:
    has, T = ceil(n * p / 100). Routes are grouped by range of hash; each
    route ties its sets to one anchor (linear in the route's length, pre-tied on the map
    side), never pair by pair.
-3. groups: the components of these ties hold all links. Sets of groups too large for a block are routed again among
-   themselves, with a list of what is frequent there, apart for each class of sizes and each group.
+3. groups: the components of these ties hold all links.
 4. blocks: each group is cut into blocks of bounded size, and a block is searched with
    DivideSkip: a query's longest lists are set aside, its short ones are
    heap-merged, sets that occur often enough are probed in the long ones by
    binary search. Sets already known to be connected are not verified again, and of the
    largest connected part no set needs to be a query.
 5. across blocks: of a group of several blocks, first one set of each connected part of each block are searched among
-   themselves. Where a group is still in several parts, the sets outside its largest part, and only these, meet all its blocks.
+   themselves. Where a group is still in several parts, the sets outside its largest part, and only these, meet all its blocks. If that
+   would send sets more than COPIES times on average, these groups are routed again among themselves first, with a list of what is frequent there,
+   apart for each class of sizes and each group.
 6. links: the components of the verified links are the result.
 """
 
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, mix, settle, ship, shuffle_partitions
@@ -52,42 +53,58 @@ CHUNK = 2_000_000
 #: Length of the list of frequent shingles, and the frequency from which a shingle counts as frequent.
 HEAVY, HEAVY_FROM = 500_000, 10
 #: Sets, and shingles, in a block.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_500_000
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Rows of numbers up to which a table is broadcast; beyond that it is joined, spread over slices where keys may be hot.
 BROADCAST_ROWS, SLICES = 500_000, 16
-#: Times that groups too large for a block are routed again.
-ROUNDS = 2
-#: Words whose hashes a process keeps.
-WORDS = 500_000
+#: Times that a set may be sent to search across blocks, on average, before groups are routed again; and how often they are.
+COPIES, ROUNDS = 8, 2
 
 
-class _Words(dict):
-    """Hashes of words, 64 bits of a keyed cryptographic hash each."""
+#: White space to blanks, A-Z to a-z.
+_PLAIN = bytes(32 if bytes([b]) in (b"\t", b"\n", b"\x0b", b"\x0c", b"\r") else LOWER[b] for b in range(256))
+_KEEP = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of a word that are hashed eight at a time.
+LONG = 64
 
-    def __missing__(self, word: bytes) -> int:
-        found = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"words").digest(), "little")
-        if len(word) <= 64:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = found
-        return found
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words of a text: a sum of mixed groups of eight bytes, each by its place; a cryptographic hash of words of over LONG bytes."""
+    data = text.encode("utf-8", "surrogatepass").translate(_PLAIN)
+    raw = np.frombuffer(b" " + data + b" " * 9, np.uint8)
+    inside = raw != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    total = mix((eight[starts] & _KEEP[np.minimum(sizes, 8)]) + _PLACES[0]) + sizes.astype(np.uint64)
+    for j in range(1, LONG // 8):
+        more = np.flatnonzero(sizes > 8 * j)
+        if not len(more):
+            return total
+        total[more] += mix((eight[starts[more] + 8 * j] & _KEEP[np.minimum(sizes[more] - 8 * j, 8)]) + _PLACES[j])
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        total[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : starts[k] + sizes[k]].tobytes(), digest_size=8).digest(), "little")
+    return total
 
 
-_words = _Words()
+_PLACES = mix(np.arange(1, LONG // 8 + 1, dtype=np.uint64))
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text; none for null or blank texts."""
-    found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not found:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
-    k = min(words, len(found))
+    hashes = word_hashes(text or "")
+    if not len(hashes):
+        return hashes
+    k = min(words, len(hashes))
     place = mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
-    total = np.full(len(found) - k + 1, k, np.uint64)
+    total = np.full(len(hashes) - k + 1, k, np.uint64)
     for j in range(k):
-        total += hashes[j : len(found) - k + 1 + j] * place[j]
-    return np.unique(mix(total))
+        total += hashes[j : len(hashes) - k + 1 + j] * place[j]
+    total = np.sort(mix(total))
+    new = np.ones(len(total), bool)
+    np.not_equal(total[1:], total[:-1], out=new[1:])
+    return total[new]
 
 
 def set_name(hashes: np.ndarray) -> int:
@@ -325,49 +342,64 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class DivideSkip:
-    """Inverted lists over sets of rising size; finds the sets that share at least T shingles with a query."""
+    """Inverted lists over sets of rising size; finds the sets that share at least T shingles with a query. A list is a slice of one array of set numbers."""
 
     def __init__(self, sets: list[np.ndarray], weight: float = 0.01):
         self.weight = weight
         self.sizes = [len(s) for s in sets]
-        self.lists: dict[int, list[int]] = {}
-        for k, s in enumerate(sets):
-            for g in s.tolist():
-                self.lists.setdefault(g, []).append(k)
+        every = np.concatenate([*sets, np.empty(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        every, self.owner = every[order], np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        first = np.flatnonzero(np.append(np.ones(min(1, len(every)), bool), every[1:] != every[:-1]))
+        self.shingles, self.starts = every[first], np.append(first, len(every))
+
+    def _list(self, at: int, lo: int, hi: int) -> list[int]:
+        x = self.owner[self.starts[at] : self.starts[at + 1]]
+        return x[np.searchsorted(x, lo) : np.searchsorted(x, hi)].tolist() if lo or hi < len(self.sizes) else x.tolist()
 
     def search(self, query: np.ndarray, need: int, skip=lambda k: False, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, int]]:
         """(set, overlap) for sets from lo to hi with overlap >= need, in rising number; those that skip(k) names are passed over when they come up."""
-        lists = [x for g in query.tolist() if (x := self.lists.get(g))]
-        if lo or hi is not None:
-            end = len(self.sizes) if hi is None else hi
-            lists = [x if lo <= x[0] and x[-1] < end else x[bisect_left(x, lo) : bisect_left(x, end)] for x in lists]
-        lists = sorted(filter(None, lists), key=len)
-        if len(lists) < need or need < 1:
+        if not len(self.shingles) or need < 1:
             return
-        aside = min(need - 1, max(0, math.floor(need / (self.weight * math.log2(len(lists[-1]) + 1) + 1))), len(lists) - 1)
-        short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        hi = len(self.sizes) if hi is None else hi
+        at = np.minimum(np.searchsorted(self.shingles, query), len(self.shingles) - 1)
+        at = at[self.shingles[at] == query]
+        if len(at) < need:
+            return
+        lengths = self.starts[at + 1] - self.starts[at]
+        order = np.argsort(lengths, kind="stable")
+        at = at[order]
+        aside = min(need - 1, max(0, math.floor(need / (self.weight * math.log2(int(lengths[order[-1]]) + 1) + 1))), len(at) - 1)
+        short, long = [x for k in at[: len(at) - aside].tolist() if (x := self._list(k, lo, hi))], at[len(at) - aside :].tolist()
         least = need - aside
+        found, counts = [], []
         heap = [(x[0], i, 0) for i, x in enumerate(short)]
         heapq.heapify(heap)
         while heap:
             k, count = heap[0][0], 0
             while heap and heap[0][0] == k:
-                _, i, at = heap[0]
+                _, i, place = heap[0]
                 count += 1
-                at += 1
-                if at < len(short[i]):
-                    heapq.heapreplace(heap, (short[i][at], i, at))
+                place += 1
+                if place < len(short[i]):
+                    heapq.heapreplace(heap, (short[i][place], i, place))
                 else:
                     heapq.heappop(heap)
-            if count < least or skip(k):
-                continue
-            for left, x in zip(range(len(long), 0, -1), long):
-                if count + left < need:
-                    break
-                at = bisect_left(x, k)
-                count += at < len(x) and x[at] == k
-            if count >= need:
-                yield k, count
+            if count >= least and not skip(k):
+                found.append(k)
+                counts.append(count)
+        ks, overlap = np.array(found, np.int64), np.array(counts, np.int64)
+        for left, k in zip(range(len(long), 0, -1), long):  # binary search in each long list for all that can still make it
+            fits = overlap + left >= need
+            ks, overlap = ks[fits], overlap[fits]
+            if not len(ks):
+                return
+            x = self.owner[self.starts[k] : self.starts[k + 1]]
+            place = np.searchsorted(x, ks)
+            overlap += x[np.minimum(place, len(x) - 1)] == ks
+        for k, n in zip(ks.tolist(), overlap.tolist()):
+            if n >= need and not skip(k):
+                yield k, n
 
 
 class Union:
@@ -504,29 +536,6 @@ def _sized(members: DataFrame) -> DataFrame:
     return settle(members.groupBy("root").agg(cut.alias("cut")).where("cut > 1"))
 
 
-def groups(docs: DataFrame, facts: DataFrame, sets: _Sets, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(name, n_shingles, root) such that linked sets are together in some group, and (root, cut) of the groups larger than a block."""
-    no_class = F.lit(None).cast("int").alias("only")
-    tied = _routed(docs.select("text", F.lit(0).cast("long").alias("root"), no_class), _heavy(facts), words, percent, False)
-    members = settle(sets.rows.join(tied.withColumnRenamed("node", "name"), "name").select("name", "n_shingles", "root", no_class))
-    large = _sized(members)
-    for _ in range(ROUNDS):
-        if not large.limit(1).count():
-            break
-        near = _near(large.select("root"))
-        inside = settle(members.join(near, "root", "left_semi").select("name", "n_shingles", "root", "only"))
-        texts = settle(sets.texts(inside.select("name", "root", "only")))
-        often = texts.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_facts(words), "doc_id long, n_shingles long, name long, often binary")
-        tied = _routed(texts, _heavy(often), words, percent, True)
-        nodes = inside.mapInArrow(_nodes(percent), "node long, name long, n_shingles long, only int")
-        apart = settle(nodes.join(tied, "node").select("name", "n_shingles", "root", "only"))
-        members = members.join(near, "root", "left_anti").unionByName(apart)
-        before, large = large, _sized(apart)
-        if (large.agg(F.sum("cut")).first()[0] or 0) >= before.agg(F.sum("cut")).first()[0]:
-            break
-    return members, large
-
-
 def _found(sets: _Sets, rows: DataFrame, percent: int) -> DataFrame:
     """Links (u, v, overlap) in the blocks of rows(name, root, i, j, part, is_left, is_right), written."""
     parts = shuffle_partitions(rows.sparkSession)
@@ -534,46 +543,92 @@ def _found(sets: _Sets, rows: DataFrame, percent: int) -> DataFrame:
     return settle(dealt.mapInArrow(_search(sets.words, percent), "u long, v long, overlap long"))
 
 
-def links(docs: DataFrame, facts: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Verified links (u, v, overlap) between names of different sets, enough to connect what all of them connect."""
+def _block(cut: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64("name", F.lit(salt)), cut).cast("int")
+
+
+class _Parts:
+    """(name, part) of the sets that verified links connect, as links are found."""
+
+    def __init__(self, found: DataFrame):
+        self.table = settle(components(found.select("u", "v")).select(F.col("node").alias("name"), F.col("root").alias("part")))
+
+    def of(self, rows: DataFrame, name: str = "name", part: str = "part") -> DataFrame:
+        """rows with the part of each set; one without links is a part of its own."""
+        known = self.table.select(F.col("name").alias(name), F.col("part").alias("_part"))
+        return rows.join(_near(known), name, "left").withColumn(part, F.coalesce("_part", name)).drop("_part")
+
+    def join(self, found: DataFrame) -> None:
+        """More links, few: they tie whole parts."""
+        if not found.limit(1).count():
+            return
+        ends = self.of(self.of(found.select("u", "v"), "u", "a"), "v", "b")
+        moved = settle(components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        near = _near(moved.select(F.col("node").alias("part"), "root"))
+        old = self.table.join(near, "part", "left").select("name", F.coalesce("root", "part").alias("part"))
+        new = moved.select(F.col("node").alias("name"), F.col("root").alias("part")).join(self.table.select("name"), "name", "left_anti")
+        self.table = settle(old.unionByName(new))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows(name, root, part, ...) of the groups that are in several parts, written."""
+    several = rows.groupBy("root").agg((F.min("part") < F.max("part")).alias("several")).where("several").select("root")
+    return settle(rows.join(_near(settle(several)), "root", "left_semi"))
+
+
+def _routed_again(sets: _Sets, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """rows(name, n_shingles, root, only) in smaller groups: by new routes, with a list of their own of what is frequent, for each class of sizes."""
+    texts = settle(sets.texts(rows.select("name", "root", "only")))
+    often = texts.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_facts(words), "doc_id long, n_shingles long, name long, often binary")
+    tied = _routed(texts, _heavy(often), words, percent, True)
+    nodes = rows.select("name", "n_shingles", "root", "only").mapInArrow(_nodes(percent), "node long, name long, n_shingles long, only int")
+    return settle(nodes.join(tied, "node").select("name", "n_shingles", "root", "only"))
+
+
+def connected(docs: DataFrame, facts: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(name, part) of the sets that have a link: sets are of one part if links connect them."""
     sets = _Sets(docs, facts, words)
-    members, large = groups(docs, facts, sets, words, percent)
-    block = lambda cut, salt: F.pmod(F.xxhash64("name", F.lit(salt)), cut).cast("int")
+    no_class = F.lit(None).cast("int").alias("only")
+    tied = _routed(docs.select("text", F.lit(0).cast("long").alias("root"), no_class), _heavy(facts), words, percent, False)
+    members = settle(sets.rows.join(tied.withColumnRenamed("node", "name"), "name").select("name", "n_shingles", "root", no_class))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.join(_near(_sized(rows)), "root", "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
+
     whole = [F.lit(True).alias("is_left"), F.lit(True).alias("is_right")]
-    dealt = settle(members.join(_near(large), "root", "left").select("name", "n_shingles", "root", F.coalesce("cut", F.lit(1)).alias("cut")))
-    found = _found(sets, dealt.select("name", "root", block(F.col("cut"), 1).alias("i"), F.lit(0).alias("j"), F.col("name").alias("part"), *whole), percent)
-    if not large.limit(1).count():
-        return found
-
-    def in_parts() -> DataFrame:
-        """Sets of large groups that are not yet in one part, with their part."""
-        known = components(found.select("u", "v")).select(F.col("node").alias("name"), F.col("root").alias("part"))
-        placed = settle(dealt.where("cut > 1").join(known, "name", "left").withColumn("part", F.coalesce("part", "name")))
-        several = placed.groupBy("root").agg((F.min("part") < F.max("part")).alias("several")).where("several").select("root")
-        return settle(placed.join(_near(settle(several)), "root", "left_semi"))
-
-    rest = in_parts()
-    if not rest.limit(1).count():
-        return found
-    leaders = settle(rest.groupBy("root", "part", block(F.col("cut"), 1).alias("block")).agg(F.min("name").alias("name"), F.min_by("n_shingles", "name").alias("n_shingles")))
-    more = leaders.join(_near(_sized(leaders)), "root", "left").select("name", "root", block(F.coalesce("cut", F.lit(1)), 2).alias("i"), F.lit(0).alias("j"), "part", *whole)
-    found = found.unionByName(_found(sets, more, percent))
-    rest = in_parts()
-    if not rest.limit(1).count():
-        return found
-    most = rest.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.sum("n").alias("sets"), F.max("n").alias("largest"), F.sum("total").alias("total"))
-    outside = F.ceil(F.greatest((F.col("sets") - F.col("largest")) / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES * (F.col("sets") - F.col("largest")) / F.col("sets"), F.lit(1))).cast("int")
-    rest = settle(rest.join(_near(settle(most.select("root", "most", outside.alias("outside")))), "root"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    asking = rest.where("part <> most").select("name", "root", block(F.col("outside"), 3).alias("i"), every(F.col("cut")).alias("j"), "part", F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
-    asked = rest.select("name", "root", every(F.col("outside")).alias("i"), block(F.col("cut"), 1).alias("j"), "part", F.lit(False).alias("is_left"), F.lit(True).alias("is_right"))
-    return found.unionByName(_found(sets, asking.unionByName(asked), percent))
+    one = F.lit(0).alias("j")
+    rest = settle(cut(members))
+    parts = _Parts(_found(sets, rest.select("name", "root", _block(F.col("cut"), 1).alias("i"), one, F.col("name").alias("part"), *whole), percent))
+    rest = rest.where("cut > 1")
+    for again in range(ROUNDS + 1):
+        if not rest.limit(1).count() or not (rest := _apart(parts.of(rest))).limit(1).count():
+            break
+        leaders = settle(rest.groupBy("root", "part", _block(F.col("cut"), 1).alias("block")).agg(F.min("name").alias("name"), F.min_by("n_shingles", "name").alias("n_shingles")))
+        parts.join(_found(sets, cut(leaders).select("name", "root", _block(F.col("cut"), 2).alias("i"), one, "part", *whole), percent))
+        if not (rest := _apart(parts.of(rest.drop("part")))).limit(1).count():
+            break
+        sizes = rest.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.sum("n").alias("sets"), F.max("n").alias("largest"), F.sum("total").alias("total"))
+        others = F.col("sets") - F.col("largest")
+        outside = F.ceil(F.greatest(others / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES * others / F.col("sets"), F.lit(1))).cast("int")
+        rest = settle(rest.join(_near(settle(sizes.select("root", "most", outside.alias("outside")))), "root"))
+        sent = rest.agg(F.count("*").alias("sets"), F.sum(F.col("outside") + F.when(F.col("part") != F.col("most"), F.col("cut")).otherwise(0)).alias("sent")).first()
+        if again < ROUNDS and sent["sent"] > COPIES * sent["sets"]:
+            rest = settle(cut(_routed_again(sets, rest.drop("most", "outside"), words, percent)))
+            parts.join(_found(sets, parts.of(rest).select("name", "root", _block(F.col("cut"), 1).alias("i"), one, "part", *whole), percent))
+            rest = rest.where("cut > 1")
+            continue
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        asking = rest.where("part <> most").select("name", "root", _block(F.col("outside"), 3).alias("i"), every(F.col("cut")).alias("j"), "part", F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
+        asked = rest.select("name", "root", every(F.col("outside")).alias("i"), _block(F.col("cut"), 1).alias("j"), "part", F.lit(False).alias("is_left"), F.lit(True).alias("is_right"))
+        parts.join(_found(sets, asking.unionByName(asked), percent))
+        break
+    return parts.table
 
 
 def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, name, root, component_id) for each row; name and root are null without shingles."""
     facts = classes(docs, words)
-    roots = components(links(docs, facts, words, percent).select("u", "v")).select(F.col("node").alias("name"), "root")
+    roots = connected(docs, facts, words, percent).select("name", F.col("part").alias("root"))
     rows = facts.where("n_shingles >= 0").select("doc_id", "n_shingles", "name")
     # a set that no link or copy leaves needs no look-up
     names = rows.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(roots, "name", "left").where("n > 1 or root is not null")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fathom.llm import bpe, fingerprint, html_text, line_dedup, ngram_join, packing, queries, sharding, toxicity, url_filter, vp_tree
+from fathom.llm import bpe, components, fingerprint, html_text, line_dedup, ngram_join, packing, queries, sharding, toxicity, url_filter, vp_tree
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, name long, root string, u string, g int, term string, _lines string, shard string, n_chars long"
@@ -99,10 +99,10 @@ def test_jaccard_equals_brute_force(spark, docs, none):
     assert sorted(r["doc_id"] for r in ngram_join.keep_one(docs).collect()) == sorted({c for _, c in got.values()})
 
 
-@pytest.mark.parametrize("kind", ["near", "template", "chain"])
-def test_jaccard_of_groups_larger_than_a_block(spark, monkeypatch, kind):
-    """Groups of several blocks: one large class and sets beside it, texts of one template without links, chains across sizes."""
-    for name, value in (("BLOCK_SETS", 40), ("HEAVY", 200), ("CHUNK", 4000)):
+@pytest.mark.parametrize("kind, copies", [("near", 8), ("template", 0), ("chain", 0), ("chain", 1000)])
+def test_jaccard_of_groups_larger_than_a_block(spark, monkeypatch, kind, copies):
+    """Groups of several blocks: one large class and sets beside it, texts of one template without links, chains across sizes; with 0 copies, routed again."""
+    for name, value in (("BLOCK_SETS", 40), ("HEAVY", 200), ("CHUNK", 4000), ("COPIES", copies)):
         monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(2)
     word = lambda n=5000: f"w{rng.randrange(n)}"
@@ -127,9 +127,29 @@ def test_jaccard_of_groups_larger_than_a_block(spark, monkeypatch, kind):
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize("bound", [0])
-def test_jaccard_without_broadcasts(spark, docs, monkeypatch, bound):
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", bound)
+def test_components_equal_a_search(spark, monkeypatch):
+    monkeypatch.setattr(components, "CHUNK", 7)  # stars of a few edges only, so that rounds have work to do
+    rng = random.Random(3)
+    for n, m in ((40, 20), (60, 80), (300, 260)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(k, k + 1) for k in range(1000, 1060)] + [(None, 1), (5, 5), (2, None)]
+        up = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            if a in up and b in up and a is not None and b is not None and a != b:
+                a, b = sorted((find(a), find(b)))
+                up[b] = a
+        got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
+        assert got == {x: find(x) for x in up}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_jaccard_without_broadcasts(spark, docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()}
     assert got == brute_components(corpus())
     assert sorted(r["doc_id"] for r in ngram_join.keep_one(docs).collect()) == sorted({c for _, c in got.values()})
@@ -489,3 +509,62 @@ def test_bpe_documents_there_and_back(docs, none):
     assert {r["doc_id"]: r["ids"] for r in ids.collect()} == {i: theirs.encode(t or "", add_special_tokens=False).ids for i, t in corpus()}
     assert {r["doc_id"]: r["text"] for r in bpe.decode_documents(ids, PATH).collect()} == {i: t or "" for i, t in corpus()}
     assert bpe.encode_documents(none, PATH).count() == 0 and bpe.decode_documents(bpe.encode_documents(none, PATH), PATH).count() == 0
+
+
+def test_toxicity_score_equals_the_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    buckets = np.unique(np.concatenate([toxicity.terms(f"t{k}") for k in range(40)]))
+    machine = toxicity.Machine(buckets, 0.3, rng.normal(size=len(buckets)), rng.normal(size=(len(buckets), 4)))
+    for text in ("t1 t2 t3", "T5 t5, t7!", "unknown words", "", None, " ".join(f"t{k}" for k in range(40))):
+        at = [int(np.searchsorted(buckets, t)) for t in toxicity.terms(text) if t in set(buckets.tolist())]
+        z = machine.bias + sum(machine.weights[i] for i in at) + sum(float(machine.factors[i] @ machine.factors[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+        assert abs(machine.score(text) - 1 / (1 + math.exp(-min(30, max(-30, z))))) < 1e-9
+
+
+def test_score_and_lines_don_t_take_the_place_of_columns(spark):
+    rows = [(i, f"words {i % 5} of document", "mine", 7.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _lines string, _score double")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(40)], "doc_id long, toxic int")
+    for kept in (toxicity.keep_clean(df, labels), line_dedup.dedup_lines(df), ngram_join.keep_one(df)):
+        assert kept.columns == df.columns and {(r["_lines"], r["_score"]) for r in kept.collect()} <= {("mine", 7.0)}
+
+
+def test_likeness_of_sketches():
+    rng = random.Random(1)
+    words = [f"word{rng.randrange(900)}" for _ in range(400)]
+    text, other = " ".join(words), " ".join(f"other{rng.randrange(900)}" for _ in range(400))
+    a, b, shifted, half = fingerprint.sketches([text, other, "a prefix of some length " + text, text[: len(text) // 2] + other[: len(other) // 2]])
+    assert fingerprint.likeness(a, a) == 1 and fingerprint.likeness(a, "") == 0 and fingerprint.likeness("", "") == 1
+    assert fingerprint.likeness(a, shifted) > 0.8 > fingerprint.likeness(a, half) > 0.2 > fingerprint.likeness(a, b)
+
+    def brute(x, y):
+        total = 0.0
+        for (_, k, weight), p, q in zip(fingerprint.LEVELS, x.split("-"), y.split("-")):
+            left, right = ({s[i : i + 8] for i in range(0, len(s), 8)} for s in (p, q))
+            least = sorted(left | right)[:k]
+            j = len([v for v in least if v in left and v in right]) / len(least)
+            total += weight * 2 * j / (1 + j)
+        return total / sum(w for *_, w in fingerprint.LEVELS)
+
+    for x, y in ((a, b), (a, half), (shifted, half)):
+        assert abs(fingerprint.likeness(x, y) - brute(x, y)) < 1e-12
+
+
+def test_fingerprint_rows(docs, none):
+    got = {r["doc_id"]: (r["n_chars"], r["fingerprint"]) for r in fingerprint.fingerprints(docs).collect()}
+    assert got == {i: (len(t or ""), fingerprint.sketches([t or ""])[0]) for i, t in corpus()}
+    assert fingerprint.fingerprints(none).count() == 0
+
+
+def test_pipeline_stages_on_hostile_documents(spark, tmp_path):
+    """Nulls, blanks, repeats and columns with clashing names go through all stages; so does an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _lines string, _score double, root long, name string"
+    held = [(i, t, "en", "s", None if t is None else len(t), "l", 1.0, 5, "n") for i, t in corpus()] + [(None, None, None, None, None, None, None, None, None), (3, "again, another text", "en", "s", 19, "l", 1.0, 5, "n")]
+    spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(30)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for rows in (held, []):
+        docs = spark.createDataFrame(rows, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before, docs = docs, stage(spark, docs, str(tmp_path))
+            assert docs.columns == before.columns
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert (pieces.count() > 0) == bool(rows)
