@@ -193,11 +193,11 @@ def cascade_delete(t):
     return left["orders"].select(F.lit("orders").alias("kind"), "id").unionByName(left["customers"].select(F.lit("customers").alias("kind"), "id"))
 
 
-@query("SELECT n_nationkey, list_sort(list_intersect([1, 2, 3, n_nationkey], [2, 3, 9])) AS both_, list_sort(list_filter([1, 2, 3, n_nationkey], lambda x: x NOT IN (2, 3, 9))) AS only_left FROM nation WHERE n_nationkey > 3")
+@query("SELECT n_nationkey, array_to_string(list_sort(list_intersect([1, 2, 3, n_nationkey], [2, 3, 9])), ',') AS both_, array_to_string(list_sort(list_filter([1, 2, 3, n_nationkey], lambda x: x NOT IN (2, 3, 9))), ',') AS only_left FROM nation WHERE n_nationkey > 3")
 def set_differences(t):
     """Array arithmetic on ids of each row."""
     left, right = F.array(F.lit(1), F.lit(2), F.lit(3), F.col("n_nationkey")), F.array(F.lit(2), F.lit(3), F.lit(9))
-    return t.nation.where("n_nationkey > 3").select("n_nationkey", F.array_sort(F.array_intersect(left, right)).alias("both_"), F.array_sort(F.array_except(left, right)).alias("only_left"))
+    return t.nation.where("n_nationkey > 3").select("n_nationkey", F.array_join(F.array_sort(F.array_intersect(left, right)), ",").alias("both_"), F.array_join(F.array_sort(F.array_except(left, right)), ",").alias("only_left"))
 
 
 _SEED = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, role, text FROM conversations"

@@ -39,7 +39,7 @@ def extraction_dispatch(t):
     return rows.select("source_id", "kind", F.length("text").cast("long").alias("n"))
 
 
-@query("SELECT doc_id AS source_id, i AS page, string_split(text, chr(10))[i] AS text FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id AS source_id, CAST(i AS INTEGER) AS page, string_split(text, chr(10))[i] AS text FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)")
 def page_texts(t):
     """A line of a document is one of its pages."""
     return tables.page_texts(t.documents.select(F.col("doc_id").alias("source_id"), F.split("text", "\n", -1).alias("pages")))
@@ -101,12 +101,13 @@ def json_store(t):
     return sinks.json_rows(rows, "kb")
 
 
-@query("SELECT s_suppkey, list_sort(list(DISTINCT n_name)) AS bases FROM supplier JOIN nation ON n_nationkey = s_nationkey OR n_nationkey = s_suppkey % 25 GROUP BY 1")
+@query("SELECT s_suppkey, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS bases FROM supplier JOIN nation ON n_nationkey = s_nationkey OR n_nationkey = s_suppkey % 25 GROUP BY 1")
 def source_dependencies(t):
     """A supplier is a source of its nation and of the nation of its number."""
     own = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
     other = t.supplier.select("s_suppkey", (F.col("s_suppkey") % 25).cast("int").alias("n_nationkey"))
-    return listings.dependencies(own.unionByName(other), t.nation, "s_suppkey", "n_nationkey", "n_name")
+    found = listings.dependencies(own.unionByName(other), t.nation, "s_suppkey", "n_nationkey", "n_name")
+    return found.select("s_suppkey", F.array_join("bases", ",").alias("bases"))
 
 
 @query("SELECT n_nationkey AS node_id, n_name AS title, r_name AS toc FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey IN (1, 2) ORDER BY n_regionkey, n_nationkey LIMIT 8 OFFSET 1")
