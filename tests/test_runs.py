@@ -108,7 +108,7 @@ def test_stores_round_trip(spark, tmp_path):
     assert rows(kept.groupBy("knowledge_base_id").count()) == [("kb1", 1), ("kb2", 2)]
     assert rows(vectors) == [(1, "kb1", "m", 2, [1.0, 2.0])]
     slim, texts = sinks.document_rows(chunks, "kb1", "root/")
-    assert rows(slim)[0] == (1, "kb1", 10, 1, "root/10/full_text.txt") and rows(texts) == [(1, "a"), (2, "b")]
+    assert rows(slim)[0] == (1, "kb1", 10, 1, "root/10/1.txt") and rows(texts) == [(1, "a"), (2, "b")]
 
 
 def test_inserts_of_what_is_absent(spark):
