@@ -7,11 +7,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from fathom.session import shared_folder
+
 #: White space of the contracts: \x20 and \x09-\x0D, which is also what bytes.split() splits at.
 SPACE = b" \t\n\x0b\x0c\r"
 #: A-Z to a-z on UTF-8 bytes; everything else stays.
@@ -20,8 +24,14 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _shipped: set[str] = set()
 
 
+#: Rows of a batch that Python tasks get, unless the session sets a number of its own: whole texts are long, and a batch is held several times over.
+BATCH, _ROWS = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that workers can import it anywhere."""
+    """Send this package to the executors once per application, so that workers can import it anywhere, and lower the size of Arrow batches from its default."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, BATCH)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -36,27 +46,34 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local master, whose executor is the driver, gets a folder of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fathom-"))
-    return sc.getCheckpointDir()
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder as Parquet and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     held = spark.read.schema(df.schema).parquet(path)
     held._settled = path
+    if _open:
+        _open[-1].append(held)
     return held
 
 
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables that are settled inside go at the end, but for those that are taken out of the list: what leaves must not read the others."""
+    held: list[DataFrame] = []
+    _open.append(held)
+    try:
+        yield held
+    finally:
+        _open.pop()
+    for table in held:
+        discard(table)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a settled table that nothing will read any more."""
     jvm = df.sparkSession._jvm

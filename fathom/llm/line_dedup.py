@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, free_name, settle, ship, shuffle_partitions
+from .common import LOWER, SPACE, free_name, passing, settle, ship, shuffle_partitions
 
 #: Slices by which joins on keys are spread.
 SLICES = 16
@@ -213,7 +213,9 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, broadcas
     """
     spark = docs.sparkSession
     bound = BROADCAST_KEYS if broadcast_keys is None else broadcast_keys
-    found = settle(verdicts(docs.select("doc_id", "text"), min_chars, min_docs))
+    with passing() as tables:
+        found = settle(verdicts(docs.select("doc_id", "text"), min_chars, min_docs))
+        tables.remove(found)
     if found.count() > bound:
         return _drop_by_join(docs, found, min_chars, into)
     rows = found.toArrow()

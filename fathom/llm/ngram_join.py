@@ -45,11 +45,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, settle, ship, shuffle_partitions
+from .common import LOWER, mix, passing, settle, ship, shuffle_partitions
 from .components import components
 
-#: Shingles in one chunk of rows while frequent ones are sought, and postings sorted at a time.
-CHUNK = 2_000_000
+#: Shingles in one chunk of rows while frequent ones are sought, and routes tied at a time.
+CHUNK, ROUTES = 1_000_000, 500_000
 #: Length of the list of frequent shingles, and the frequency from which a shingle counts as frequent.
 HEAVY, HEAVY_FROM = 500_000, 10
 #: Sets, and shingles, in a block.
@@ -289,7 +289,7 @@ def _postings(words: int, percent: int, heavy, buckets: int, again: bool):
                     gs.append(keys)
                     nodes.append(np.full(len(keys), node(name, root, k) if again else name, np.int64))
                     held += len(keys)
-                if held >= CHUNK:
+                if held >= ROUTES:
                     yield from out(gs, nodes)
                     gs, nodes, held, seen = [], [], 0, set()
         if gs:
@@ -353,24 +353,37 @@ class DivideSkip:
         first = np.flatnonzero(np.append(np.ones(min(1, len(every)), bool), every[1:] != every[:-1]))
         self.shingles, self.starts = every[first], np.append(first, len(every))
 
-    def _list(self, at: int, lo: int, hi: int) -> list[int]:
-        x = self.owner[self.starts[at] : self.starts[at + 1]]
-        return x[np.searchsorted(x, lo) : np.searchsorted(x, hi)].tolist() if lo or hi < len(self.sizes) else x.tolist()
-
-    def search(self, query: np.ndarray, need: int, skip=lambda k: False, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, int]]:
-        """(set, overlap) for sets from lo to hi with overlap >= need, in rising number; those that skip(k) names are passed over when they come up."""
+    def _lists(self, at: np.ndarray, lo: int, hi: int) -> list[list[int]]:
+        """The lists of these shingles, as far as their sets are from lo to hi; empty ones are left out."""
+        starts, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(sizes)
+        flat = self.owner[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])]
+        if lo or hi < len(self.sizes):
+            kept = (flat >= lo) & (flat < hi)
+            ends = np.append(0, np.cumsum(kept))[ends]
+            flat = flat[kept]
+        every, cuts = flat.tolist(), ends.tolist()
+        return [every[i:j] for i, j in zip([0, *cuts], cuts) if j > i]
+
+    def search(self, query: np.ndarray, need: int, skip=lambda k: False, lo: int = 0, hi: int | None = None, own: bool = False) -> Iterator[tuple[int, int]]:
+        """(set, overlap) for sets from lo to hi with overlap >= need, in rising number; those that skip(k) names are passed over when they come up.
+
+        own: the query is one of the sets, and not asked for; lists that hold it alone are no matter then.
+        """
         if not len(self.shingles) or need < 1:
             return
         hi = len(self.sizes) if hi is None else hi
         at = np.minimum(np.searchsorted(self.shingles, query), len(self.shingles) - 1)
         at = at[self.shingles[at] == query]
+        lengths = self.starts[at + 1] - self.starts[at]
+        if own:
+            at, lengths = at[lengths > 1], lengths[lengths > 1]
         if len(at) < need:
             return
-        lengths = self.starts[at + 1] - self.starts[at]
         order = np.argsort(lengths, kind="stable")
         at = at[order]
         aside = min(need - 1, max(0, math.floor(need / (self.weight * math.log2(int(lengths[order[-1]]) + 1) + 1))), len(at) - 1)
-        short, long = [x for k in at[: len(at) - aside].tolist() if (x := self._list(k, lo, hi))], at[len(at) - aside :].tolist()
+        short, long = self._lists(at[: len(at) - aside], lo, hi), at[len(at) - aside :].tolist()
         least = need - aside
         found, counts = [], []
         heap = [(x[0], i, 0) for i, x in enumerate(short)]
@@ -449,7 +462,7 @@ def block_links(sets: list[np.ndarray], parts: list[int], left: list[bool], righ
         else:
             n = len(sets[a])
             lo, hi = bisect_left(index.sizes, needed(n, percent)), bisect_right(index.sizes, n * 100 // percent)
-            for j, overlap in index.search(sets[a], needed(n, percent), lambda j, a=a: union.find(a) == union.find(names[j]), lo, hi):
+            for j, overlap in index.search(sets[a], needed(n, percent), lambda j, a=a: union.find(a) == union.find(names[j]), lo, hi, right[a]):
                 if linked(overlap, n, index.sizes[j], percent):
                     yield a, names[j], overlap
                     mine = union.join(a, names[j])
@@ -587,6 +600,13 @@ def _routed_again(sets: _Sets, rows: DataFrame, words: int, percent: int) -> Dat
 
 def connected(docs: DataFrame, facts: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(name, part) of the sets that have a link: sets are of one part if links connect them."""
+    with passing() as tables:
+        found = _connected(docs, facts, words, percent)
+        tables[:] = [t for t in tables if t is not found]
+    return found
+
+
+def _connected(docs: DataFrame, facts: DataFrame, words: int, percent: int) -> DataFrame:
     sets = _Sets(docs, facts, words)
     no_class = F.lit(None).cast("int").alias("only")
     tied = _routed(docs.select("text", F.lit(0).cast("long").alias("root"), no_class), _heavy(facts), words, percent, False)
