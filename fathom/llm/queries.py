@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html_text, line_dedup, ngram_join, packing, sharding, toxicity, url_filter, vp_tree
+from . import bpe, fingerprint, html_text, line_dedup, ngram_join, packing, sharding, toxicity, url_filter, vp_tree, word_bpe
 from .url_filter import Rule
 
 #: What op4 is asked to hold against each url.
@@ -26,6 +26,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -69,8 +75,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2(F.col("_lines.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_word_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.round_trip(table(spark, sf_dir, "documents"), ranks_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = [op1_ngram_jaccard_join, op2_html_extraction, op3_bpe_round_trip, op4_url_filters, op5_toxicity, op6_sharding, op7_fingerprints, op8_packing, op9_nearest_neighbours, op10_line_dedup]
+    listed = [
+        op1_ngram_jaccard_join, op2_html_extraction, op3_bpe_round_trip, op4_url_filters, op5_toxicity, op6_sharding, op7_fingerprints,
+        op8_packing, op9_nearest_neighbours, op10_line_dedup, op13_word_bpe_round_trip,
+    ]
     return {f.__name__: f for f in listed}
 
 
