@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html_text, line_dedup, ngram_join, packing, sharding, toxicity, url_filter, vp_tree, word_bpe
+from . import bpe, fingerprint, html_text, line_dedup, ngram_join, packing, resampling, sharding, toxicity, url_filter, vp_tree, word_bpe
 from .url_filter import Rule
 
 #: What op4 is asked to hold against each url.
@@ -75,6 +75,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2(F.col("_lines.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_word_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip(table(spark, sf_dir, "documents"), ranks_path())
 
@@ -82,7 +86,7 @@ def op13_word_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [
         op1_ngram_jaccard_join, op2_html_extraction, op3_bpe_round_trip, op4_url_filters, op5_toxicity, op6_sharding, op7_fingerprints,
-        op8_packing, op9_nearest_neighbours, op10_line_dedup, op13_word_bpe_round_trip,
+        op8_packing, op9_nearest_neighbours, op10_line_dedup, op11_importance_resampling, op13_word_bpe_round_trip,
     ]
     return {f.__name__: f for f in listed}
 
@@ -145,5 +149,39 @@ FROM judged GROUP BY doc_id
 """
 
 
+#: crc32 by its table: of each feature once, over the bytes of its hexadecimal form.
+OP11_SQL = rf"""
+WITH steps AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]),
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS tab),
+words AS (
+  SELECT doc_id, 0 AS side, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT item_id, 1, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+flat AS (
+  SELECT doc_id, side, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words),
+counted AS (SELECT doc_id, side, f, count(*) AS n FROM flat GROUP BY doc_id, side, f),
+features AS (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM counted)),
+hashed AS (
+  SELECT f, xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+      lambda c, b: xor(c // 256, tab[1 + xor(c, b) % 256]))) % 10000 AS bucket FROM features, steps),
+sums AS (
+  SELECT bucket, sum(n) FILTER (WHERE side = 0) AS s, sum(n) FILTER (WHERE side = 1) AS t FROM counted JOIN hashed USING (f) GROUP BY bucket),
+totals AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS s_all, CAST(coalesce(sum(t), 0) AS DOUBLE) AS t_all FROM sums),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (s_all + 10000) / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (t_all + 10000)))) AS BIGINT) AS g
+  FROM sums, totals),
+weighed AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * g) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight
+  FROM counted JOIN hashed USING (f) JOIN gain USING (bucket) WHERE side = 0 GROUP BY doc_id),
+scored AS (
+  SELECT w.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w.w) >= 20 AS among,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || w.doc_id)[1:8] AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM words w LEFT JOIN weighed USING (doc_id) WHERE w.side = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY among ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY among) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN among AND place <= 25 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op4_url_filters": OP4_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op4_url_filters": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_importance_resampling": OP11_SQL}
