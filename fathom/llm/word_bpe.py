@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,19 +167,21 @@ def _rare(known) -> object:
 
 
 def _with_holes(known) -> object:
-    """(key, mark, doc_id, text) to (key, mark, doc_id, ids): packed ids with a hole for each word that is not known."""
+    """(key, mark, doc_id, text) to (key, mark, doc_id, ids): compressed packed ids with a hole for each word that is not known. Ids are
+    even over 16 of their 32 bits, which the shuffle's own compression hardly narrows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
+        get, small = known.value.get, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            found = [b"".join([x or HOLE for x in map(get, split_words(t.as_py() or ""))]) for t in batch.column("text")]
+            found = [small(b"".join([x or HOLE for x in map(get, split_words(t.as_py() or ""))])) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "mark", "doc_id")), pa.array(found, pa.binary())], names=["key", "mark", "doc_id", "ids"])
 
     return run
 
 
 def filled(ids: bytes, rare: list[dict] | None) -> bytes:
-    """Packed ids with holes, and the words (at, ids) that go into them: holes are in order of position."""
+    """Packed ids from compressed ones with holes, and the words (at, ids) that go into them: holes are in order of position."""
+    ids = zstandard.ZstdDecompressor().decompress(ids)
     if not rare:
         return ids
     by_place = sorted((at, x["ids"]) for x in rare for at in x["at"])
@@ -195,7 +198,7 @@ def filled(ids: bytes, rare: list[dict] | None) -> bytes:
 
 
 def _joined(docs: DataFrame, path: str, frequent: int) -> DataFrame:
-    """(doc_id, ids, rare): packed ids with holes and the words that go into them."""
+    """(doc_id, ids, rare): compressed packed ids with holes and the words that go into them."""
     spark = docs.sparkSession
     ship(spark)
     # 96 bits name a text of a doc_id; rows that share both have the same ids
