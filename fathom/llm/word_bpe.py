@@ -1,6 +1,6 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are split by the byte-level pattern. A bounded table of frequent words, told from a sixteenth of the rows, is encoded
+Texts are split by the byte-level pattern. A bounded table of frequent words, told from an eighth of the rows, is encoded
 once and sent to every task: frequent words are never shuffled, so none can be a hot key, and the choice has no effect on
 results. Every other word of a text goes out once a text, with the positions at which it stands, and is shuffled by the word:
 its rows come together, sorted, are encoded once, and leave with the ids. Texts come as ids with a hole for each word that
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from .bpe import split_words
 from .common import ship
 
-#: Frequent words that every task holds, of at most WORD_BYTES bytes each: 300,000 are about 60 MB in a task.
-FREQUENT, WORD_BYTES = 300_000, 64
+#: Frequent words that every task holds, of at most WORD_BYTES bytes each: 600,000 are about 120 MB in a task.
+FREQUENT, WORD_BYTES = 600_000, 64
 #: One row in so many tells which words are frequent.
-SHARE = 16
+SHARE = 8
 #: Distinct words that a task counts before it gives them on.
 COUNTED = 200_000
 #: Stands in packed ids for a word that is encoded elsewhere. No id is so large.
@@ -133,7 +133,7 @@ def _encoded(path: str, keep: bool):
 
 
 def frequent_words(texts: DataFrame, path: str, most: int) -> dict[str, bytes]:
-    """The `most` words that are most frequent in a sixteenth of texts(key, text), encoded: at most `most` rows of short words reach the driver."""
+    """The `most` words that are most frequent in an eighth of texts(key, text), encoded: at most `most` rows of short words reach the driver."""
     seen = texts.where(F.pmod("key", F.lit(SHARE)) == 0).select("text").mapInArrow(_counted, "word string, n long")
     leading = seen.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
     found = leading.mapInArrow(_encoded(path, True), "word string, ids binary").toArrow()
