@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html_text, line_dedup, ngram_join, packing, resampling, sharding, toxicity, url_filter, vp_tree, word_bpe
+from . import bpe, conversations, fingerprint, html_text, line_dedup, ngram_join, packing, resampling, sharding, toxicity, url_filter, vp_tree, word_bpe
 from .url_filter import Rule
 
 #: What op4 is asked to hold against each url.
@@ -79,6 +79,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_word_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip(table(spark, sf_dir, "documents"), ranks_path())
 
@@ -86,7 +90,7 @@ def op13_word_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [
         op1_ngram_jaccard_join, op2_html_extraction, op3_bpe_round_trip, op4_url_filters, op5_toxicity, op6_sharding, op7_fingerprints,
-        op8_packing, op9_nearest_neighbours, op10_line_dedup, op11_importance_resampling, op13_word_bpe_round_trip,
+        op8_packing, op9_nearest_neighbours, op10_line_dedup, op11_importance_resampling, op12_conversation_repair, op13_word_bpe_round_trip,
     ]
     return {f.__name__: f for f in listed}
 
