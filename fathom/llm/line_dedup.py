@@ -6,7 +6,7 @@ lose their lines everywhere but in the largest doc_id that holds them.
 
 References (key, doc_id) are made distinct and counted per key and slice of documents before a key
 reaches its shard, so a line that a third of all documents hold is counted by many tasks and arrives as a row each. A shard is a
-cuckoo filter: a key that it has not seen goes into the filter, two bytes, and its reference into the reference table on
+cuckoo filter: a key that it has not seen goes into the filter, four bytes, and its reference into the reference table on
 disk; a key that it has seen is marked. Exact counts are then kept for marked keys only, and their first
 references are fetched from the reference table: lines that stand in one document, nearly all, are never
 held exactly or counted. A filter may mark a key wrongly, never miss one, so counts are exact.
@@ -42,40 +42,46 @@ NO_ID = -(2**63)
 
 
 class CuckooFilter:
-    """Approximate membership with deletion: 16-bit fingerprints in buckets of four.
+    """Approximate membership with deletion: 32-bit fingerprints in buckets of four.
 
     Keys are uint64 hashes; a key's other bucket follows from either bucket and
-    the fingerprint. Where an insertion finds no place within max_kicks moves, a
-    table of twice the size is added, so nothing is ever refused. A key that was
-    inserted n times can be deleted n times. Lookups never miss a key that is in.
+    the fingerprint. Where an insertion finds no place within max_kicks moves, the table is doubled, so nothing is ever refused: the
+    further bits of a bucket's number are told by the fingerprint, so what is in moves without its key, and keys that share
+    a fingerprint and a bucket share both buckets at every size. Those beyond the eight places of a fingerprint are counted aside. A key that was inserted n
+    times can therefore be deleted n times, and lookups never miss a key that is in.
     """
 
     SLOTS = 4
 
     def __init__(self, expected: int = 1024, max_kicks: int = 100):
-        self.max_kicks, self.count = max_kicks, 0
-        self.tables: list[tuple[int, array]] = []
-        self._grow(1 << max(4, math.ceil(math.log2(max(1, expected) / (self.SLOTS * 0.85)))))
-
-    def _grow(self, buckets: int) -> None:
-        self.tables.append((buckets - 1, array("H", bytes(2 * self.SLOTS * buckets))))
+        self.max_kicks, self.count, self.grown = max_kicks, 0, 0
+        self.bits = max(4, math.ceil(math.log2(max(1, expected) / (self.SLOTS * 0.85))))
+        self.table = array("I", bytes(4 * self.SLOTS << self.bits))
+        self.more: dict[tuple[int, int], int] = {}
 
     @staticmethod
     def _print(key: int) -> int:
-        return (key >> 48) or 1
+        return (key >> 32) or 1
 
     @staticmethod
-    def _other(bucket: int, print_: int, mask: int) -> int:
-        return (bucket ^ (print_ * 0x5BD1E995)) & mask
+    def _further(print_: int) -> int:
+        """The bits that a bucket's number takes from the print, lowest first."""
+        mixed = print_ * 0x9E3779B1 & 0xFFFFFFFF
+        return mixed ^ mixed >> 16
+
+    def _bucket(self, key: int, print_: int) -> int:
+        return key & ((1 << self.bits) - 1) | (self._further(print_) & ((1 << self.grown) - 1)) << self.bits
+
+    def _other(self, bucket: int, print_: int) -> int:
+        return bucket ^ (print_ * 0x5BD1E995 & ((1 << self.bits) - 1))
 
-    def _slot(self, key: int) -> tuple[array, int] | None:
+    def _slot(self, key: int) -> int | None:
         print_ = self._print(key)
-        for mask, table in self.tables:
-            a = key & mask
-            for k in (a, self._other(a, print_, mask)):
-                cell = table[4 * k : 4 * k + 4]
-                if print_ in cell:
-                    return table, 4 * k + cell.index(print_)
+        a = self._bucket(key, print_)
+        for k in (a, self._other(a, print_)):
+            cell = self.table[4 * k : 4 * k + 4]
+            if print_ in cell:
+                return 4 * k + cell.index(print_)
         return None
 
     def __contains__(self, key: int) -> bool:
@@ -83,37 +89,64 @@ class CuckooFilter:
 
     def insert(self, key: int) -> None:
         self.count += 1
-        print_, bucket = self._print(key), key
-        mask, table = self.tables[-1]
-        k = bucket & mask
-        for k in (k, self._other(k, print_, mask)):
-            cell = table[4 * k : 4 * k + 4]
-            if 0 in cell:
-                table[4 * k + cell.index(0)] = print_
-                return
+        print_ = self._print(key)
+        bucket = self._bucket(key, print_)
+        if all(x == print_ for k in (bucket, self._other(bucket, print_)) for x in self.table[4 * k : 4 * k + 4]):
+            self.more[self._aside(key)] = self.more.get(self._aside(key), 0) + 1
+            return
+        while not self._placed(self._bucket(key, print_), print_):
+            self._double()
+
+    def _aside(self, key: int) -> tuple[int, int]:
+        """What a key shares at every size with those of its print and buckets."""
+        print_, low = self._print(key), key & ((1 << self.bits) - 1)
+        return print_, min(low, self._other(low, print_))
+
+    def _free(self, bucket: int) -> int | None:
+        cell = self.table[4 * bucket : 4 * bucket + 4]
+        return 4 * bucket + cell.index(0) if 0 in cell else None
+
+    def _placed(self, bucket: int, print_: int) -> bool:
+        """Whether a place was found; if not, nothing has moved."""
+        table = self.table
+        for k in (bucket, self._other(bucket, print_)):
+            if (at := self._free(k)) is not None:
+                table[at] = print_
+                return True
         moved = []
         for step in range(self.max_kicks):
             at = 4 * k + step % self.SLOTS
             moved.append((at, table[at]))
             table[at], print_ = print_, table[at]
-            k = self._other(k, print_, mask)
-            cell = table[4 * k : 4 * k + 4]
-            if 0 in cell:
-                table[4 * k + cell.index(0)] = print_
-                return
-        for at, print_ in reversed(moved):  # all moves back; the key goes to a larger table
+            k = self._other(k, print_)
+            if (free := self._free(k)) is not None:
+                table[free] = print_
+                return True
+        for at, print_ in reversed(moved):
             table[at] = print_
-        self._grow(2 * (mask + 1))
-        self.count -= 1
-        self.insert(key)
+        return False
+
+    def _double(self) -> None:
+        """Twice the buckets: each goes to itself or, by its prints' next bit, to its double."""
+        if self.grown == 32:
+            raise OverflowError("a filter of more than 32 doublings")
+        old, half = self.table, len(self.table)
+        self.table = array("I", bytes(8 * half))
+        for at, print_ in enumerate(old):
+            if print_:
+                self.table[at + half * (self._further(print_) >> self.grown & 1)] = print_
+        self.grown += 1
 
     def delete(self, key: int) -> bool:
         """Whether a fingerprint of the key was there. Delete only keys that were inserted."""
-        if (found := self._slot(key)) is None:
+        if (at := self._slot(key)) is None:
             return False
-        table, at = found
-        table[at] = 0
         self.count -= 1
+        if left := self.more.pop(self._aside(key), 0):
+            if left > 1:
+                self.more[self._aside(key)] = left - 1
+            return True
+        self.table[at] = 0
         return True
 
 

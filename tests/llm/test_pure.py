@@ -133,6 +133,32 @@ def test_cuckoo_filter_deletes():
     assert all(f.delete(k) for k in keys) and f.count == 0
 
 
+def test_cuckoo_filter_grows_and_then_deletes():
+    """Deleting a key takes no other key away, at any size, also where prints and low bits are the same."""
+    f = line_dedup.CuckooFilter(8)
+    a, b = 0xABCD << 48 | 3, 0xABCD << 48 | 0x13
+    f.insert(a)
+    for k in range(200):
+        f.insert(k << 40 | k)
+    f.insert(b)
+    assert f.grown and f.delete(b) and a in f
+    rng = np.random.default_rng(4)
+    f, live = line_dedup.CuckooFilter(8), []
+    for step in range(60_000):
+        if live and rng.random() < 0.4:
+            assert f.delete(live.pop(int(rng.integers(len(live)))))
+        else:
+            live.append(int(rng.integers(0, 1 << 16)) << 48 | int(rng.integers(0, 1 << 14)))  # prints and buckets clash
+            f.insert(live[-1])
+        if step % 10_000 == 0:
+            assert all(k in f for k in live)
+    assert f.count == len(live) and all(k in f for k in live)
+    assert all(f.delete(k) for k in live) and not any(f.table)
+    for _ in range(30):
+        f.insert(a)
+    assert f.count == 30 and all(a in f and f.delete(a) for _ in range(30)) and a not in f and not f.more
+
+
 def test_fingerprints_and_html():
     assert fingerprint.sketches(["", "abc", "abc"])[1] == fingerprint.sketches(["abc"])[0]
     assert html_text.main_text("<body><nav>x</nav><article><h1>T</h1><p>a, b &amp; c.</article>") == "T\na, b & c."
