@@ -120,7 +120,7 @@ class _Walk:
     def _offer(self, which: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
         """Put candidates among the best of their queries."""
         ids = self.tree.ids[rows]
-        fits = (ids != self.own[which]) & (d <= self.best[which, -1])
+        fits = ((ids != self.own[which]) | (d > 0)) & (d <= self.best[which, -1])  # a query is the row of its id at no distance
         if not fits.any():
             return
         which, ids, d = which[fits], ids[fits], d[fits]
@@ -159,17 +159,17 @@ def trees(rows: DataFrame, shard: int = SHARD) -> tuple[DataFrame, int]:
 
 
 def _searched(k: int, relax: float):
-    def answers(tree: VpTree | None, ids: list[int], held: list) -> Iterator[pa.RecordBatch]:
-        if tree is not None and ids:
-            own = np.array(ids, np.int64)
+    def answers(tree: VpTree | None, asked: list[tuple[int, int]], held: list) -> Iterator[pa.RecordBatch]:
+        if tree is not None and asked:
+            own, mark = np.array(asked, np.int64).T
             d, found = tree.search(np.stack(held), own, k, relax)
             q, at = np.nonzero(found != _NO_ID)
-            yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(found[q, at]), pa.array(d[q, at])], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(mark[q]), pa.array(found[q, at]), pa.array(d[q, at])], names=["query_id", "mark", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, tree, ids, held = None, None, [], []
         for batch in batches:
-            for dims, shard, packed, vec_id, v in zip(*(batch.column(c).to_pylist() for c in ("dims", "shard", "tree", "vec_id")), batch.column("v")):
+            for dims, shard, packed, vec_id, mark, v in zip(*(batch.column(c).to_pylist() for c in ("dims", "shard", "tree", "vec_id", "mark")), batch.column("v")):
                 if (dims, shard) != at or len(ids) >= BLOCK:
                     yield from answers(tree, ids, held)
                     ids, held = [], []
@@ -178,7 +178,7 @@ def _searched(k: int, relax: float):
                 if packed is not None:
                     tree = pickle.loads(packed)
                 else:
-                    ids.append(vec_id)
+                    ids.append((vec_id, mark))
                     held.append(v.values.to_numpy())
         yield from answers(tree, ids, held)
 
@@ -191,16 +191,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, relax: float = 1.0
     Each query's k nearest rows by Euclidean distance in double precision, itself not counted (all candidates if fewer than k);
     nearest first, ties to the smaller vec_id. Vectors that are null, empty, zero or hold a null or
     non-finite component, and rows with a null vec_id, take no part; vectors of
-    different lengths never meet. Of repeated vec_ids one row counts, the greatest vector. Other columns are ignored.
+    different lengths never meet. Rows that share a vec_id with other vectors are rows like any
+    other, as candidates and as queries, each with a list of its own; equal rows count once. Other columns are ignored.
     shard: numbers in a shard.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    rows = rows.groupBy("vec_id").agg(F.max(F.struct("v", "asks")).alias("r")).select("vec_id", "r.v", "r.asks")
+    rows = rows.groupBy("vec_id", "v").agg(F.max("asks").alias("asks"))
     built, shards = trees(rows.select("vec_id", "v"), shard)
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    asking = rows.where("asks").select(F.size("v").alias("dims"), every, F.lit(None).cast("binary").alias("tree"), "vec_id", "v")
-    held = built.select("dims", "shard", "tree", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast(rows.schema["v"].dataType).alias("v"))
+    asking = rows.where("asks").select(F.size("v").alias("dims"), every, F.lit(None).cast("binary").alias("tree"), "vec_id", F.xxhash64("v").alias("mark"), "v")
+    held = built.select("dims", "shard", "tree", *[F.lit(None).cast("long").alias(c) for c in ("vec_id", "mark")], F.lit(None).cast(rows.schema["v"].dataType).alias("v"))
     met = held.unionByName(asking).repartition(max(shards, shuffle_partitions(vectors.sparkSession)), "dims", "shard").sortWithinPartitions("dims", "shard", F.col("tree").isNull())
-    found = met.mapInArrow(_searched(k, relax), "query_id long, vec_id long, score double")
-    top = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = met.mapInArrow(_searched(k, relax), "query_id long, mark long, vec_id long, score double")
+    top = Window.partitionBy("query_id", "mark").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
