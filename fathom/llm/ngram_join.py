@@ -132,7 +132,7 @@ def _frequent(parts: list[np.ndarray]) -> bytes | None:
 
 
 def _facts(words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("name", pa.int64()), ("often", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("name", pa.int64()), ("often", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, seen = [], 0, set()
@@ -150,9 +150,10 @@ def _facts(words: int):
                     often.append(_frequent(parts))
                     parts, held, seen = [], 0, set()
             often = [x for x in often if x]
-            yield pa.RecordBatch.from_arrays([pa.array(ids + [None] * len(often), pa.int64()), pa.array(sizes + [-1] * len(often), pa.int64()), pa.array(names + [None] * len(often), pa.int64()), pa.array([None] * len(ids) + often, pa.binary())], schema=schema)
+            marks = batch.column("mark").to_pylist() + [None] * len(often)
+            yield pa.RecordBatch.from_arrays([pa.array(ids + [None] * len(often), pa.int64()), pa.array(marks, pa.int64()), pa.array(sizes + [-1] * len(often), pa.int64()), pa.array(names + [None] * len(often), pa.int64()), pa.array([None] * len(ids) + often, pa.binary())], schema=schema)
         if parts and (last := _frequent(parts)):
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([last], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([last], pa.binary())], schema=schema)
 
     return run
 
@@ -509,9 +510,13 @@ def _near(df: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, name, often) for each row; kept apart as the other steps read it again and again."""
+    """(doc_id, mark, n_shingles, name, often) for each row, mark being a hash of its text; kept apart as the other steps read it again and again."""
     ship(docs.sparkSession)
-    return settle(docs.select("doc_id", "text").mapInArrow(_facts(words), "doc_id long, n_shingles long, name long, often binary"))
+    return settle(docs.select("doc_id", _mark(), "text").mapInArrow(_facts(words), "doc_id long, mark long, n_shingles long, name long, often binary"))
+
+
+def _mark() -> Column:
+    return F.xxhash64("text").alias("mark")
 
 
 class _Sets:
@@ -519,13 +524,13 @@ class _Sets:
 
     def __init__(self, docs: DataFrame, facts: DataFrame, words: int):
         self.docs, self.words = docs, words
-        self.rows = settle(facts.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles")))
+        self.rows = settle(facts.where("name is not null").groupBy("name").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("at"), F.max("n_shingles").alias("n_shingles")).select("name", "at.doc_id", "at.mark", "n_shingles"))
 
     def texts(self, wanted: DataFrame) -> DataFrame:
-        """wanted(name, ...) with the text of each set. Where doc_ids repeat other texts may come too; their name differs."""
+        """wanted(name, ...) with the text of each set, found by an id and a hash of the text: rows that share an id don't meet each other's sets."""
         columns = wanted.columns
-        wanted = settle(wanted.join(self.rows.select("name", "doc_id"), "name"))
-        texts = self.docs.where("doc_id is not null").select("doc_id", "text").join(_near(wanted.where("doc_id is not null")), "doc_id").select(*columns, "text")
+        wanted = settle(wanted.join(self.rows.select("name", "doc_id", "mark"), "name"))
+        texts = self.docs.where("doc_id is not null").select("doc_id", _mark(), "text").join(_near(wanted.where("doc_id is not null")), ["doc_id", "mark"]).select(*columns, "text")
         lone = wanted.where("doc_id is null")  # sets that only rows without an id hold: found by name, with one text each
         if lone.limit(1).count():
             named = self.docs.where("doc_id is null").select("text").mapInArrow(_named(self.words), "name long, text string")
@@ -592,7 +597,7 @@ def _apart(rows: DataFrame) -> DataFrame:
 def _routed_again(sets: _Sets, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """rows(name, n_shingles, root, only) in smaller groups: by new routes, with a list of their own of what is frequent, for each class of sizes."""
     texts = settle(sets.texts(rows.select("name", "root", "only")))
-    often = texts.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_facts(words), "doc_id long, n_shingles long, name long, often binary")
+    often = texts.select(F.lit(None).cast("long").alias("doc_id"), _mark(), "text").mapInArrow(_facts(words), "doc_id long, mark long, n_shingles long, name long, often binary")
     tied = _routed(texts, _heavy(often), words, percent, True)
     nodes = rows.select("name", "n_shingles", "root", "only").mapInArrow(_nodes(percent), "node long, name long, n_shingles long, only int")
     return settle(nodes.join(tied, "node").select("name", "n_shingles", "root", "only"))

@@ -5,6 +5,7 @@ import math
 import pickle
 import random
 import struct
+import time
 import zlib
 
 import duckdb
@@ -161,6 +162,15 @@ def test_jaccard_with_null_and_repeated_ids(spark):
     assert len(got) == 5 and {r[2] for r in got if r[1] == 2} == {3}
 
 
+def test_jaccard_of_many_texts_under_one_id(spark):
+    """Rows that share an id don't meet each other's texts: the work grows with the rows, not with their square."""
+    rows = [(7, f"text number {k} of one and the same id {k % 50}") for k in range(3000)] + [(8, "text number 5 of one and the same id 5"), (9, "nothing else")]
+    began = time.time()
+    got = ngram_join.jaccard_components(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and time.time() - began < 120
+    assert {(r.doc_id, r.component_id) for r in got} == {(7, 7), (8, 7), (9, 9)}
+
+
 def test_jaccard_searches_sets_of_null_ids_and_keeps_by_set(spark):
     def run(n, w="w"):
         return " ".join(f"{w}{i}" for i in range(n))
@@ -420,6 +430,16 @@ def test_neighbours_against_brute_force(spark):
     assert vp_tree.nearest(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Rows of one id with other vectors are rows like any other, as candidates and as queries."""
+    rows = [(100, [0.0, 1.0]), (100, [0.0, 1.0]), (1, [0.0, 2.0]), (1, [5.0, 5.0]), (2, [0.0, 3.0])]
+    got = vp_tree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    assert [(r.rank, r.vec_id, round(r.score, 3)) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1, 1.0), (2, 2, 2.0), (3, 1, 6.403)]
+    twice = spark.createDataFrame([*rows, (100, [9.0, 9.0])], "vec_id long, embedding array<double>")
+    got = vp_tree.nearest(twice, F.col("vec_id") % 100 == 0, 1).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 3)) for r in got) == [(100, 1, 1, 1.0), (100, 1, 1, 5.657)]
+
+
 @pytest.mark.parametrize("shard", [vp_tree.SHARD, 300 * 64])
 def test_nearest_recall_against_its_sql(spark, shard):
     folder, db = "/root/testdata/sf0.1", duckdb.connect()
