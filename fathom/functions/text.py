@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fathom.functions import stem
+
 #: Runs of letters, marks, digits and underscores of any script.
 WORDS = r"[\p{L}\p{M}\p{N}_]+"
 
@@ -102,19 +104,10 @@ def tokens(value: Column) -> Column:
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
 
-def stem(word: Column) -> Column:
-    """A light stem of an English word in lower case: plurals, -ing, -ed and -ly go where a vowel is left before them."""
-    w = F.when(word.rlike("[^aeiou]ies$") & (F.length(word) > 4), F.regexp_replace(word, "ies$", "y")).when(word.rlike("(?:ss|x|ch|sh)es$"), F.regexp_replace(word, "es$", "")).when(word.rlike("[^su]s$") & (F.length(word) > 3), F.regexp_replace(word, "s$", "")).otherwise(word)
-    for end in ("ing", "ed", "ly"):
-        cut = F.regexp_replace(w, f"{end}$", "")
-        w = F.when(w.endswith(end) & cut.rlike("[aeiouy]") & (F.length(cut) > 2), F.regexp_replace(cut, "([bdfgmnprt])\\1$", "$1")).otherwise(w)
-    return w
-
-
-def search_tokens(value: Column, stop_words: list[str] = STOP_WORDS, stemmed: bool = True) -> Column:
-    """Words of two characters or more without stop words, stemmed."""
+def search_tokens(value: Column, stop_words: list[str] = STOP_WORDS, stemmer: str | None = "english") -> Column:
+    """Words of two characters or more without stop words, as stems if there is a stemmer."""
     found = F.filter(tokens(value), lambda w: (F.length(w) > 1) & ~w.isin(stop_words))
-    return F.transform(found, stem) if stemmed else found
+    return stem.stemmed_all(found, stemmer) if stemmer else found
 
 
 def token_estimate(value: Column) -> Column:

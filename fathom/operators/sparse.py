@@ -9,11 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.functions import text
+from fathom.functions import stem, text
+from fathom.session import ship
 
 #: Buckets of terms on disk.
 BUCKETS = 64
@@ -37,13 +39,30 @@ class Index:
     totals: DataFrame
 
 
-def postings(docs: DataFrame, item: str, body: str | Column, kb: str | None = None) -> DataFrame:
-    """One row for a term of an item of docs, and one with the empty term for each item. Null texts have no tokens."""
+def postings(docs: DataFrame, item: str, body: str | Column, kb: str | None = None, stemmer: str | None = None, stop_words: list[str] | None = None) -> DataFrame:
+    """One row for a term of an item of docs, and one with the empty term for each item. Null texts have no tokens.
+
+    With stop_words terms are words of two characters or more that are none of them; with a stemmer they are stems, told once a word of an item.
+    """
     body = F.col(body) if isinstance(body, str) else body
     base = F.col(kb).cast("string") if kb else F.lit("")
-    words = docs.select(base.alias("kb"), F.col(item).alias("item"), F.coalesce(text.tokens(body), F.array().cast("array<string>")).alias("w"))
+    found = text.tokens(body) if stop_words is None else text.search_tokens(body, stop_words, None)
+    words = docs.select(base.alias("kb"), F.col(item).alias("item"), F.coalesce(found, F.array().cast("array<string>")).alias("w"))
     shown = words.select("kb", "item", F.size("w").cast("long").alias("n"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
-    return shown.groupBy("kb", "item", "term", "n").agg(F.count("*").alias("tf")).select(_bucket(F.col("term")).alias("bucket"), "kb", "term", "item", "tf", "n")
+    counted = shown.groupBy("kb", "item", "term", "n").agg(F.count("*").alias("tf"))
+    if stemmer:
+        ship(docs.sparkSession)
+        stems = counted.withColumn("term", stem.stemmed(F.col("term"), stemmer))
+        counted = stems.groupBy("kb", "item", "term", "n").agg(F.sum("tf").alias("tf"))
+    return counted.select(_bucket(F.col("term")).alias("bucket"), "kb", "term", "item", "tf", "n")
+
+
+def query_terms(words: str, stemmer: str | None = None, stop_words: list[str] | None = None) -> list[str]:
+    """Distinct terms of a query, in order, as postings has them."""
+    found = regex.findall(text.WORDS, words.lower())
+    if stop_words is not None:
+        found = [w for w in found if len(w) > 1 and w not in stop_words]
+    return list(dict.fromkeys(stem.STEMMERS[stemmer](w) for w in found) if stemmer else dict.fromkeys(found))
 
 
 def totals(rows: DataFrame, built_at: Column | None = None) -> DataFrame:
@@ -57,14 +76,19 @@ def index_of(rows: DataFrame) -> Index:
     return Index(rows, totals(rows))
 
 
-def store(rows: DataFrame, path: str, built_at: Column | None = None) -> Index:
-    """Write postings, then the totals that make them an index. Terms of one bucket lie together and sorted, so that row-group statistics narrow a search.
+def write_postings(rows: DataFrame, path: str) -> None:
+    """Terms of one bucket lie together and sorted, so that row-group statistics narrow a search.
 
     Beyond BUCKETS tasks a bucket is written in parts, so that a frequent term is no one task.
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.xxhash64("item"), F.lit(max(1, tasks // BUCKETS)))
-    rows.repartition(tasks, "bucket", part).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows.repartition(tasks, "bucket", part).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def store(rows: DataFrame, path: str, built_at: Column | None = None) -> Index:
+    """Write postings, then the totals that make them an index."""
+    write_postings(rows, f"{path}/postings")
     spark = rows.sparkSession
     totals(spark.read.parquet(f"{path}/postings"), built_at).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
     return load(spark, path)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from fathom.functions import text, vectors
+from fathom.functions import stem, text, vectors
 from fathom.operators import listings, retrieval, sparse, state, structure
-from fathom.plans.indexes import documents_index
+from fathom.operators.segments import SegmentedIndex
+from fathom.plans.indexes import documents_index, stemmed_index
 from fathom.plans.registry import query
+from fathom.session import shared_folder, ship
 
 _VEC = "SELECT e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
 
@@ -172,9 +176,98 @@ def doc_freq_map(t):
     return df.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "df"))))).alias("freqs"))  # as many entries as the query has terms
 
 
-@query(rf"SELECT doc_id, array_to_string(list_filter({_W}, lambda w: length(w) > 1 AND w NOT IN ({', '.join(repr(w) for w in text.STOP_WORDS)})), ' ') AS tokens FROM documents")
+def _stems(words: str, p: str = "") -> str:
+    """SQL of the stems s of the distinct words w of a table, rule after rule: a chain of common table expressions, named with p in front, that ends in `stems`."""
+
+    def table(name: str, source: str, endings: dict[str, str], fits: str) -> str:
+        end = f"regexp_extract(x, '(?:{'|'.join(endings)})$')"
+        made = "CASE e " + " ".join(f"WHEN '{e}' THEN '{to}'" for e, to in endings.items()) + " END"
+        cut = f"SELECT *, left(x, length(x) - length(e)) AS rest FROM (SELECT *, {end} AS e FROM {source})"
+        return f"{name} AS (SELECT w, r1, r2, CASE WHEN e <> '' AND ({fits}) THEN rest || {made} ELSE x END AS x FROM ({cut}))"
+
+    region = "'^(?s:.*?)[aeiouy][^aeiouy]'"
+    short = "'([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$'"
+    special = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in stem.SPECIAL.items())
+    listed = lambda words: ", ".join(f"'{w}'" for w in sorted(words))
+    return f"""y0 AS (SELECT w, regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS x FROM {words}),
+{p}y1 AS (SELECT *, regexp_extract(x, '^(?:{stem.EARLY_R1.pattern})') AS early, regexp_extract(x, {region}) AS a FROM {p}y0),
+{p}y2 AS (SELECT w, x, CASE WHEN early <> '' THEN length(early) WHEN a <> '' THEN length(a) ELSE length(x) END AS r1 FROM {p}y1),
+{p}y3 AS (SELECT *, regexp_extract(substr(x, r1 + 1), {region}) AS b FROM {p}y2),
+{p}y4 AS (SELECT w, r1, CASE WHEN b <> '' THEN r1 + length(b) ELSE length(x) END AS r2, CASE
+    WHEN x LIKE '%sses' THEN left(x, length(x) - 2)
+    WHEN x LIKE '%ied' OR x LIKE '%ies' THEN left(x, length(x) - CASE WHEN length(x) > 4 THEN 2 ELSE 1 END)
+    WHEN x LIKE '%s' AND NOT x LIKE '%us' AND NOT x LIKE '%ss' AND regexp_matches(x, '[aeiouy](?s:.)+s$') THEN left(x, length(x) - 1)
+    ELSE x END AS x FROM {p}y3),
+{p}p0 AS (SELECT *, regexp_extract(x, '(?:eedly|eed|edly|ed|ingly|ing)$') AS e FROM {p}y4),
+{p}p1 AS (SELECT *, left(x, length(x) - length(e)) AS rest FROM {p}p0),
+{p}p2 AS (SELECT w, r1, r2, CASE
+    WHEN e = '' OR x IN ({listed(stem.INVARIANT_AFTER_1A)}) THEN x
+    WHEN e LIKE 'eed%' THEN CASE WHEN length(rest) >= r1 THEN rest || 'ee' ELSE x END
+    WHEN NOT regexp_matches(rest, '[aeiouy]') THEN x
+    WHEN regexp_matches(rest, '(?:at|bl|iz)$') THEN rest || 'e'
+    WHEN regexp_matches(rest, '(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(rest, length(rest) - 1)
+    WHEN r1 >= length(rest) AND regexp_matches(rest, {short}) THEN rest || 'e'
+    ELSE rest END AS x, x IN ({listed(stem.INVARIANT_AFTER_1A)}) AS whole, x AS after_1a FROM {p}p1),
+{p}p3 AS (SELECT w, r1, r2, CASE WHEN length(x) > 2 AND regexp_matches(x, '[^aeiouy][yY]$') THEN left(x, length(x) - 1) || 'i' ELSE x END AS x FROM {p}p2),
+{table(f"{p}s2", f"{p}p3", stem.STEP_2, f"length(rest) >= r1 AND (e <> 'ogi' OR rest LIKE '%l') AND (e <> 'li' OR regexp_matches(rest, '[{stem.LI_ENDING}]$'))")},
+{table(f"{p}s3", f"{p}s2", stem.STEP_3, "length(rest) >= CASE WHEN e = 'ative' THEN r2 ELSE r1 END")},
+{table(f"{p}s4", f"{p}s3", stem.STEP_4, "length(rest) >= r2 AND (e <> 'ion' OR regexp_matches(rest, '[st]$'))")},
+{p}s5 AS (SELECT w, CASE
+    WHEN x LIKE '%e' AND (length(x) - 1 >= r2 OR length(x) - 1 >= r1 AND NOT regexp_matches(left(x, length(x) - 1), {short})) THEN left(x, length(x) - 1)
+    WHEN x LIKE '%ll' AND length(x) - 1 >= r2 THEN left(x, length(x) - 1)
+    ELSE x END AS x FROM {p}s4),
+{p}stems AS (SELECT w, CASE WHEN length(w) <= 2 OR w IN ({listed(stem.INVARIANT)}) THEN w
+    WHEN whole THEN replace(after_1a, 'Y', 'y')
+    ELSE CASE w {special} ELSE replace(x, 'Y', 'y') END END AS s FROM {p}s5 JOIN (SELECT w, whole, after_1a FROM {p}p2) USING (w))"""
+
+
+_KEPT = f"list_filter({_W}, lambda w: length(w) > 1 AND w NOT IN ({', '.join(repr(w) for w in text.STOP_WORDS)}))"
+_STEMMED = f"""flat AS (SELECT doc_id, unnest({_KEPT}) AS w, generate_subscripts({_KEPT}, 1) AS i FROM documents),
+v AS (SELECT DISTINCT w FROM flat), {_stems('v')}"""
+
+
+@query(f"WITH {_STEMMED} SELECT doc_id, coalesce(string_agg(s, ' ' ORDER BY i), CASE WHEN text IS NOT NULL THEN '' END) AS tokens FROM documents LEFT JOIN flat USING (doc_id) LEFT JOIN stems USING (w) GROUP BY doc_id, text")
 def search_tokens(t):
-    return t.documents.select("doc_id", F.array_join(text.search_tokens(F.col("text"), stemmed=False), " ").alias("tokens"))
+    ship(t.spark)
+    return t.documents.select("doc_id", F.when(F.col("text").isNotNull(), F.array_join(text.search_tokens(F.col("text")), " ")).alias("tokens"))
+
+
+_STEM_BM25 = f"{_STEMMED}, q0 AS (SELECT unnest({_KEPT}) AS w FROM benchmark WHERE item_id = 0), qs AS (SELECT DISTINCT w FROM q0), {_stems('qs', 'q_')}"
+
+
+@query(f"""WITH {_STEM_BM25},
+t AS (SELECT doc_id, s AS t, count(*) AS f FROM flat JOIN stems USING (w) GROUP BY 1, 2), dl AS (SELECT doc_id, count(*) AS dl FROM flat GROUP BY 1),
+st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM flat) / (SELECT count(*) FROM documents) AS a),
+hit AS (SELECT * FROM t SEMI JOIN (SELECT DISTINCT s FROM q_stems) ON s = t.t), df AS (SELECT t, count(*) AS df FROM hit GROUP BY 1)
+SELECT doc_id, round(sum(ln(greatest(1, (n - df + 0.5) / (df + 0.5))) * f / (f + 1.5 * (0.25 + 0.75 * dl / a))), 6) AS score
+FROM hit JOIN df USING (t) JOIN dl USING (doc_id), st GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 10""")
+def stemmed_search(t):
+    """BM25 over an index of stems without stop words, the query's words taken the same way."""
+    asked = t.benchmark.where("item_id = 0").select("text").first()
+    terms = sparse.query_terms(asked[0], "english", text.STOP_WORDS) if asked and asked[0] else []
+    return sparse.search(stemmed_index(t), terms, 10).withColumnRenamed("item", "doc_id")
+
+
+_UPDATED = rf"""now AS (
+  SELECT CASE WHEN source = 'src2' THEN text || ' ' || lang ELSE text END AS text, doc_id FROM documents WHERE source IS DISTINCT FROM 'src1'
+  UNION ALL SELECT text, -1 - item_id FROM benchmark),
+tok AS (SELECT doc_id, {_W} AS w FROM now), q AS (SELECT DISTINCT unnest({_W}) AS t FROM benchmark WHERE item_id = 0),
+st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM tok), tf AS (SELECT doc_id, dl, t, count(*) AS f FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM tok) SEMI JOIN q USING (t) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1)"""
+
+
+@query(f"WITH {_UPDATED} SELECT doc_id, round(sum(ln(greatest(1, (n - df + 0.5) / (df + 0.5))) * f / (f + 1.5 * (0.25 + 0.75 * dl / a))), 6) AS score FROM tf JOIN df USING (t), st GROUP BY 1")
+def sparse_index_update(t):
+    """The index of all documents, from which one source's are removed, to which the benchmark's texts are added, and in which another source's documents are
+    replaced: every score is that of a fresh index of what there is in the end."""
+    index = SegmentedIndex(t.spark, f"{shared_folder(t.spark)}/updated-{uuid.uuid4().hex}")
+    index.add(t.documents, "doc_id", "text")
+    index.remove(t.documents.where("source = 'src1'").select(F.col("doc_id").alias("item")))
+    index.add(t.benchmark.select((-1 - F.col("item_id")).alias("id"), "text"), "id", "text")
+    index.add(t.documents.where("source = 'src2'").select("doc_id", F.concat_ws(" ", "text", "lang").alias("text")), "doc_id", "text")
+    asked = t.benchmark.where("item_id = 0").select("text").first()
+    found = sparse.scores(index.open(), retrieval.query_terms(asked[0]) if asked and asked[0] else [])
+    return found.select(F.col("item").alias("doc_id"), "score")
 
 
 @query("SELECT s_suppkey AS key FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")

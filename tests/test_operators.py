@@ -174,7 +174,7 @@ def test_markdown_as_text(spark):
 def test_words_and_stems(spark):
     assert one(spark, "The Läufer's 日本 naïve_x a1 b", text.tokens) == ["the", "läufer", "s", "日本", "naïve_x", "a1", "b"]
     words = "studies boxes classes dogs running hoped quickly bus glass is sing red".split()
-    assert one(spark, " ".join(words), lambda c: text.search_tokens(c, [])) == ["study", "box", "class", "dog", "run", "hop", "quick", "bus", "glass", "is", "sing", "red"]
+    assert one(spark, " ".join(words), lambda c: text.search_tokens(c, [])) == ["studi", "box", "class", "dog", "run", "hope", "quick", "bus", "glass", "is", "sing", "red"]
 
 
 def test_claims_in_sentences(spark):
