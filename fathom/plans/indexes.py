@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from fathom.functions import text
 from fathom.operators import sparse
+from fathom.operators.cells import VectorIndex
 from fathom.operators.segments import SegmentedIndex
 from fathom.session import shared_folder
 from fathom.sources.tables import Tables
@@ -30,3 +33,11 @@ def stemmed_index(t: Tables) -> sparse.Index:
     """The same of English stems without stop words."""
     index = SegmentedIndex(t.spark, f"{shared_folder(t.spark)}/stems-{version_of(t, 'documents')}", stemmer="english", stop_words=text.STOP_WORDS)
     return index.open() or index.build(t.documents, "doc_id", "text", "lang")
+
+
+def vectors_index(t: Tables) -> VectorIndex:
+    """The index of the embeddings by vec_id."""
+    index = VectorIndex(t.spark, f"{shared_folder(t.spark)}/vectors-{version_of(t, 'embeddings')}")
+    if not index.log.version():
+        index.build(t.embeddings.select(F.col("vec_id").alias("item"), "embedding", "label"))
+    return index

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fathom.functions import json, text
 from fathom.operators import records, runs, sessions, state, structure
+from fathom.operators.claims import WorkTable
 from fathom.plans.registry import query
+from fathom.session import shared_folder
 
 # -- predicates -----------------------------------------------------------------------
 
@@ -165,6 +169,22 @@ def fenced_finish(t):
     return state.finished(_runs(t), "me", "indexed").select("id", "status")
 
 
+@query(f"""SELECT id, CASE WHEN status <> 'pending' THEN status WHEN attempts <= 2 THEN 'indexed' WHEN attempts + 1 > 4 THEN 'failed' ELSE 'indexing' END AS status,
+  CASE WHEN status <> 'pending' THEN owner WHEN attempts <= 2 THEN 'a' ELSE 'b' END AS owner, CAST(attempts + CASE WHEN status = 'pending' THEN 1 ELSE 0 END AS INTEGER) AS attempts
+  FROM ({_RUNS})""")
+def claims_committed(t):
+    """Two workers claim from one table; each finishes what it still owns, and what it tries on the other's rows changes nothing."""
+    work = WorkTable(t.spark, f"{shared_folder(t.spark)}/work-{uuid.uuid4().hex}", "id")
+    work.create(_runs(t))
+    work.claim("a", F.col("attempts") <= 2)
+    work.claim("b")
+    work.claim("a")  # nothing is left
+    work.finish("a", "indexed")
+    work.finish("b", "failed", F.col("attempts") > 4)
+    work.finish("c", "failed")
+    return work.rows()
+
+
 @query(f"SELECT id, CASE WHEN status = 'indexing' AND owner = 'me' THEN CASE WHEN attempts < 3 THEN 'pending' ELSE 'failed' END ELSE status END AS status, CASE WHEN status = 'indexing' AND owner = 'me' AND attempts < 3 THEN NULL ELSE owner END AS owner FROM ({_RUNS})")
 def bounded_retry(t):
     return state.retried(_runs(t), "me").select("id", "status", "owner")

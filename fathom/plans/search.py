@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fathom.functions import stem, text, vectors
 from fathom.operators import listings, retrieval, sparse, state, structure
 from fathom.operators.segments import SegmentedIndex
-from fathom.plans.indexes import documents_index, stemmed_index
+from fathom.plans.indexes import documents_index, stemmed_index, vectors_index
 from fathom.plans.registry import query
 from fathom.session import shared_folder, ship
 
@@ -189,7 +189,7 @@ def _stems(words: str, p: str = "") -> str:
     short = "'([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$'"
     special = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in stem.SPECIAL.items())
     listed = lambda words: ", ".join(f"'{w}'" for w in sorted(words))
-    return f"""y0 AS (SELECT w, regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS x FROM {words}),
+    return f"""{p}y0 AS (SELECT w, regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS x FROM {words}),
 {p}y1 AS (SELECT *, regexp_extract(x, '^(?:{stem.EARLY_R1.pattern})') AS early, regexp_extract(x, {region}) AS a FROM {p}y0),
 {p}y2 AS (SELECT w, x, CASE WHEN early <> '' THEN length(early) WHEN a <> '' THEN length(a) ELSE length(x) END AS r1 FROM {p}y1),
 {p}y3 AS (SELECT *, regexp_extract(substr(x, r1 + 1), {region}) AS b FROM {p}y2),
@@ -248,6 +248,24 @@ def stemmed_search(t):
     return sparse.search(stemmed_index(t), terms, 10).withColumnRenamed("item", "doc_id")
 
 
+def _asked_list(t):
+    found = t.embeddings.where("vec_id = 0").select("embedding").first()
+    return list(found[0]) if found and found[0] else [0.0]
+
+
+@query(f"SELECT vec_id, score FROM ({_VEC}) ORDER BY score DESC, vec_id LIMIT 10")
+def vector_index_topk(t):
+    """From the stored index, read cell by cell until no cell that is left can hold a better vector: the exact result."""
+    return vectors_index(t).search(_asked_list(t), 10).select(F.col("item").alias("vec_id"), "score")
+
+
+@query(f"SELECT vec_id, label, score FROM ({_VEC}) WHERE label % 2 = 1 AND score >= -0.2 ORDER BY score DESC, vec_id LIMIT 25")
+def vector_index_filtered(t):
+    """A filter that half of the rows pass, and a threshold: the index is read on until the list is full and exact."""
+    found = vectors_index(t).search(_asked_list(t), 25, where=F.col("label") % 2 == 1, threshold=-0.2)
+    return found.select(F.col("item").alias("vec_id"), "label", "score")
+
+
 _UPDATED = rf"""now AS (
   SELECT CASE WHEN source = 'src2' THEN text || ' ' || lang ELSE text END AS text, doc_id FROM documents WHERE source IS DISTINCT FROM 'src1'
   UNION ALL SELECT text, -1 - item_id FROM benchmark),
