@@ -54,16 +54,17 @@ def top(scored: DataFrame, item: str, k: int, threshold: float | None = None) ->
     return scored.orderBy(F.desc("score"), item).limit(k)
 
 
-def per_source(scored: DataFrame, source: str, item: str, each: int, sources: int = 50, threshold: float | None = None) -> DataFrame:
-    """The `each` best items of the `sources` best sources, with their place in the source; what is below the threshold goes before both.
+def per_source(scored: DataFrame, source: str, item: str, each: int, sources: int | None = 50, threshold: float | None = None) -> DataFrame:
+    """The `each` best items of the `sources` best sources (of all, if None), with their place in the source; what is below the threshold goes before both.
 
     At most `sources` rows are broadcast; the window keeps `each` rows a source on the map side.
     """
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
-    leading = scored.groupBy(source).agg(F.max("score").alias("best")).orderBy(F.desc("best"), source).limit(sources)
+    best = scored.groupBy(source).agg(F.max("score").alias("best"))
+    leading = best if sources is None else F.broadcast(best.orderBy(F.desc("best"), source).limit(sources))
     order = Window.partitionBy(source).orderBy(F.desc("score"), item)
-    return scored.join(F.broadcast(leading), source).withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+    return scored.join(leading, source).withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
 
 
 def bm25(docs: DataFrame, item: str, body: str, terms: list[str], k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.operators import scans
+
 
 def trailing_history(messages: DataFrame, session: str, turn: str, most: int) -> DataFrame:
     """The newest `most` messages of a session, from its first user message among them on."""
@@ -38,10 +40,12 @@ def first_messages(messages: DataFrame, session: str, turn: str, most: int = 100
     return messages.groupBy(session).agg(F.left(F.min_by("text", turn), F.lit(most)).alias("first_message"), F.count("*").alias("n_messages"))
 
 
-def streaks(rows: DataFrame, key: str, order: list[str], failed, least: int) -> DataFrame:
-    """(key, first, last, length) of runs of `least` or more failed rows in a row, by the last column of `order`."""
-    every = Window.partitionBy(key).orderBy(*order)
-    seen = rows.select(key, *order, failed.alias("_f")).withColumn("_ok", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(every.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def streaks(rows: DataFrame, key: str, order: list[str], failed, least: int, long: int | None = None) -> DataFrame:
+    """(key, first, last, length) of runs of `least` or more failed rows in a row, by the last column of `order`.
+
+    A run is told by the number of other rows before it, and summed up where its rows are; keys of more than `long` rows are counted in parts.
+    """
+    seen = scans.with_running(rows.select(key, *order, failed.alias("_f")), key, order, long, _ok=F.when(F.col("_f"), 0).otherwise(1))
     point = F.struct(*order)
     runs = seen.where("_f").groupBy(key, "_ok").agg(F.min(point)[order[-1]].alias("first"), F.max(point)[order[-1]].alias("last"), F.count("*").alias("length"))
     return runs.where(F.col("length") >= least).drop("_ok")

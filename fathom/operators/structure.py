@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.operators import scans
+
 
 def chunks(docs: DataFrame, item: str, body: str, size: int = 2000, overlap: int = 50) -> DataFrame:
     """(item, chunk_index, start, text): pieces of `size` characters, each `overlap` into the one before; empty texts have none."""
@@ -14,18 +16,16 @@ def chunks(docs: DataFrame, item: str, body: str, size: int = 2000, overlap: int
     return rows.select(item, "chunk_index", (F.col("_c") * step).alias("start"), F.substring(F.col(body), F.col("_c") * step + 1, F.lit(size)).alias("text"))
 
 
-def pages_of_chunks(pages: DataFrame, cut: DataFrame, item: str, width: int = 2000) -> DataFrame:
+def pages_of_chunks(pages: DataFrame, cut: DataFrame, item: str, width: int = 2000, long: int | None = None) -> DataFrame:
     """(item, chunk_index, page) where the half-open spans meet; pages(item, page, n_chars) are joined by one separator each.
 
     A range join in bins of `width` characters: a chunk meets the pages of the bins it touches, not all pages of its document; a pair that
-    meets in several bins counts in the first of them. Where a page begins comes from one pass over the document's lengths.
+    meets in several bins counts in the first of them. Where a page begins is a running sum, in parts for items of more than `long` pages.
     """
-    listed = pages.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("page", F.col("n_chars").cast("long").alias("n")))).alias("_p"))
-    empty = F.array().cast("array<struct<page:int,_from:bigint,_to:bigint>>")
-    state = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
-    added = lambda s, x: F.struct((s["at"] + x["n"] + 1).alias("at"), F.concat(s["out"], F.array(F.struct(x["page"].cast("int").alias("page"), s["at"].alias("_from"), (s["at"] + x["n"]).alias("_to")))).alias("out"))
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(F.greatest(b - 1, a) / width))).alias("_bin")
-    placed = listed.select(item, F.explode(F.aggregate("_p", state, added, lambda s: s["out"])).alias("_x")).select(item, "_x.*")
+    sized = pages.select(item, F.col("page").cast("int").alias("page"), F.col("n_chars").cast("long").alias("_n"))
+    summed = scans.with_running(sized, item, ["page", "_n"], long, _to=F.col("_n") + 1)
+    placed = summed.select(item, "page", (F.col("_to") - 1 - F.col("_n")).alias("_from"), (F.col("_to") - 1).alias("_to"))
     placed = placed.select("*", bins(F.col("_from"), F.col("_to")))
     spans = cut.select(item, "chunk_index", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("text")).cast("long").alias("_end"))
     spans = spans.select("*", bins(F.col("start"), F.col("_end")))

@@ -62,7 +62,7 @@ def retrieval_pipeline(t):
     start = F.col("vec_id") % 5 + 1
     meta = F.to_json(F.struct(start.alias("start_page"), (start + F.col("vec_id") % 3).alias("end_page")))
     rows = retrieval.vector_scores(t.embeddings, _asked(t)).where("score >= 0.02").select("vec_id", "label", "score", meta.alias("meta"))
-    floor = retrieval.per_source(rows, "label", "vec_id", 1, 1000).select("vec_id", "label", "score", "meta")
+    floor = retrieval.per_source(rows, "label", "vec_id", 1, None).select("vec_id", "label", "score", "meta")
     notes = retrieval.enrichment_of(t.labels.withColumnRenamed("doc_id", "vec_id"), "vec_id", ["quality", "toxic"], "completed")
     scorer = lambda r: r.select("vec_id", (F.col("vec_id") % 7).cast("double").alias("new_score"))
     found = retrieval.pipeline(retrieval.top(rows, "vec_id", 40), "vec_id", "label", 12, "vector_search", 0.02, floor, notes, scorer, most=3, least=1)
