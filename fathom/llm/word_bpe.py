@@ -2,9 +2,9 @@
 
 Texts are split by the byte-level pattern. A bounded table of frequent words, told from an eighth of the rows, is encoded
 once and sent to every task: frequent words are never shuffled, so none can be a hot key, and the choice has no effect on
-results. Every other word of a text goes out once a text, with the positions at which it stands, and is shuffled by the word:
-its rows come together, sorted, are encoded once, and leave with the ids. Texts come as ids with a hole for each word that
-travelled; both meet by the text's key, and the holes are filled in order of position. Decoding joins the table of
+results. Every other word of a text goes out once a text and is shuffled by the word: its rows come together, sorted, the word is encoded once, and they
+leave with the ids. Text and ids meet by the text's key. The positions of words are those of the text, which travels compressed, at half the size
+of rows with positions or of ids: it is split again and each position takes the ids of its word. Decoding joins the table of
 the tokens' bytes, whose size is that of the vocabulary.
 """
 
@@ -31,8 +31,6 @@ FREQUENT, WORD_BYTES = 600_000, 64
 SHARE = 8
 #: Distinct words that a task counts before it gives them on.
 COUNTED = 200_000
-#: Stands in packed ids for a word that is encoded elsewhere. No id is so large.
-HOLE = b"\xff\xff\xff\xff"
 
 _RANKS: dict[str, dict[bytes, int]] = {}
 
@@ -115,8 +113,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _encoded(path: str, keep: bool):
-    """Rows (word, ...) in order of the word to (..., ids), with the word if it is to be kept: a word is encoded when it is first met."""
+def _encoded(path: str):
+    """Rows (word, ...) in order of the word to (..., word, ids): a word is encoded when it is first met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, last, ids = ranks(path), None, b""
@@ -126,8 +124,7 @@ def _encoded(path: str, keep: bool):
                 if word != last:
                     last, ids = word, packed(word, rank)
                 found.append(ids)
-            rest = [c for c in batch.schema.names if keep or c != "word"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(found, pa.binary())], names=[*rest, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "ids"])
 
     return run
 
@@ -136,79 +133,59 @@ def frequent_words(texts: DataFrame, path: str, most: int) -> dict[str, bytes]:
     """The `most` words that are most frequent in an eighth of texts(key, text), encoded: at most `most` rows of short words reach the driver."""
     seen = texts.where(F.pmod("key", F.lit(SHARE)) == 0).select("text").mapInArrow(_counted, "word string, n long")
     leading = seen.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
-    found = leading.mapInArrow(_encoded(path, True), "word string, ids binary").toArrow()
+    found = leading.mapInArrow(_encoded(path), "word string, ids binary").toArrow()
     return dict(zip(found.column("word").to_pylist(), found.column("ids").to_pylist()))
 
 
 def _rare(known) -> object:
-    """(key, mark, text) to (key, mark, word, at): the words that are not known, each once a text with its positions."""
+    """(key, text) to (key, word): the words that are not known, each once a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
         for batch in batches:
-            texts, words, places = [], [], []
+            texts, words = [], []
             for row, text in enumerate(batch.column("text")):
-                found = split_words(text.as_py() or "")
-                rare = set(found).difference(table)
-                if not rare:
-                    continue
-                at: dict[str, list[int]] = {w: [] for w in rare}
-                for i, w in enumerate(found):
-                    if w in rare:
-                        at[w].append(i)
-                texts += [row] * len(at)
-                words += at
-                places += at.values()
-            own = pa.array(texts, pa.int32())
-            columns = [batch.column("key").take(own), batch.column("mark").take(own), pa.array(words, pa.string()), pa.array(places, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "mark", "word", "at"])
+                rare = set(split_words(text.as_py() or "")).difference(table)
+                texts += [row] * len(rare)
+                words += rare
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(texts, pa.int32())), pa.array(words, pa.string())], names=["key", "word"])
 
     return run
 
 
-def _with_holes(known) -> object:
-    """(key, mark, doc_id, text) to (key, mark, doc_id, ids): compressed packed ids with a hole for each word that is not known. Ids are
-    even over 16 of their 32 bits, which the shuffle's own compression hardly narrows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, small = known.value.get, zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            found = [small(b"".join([x or HOLE for x in map(get, split_words(t.as_py() or ""))])) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "mark", "doc_id")), pa.array(found, pa.binary())], names=["key", "mark", "doc_id", "ids"])
-
-    return run
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, text) with the text compressed."""
+    small = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = [small((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(texts, pa.binary())], names=["key", "doc_id", "text"])
 
 
-def filled(ids: bytes, rare: list[dict] | None) -> bytes:
-    """Packed ids from compressed ones with holes, and the words (at, ids) that go into them: holes are in order of position."""
-    ids = zstandard.ZstdDecompressor().decompress(ids)
-    if not rare:
-        return ids
-    by_place = sorted((at, x["ids"]) for x in rare for at in x["at"])
-    cells = np.frombuffer(ids, "<u4")
-    holes = (np.flatnonzero(cells == 0xFFFFFFFF) * 4).tolist()
-    if len(holes) != len(by_place):
-        raise ValueError("a text and its words don't belong together")
-    out, done = [], 0
-    for hole, (_, own) in zip(holes, by_place):
-        out += [ids[done:hole], own]
-        done = hole + 4
-    out.append(ids[done:])
-    return b"".join(out)
-
-
-def _joined(docs: DataFrame, path: str, frequent: int) -> DataFrame:
-    """(doc_id, ids, rare): compressed packed ids with holes and the words that go into them."""
+def _joined(docs: DataFrame, path: str, frequent: int) -> tuple[DataFrame, object]:
+    """(doc_id, text, rare): compressed texts and their rare words with ids; and the table of frequent words."""
     spark = docs.sparkSession
     ship(spark)
-    # 96 bits name a text of a doc_id; rows that share both have the same ids
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.hash("text").alias("mark"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # texts that share a key only see each other's words, whose ids are the same everywhere
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = spark.sparkContext.broadcast(frequent_words(texts.select("key", "text"), path, frequent))
-    rare = texts.drop("doc_id").mapInArrow(_rare(known), "key long, mark int, word string, at array<int>")
-    met = rare.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path, False), "key long, mark int, at array<int>, ids binary")
-    of_text = met.groupBy("key", "mark").agg(F.collect_set(F.struct("at", "ids")).alias("rare"))  # no more than the text itself
-    whole = texts.mapInArrow(_with_holes(known), "key long, mark int, doc_id long, ids binary")
-    return whole.join(of_text, ["key", "mark"], "left").select("doc_id", "ids", "rare")
+    rare = texts.select("key", "text").mapInArrow(_rare(known), "key long, word string")
+    met = rare.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path), "key long, word string, ids binary")
+    of_text = met.groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))  # no more than the text itself
+    whole = texts.mapInArrow(_small, "key long, doc_id long, text binary")
+    return whole.join(of_text, "key", "left").select("doc_id", "text", "rare"), known
+
+
+def _assembled(known):
+    """Batches of _joined to the packed ids of each text: each position takes the ids of its word."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[bytes]:
+        table, whole = known.value, zstandard.ZstdDecompressor().decompress
+        for text, rare in zip(batch.column("text"), batch.column("rare").to_pylist()):
+            own = {x["word"]: x["ids"] for x in rare or ()}
+            words = split_words(whole(text.as_py()).decode("utf-8", "surrogatepass"))
+            yield b"".join([x or own[w] for x, w in zip(map(table.get, words), words)])
+
+    return run
 
 
 def token_bytes(path: str) -> list[bytes | None]:
@@ -227,12 +204,15 @@ def encode_documents(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT)
     bounds the words that are sent to every task; at 0 every word is shuffled.
     """
 
+    joined, known = _joined(docs, vocabulary, frequent)
+    assembled = _assembled(known)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(filled(a.as_py(), b), "<u4").astype(np.int32) for a, b in zip(batch.column("ids"), batch.column("rare").to_pylist())]
+            found = [np.frombuffer(ids, "<u4").astype(np.int32) for ids in assembled(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return _joined(docs, vocabulary, frequent).mapInArrow(run, "doc_id long, ids array<int>")
+    return joined.mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def _shared_table(spark: SparkSession, vocabulary: str):
@@ -259,16 +239,17 @@ def round_trip(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT) -> Da
     Ids are digested as little-endian unsigned 32-bit integers. Nulls, empties, repeats and other columns as in encode_documents.
     """
     table = _shared_table(docs.sparkSession, vocabulary)
+    joined, known = _joined(docs, vocabulary, frequent)
+    assembled = _assembled(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = table.value.__getitem__
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for a, b in zip(batch.column("ids"), batch.column("rare").to_pylist()):
-                ids = filled(a.as_py(), b)
+            for ids in assembled(batch):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(b"".join(map(label, np.frombuffer(ids, "<u4").tolist()))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _joined(docs, vocabulary, frequent).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return joined.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
