@@ -8,12 +8,17 @@ query's terms enter as literals, never as joins.
 from __future__ import annotations
 
 import math
+import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fathom.functions import json, text, vectors
 
@@ -223,14 +228,37 @@ def assembly_figures(parts: DataFrame) -> DataFrame:
     return parts.agg(F.count("*").alias("total"), F.count_if(there).alias("included"), F.count_if(~there).alias("dropped"), F.count_if(there & F.col("shown_before")).alias("overlapping"), F.coalesce(F.sum(F.when(there, F.col("tokens"))), F.lit(0)).cast("long").alias("tokens"))
 
 
-def fanned_out(builders: dict[str, Callable[[], DataFrame]], item: str, k: int) -> tuple[DataFrame | None, dict[str, str]]:
-    """Result lists of several knowledge bases, merged by raw score, and what went wrong by base. It has failed (None) only if all went wrong. Each list is
-    run on its own, and is of bounded length."""
+def fanned_out(builders: dict[str, Callable[[], DataFrame]], item: str, k: int, parallel: int = 8, seconds: float | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """Result lists of several knowledge bases, merged by raw score, and what went wrong by base. It has failed (None) only if all went wrong.
+
+    Lists are of bounded length and run side by side, `parallel` at a time, each in a pool of its own where the scheduler is fair. A base that takes
+    longer than `seconds` counts as failed, and its jobs are cancelled; the others go on.
+    """
+    spark = SparkSession.active()
+    sc, run = spark.sparkContext, uuid.uuid4().hex
+
+    def asked(name: str, tag: str) -> tuple[list, StructType]:
+        sc.setLocalProperty("spark.scheduler.pool", tag)
+        sc.addJobTag(tag)
+        rows = top(builders[name]().withColumn("knowledge_base", F.lit(name)), item, k)
+        return rows.collect(), rows.schema
+
     lists, errors = [], {}
-    for name, build in builders.items():
-        try:
-            rows = build().withColumn("knowledge_base", F.lit(name))
-            lists.append(rows.sparkSession.createDataFrame(top(rows, item, k).collect(), rows.schema))
-        except Exception as e:  # one base must not take the others with it
-            errors[name] = str(e).split("\n")[0][:160]
+    tags = {name: f"{run}-{i}" for i, name in enumerate(builders)}
+    workers = ThreadPoolExecutor(max_workers=max(1, min(parallel, len(builders) or 1)))
+    try:
+        started = {name: workers.submit(inheritable_thread_target(spark)(asked), name, tag) for name, tag in tags.items()}
+        end = None if seconds is None else time.monotonic() + seconds
+        for name, job in started.items():
+            try:
+                found, schema = job.result(None if end is None else max(0.0, end - time.monotonic()))
+                lists.append(spark.createDataFrame(found, schema))
+            except TimeoutError:
+                job.cancel()
+                sc.cancelJobsWithTag(tags[name])
+                errors[name] = f"took more than {seconds} s"
+            except Exception as e:  # one base must not take the others with it
+                errors[name] = str(e).split("\n")[0][:160]
+    finally:
+        workers.shutdown(wait=False, cancel_futures=True)
     return (merged(lists, item, k) if lists else None), errors

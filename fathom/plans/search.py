@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fathom.functions import stem, text, vectors
 from fathom.operators import listings, retrieval, sparse, state, structure
 from fathom.operators.segments import SegmentedIndex
+from fathom.plans import table_functions
 from fathom.plans.indexes import documents_index, stemmed_index, vectors_index
 from fathom.plans.registry import query
 from fathom.session import shared_folder, ship
@@ -266,6 +267,11 @@ def vector_index_filtered(t):
     return found.select(F.col("item").alias("vec_id"), "label", "score")
 
 
+_STATS = rf"""tok AS (SELECT doc_id, lang, {_W} AS w FROM documents), q AS (SELECT DISTINCT unnest({_W}) AS t FROM benchmark WHERE item_id = 0),
+st AS (SELECT lang, count(*) AS n, avg(len(w)) AS a FROM tok GROUP BY 1), tf AS (SELECT doc_id, lang, dl, t, count(*) AS f FROM (SELECT doc_id, lang, len(w) AS dl, unnest(w) AS t FROM tok) SEMI JOIN q USING (t) GROUP BY ALL),
+df AS (SELECT lang, t, count(*) AS df FROM tf GROUP BY 1, 2)"""
+
+
 _UPDATED = rf"""now AS (
   SELECT CASE WHEN source = 'src2' THEN text || ' ' || lang ELSE text END AS text, doc_id FROM documents WHERE source IS DISTINCT FROM 'src1'
   UNION ALL SELECT text, -1 - item_id FROM benchmark),
@@ -300,3 +306,65 @@ def refresh_prune(t):
 @query("SELECT user_id, event_id, ts, true AS truncated FROM events ORDER BY ts DESC, event_id LIMIT 20")
 def truncated_list(t):
     return listings.truncated(t.events.select("user_id", "event_id", "ts"), [F.desc("ts"), "event_id"], 20)
+
+
+@query(f"""WITH {_STATS}, bm AS (SELECT doc_id, lang, round(sum(ln(greatest(1, (n - df + 0.5) / (df + 0.5))) * f / (f + 1.5 * (0.25 + 0.75 * dl / a))), 6) AS score FROM tf JOIN df USING (lang, t) JOIN st USING (lang) GROUP BY 1, 2)
+SELECT lang AS knowledge_base, doc_id, score, 'broken: no index' AS failed FROM bm WHERE lang IN (SELECT DISTINCT lang FROM documents ORDER BY lang LIMIT 3) ORDER BY score DESC, doc_id LIMIT 10""")
+def fanned_out(t):
+    """Three languages are asked side by side, each a knowledge base with statistics of its own, and one base that fails."""
+    asked = t.benchmark.where("item_id = 0").select("text").first()
+    terms = retrieval.query_terms(asked[0]) if asked and asked[0] else []
+    index = documents_index(t)
+
+    def base(kb):
+        own = sparse.Index(index.postings.where(F.col("kb") == kb), index.totals.where(F.col("kb") == kb))
+        return lambda: sparse.scores(own, terms).select("item", "score")
+
+    def broken():
+        raise LookupError("no index")
+
+    names = [r[0] for r in t.documents.select("lang").where("lang is not null").distinct().orderBy("lang").limit(3).collect()]
+    found, errors = retrieval.fanned_out({n: base(n) for n in names} | {"broken": broken}, "item", 10, seconds=600)
+    told = ", ".join(f"{n}: {e}" for n, e in errors.items())
+    return found.select("knowledge_base", F.col("item").alias("doc_id"), "score", F.lit(told).alias("failed"))
+
+
+# -- table functions ---------------------------------------------------------------------
+
+
+def _with_functions(t):
+    """Customers are sources, their segment tells whether they are extracted; nations that ordered are the knowledge bases that indexed them; events are runs."""
+    t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_mktsegment") == "BUILDING", "pending").otherwise("extracted").alias("extraction_status")).createOrReplaceTempView("fathom_sources")
+    t.orders.select(F.col("o_custkey").alias("source_id"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).cast("long").alias("knowledge_base_id")).createOrReplaceTempView("fathom_indexed")
+    runs = t.events.select(F.col("ts").cast("timestamp").alias("created_at"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"), F.col("user_id").alias("total_tokens"), "event_id")
+    runs.createOrReplaceTempView("fathom_runs")
+    table_functions.register(t.spark, "fathom_sources", "fathom_indexed", "fathom_runs")
+    return t.spark
+
+
+@query("""WITH e AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_mktsegment <> 'BUILDING' AND contains(lower(c_name), '#00000')
+  AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F'))
+SELECT id, name, (SELECT count(*) FROM e) AS total_count FROM e ORDER BY name, id LIMIT 20 OFFSET 5""")
+def sources_function(t):
+    """A page of what a knowledge base lacks, by a function of SQL."""
+    return _with_functions(t).sql("SELECT * FROM list_sources_excluding(1, '#00000', 20, 5)")
+
+
+@query("""SELECT date_trunc('day', ts) AS bucket, count(*) AS total_runs, count(*) FILTER (WHERE event_type = 'error') AS failed_runs, CAST(sum(user_id) AS BIGINT) AS total_tokens, max(ts) AS last_activity_at
+FROM events WHERE ts >= TIMESTAMP '2024-01-03' GROUP BY 1""")
+def buckets_function(t):
+    """Buckets of runs by a function of SQL; a unit that there isn't adds nothing."""
+    return _with_functions(t).sql("SELECT * FROM run_buckets(TIMESTAMP '2024-01-03', 'day') UNION ALL SELECT * FROM run_buckets(TIMESTAMP '2024-01-03', 'week')")
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error'),
+r AS (SELECT user_id, n, event_id, true AS accepted, [ts] AS held FROM o WHERE n = 1
+UNION ALL SELECT o.user_id, o.n, o.event_id, len(list_filter(r.held, lambda x: x > o.ts - INTERVAL 1 DAY)) < 2,
+  CASE WHEN len(list_filter(r.held, lambda x: x > o.ts - INTERVAL 1 DAY)) < 2 THEN list_append(list_filter(r.held, lambda x: x > o.ts - INTERVAL 1 DAY), o.ts) ELSE r.held END
+  FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT user_id, event_id, accepted FROM r""")
+def rate_function(t):
+    """A table function with state over a partitioned and ordered table argument."""
+    t.events.where("event_type = 'error'").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")).createOrReplaceTempView("fathom_errors")
+    asked = "SELECT user_id, event_id, accepted FROM rate_limited(TABLE(fathom_errors) PARTITION BY user_id ORDER BY (ts, event_id), 'ts', 2, 86400)"
+    return _with_functions(t).sql(asked)
