@@ -48,6 +48,14 @@ def work_set(items: DataFrame, results: DataFrame, item: str, choice: str) -> Da
     raise ValueError(f"unknown choice {choice!r}")
 
 
+def work_sets(items: DataFrame, results: DataFrame, item: str) -> DataFrame:
+    """items with `choice` for each of the sets that they belong to, by one join: all, unenriched, failed."""
+    found = results.groupBy(item).agg(F.max(F.col("error").isNotNull()).alias("_failed"))
+    met = items.join(found, item, "left")
+    sets = F.array(F.lit("all"), F.when(F.col("_failed").isNull(), "unenriched").when(F.col("_failed"), "failed"))
+    return met.select(*items.columns, F.explode(F.array_compact(sets)).alias("choice"))
+
+
 def cascade(children: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
     """Each table without the rows of what is gone(key)."""
     ids = gone.select(key).distinct()

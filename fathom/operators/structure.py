@@ -35,8 +35,14 @@ def pages_of_chunks(pages: DataFrame, cut: DataFrame, item: str, width: int = 20
 
 
 def header_chunks(docs: DataFrame, item: str, body: str, size: int = 2000, overlap: int = 50) -> DataFrame:
-    """(item, section, heading, chunk_index, text): a text is split before its markdown headings, and each section cut as by chunks(). Blank sections are left out; what stands before the first heading has none."""
-    sections = docs.where(F.length(body) > 0).select(item, F.posexplode(F.split(F.col(body), r"(?m)(?=^#{1,6}[ \t])", -1)).alias("section", "_s")).where(F.col("_s").rlike(r"\S"))
+    """(item, section, heading, chunk_index, text): a text is split before its markdown headings, but for lines of fenced code, and each section cut as by chunks(). Blank sections are left out; what stands before the first heading has none."""
+    mark = "\ufdd0"  # no character of any text
+    pieces = F.split(F.col(body), r"(?m)(?=^ {0,3}```)", -1)  # a piece starts with each fence: text and code take turns
+    starts = F.when(F.col(body).rlike(r"^ {0,3}```"), 0).otherwise(1)
+    hidden = F.transform(pieces, lambda s, i: F.when((i >= starts) & ((i - starts) % 2 == 0), F.regexp_replace(s, r"(?m)^(?=#)", mark)).otherwise(s))
+    cut = F.split(F.array_join(hidden, ""), r"(?m)(?=^#{1,6}[ \t])", -1)
+    sections = docs.where(F.length(body) > 0).select(item, F.posexplode(cut).alias("section", "_s")).where(F.col("_s").rlike(r"\S"))
+    sections = sections.withColumn("_s", F.replace("_s", F.lit(mark), F.lit("")))
     heading = F.nullif(F.trim(F.regexp_extract("_s", r"^#{1,6}[ \t]+([^\n]*)", 1)), F.lit(""))
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length("_s") - overlap) / step).cast("int") - 1)

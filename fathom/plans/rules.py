@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fathom.functions import json, text
 from fathom.operators import records, runs, sessions, state, structure
 from fathom.operators.claims import WorkTable
+from fathom.operators.metadata import MetadataTable
 from fathom.plans.registry import query
 from fathom.session import shared_folder
 
@@ -201,8 +202,26 @@ def enrich_claim(t):
 def work_sets(t):
     """Toxic labels are enrichments that failed."""
     results = t.labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").alias("error"))
-    sets = [state.work_set(t.documents.select("doc_id"), results, "doc_id", c).select(F.lit(c).alias("choice"), "doc_id") for c in ("unenriched", "failed", "all")]
-    return sets[0].unionByName(sets[1]).unionByName(sets[2])
+    return state.work_sets(t.documents.select("doc_id"), results, "doc_id").select("choice", "doc_id")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS item_id, 'full_document' AS item_type, toxic = 1 AS toxic, CASE WHEN lang = 'de' AND source IN ('src1', 'src2') THEN source END AS source,
+  CASE WHEN lang = 'de' THEN CAST(quality AS VARCHAR) ELSE CAST(CAST(quality AS DOUBLE) AS VARCHAR) END AS quality
+FROM labels JOIN documents USING (doc_id) WHERE source <> 'src3' OR lang = 'de'""")
+def metadata_versions(t):
+    """Labels as answers under two lists of fields: a number becomes a text, a choice is added. German documents are answered again under the second list, after one
+    source's rows were removed."""
+    table = MetadataTable(t.spark, f"{shared_folder(t.spark)}/metadata-{uuid.uuid4().hex}")
+    docs = t.labels.join(t.documents.select("doc_id", "lang", "source"), "doc_id")
+    said = F.when(F.col("toxic") == 1, "yes").otherwise("No")
+    answers = lambda rows, *more: rows.select(F.col("doc_id").alias("item_id"), F.lit("full_document").alias("item_type"), F.to_json(F.struct("quality", said.alias("toxic"), *more)).alias("answer"), F.lit(None).cast("string").alias("error"))
+    field = lambda name, kind, **more: {"name": name, "type": kind, "description": name} | more
+    table.define([field("quality", "number"), field("toxic", "boolean")])
+    table.enrich(answers(docs))
+    table.define([field("toxic", "boolean"), field("source", "enum", enum_values=["src1", "src2"]), field("quality", "text")])
+    table.remove(docs.where("source = 'src3'").select(F.col("doc_id").alias("item_id")))
+    table.enrich(answers(docs.where("lang = 'de'"), "source"))
+    return table.rows().select("item_id", "item_type", "toxic", "source", "quality")
 
 
 @query("SELECT 'orders' AS kind, o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') UNION ALL SELECT 'customers', c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathom.functions import office
+from fathom.session import ship
+
 
 class Tables:
     """Lazy Parquet tables of a folder: Tables(spark, dir).documents. Columns and filters reach the scan."""
@@ -55,6 +59,37 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
     return allowed.select("path", "length", "mime", F.when(F.col("mime").startswith("text/"), F.decode("content", "UTF-8")).alias("text"))
 
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def arrivals(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Files that arrive under a path, as a stream: each once, in order of modification, a bounded number a trigger."""
+    raw = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger)
+    return raw.load(path)
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """Files under a path, dealt to tasks by their bytes; files without any are left out."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
+def extracted_files(raw: DataFrame) -> DataFrame:
+    """Files (path, modificationTime, length, content), of a batch or a stream, of allowed types: path, length, modified, mime, kind, text, error.
+
+    docx as markdown, xlsx, pptx, HTML and text types as text; a file that can't be read has an error and no text, and takes no other with it.
+    """
+    ship(raw.sparkSession)
+
+    @F.pandas_udf("struct<kind: string, text: string, error: string>")
+    def read(mime: pd.Series, content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([office.extracted(m, c) for m, c in zip(mime, content)], columns=["kind", "text", "error"])
+
+    allowed = raw.where(extension(F.col("path")).isin(*MIME_TYPES, "html", "htm"))
+    mime = F.when(extension(F.col("path")).isin("html", "htm"), "text/html").otherwise(mime_type(F.col("path"), F.lit(None).cast("string")))
+    told = allowed.withColumn("mime", mime).withColumn("_x", read("mime", "content"))
+    return told.select("path", "length", F.col("modificationTime").alias("modified"), "mime", "_x.kind", "_x.text", "_x.error")
+
+
 def markdown_docs(spark: SparkSession, root: str, prefix: str, largest: int = 1_000_000) -> DataFrame:
     """Markdown files under root: key `prefix:relative path`, content, its hash and title; empty and oversized ones are skipped."""
     from fathom.functions.text import document_title
