@@ -5,8 +5,9 @@ block-level tags (and their classes) from the root to it. For each path
 
     ratio = (characters of all its blocks outside links / its blocks)
             * (1 + punctuation marks of its blocks / its blocks)
+            * (1 + standard deviation of the characters) * (1 + standard deviation of the punctuation)
 
-fuses text length and punctuation. Blocks, in page order, get the logarithm of their path's ratio, smoothed with
+fuses text length and punctuation: a text's paragraphs are long and differ, the parts of a layout are short and alike. Blocks, in page order, get the logarithm of their path's ratio, smoothed with
 their neighbours' (1/4, 1/2, 1/4); a path's level is the mean over its blocks. Paths at least `strength` of the way up from
 the page's least level to its greatest (that of the article or main, if there is one) select the content nodes, inside an article as elsewhere.
 Elements that are never main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
@@ -22,6 +23,7 @@ Reading is linear in the page, whatever is broken in it.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +34,9 @@ from pyspark.sql import DataFrame
 
 from .common import ship
 
+#: How far up from the least level to the greatest a path has to be.
+STRENGTH = 0.6
+
 # Names of HTML's elements by their role, and words that sites use in classes and ids.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rtc rp s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -284,14 +289,18 @@ def _leave(at: Element, tags: tuple[str, ...], bounds: tuple[str, ...]) -> Eleme
 
 
 def path_ratios(found: list[Block]) -> dict[int, float]:
-    """Each path's fused ratio of text length and punctuation."""
+    """Each path's fused ratio: mean text length and punctuation, each times its standard deviation, as parts of a layout are few and alike and those of a text differ."""
     sums: dict[int, list[float]] = {}
     for b in found:
-        s = sums.setdefault(b.element.path, [0, 0, 0])
-        s[0] += 1
-        s[1] += len(b.text) - b.linked
-        s[2] += len(_PUNCTUATION.findall(b.text))
-    return {path: chars / n * (1 + marks / n) for path, (n, chars, marks) in sums.items()}
+        chars, marks = len(b.text) - b.linked, len(_PUNCTUATION.findall(b.text))
+        s = sums.setdefault(b.element.path, [0, 0, 0, 0, 0])
+        for k, x in enumerate((1, chars, marks, chars * chars, marks * marks)):
+            s[k] += x
+    return {path: chars / n * (1 + marks / n) * (1 + _deviation(n, chars, chars2)) * (1 + _deviation(n, marks, marks2)) for path, (n, chars, marks, chars2, marks2) in sums.items()}
+
+
+def _deviation(n: int, total: int, squares: int) -> float:
+    return math.sqrt(max(0, squares * n - total * total)) / n
 
 
 def path_levels(found: list[Block]) -> dict[int, float]:
@@ -307,8 +316,10 @@ def path_levels(found: list[Block]) -> dict[int, float]:
     return {path: sum(v) / len(v) for path, v in fused.items()}
 
 
-def main_text(page: str | None, strength: float = 0.6) -> str:
-    """The main text of a page, one block a line; empty if there is none."""
+def main_text(page: str | None, strength: float = STRENGTH) -> str:
+    """The main text of a page, one block a line; empty if there is none. strength: how far up from the least level to the greatest a path has to be, 0 to 1."""
+    if not 0 <= strength <= 1:
+        raise ValueError("strength is 0 to 1")
     elements, found = blocks(page or "")
     if not any(b.element.veto != CERTAIN for b in found):
         return ""
@@ -395,7 +406,7 @@ def _home(elements: list[Element]) -> Element:
     return at
 
 
-def extract(pages: DataFrame, strength: float = 0.6) -> DataFrame:
+def extract(pages: DataFrame, strength: float = STRENGTH) -> DataFrame:
     """One row per row of pages(page_id, url, html): page_id, url, text, n_chars.
 
     text: the main text with character references decoded, white space in a block

@@ -1,7 +1,10 @@
+import re
 import time
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from fathom.llm import bpe, fingerprint, html_text, line_dedup, ngram_join, packing
@@ -250,13 +253,29 @@ def test_html_ratios_equal_a_plain_count():
     want = []
     for name, held in texts.items():
         chars = sum(map(len, held)) - (4 if name == "p in div" else 0)  # four stands in a link
-        want.append(chars / len(held) * (1 + sum(map(marks, held)) / len(held)))
-    assert sorted(html_text.path_ratios(found).values()) == sorted(want)
+        own = [len(t) - (4 if t.startswith("Three") else 0) for t in held]
+        want.append(chars / len(held) * (1 + sum(map(marks, held)) / len(held)) * (1 + np.std(own)) * (1 + np.std([marks(t) for t in held])))
+    assert np.allclose(sorted(html_text.path_ratios(found).values()), sorted(want))
     own = np.log1p([want[0], want[0], want[1], want[2]])
     smooth = [(a + 2 * b + c) / 4 for a, b, c in zip([own[0], *own], own, [*own[1:], own[-1]])]
     assert np.allclose(sorted(html_text.path_levels(found).values()), sorted([(smooth[0] + smooth[1]) / 2, smooth[2], smooth[3]]))
 
 
+def test_html_ratios_select_where_names_are_hidden():
+    """The pages with every telling name gone: the ratios alone find most texts as they are with names, nearly all if they are asked for more."""
+    rows = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    bare = lambda h: re.sub(r'\s(class|id|role|aria-[a-z]+)="[^"]*"', "", h)
+    tags = lambda h: re.sub(r"<(/?)(article|main|nav|aside|header|footer|section)\b", r"<\1div", h)
+    texts = [html_text.main_text(h) for h in rows]
+    same = lambda f, **more: np.mean([html_text.main_text(f(h), **more) == t for h, t in zip(rows, texts)])
+    assert same(bare) >= 0.95 and same(tags) >= 0.45 and same(lambda h: tags(bare(h))) >= 0.5
+    assert same(tags, strength=0.75) >= 0.85 and same(lambda h: tags(bare(h)), strength=0.75) >= 0.85
+    assert same(lambda h: tags(bare(h)), strength=0.0) < 0.05, "the ratios decide"
+    for strength in (-0.1, 1.1):
+        with pytest.raises(ValueError):
+            html_text.main_text("<p>x</p>", strength)
+
+
 def test_html_broken_pages_take_linear_time():
     for bad in ("<a " * 350_000, "<svg " * 200_000, '<a "' * 250_000, "<a '" + '<b ">' * 150_000, "<!" * 300_000, "<svg>" + "</svg " * 150_000, "<ul>" + "<section>" * 20_000 + "<li></li>" * 20_000, "<" * 500_000, "<!--" * 250_000):
         began = time.time()
