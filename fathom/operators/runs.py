@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import text
+from fathom.operators import scans
 
 MESSAGES = "array<struct<role:string,content:string>>"
 POINTER = "\n\n[... full text in storage]"  # fixed value: what a cut text ends in
@@ -43,6 +44,15 @@ def hydrated(runs: DataFrame, run: str, **parts: DataFrame) -> DataFrame:
     return runs
 
 
+def placed(parents: DataFrame, key: str, children: DataFrame, order: list[str], long: int | None = None) -> DataFrame:
+    """parents with their children(key, order, ...), a row a child with its `place` from 1; a parent without any has one row of nulls.
+
+    The same as a list a parent, for parents of any number of children: those of more than `long` are numbered in parts.
+    """
+    numbered = scans.with_running(children, key, order, long, place=F.lit(1)).withColumn("place", F.col("place").cast("long"))
+    return parents.join(numbered, key, "left")
+
+
 def overview(runs: DataFrame, session: str, at: str, said: str) -> DataFrame:
     """(session, run_count, first_message, last_activity): the first message that isn't empty."""
     full = F.when(F.coalesce(F.col(said), F.lit("")) != "", F.col(at))

@@ -659,14 +659,13 @@ def run_hydration(t):
     return rows.select("o_orderkey", shown("calls"), shown("cited"))
 
 
-@query("SELECT r_regionkey, r_name, string_agg(s_suppkey, ',' ORDER BY n_nationkey, s_suppkey) AS calls FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2")
+@query("""SELECT r_regionkey, r_name, CASE WHEN call IS NOT NULL THEN row_number() OVER (PARTITION BY r_regionkey ORDER BY nation, call) END AS place, nation, call
+FROM region LEFT JOIN (SELECT n_regionkey AS r_regionkey, n_nationkey AS nation, s_suppkey AS call FROM nation JOIN supplier ON s_nationkey = n_nationkey) USING (r_regionkey)""")
 def parent_call_rollup(t):
-    """Regions are parent runs, nations their child runs, suppliers the calls of a child."""
+    """Regions are parent runs, nations their child runs, suppliers the calls of a child: a row a call, in order over all children of a parent."""
     own = t.nation.select(F.col("n_regionkey").alias("r_regionkey"), F.col("n_nationkey").alias("nation"))
-    calls = t.supplier.select(F.col("s_nationkey").alias("nation"), "s_suppkey").join(own, "nation")
-    listed = calls.select("r_regionkey", F.struct("nation", "s_suppkey").alias("order"), F.col("s_suppkey").alias("value"))
-    rows = runs.hydrated(t.region.select("r_regionkey", "r_name"), "r_regionkey", calls=listed)
-    return rows.select("r_regionkey", "r_name", F.nullif(F.array_join(F.transform("calls", lambda x: x.cast("string")), ","), F.lit("")).alias("calls"))
+    calls = t.supplier.select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("call")).join(own, "nation")
+    return runs.placed(t.region.select("r_regionkey", "r_name"), "r_regionkey", calls, ["nation", "call"]).select("r_regionkey", "r_name", "place", "nation", "call")
 
 
 @query("SELECT conv_id, count(*) AS run_count, min_by(text, turn) FILTER (WHERE text <> '') AS first_message, max(turn) AS last_activity FROM conversations WHERE role = 'user' GROUP BY 1")
@@ -772,12 +771,14 @@ def node_children(t):
     return listings.children_of(nodes, "tree", "node", "parent_id").drop("tree")
 
 
-@query("SELECT n_nationkey, n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS sources, (SELECT string_agg(s_name, ',' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS names FROM nation")
+@query("""SELECT n_nationkey, n_name, count(s_suppkey) OVER (PARTITION BY n_nationkey) AS sources, CASE WHEN s_suppkey IS NOT NULL THEN row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) END AS place, s_name AS source
+FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey""")
 def agent_kb_overview(t):
-    """Nations are knowledge bases, their suppliers the indexed sources."""
-    held = t.supplier.select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("order"), F.col("s_name").alias("value"))
-    rows = runs.hydrated(t.nation.select("n_nationkey", "n_name"), "n_nationkey", names=held)
-    return rows.select("n_nationkey", "n_name", F.size("names").cast("long").alias("sources"), F.nullif(F.array_join("names", ","), F.lit("")).alias("names"))
+    """Nations are knowledge bases, their suppliers the indexed sources: a row a source, with the number of them."""
+    held = t.supplier.select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey", F.col("s_name").alias("source"))
+    counts = held.groupBy("n_nationkey").agg(F.count("*").alias("sources"))
+    rows = runs.placed(t.nation.select("n_nationkey", "n_name").join(counts, "n_nationkey", "left"), "n_nationkey", held, ["s_suppkey"])
+    return rows.select("n_nationkey", "n_name", F.coalesce("sources", F.lit(0)).cast("long").alias("sources"), "place", "source")
 
 
 @query("SELECT n_nationkey, (SELECT max(o_orderdate) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = n_nationkey) AS last_activity FROM nation")
