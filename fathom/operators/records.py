@@ -75,3 +75,19 @@ def needed_pages(items: DataFrame, source: str, pages: str) -> DataFrame:
     """(source, all_pages, pages): an item without pages asks for all of its source; pages are distinct and sorted."""
     shown = items.select(source, F.explode_outer(F.when(F.size(pages) > 0, F.col(pages))).alias("page"))
     return shown.groupBy(source).agg(F.bool_or(F.col("page").isNull()).alias("all_pages"), F.array_sort(F.collect_set("page")).alias("pages"))
+
+
+def request_violations(entries: DataFrame, request: str, position: str, most: int = 10) -> DataFrame:
+    """(request, position, problem): the first problem of each request that has one, of entries(request, position, id, top_k, similarity_threshold).
+
+    Too many entries count for the whole request, at position -1; then, by position, no id, an id that stood earlier, top_k not 1 to 100, a threshold not
+    0 to 1. Nulls of the last two are left to their defaults. All counts are reduced before the shuffle; an entry meets its id's first place by a join.
+    """
+    firsts = entries.where(F.col("id").isNotNull()).groupBy(request, "id").agg(F.min(position).alias("_first"))
+    sizes = entries.groupBy(request).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    met = entries.join(firsts, [request, "id"], "left")
+    problem = F.when(F.col("id").isNull(), "no id").when(F.col(position) > F.col("_first"), "id twice").when(~F.col("top_k").between(1, 100), "top_k").when(~F.col("similarity_threshold").between(0, 1), "threshold")
+    each = met.select(request, F.col(position).cast("long").alias("position"), problem.alias("problem")).where("problem is not null")
+    whole = sizes.select(request, F.lit(-1).cast("long").alias("position"), F.lit("too many").alias("problem"))
+    first = each.unionByName(whole).groupBy(request).agg(F.min(F.struct("position", "problem")).alias("_p"))
+    return first.select(request, "_p.position", "_p.problem")

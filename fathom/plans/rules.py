@@ -276,3 +276,14 @@ def chunk_markdown(t):
     plain = t.documents.where((F.length("text") > 0) & ~F.col("text").rlike(r"(?m)^#{1,6}[ \t]"))
     body = F.concat(F.lit("\n# A\n"), "text", F.lit("\n## B "), "lang", F.lit("\n"), F.left("text", F.lit(30)))
     return structure.header_chunks(plain.select("doc_id", body.alias("text")), "doc_id", "text")
+
+
+@query("""WITH e AS (SELECT l_orderkey AS request, l_linenumber AS position, nullif(l_suppkey % 9, 0) AS id, CAST(l_quantity * 3 - 6 AS INTEGER) AS top_k, l_discount * 11 AS threshold FROM lineitem),
+p AS (SELECT request, position, CASE WHEN id IS NULL THEN 'no id' WHEN position > min(position) OVER (PARTITION BY request, id) THEN 'id twice' WHEN top_k < 1 OR top_k > 100 THEN 'top_k'
+  WHEN threshold < 0 OR threshold > 1 THEN 'threshold' END AS problem FROM e
+  UNION ALL SELECT request, -1, 'too many' FROM e GROUP BY 1 HAVING count(*) > 6)
+SELECT request, CAST(m.position AS BIGINT) AS position, m.problem AS problem FROM (SELECT request, min({'position': position, 'problem': problem}) AS m FROM p WHERE problem IS NOT NULL GROUP BY 1)""")
+def request_violations(t):
+    """Orders are requests, their lines the knowledge bases that they name."""
+    rows = t.lineitem.select(F.col("l_orderkey").alias("request"), F.col("l_linenumber").alias("position"), F.nullif(F.col("l_suppkey") % 9, F.lit(0)).alias("id"), (F.col("l_quantity") * 3 - 6).cast("int").alias("top_k"), (F.col("l_discount") * 11).alias("similarity_threshold"))
+    return records.request_violations(rows, "request", "position", 6)

@@ -39,6 +39,13 @@ def extraction_dispatch(t):
     return rows.select("source_id", "kind", F.length("text").cast("long").alias("n"))
 
 
+@query()
+def page_files(t):
+    """Pages as uploaded files: the text that each shows, by the extractor of their type. No SQL: HTML is read by a parser."""
+    raw = t.pages.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.length("html").cast("long").alias("length"), F.encode("html", "UTF-8").alias("content"))
+    return tables.extracted_files(raw).select("path", "kind", "text", "error")
+
+
 @query("SELECT doc_id AS source_id, CAST(i AS INTEGER) AS page, string_split(text, chr(10))[i] AS text FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)")
 def page_texts(t):
     """A line of a document is one of its pages."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fathom.functions import office
 from fathom.operators import state, structure
 from fathom.operators.metadata import MetadataTable
+from fathom.plans import queries
 from fathom.sources import tables
 from fathom.streaming import events
 
@@ -74,6 +75,12 @@ def test_files_of_a_batch_and_a_stream(spark, folder, tmp_path):
     assert seen(ticks.rows()) == got and ticks.rows().count() == len(FILES) and ticks.log.version() == 3
 
 
+def test_pages_as_files(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {r.path: (r.kind, r.text, r.error) for r in queries.queries()["page_files"](spark, folder).collect()}
+    assert got == {f"{r.page_id}.html": ("text", office.html_text(r.html.encode()), None) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+
+
 def test_a_part_that_unpacks_to_too_much_is_refused(monkeypatch):
     monkeypatch.setattr(office, "LARGEST", 10)
     assert office.extracted(tables.MIME_TYPES["docx"], DOCX)[2].startswith("ValueError: word/document.xml is larger")
