@@ -187,5 +187,53 @@ SELECT doc_id, n_features, weight, score, CASE WHEN among AND place <= 25 * n //
 """
 
 
+#: The cheapest edits by a recursion from the last row to the first over four states, with the audits and texts themselves: the least (cost, audit) of each.
+OP12_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]),
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS tab),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    hex(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS h FROM conversations),
+hit AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+      lambda c, b: xor(c // 256, tab[1 + xor(c, b) % 256]))) % 20 AS d FROM named, steps),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hit WHERE d <> 0),
+told AS (
+  SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, copy), 1) || left(role, 1) AS pair FROM hurt),
+marked AS (SELECT *, bare = '' AS blank, right(bare, 1) NOT IN ('.', '!', '?') AS cut FROM told),
+figures AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut AND NOT again AND NOT blank) AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id),
+convs AS (SELECT c.conv_id, coalesce(n, 0) AS n FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id),
+-- by state (0 nothing yet, 1 after s, 2 after u, 3 after a), what is put in or reroled to, and the state after
+nexts(s, t, name) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+ends(s, b) AS (VALUES (0, {'c': 0, 'a': '', 't': []::VARCHAR[]}), (1, {'c': 6, 'a': 'II', 't': ['user:', 'assistant:']}), (2, {'c': 3, 'a': 'I', 't': ['assistant:']}), (3, {'c': 0, 'a': '', 't': []::VARCHAR[]})),
+plain(s, op, t, name, initial, cost) AS (
+  SELECT s, 'D', s, '', '', 4 FROM nexts UNION ALL SELECT s, 'R', t, name, '', 3 FROM nexts
+  UNION ALL SELECT s, 'K', t, '', left(name, 1), 0 FROM nexts UNION ALL SELECT 0, 'K', 1, '', 's', 0),
+moves AS (
+  SELECT s, op, t, name, initial, cost, op AS a, []::VARCHAR[] AS pre FROM plain
+  UNION ALL SELECT x.s, op, p.t, p.name, initial, cost + 3, 'I' || op, [x.name || ':'] FROM nexts x JOIN plain p ON p.s = x.t),
+best AS (
+  SELECT conv_id, n AS i, s, b FROM convs, ends
+  UNION ALL
+  SELECT r.conv_id, r.i - 1, m.s, min({'c': best.b.c + m.cost + CASE WHEN m.op <> 'D' AND r.cut THEN 3 ELSE 0 END, 'a': m.a || best.b.a,
+      't': m.pre || CASE m.op WHEN 'D' THEN [] WHEN 'K' THEN [r.role || ':' || r.text] ELSE [m.name || ':' || r.text] END || best.b.t})
+  FROM best JOIN marked r ON r.conv_id IS NOT DISTINCT FROM best.conv_id AND r.i = best.i JOIN moves m ON m.t = best.s
+  WHERE (m.op = 'D' OR NOT (r.blank OR r.again)) AND (m.op <> 'K' OR left(r.role, 1) = m.initial) GROUP BY r.conv_id, r.i, m.s)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(b.b.c AS BIGINT) AS cost, b.b.a AS audit, sha256(array_to_string(b.b.t, chr(10))) AS repaired_sha256
+FROM best b LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM b.conv_id WHERE b.i = 0 AND b.s = 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op4_url_filters": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_importance_resampling": OP11_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op4_url_filters": OP4_SQL, "op10_line_dedup": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op12_conversation_repair": OP12_SQL}

@@ -7,12 +7,11 @@ import re
 import zlib
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pytest
 import xxhash
 
-from fathom.llm import queries, resampling
+from fathom.llm import resampling
 
 HOSTILE = "doc_id long, text string, score string, rank string, _weight int, n string, row string, item_id int"
 
@@ -96,14 +95,3 @@ def test_table_keeps_different_bytes_apart(keys):
     counts = Counter(words)
     for w, s in slot.items():
         assert table.bucket[s] == zlib.crc32(w) % 997 and table.count[s] == counts[w]
-
-
-def test_equals_sql(spark):
-    folder = "/root/testdata/sf0.001"
-    db = duckdb.connect()
-    for n in ("documents", "benchmark"):
-        db.execute(f"create view {n} as select * from read_parquet('{folder}/{n}.parquet')")
-    asked = db.execute(queries.OP11_SQL)
-    names = [d[0] for d in asked.description]
-    got = queries.queries()["op11_importance_resampling"](spark, folder).select(*names)
-    assert sorted(map(tuple, got.collect())) == sorted(asked.fetchall())

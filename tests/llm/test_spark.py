@@ -497,7 +497,7 @@ def test_toxicity_edges(spark, docs, none):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(spark, name):
     folder, db = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         db.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
     asked = db.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in asked.description]
