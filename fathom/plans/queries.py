@@ -171,10 +171,14 @@ def failed_first(t):
     return t.events.orderBy(F.desc(F.col("event_type") == "error"), F.desc("ts"), "event_id").limit(100).select("event_id", "event_type")
 
 
-@query("SELECT 'document' AS kind, doc_id AS item_id, length(text) AS n FROM documents UNION ALL SELECT 'benchmark', item_id, length(text) FROM benchmark UNION ALL SELECT 'page', page_id, length(html) FROM pages")
+@query("""SELECT 'document' AS kind, doc_id AS item_id, length(text) AS n FROM documents UNION ALL SELECT 'benchmark', item_id, length(text) FROM benchmark UNION ALL SELECT 'page', page_id, length(html) FROM pages
+UNION ALL SELECT 'message', conv_id * 1000 + turn, length(text) FROM conversations UNION ALL SELECT 'customer', c_custkey, length(c_name) FROM customer""")
 def content_union(t):
-    part = lambda rows, kind, item, body: rows.select(F.lit(kind).alias("kind"), F.col(item).alias("item_id"), F.length(body).cast("long").alias("n"))
-    return part(t.documents, "document", "doc_id", "text").unionByName(part(t.benchmark, "benchmark", "item_id", "text")).unionByName(part(t.pages, "page", "page_id", "html"))
+    """Five tables of content, each with a text column of its own name."""
+    part = lambda rows, kind, item, body: rows.select(F.lit(kind).alias("kind"), item.alias("item_id"), F.length(body).cast("long").alias("n"))
+    message = F.col("conv_id") * 1000 + F.col("turn")
+    out = part(t.documents, "document", F.col("doc_id"), "text").unionByName(part(t.benchmark, "benchmark", F.col("item_id"), "text")).unionByName(part(t.pages, "page", F.col("page_id"), "html"))
+    return out.unionByName(part(t.conversations, "message", message, "text")).unionByName(part(t.customer, "customer", F.col("c_custkey"), "c_name"))
 
 
 @query("SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 500")
@@ -592,7 +596,7 @@ def query_context(t):
 
 
 @query(r"""WITH h AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)//', 1) AS scheme, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
-  replace(trim(unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#]+)', 1))), '&amp;', '&') AS href FROM pages),
+  replace(trim(regexp_replace(unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*(?:["''][^"''#]+|[^\s"''>#]+)', 0)), '(?is)^.*?href\s*=\s*["'']?', '')), '&amp;', '&') AS href FROM pages),
 w AS (SELECT page_id, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN host = '' THEN NULL WHEN starts_with(href, '//') THEN scheme || href
   WHEN starts_with(href, '/') THEN scheme || '//' || host || href
   WHEN starts_with(href, '?') THEN scheme || '//' || host || CASE WHEN path = '' THEN '/' ELSE path END || href

@@ -150,9 +150,10 @@ def absolute_url(base: Column, href: Column) -> Column:
 
 
 def links(pages: DataFrame, most: int | None = None) -> DataFrame:
-    """(page_id, position, link): targets of <a href>, resolved against the page's url and normalized, http and https only, each once, in page order."""
-    raw = F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"'#]+)"), F.lit(1))
-    whole = F.transform(raw, lambda h: normalized_url(absolute_url(F.col("url"), F.replace(F.trim(h), F.lit("&amp;"), F.lit("&")))))
+    """(page_id, position, link): targets of <a href>, in quotes or without, resolved against the page's url and normalized, http and https only, each once, in page order."""
+    raw = F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*?href\s*=\s*(?:[\"'][^\"'#]+|[^\s\"'>#]+)"), F.lit(0))
+    bare = lambda h: F.trim(F.regexp_replace(h, r"(?is)^.*?href\s*=\s*[\"']?", ""))
+    whole = F.transform(raw, lambda h: normalized_url(absolute_url(F.col("url"), F.replace(bare(h), F.lit("&amp;"), F.lit("&")))))
     found = F.array_distinct(F.filter(whole, lambda u: u.rlike("^(?i:https?)://[^/]")))
     if most is not None:
         found = F.slice(found, 1, most)

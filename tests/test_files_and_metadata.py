@@ -135,3 +135,10 @@ def test_headings_in_code_are_no_headings(spark):
     text = "intro\n# One\n```py\n# comment\n## more\n```\ntail\n## Two\n~~~\n```\n# open fence"
     got = structure.header_chunks(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").orderBy("section").collect()
     assert [(r.heading, r.text) for r in got] == [(None, "intro\n"), ("One", "# One\n```py\n# comment\n## more\n```\ntail\n"), ("Two", "## Two\n~~~\n```\n# open fence")]
+
+
+def test_links_without_quotes(spark):
+    html = "<a href=u.html>1</a><A class=k href = /v?x=1#top>2</A><a href='#x'>3</a><a href=>4</a><a data-x=1 href=\"w\">5</a>"
+    page = spark.createDataFrame([(1, "http://x.org/a/c.html", html), (2, None, None)], "page_id long, url string, html string")
+    got = [(r.page_id, r.position, r.link) for r in tables.links(page).collect()]
+    assert got == [(1, 0, "http://x.org/a/u.html"), (1, 1, "http://x.org/v?x=1"), (1, 2, "http://x.org/a/w")]
