@@ -92,8 +92,8 @@ class VectorIndex:
             unit = np.array(sample.to_pylist(), float)
             centers = centroids_of(unit / np.linalg.norm(unit, axis=1, keepdims=True), k)
             path, radius, held = self._cells(own, centers)
-            parts[str(dims)] = {"centers": centers.tolist(), "segments": [{"path": path, "radius": radius, "rows": held}]}
-        return self.log.commit(lambda old: {"parts": parts})[0]
+            parts[str(dims)] = {"centers": centers.tolist(), "segments": [{"path": path, "radius": radius, "rows": held, "seq": 0}]}
+        return self.log.commit(lambda old: {"parts": parts, "seq": 0, "gone": []})[0]
 
     def add(self, rows: DataFrame) -> int:
         """Put more rows into the cells there are; gives the version. Lengths that the index lacks need a build."""
@@ -110,10 +110,20 @@ class VectorIndex:
         def change(old: dict) -> dict | None:
             if any(old["parts"][d]["centers"] != parts[d]["centers"] for d in new):
                 raise ValueError("the index was built anew meanwhile")
-            return {"parts": {d: p | {"segments": [*p["segments"], *([new[d]] if d in new else [])]} for d, p in old["parts"].items()}} if new else None
+            if not new:
+                return None
+            seq = old["seq"] + 1
+            grown = {d: p | {"segments": [*p["segments"], *([new[d] | {"seq": seq}] if d in new else [])]} for d, p in old["parts"].items()}
+            return old | {"parts": grown, "seq": seq}
 
         return self.log.commit(change)[0]
 
+    def remove(self, items: DataFrame) -> int:
+        """Rows of items(item) are gone, until they are added again; gives the version. Their cells are not written anew, a build leaves them out."""
+        path = self.log.fresh("gone")
+        items.select("item").distinct().write.parquet(path)
+        return self.log.commit(lambda old: old | {"seq": old["seq"] + 1, "gone": [*old["gone"], {"path": path, "seq": old["seq"] + 1}]})[0]
+
     def search(self, query: list[float], k: int, probes: int | None = None, where: Column | None = None, threshold: float | None = None) -> DataFrame:
         """The k rows of the greatest cosine similarity `score`, ties to the lesser item, with their columns; those that fail `where` never count.
 
@@ -131,23 +141,27 @@ class VectorIndex:
         order = [int(c) for c in np.argsort(-reach if probes is None else angle, kind="stable") if rows[c]]
         best, done, step = [], 0, probes or FIRST
         while done < len(order):
-            best = self._best(part, order[done : done + step], best, query, k, where, threshold)
+            best = self._best((part, state["gone"]), order[done : done + step], best, query, k, where, threshold)
             done += step
             step = done  # twice as many in all
             if len(best) == k and (probes is not None or max((reach[c] for c in order[done:]), default=-1) < best[-1]["score"] - ROUNDING):
                 break
         return self._result(best, state)
 
-    def _rows(self, part: dict) -> DataFrame:
-        found = [self.spark.read.parquet(s["path"]) for s in part["segments"] if any(s["rows"])]
+    def _rows(self, part: dict, gone: list[dict]) -> DataFrame:
+        """Rows that no later removal has taken."""
+        found = [self.spark.read.parquet(s["path"]).withColumn("_seq", F.lit(s["seq"])) for s in part["segments"] if any(s["rows"])]
         out = found[0]
         for f in found[1:]:
             out = out.unionByName(f)
-        return out
+        for g in gone:
+            dead = self.spark.read.parquet(g["path"]).withColumn("_dead", F.lit(g["seq"]))
+            out = out.join(dead, "item", "left").where(F.col("_dead").isNull() | (F.col("_seq") > F.col("_dead"))).drop("_dead")
+        return out.drop("_seq")
 
-    def _best(self, part: dict, cells: list[int], best: list, query: list[float], k: int, where: Column | None, threshold: float | None) -> list:
+    def _best(self, held: tuple[dict, list[dict]], cells: list[int], best: list, query: list[float], k: int, where: Column | None, threshold: float | None) -> list:
         """The k best of what was found and the rows of some cells, by one pass over these with a top-k a task."""
-        rows = self._rows(part).where(F.col("cell").isin(cells))
+        rows = self._rows(*held).where(F.col("cell").isin(cells))
         scored = retrieval.vector_scores(rows if where is None else rows.where(where), vectors.literal(query))
         found = retrieval.top(scored.drop("cell", "angle"), "item", k, threshold).collect()
         return sorted([*best, *found], key=lambda r: (-r["score"], r["item"]))[:k]
@@ -156,7 +170,7 @@ class VectorIndex:
         parts = [p for p in state.get("parts", {}).values() if any(any(s["rows"]) for s in p["segments"])]
         if not parts:
             return self.spark.createDataFrame([], "item long, embedding array<double>, score double")
-        shown = self._rows(parts[0]).drop("cell", "angle").withColumn("score", F.lit(0.0))
+        shown = self._rows(parts[0], []).drop("cell", "angle").withColumn("score", F.lit(0.0))
         return self.spark.createDataFrame(best, shown.schema)
 
 

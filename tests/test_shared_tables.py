@@ -80,6 +80,12 @@ def test_rows_added_later(spark, tmp_path):
     held.add(spark.createDataFrame(rows[200:304], SCHEMA))
     assert held.add(spark.createDataFrame(rows[300:304], SCHEMA)) == held.log.version()
     assert [i for i, _ in told(held.search(rows[250][1], 8))] == [i for i, _ in brute(rows, rows[250][1], 8)]
+    best = [i for i, _ in brute(rows, rows[250][1], 8)]
+    held.remove(spark.createDataFrame([(best[0],), (best[2],), (77777,)], "item long"))
+    left = [r for r in rows if r[0] not in (best[0], best[2])]
+    assert [i for i, _ in told(held.search(rows[250][1], 8))] == [i for i, _ in brute(left, rows[250][1], 8)]
+    held.add(spark.createDataFrame([r for r in rows if r[0] == best[0]], SCHEMA))
+    assert [i for i, _ in told(held.search(rows[250][1], 8))] == [i for i, _ in brute([*left, *[r for r in rows if r[0] == best[0]]], rows[250][1], 8)]
     with pytest.raises(ValueError, match="no centroids"):
         held.add(spark.createDataFrame([(1, [1.0, 2.0, 3.0], "x")], SCHEMA))
 
