@@ -113,18 +113,40 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _encoded(path: str):
-    """Rows (word, ...) in order of the word to (..., word, ids): a word is encoded when it is first met."""
+#: Between a word and its ids; no byte of UTF-8.
+END = b"\xff"
+
+
+def _entries(path: str):
+    """Rows (key, word) in order of the word to (key, entry), an entry being the word and its ids in as few bytes as the vocabulary's size allows: a
+    word is encoded when it is first met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, last, ids = ranks(path), None, b""
+        rank, last, entry = ranks(path), None, b""
+        width = _width(rank)
         for batch in batches:
             found = []
             for word in batch.column("word").to_pylist():
                 if word != last:
-                    last, ids = word, packed(word, rank)
-                found.append(ids)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "ids"])
+                    last, plain = word, word.encode("utf-8", "surrogatepass")
+                    entry = plain + END + np.array(merged(plain, rank), width).tobytes()
+                found.append(entry)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], names=["key", "entry"])
+
+    return run
+
+
+def _width(rank: dict[bytes, int]) -> str:
+    return "<u2" if max(rank.values(), default=0) < 1 << 16 else "<u4"
+
+
+def _encoded(path: str):
+    """Rows (word) to (word, ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = ranks(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([packed(w, rank) for w in batch.column("word").to_pylist()], pa.binary())], names=["word", "ids"])
 
     return run
 
@@ -169,19 +191,21 @@ def _joined(docs: DataFrame, path: str, frequent: int) -> tuple[DataFrame, objec
     texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = spark.sparkContext.broadcast(frequent_words(texts.select("key", "text"), path, frequent))
     rare = texts.select("key", "text").mapInArrow(_rare(known), "key long, word string")
-    met = rare.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path), "key long, word string, ids binary")
-    of_text = met.groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("rare"))  # no more than the text itself
+    met = rare.repartition("word").sortWithinPartitions("word").mapInArrow(_entries(path), "key long, entry binary")
+    of_text = met.groupBy("key").agg(F.collect_set("entry").alias("rare"))  # no more than the text itself
     whole = texts.mapInArrow(_small, "key long, doc_id long, text binary")
     return whole.join(of_text, "key", "left").select("doc_id", "text", "rare"), known
 
 
-def _assembled(known):
+def _assembled(known, path: str):
     """Batches of _joined to the packed ids of each text: each position takes the ids of its word."""
 
     def run(batch: pa.RecordBatch) -> Iterator[bytes]:
-        table, whole = known.value, zstandard.ZstdDecompressor().decompress
+        table, whole, width = known.value, zstandard.ZstdDecompressor().decompress, _width(ranks(path))
         for text, rare in zip(batch.column("text"), batch.column("rare").to_pylist()):
-            own = {x["word"]: x["ids"] for x in rare or ()}
+            own = {}
+            for word, _, ids in (x.partition(END) for x in rare or ()):
+                own[word.decode("utf-8", "surrogatepass")] = np.frombuffer(ids, width).astype("<u4").tobytes()
             words = split_words(whole(text.as_py()).decode("utf-8", "surrogatepass"))
             yield b"".join([x or own[w] for x, w in zip(map(table.get, words), words)])
 
@@ -205,7 +229,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT)
     """
 
     joined, known = _joined(docs, vocabulary, frequent)
-    assembled = _assembled(known)
+    assembled = _assembled(known, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +264,7 @@ def round_trip(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT) -> Da
     """
     table = _shared_table(docs.sparkSession, vocabulary)
     joined, known = _joined(docs, vocabulary, frequent)
-    assembled = _assembled(known)
+    assembled = _assembled(known, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = table.value.__getitem__
