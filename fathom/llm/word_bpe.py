@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .bpe import split_words
 from .common import ship
 
-#: Frequent words that every task holds, of at most WORD_BYTES bytes each: 600,000 are about 120 MB in a task.
-FREQUENT, WORD_BYTES = 600_000, 64
+#: Frequent words that every task holds, of at most WORD_BYTES bytes each: a million are about 200 MB in a task.
+FREQUENT, WORD_BYTES = 1_000_000, 64
 #: One row in so many tells which words are frequent.
 SHARE = 8
 #: Distinct words that a task counts before it gives them on.
@@ -177,7 +177,7 @@ def _rare(known) -> object:
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, doc_id, text) with the text compressed."""
-    small = zstandard.ZstdCompressor(level=3).compress
+    small = zstandard.ZstdCompressor(level=6).compress
     for batch in batches:
         texts = [small((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(texts, pa.binary())], names=["key", "doc_id", "text"])
