@@ -90,10 +90,10 @@ class SegmentedIndex:
 
     # -- changing ------------------------------------------------------------------
 
-    def _written(self, rows: DataFrame) -> tuple[str, int]:
+    def _written(self, rows: DataFrame, parts: int) -> tuple[str, int]:
         """Postings in a folder of their own, and their items."""
         path = self.log.fresh("segment")
-        sparse.write_postings(rows, path)
+        sparse.write_postings(rows, path, parts)
         return path, self._marks(path).count()
 
     def _counted(self, items: DataFrame, sign: int = 1) -> str:
@@ -110,8 +110,9 @@ class SegmentedIndex:
         """The index, of these documents if there is none yet. Where several build it at once one of them counts, and the others' files go."""
         if not self.log.version():
             rows = sparse.postings(docs, item, body, kb, self.stemmer, self.stop_words).withColumn("item", F.col("item").cast(self.item))
-            path, n = self._written(rows)
-            state = {"seq": 1, "segments": [{"path": path, "seq": 1, "items": n}]}
+            parts = sparse.parts_of(docs, body)
+            path, n = self._written(rows, parts)
+            state = {"seq": 1, "segments": [{"path": path, "seq": 1, "items": n, "parts": parts}]}
             state["changes"] = [{"totals": self._counted(self._items(state))}]
             if not self.log.put(1, self._stamped(state)):
                 self.log.delete(path)
@@ -120,7 +121,8 @@ class SegmentedIndex:
     def add(self, docs: DataFrame, item: str, body: str | Column, kb: str | None = None) -> int:
         """Add documents; those whose item is in the index take its place. An item is in docs once. Gives the version."""
         rows = sparse.postings(docs, item, body, kb, self.stemmer, self.stop_words).withColumn("item", F.col("item").cast(self.item))
-        path, n = self._written(rows)
+        parts = sparse.parts_of(docs, body)
+        path, n = self._written(rows, parts)
         if not n:
             self.log.delete(path)
             return self.log.version()
@@ -130,7 +132,7 @@ class SegmentedIndex:
             seq = old.get("seq", 0) + 1
             gone = self._removed(old, new.select("item"), seq - 1) if old.get("segments") else {}
             changes = [*old.get("changes", []), *gone.get("changes", []), {"totals": self._counted(new)}]
-            segments = [*old.get("segments", []), {"path": path, "seq": seq, "items": n}]
+            segments = [*old.get("segments", []), {"path": path, "seq": seq, "items": n, "parts": parts}]
             return self._stamped(old | {"seq": seq, "segments": segments, "tombstones": gone.get("tombstones", old.get("tombstones", [])), "dead": old.get("dead", 0) + gone.get("n", 0), "changes": changes})
 
         at, state = self.log.commit(change)
@@ -181,10 +183,11 @@ class SegmentedIndex:
             due = old.get("segments", []) if everything else self._due(old)
             if not due:
                 return None
-            part = self._live(old | {"segments": due})
-            path, n = self._written(part)
+            live = self._live(old | {"segments": due})
+            parts = sum(s.get("parts", 1) for s in due)
+            path, n = self._written(live, parts)
             rest = [s for s in old["segments"] if s not in due]
-            new = [{"path": path, "seq": old["seq"], "items": n}] if n else []  # all of it is live as of now
+            new = [{"path": path, "seq": old["seq"], "items": n, "parts": parts}] if n else []  # all of it is live as of now
             least = min((s["seq"] for s in rest), default=math.inf)
             kept = [t for t in old.get("tombstones", []) if t["seq"] >= least]  # the others hide nothing that is left
             changes = [{"totals": self._counted(self._items(old))}]

@@ -6,6 +6,7 @@ building. A folder without totals is no index. A search reads the buckets of its
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -19,6 +20,8 @@ from fathom.session import ship
 
 #: Buckets of terms on disk.
 BUCKETS = 64
+#: Bytes of text whose postings are one part of each bucket: about a million postings a task.
+PART_BYTES = 1 << 29
 
 
 def _bucket(term: Column) -> Column:
@@ -42,21 +45,35 @@ class Index:
 def postings(docs: DataFrame, item: str, body: str | Column, kb: str | None = None, stemmer: str | None = None, stop_words: list[str] | None = None) -> DataFrame:
     """One row for a term of an item of docs, and one with the empty term for each item. Null texts have no tokens.
 
-    With stop_words terms are words of two characters or more that are none of them; with a stemmer they are stems, told once a word of an item.
+    With stop_words terms are words of two characters or more that are none of them; with a stemmer they are stems. Terms are counted where their text is
+    read, so that neither words nor postings are shuffled for it; only if an item has several rows do their postings meet.
     """
     body = F.col(body) if isinstance(body, str) else body
     base = F.col(kb).cast("string") if kb else F.lit("")
     found = text.tokens(body) if stop_words is None else text.search_tokens(body, stop_words, None)
-    words = docs.select(base.alias("kb"), F.col(item).alias("item"), F.coalesce(found, F.array().cast("array<string>")).alias("w"))
-    shown = words.select("kb", "item", F.size("w").cast("long").alias("n"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
-    counted = shown.groupBy("kb", "item", "term", "n").agg(F.count("*").alias("tf"))
     if stemmer:
         ship(docs.sparkSession)
-        stems = counted.withColumn("term", stem.stemmed(F.col("term"), stemmer))
-        counted = stems.groupBy("kb", "item", "term", "n").agg(F.sum("tf").alias("tf"))
+        found = stem.stemmed_all(found, stemmer)
+    sorted_ = F.sort_array(F.coalesce(found, F.array().cast("array<string>")))
+    words = docs.select(base.alias("kb"), F.col(item).alias("item"), sorted_.alias("w"))
+    w, size = F.col("w"), F.size("w")
+    first = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))  # where the runs of a word start
+    runs = words.withColumn("at", F.when(size > 0, first).otherwise(F.array().cast("array<int>")))
+    at = F.col("at")
+    terms = F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, k + 1), size) - i).cast("long").alias("tf")))
+    marked = F.concat(terms, F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf"))))
+    counted = runs.select("kb", "item", size.cast("long").alias("n"), F.inline(marked))
+    if not docs.groupBy(F.col(item)).count().where("count > 1").isEmpty():
+        counted = counted.groupBy("kb", "item", "term", "n").agg(F.sum("tf").alias("tf"))
     return counted.select(_bucket(F.col("term")).alias("bucket"), "kb", "term", "item", "tf", "n")
 
 
+def parts_of(docs: DataFrame, body: str | Column) -> int:
+    """In how many parts the buckets of docs are written, so that a task's share stays the same whatever the size of docs."""
+    body = F.col(body) if isinstance(body, str) else body
+    return max(1, math.ceil((docs.agg(F.sum(F.octet_length(body))).first()[0] or 0) / PART_BYTES))
+
+
 def query_terms(words: str, stemmer: str | None = None, stop_words: list[str] | None = None) -> list[str]:
     """Distinct terms of a query, in order, as postings has them."""
     found = regex.findall(text.WORDS, words.lower())
@@ -76,19 +93,19 @@ def index_of(rows: DataFrame) -> Index:
     return Index(rows, totals(rows))
 
 
-def write_postings(rows: DataFrame, path: str) -> None:
+def write_postings(rows: DataFrame, path: str, parts: int = 1) -> None:
     """Terms of one bucket lie together and sorted, so that row-group statistics narrow a search.
 
-    Beyond BUCKETS tasks a bucket is written in parts, so that a frequent term is no one task.
+    A bucket is written in so many parts, dealt by item, so that a frequent term is no one task and a task sorts no more than memory holds.
     """
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.xxhash64("item"), F.lit(max(1, tasks // BUCKETS)))
-    rows.repartition(tasks, "bucket", part).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    part = F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int")
+    dealt = rows.repartitionById(BUCKETS * parts, F.col("bucket") * parts + part)
+    dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def store(rows: DataFrame, path: str, built_at: Column | None = None) -> Index:
+def store(rows: DataFrame, path: str, built_at: Column | None = None, parts: int = 1) -> Index:
     """Write postings, then the totals that make them an index."""
-    write_postings(rows, f"{path}/postings")
+    write_postings(rows, f"{path}/postings", parts)
     spark = rows.sparkSession
     totals(spark.read.parquet(f"{path}/postings"), built_at).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
     return load(spark, path)

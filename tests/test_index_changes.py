@@ -148,3 +148,39 @@ def test_builders_at_once_agree(spark, tmp_path):
     [t.join() for t in threads]
     assert indexes[0].log.version() == 1 and sums(indexes[0].open()) == [("", 5, 10)]
     assert len([p for p in (tmp_path / "b").iterdir() if p.name.startswith("segment")]) == 1
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+@pytest.mark.parametrize("stemmer, stop", [(None, None), ("english", ["the"])])
+def test_postings_are_counted_where_texts_are_read(spark, repeated, stemmer, stop):
+    """No word is shuffled to be counted; the rows of one item meet, as far as they have one base and length."""
+    rows = [(1, "a", "The fox, the Fox and foxes"), (2, "a", None), (3, None, ""), (4, "b", "x"), (None, "b", "fox Straße ÄÖ ÄÖ")]
+    rows += [(1, "a", "A fox is the six word fox")] * 2 if repeated else []
+    docs = spark.createDataFrame(rows, "id long, kb string, body string")
+    found = sparse.postings(docs, "id", "body", "kb", stemmer, stop)
+    want = {}
+    for item, kb, body in rows:
+        terms = sparse.regex.findall(text.WORDS, (body or "").lower())
+        terms = terms if stop is None else [stem.english(w) for w in terms if len(w) > 1 and w not in stop]
+        for term in [*terms, ""]:
+            key = (kb, item, term, len(terms))
+            want[key] = want.get(key, 0) + 1
+    got = found.collect()
+    assert {(r.kb, r.item, r.term, r.n): r.tf for r in got} == want and len(got) == len(want)
+    assert all(r.bucket == sparse.bucket_of(r.term) for r in got)
+    assert repeated or "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_of_an_index_keep_their_size(spark, tmp_path, monkeypatch):
+    """Larger texts are written in more parts of each bucket, none of which holds all of a term; a merge keeps the parts."""
+    docs = spark.range(400).selectExpr("id", "concat('fox ', id) t")
+    monkeypatch.setattr(sparse, "PART_BYTES", 1000)
+    assert sparse.parts_of(docs, "t") == 3 and sparse.parts_of(docs.where("false"), "t") == 1
+    index = segments.SegmentedIndex(spark, str(tmp_path))
+    index.build(docs, "id", "t")
+    index.merge(everything=True)
+    state = index.log.state()[1]
+    assert [s["parts"] for s in state["segments"]] == [3]
+    fox = index.open().postings.where("term = 'fox'")
+    files = fox.groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(files) == 3 and sum(f["count"] for f in files) == 400 and max(f["count"] for f in files) < 200
