@@ -7,9 +7,13 @@ building. A folder without totals is no index. A search reads the buckets of its
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +26,8 @@ from fathom.session import ship
 BUCKETS = 64
 #: Bytes of text whose postings are one part of each bucket: about a million postings a task.
 PART_BYTES = 1 << 29
+#: Words that a task counts at once, unless one text has more.
+WORDS_AT_ONCE = 500_000
 
 
 def _bucket(term: Column) -> Column:
@@ -42,6 +48,36 @@ class Index:
     totals: DataFrame
 
 
+def _counted(stemmer: str | None):
+    """Rows (kb, item, w) to one (kb, item, n, term, tf) for each term of a row's words w, and one with the empty term. A stem is told once a batch."""
+
+    def rows(part: pa.RecordBatch, lengths: np.ndarray) -> pa.RecordBatch:
+        coded = part.column("w").flatten().dictionary_encode()
+        terms, codes = coded.dictionary, coded.indices.to_numpy()
+        if stemmer:
+            stems = pa.array(map(stem.STEMMERS[stemmer], terms.to_pylist()), pa.string()).dictionary_encode()
+            terms, codes = stems.dictionary, stems.indices.to_numpy()[codes]
+        width, every = len(terms) + 1, np.arange(len(lengths))
+        keys, tf = np.unique(np.repeat(every, lengths) * width + codes + 1, return_counts=True)
+        row, code = np.divmod(np.concatenate([keys, every * width]), width)  # term 0 is the empty one
+        term = pa.concat_arrays([pa.array([""], pa.string()), terms.cast(pa.string())]).take(pa.array(code))
+        kb, item = (part.column(c).take(pa.array(row)) for c in ("kb", "item"))
+        counts = np.concatenate([tf, np.ones(len(every), np.int64)])
+        return pa.RecordBatch.from_arrays([kb, item, pa.array(lengths[row], pa.int64()), term, pa.array(counts, pa.int64())], names=["kb", "item", "n", "term", "tf"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column("w")).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, start = np.cumsum(lengths), 0
+            while start < len(lengths):
+                done = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, done + WORDS_AT_ONCE, "right")))
+                yield rows(batch.slice(start, stop - start), lengths[start:stop])
+                start = stop
+
+    return run
+
+
 def postings(docs: DataFrame, item: str, body: str | Column, kb: str | None = None, stemmer: str | None = None, stop_words: list[str] | None = None) -> DataFrame:
     """One row for a term of an item of docs, and one with the empty term for each item. Null texts have no tokens.
 
@@ -51,18 +87,10 @@ def postings(docs: DataFrame, item: str, body: str | Column, kb: str | None = No
     body = F.col(body) if isinstance(body, str) else body
     base = F.col(kb).cast("string") if kb else F.lit("")
     found = text.tokens(body) if stop_words is None else text.search_tokens(body, stop_words, None)
-    if stemmer:
-        ship(docs.sparkSession)
-        found = stem.stemmed_all(found, stemmer)
-    sorted_ = F.sort_array(F.coalesce(found, F.array().cast("array<string>")))
-    words = docs.select(base.alias("kb"), F.col(item).alias("item"), sorted_.alias("w"))
-    w, size = F.col("w"), F.size("w")
-    first = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))  # where the runs of a word start
-    runs = words.withColumn("at", F.when(size > 0, first).otherwise(F.array().cast("array<int>")))
-    at = F.col("at")
-    terms = F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, k + 1), size) - i).cast("long").alias("tf")))
-    marked = F.concat(terms, F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf"))))
-    counted = runs.select("kb", "item", size.cast("long").alias("n"), F.inline(marked))
+    words = docs.select(base.alias("kb"), F.col(item).alias("item"), F.coalesce(found, F.array().cast("array<string>")).alias("w"))
+    ship(docs.sparkSession)
+    of_item = words.schema["item"].dataType.simpleString()
+    counted = words.mapInArrow(_counted(stemmer), f"kb string, item {of_item}, n long, term string, tf long")
     if not docs.groupBy(F.col(item)).count().where("count > 1").isEmpty():
         counted = counted.groupBy("kb", "item", "term", "n").agg(F.sum("tf").alias("tf"))
     return counted.select(_bucket(F.col("term")).alias("bucket"), "kb", "term", "item", "tf", "n")

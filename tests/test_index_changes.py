@@ -184,3 +184,18 @@ def test_tasks_of_an_index_keep_their_size(spark, tmp_path, monkeypatch):
     fox = index.open().postings.where("term = 'fox'")
     files = fox.groupBy(F.input_file_name().alias("f")).count().collect()
     assert len(files) == 3 and sum(f["count"] for f in files) == 400 and max(f["count"] for f in files) < 200
+
+
+def test_words_are_counted_in_bounded_steps(monkeypatch):
+    """A batch is counted in steps of so many words; a text with more is one step, and a stem is told once a step."""
+    monkeypatch.setattr(sparse, "WORDS_AT_ONCE", 3)
+    told = []
+    monkeypatch.setitem(stem.STEMMERS, "probe", lambda w: told.append(w) or w[:3])
+    lists = [["foxes", "fox"], ["fox"], [], ["a", "b", "a", "a", "b"], ["foxy"]]
+    batch = sparse.pa.RecordBatch.from_pydict({"kb": [None, "", "x", "x", "x"], "item": [1, 2, 3, None, 5], "w": sparse.pa.array(lists, sparse.pa.list_(sparse.pa.string()))})
+    found = [b.to_pylist() for b in sparse._counted("probe")(iter([batch]))]
+    assert [len(b) for b in found] == [5, 3, 2] and told == ["foxes", "fox", "a", "b", "foxy"]
+    assert {(r["kb"], r["item"], r["n"], r["term"], r["tf"]) for b in found for r in b} == {
+        (None, 1, 2, "fox", 2), (None, 1, 2, "", 1), ("", 2, 1, "fox", 1), ("", 2, 1, "", 1), ("x", 3, 0, "", 1),
+        ("x", None, 5, "a", 3), ("x", None, 5, "b", 2), ("x", None, 5, "", 1), ("x", 5, 1, "fox", 1), ("x", 5, 1, "", 1),
+    }
