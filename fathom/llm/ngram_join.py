@@ -545,7 +545,8 @@ def _routed(texts: DataFrame, heavy: tuple, words: int, percent: int, again: boo
     parts = shuffle_partitions(spark)
     held = spark.sparkContext.broadcast(heavy)
     postings = texts.select("text", "root", "only").mapInArrow(_postings(words, percent, held, parts * 4, again), "bucket int, tied boolean, packed binary")
-    return components(postings.repartition(parts, "bucket").select("tied", "packed").mapInArrow(_ties, "u long, v long"))
+    ties = postings.repartition(parts, "bucket").select("tied", "packed").mapInArrow(_ties, "u long, v long")
+    return components(settle(ties))  # written, as each Python step of a stage holds a worker of its own for every core
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -598,7 +599,7 @@ def _routed_again(sets: _Sets, rows: DataFrame, words: int, percent: int) -> Dat
     """rows(name, n_shingles, root, only) in smaller groups: by new routes, with a list of their own of what is frequent, for each class of sizes."""
     texts = settle(sets.texts(rows.select("name", "root", "only")))
     often = texts.select(F.lit(None).cast("long").alias("doc_id"), _mark(), "text").mapInArrow(_facts(words), "doc_id long, mark long, n_shingles long, name long, often binary")
-    tied = _routed(texts, _heavy(often), words, percent, True)
+    tied = _routed(texts, _heavy(settle(often)), words, percent, True)
     nodes = rows.select("name", "n_shingles", "root", "only").mapInArrow(_nodes(percent), "node long, name long, n_shingles long, only int")
     return settle(nodes.join(tied, "node").select("name", "n_shingles", "root", "only"))
 

@@ -588,3 +588,14 @@ def test_pipeline_stages_on_hostile_documents(spark, tmp_path):
             assert docs.columns == before.columns
         pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
         assert (pieces.count() > 0) == bool(rows)
+
+
+def test_join_holds_one_python_worker_a_core(spark, monkeypatch):
+    """Ties are read from where they were written: two Python steps in one stage would hold two workers for every core."""
+    plans = []
+    inner = ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or inner(edges))
+    docs = spark.createDataFrame([(k, f"one two three four five six seven {k // 2}") for k in range(8)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()}
+    assert found == {k: k // 2 * 2 for k in range(8)}
+    assert plans and not any("MapInArrow" in p for p in plans)
