@@ -31,6 +31,8 @@ FREQUENT, WORD_BYTES = 1_000_000, 64
 SHARE = 8
 #: Distinct words that a task counts before it gives them on.
 COUNTED = 200_000
+#: Bytes of frequent words that texts are compressed against, and the level of compression.
+DICTIONARY, LEVEL = 100_000, 9
 
 _RANKS: dict[str, dict[bytes, int]] = {}
 
@@ -175,12 +177,27 @@ def _rare(known) -> object:
     return run
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _phrases(known: dict[str, bytes]) -> zstandard.ZstdCompressionDict | None:
+    """What texts are compressed against: the most frequent words, DICTIONARY bytes of them, the first of all last, where it is cheapest to name."""
+    held, size = [], 0
+    for word in known:
+        held.append(word.encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size > DICTIONARY:
+            break
+    return zstandard.ZstdCompressionDict(b"".join(reversed(held)), dict_type=zstandard.DICT_TYPE_RAWCONTENT) if size >= 8 else None
+
+
+def _small(known):
     """(key, doc_id, text) with the text compressed."""
-    small = zstandard.ZstdCompressor(level=6).compress
-    for batch in batches:
-        texts = [small((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(texts, pa.binary())], names=["key", "doc_id", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=LEVEL, dict_data=_phrases(known.value), write_checksum=False).compress
+        for batch in batches:
+            texts = [small((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(texts, pa.binary())], names=["key", "doc_id", "text"])
+
+    return run
 
 
 def _joined(docs: DataFrame, path: str, frequent: int) -> tuple[DataFrame, object]:
@@ -193,7 +210,7 @@ def _joined(docs: DataFrame, path: str, frequent: int) -> tuple[DataFrame, objec
     rare = texts.select("key", "text").mapInArrow(_rare(known), "key long, word string")
     met = rare.repartition("word").sortWithinPartitions("word").mapInArrow(_entries(path), "key long, entry binary")
     of_text = met.groupBy("key").agg(F.collect_set("entry").alias("rare"))  # no more than the text itself
-    whole = texts.mapInArrow(_small, "key long, doc_id long, text binary")
+    whole = texts.mapInArrow(_small(known), "key long, doc_id long, text binary")
     return whole.join(of_text, "key", "left").select("doc_id", "text", "rare"), known
 
 
@@ -201,7 +218,8 @@ def _assembled(known, path: str):
     """Batches of _joined to the packed ids of each text: each position takes the ids of its word."""
 
     def run(batch: pa.RecordBatch) -> Iterator[bytes]:
-        table, whole, width = known.value, zstandard.ZstdDecompressor().decompress, _width(ranks(path))
+        table, width = known.value, _width(ranks(path))
+        whole = zstandard.ZstdDecompressor(dict_data=_phrases(table)).decompress
         for text, rare in zip(batch.column("text"), batch.column("rare").to_pylist()):
             own = {}
             for word, _, ids in (x.partition(END) for x in rare or ()):

@@ -93,3 +93,23 @@ def test_query_over_whole_documents(spark, library):
     got = queries.queries()["op13_word_bpe_round_trip"](spark, folder).collect()
     want = [(r.doc_id, *digests(library, r.text)) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_texts_are_compressed_against_frequent_words():
+    import pyarrow as pa
+    import zstandard
+
+    from fathom.llm import word_bpe
+
+    class Held:
+        value = {f" frequent{k}": b"" for k in range(50)}
+
+    texts = ["".join(f" frequent{k}" for k in range(0, 50, 3)), "", None, "lone \ud800 ä"]
+    encode = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    batch = pa.RecordBatch.from_pydict({"key": [1, 2, 3], "doc_id": [1, 2, 3], "text": texts[:3]})
+    (made,) = word_bpe._small(Held)(iter([batch]))
+    found = made.column("text").to_pylist()
+    whole = zstandard.ZstdDecompressor(dict_data=word_bpe._phrases(Held.value)).decompress
+    assert [whole(x) for x in found] == encode[:3]
+    assert len(found[0]) < len(zstandard.ZstdCompressor(level=6).compress(encode[0]))
+    assert word_bpe._phrases({}) is None
