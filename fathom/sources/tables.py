@@ -73,12 +73,17 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def extracted_files(raw: DataFrame) -> DataFrame:
     """Files (path, modificationTime, length, content), of a batch or a stream, of allowed types: path, length, modified, mime, kind, text, error.
 
     docx as markdown, xlsx, pptx, HTML and text types as text; a file that can't be read has an error and no text, and takes no other with it.
     """
     ship(raw.sparkSession)
+    if raw.sparkSession.conf.get(_ROWS) == "10000":  # the default: a batch of whole files is held several times over
+        raw.sparkSession.conf.set(_ROWS, "500")
 
     @F.pandas_udf("struct<kind: string, text: string, error: string>")
     def read(mime: pd.Series, content: pd.Series) -> pd.DataFrame:

@@ -142,3 +142,19 @@ def test_links_without_quotes(spark):
     page = spark.createDataFrame([(1, "http://x.org/a/c.html", html), (2, None, None)], "page_id long, url string, html string")
     got = [(r.page_id, r.position, r.link) for r in tables.links(page).collect()]
     assert got == [(1, 0, "http://x.org/a/u.html"), (1, 1, "http://x.org/v?x=1"), (1, 2, "http://x.org/a/w")]
+
+
+def test_files_reach_the_extractor_in_small_batches(spark):
+    """Whole files are held several times over: not the default of 10,000 at once; a number of the session's own stays."""
+    from fathom.sources import tables
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.createDataFrame([("a.html", None, 3, b"<p>x")], tables.FILES)
+    try:
+        for given, want in (("10000", 500), ("700", 700)):
+            spark.conf.set(name, given)
+            assert [r.error for r in tables.extracted_files(rows).collect()] == [None]
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)
